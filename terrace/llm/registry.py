@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_chunks
+from . import bpe, exact_chunks
 from .common import table
 
 
@@ -14,8 +14,15 @@ def op4_exact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_chunks.copies(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_chunks": op4_exact_chunks,
+    "op6_backtracking_bpe": op6_backtracking_bpe,
 }
 
 SQL: dict[str, str] = {
