@@ -43,7 +43,8 @@ def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256, recipe: the ordered verified identifiers of each row's chunks."""
     docs = docs.select("doc_id", "text")
     hashed = common.materialize(_chunked(docs).select("doc_id", "text_sha256", _hashes().alias("hashes")), "recipes")
-    shared = hashed.groupBy("hashes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hashes").alias("h2"))
+    # Written, so that the join shuffles both sides anew and a large group can be split at run time.
+    shared = common.materialize(hashed.groupBy("hashes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hashes").alias("h2")), "shared-recipes")
     suspects = hashed.join(shared, F.col("hashes") == F.col("h2"), "left_semi").select("doc_id")
     bits = common.materialize(common.bitmap(suspects, "doc_id"), "copies-bits")
     moved = (
