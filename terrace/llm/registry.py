@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_chunks
+from . import bpe, exact_chunks, golay
 from .common import table
 
 
@@ -20,9 +21,15 @@ def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = golay.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_chunks": op4_exact_chunks,
     "op6_backtracking_bpe": op6_backtracking_bpe,
+    "op8_golay_simhash": op8_golay_simhash,
 }
 
 SQL: dict[str, str] = {
