@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_chunks, golay, line_bloom
+from . import bpe, decontaminate, exact_chunks, golay, line_bloom
 from .common import table
 
 
@@ -30,11 +30,17 @@ def op9_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bloom.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_window_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_chunks": op4_exact_chunks,
     "op6_backtracking_bpe": op6_backtracking_bpe,
     "op8_golay_simhash": op8_golay_simhash,
     "op9_line_bloom": op9_line_bloom,
+    "op10_window_simhash": op10_window_simhash,
 }
 
 SQL: dict[str, str] = {
