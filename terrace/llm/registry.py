@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_chunks, golay, line_bloom
+from . import bpe, decontaminate, exact_chunks, golay, langid, line_bloom
 from .common import table
 
 
+def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_chunks.copies(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -36,6 +40,7 @@ def op10_window_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_gru": op3_byte_gru,
     "op4_exact_chunks": op4_exact_chunks,
     "op6_backtracking_bpe": op6_backtracking_bpe,
     "op8_golay_simhash": op8_golay_simhash,
