@@ -39,7 +39,7 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 #: (shift, bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Most fingerprints under a key that are compared in one go, rows taken at a time, and links held before they are contracted.
-BLOCK, ROWS, LINKS = 2048, 1 << 18, 1 << 20
+BLOCK, ROWS, LINKS = 2048, 1 << 16, 1 << 18
 
 
 def fingerprint(text: str | None) -> int:
@@ -141,17 +141,24 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links_in_runs(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Links between rows of one key; rows are sorted by key. Compares each row with the next, the one after, and so on while the key lasts."""
-    found, at, lag = [np.empty((0, 2), np.int64)], np.arange(len(key) - 1), 1
+    """Links that tie together what links between rows of one key tie together; rows are sorted by key.
+
+    Compares each row with the next, the one after, and so on while the key lasts, but no rows that are tied already.
+    """
+    root, at, lag = np.arange(len(key)), np.arange(len(key) - 1), 1
     while len(at):
         at = at[at + lag < len(key)]
         at = at[key[at] == key[at + lag]]
-        near = at[np.bitwise_count((fp[at] ^ fp[at + lag]).view(np.uint64)) <= RADIUS]
-        found.append(np.stack([fp[near], fp[near + lag]], axis=1))
-        if sum(map(len, found)) > LINKS:
-            found = [forest(np.concatenate(found))]
+        apart = at[root[at] != root[at + lag]]
+        near = apart[np.bitwise_count((fp[apart] ^ fp[apart + lag]).view(np.uint64)) <= RADIUS]
+        if len(near):
+            tied = forest(np.stack([root[near], root[near + lag]], axis=1))
+            new = np.arange(len(key))
+            new[tied[:, 0]] = tied[:, 1]
+            root = new[root]
         lag += 1
-    return np.concatenate(found)
+    moved = np.flatnonzero(root != np.arange(len(key)))
+    return np.stack([fp[moved], fp[root[moved]]], axis=1)
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -263,7 +270,7 @@ def _compared_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
         fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False)])
         last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if last >= ROWS // 8:
+        if last >= ROWS // 2:
             yield _star(links_in_runs(key[:last], fp[:last]))
             key, fp = key[last:], fp[last:]
     if len(key):
