@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_chunks, golay, langid, line_bloom
+from . import bpe, decontaminate, exact_chunks, golay, langid, line_bloom, pii
 from .common import table
 
 
+def op1_term_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_window_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_term_disclosure": op1_term_disclosure,
     "op3_byte_gru": op3_byte_gru,
     "op4_exact_chunks": op4_exact_chunks,
     "op6_backtracking_bpe": op6_backtracking_bpe,
