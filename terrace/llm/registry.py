@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_chunks, golay, langid, line_bloom, pii
+from . import bpe, decontaminate, exact_chunks, golay, langid, line_bloom, pii, url_reputation
 from .common import table
 
 
@@ -29,6 +29,13 @@ def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: a page is bad if the label of its number says toxic or low quality."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = golay.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_gru": op3_byte_gru,
     "op4_exact_chunks": op4_exact_chunks,
     "op6_backtracking_bpe": op6_backtracking_bpe,
+    "op7_host_reputation": op7_host_reputation,
     "op8_golay_simhash": op8_golay_simhash,
     "op9_line_bloom": op9_line_bloom,
     "op10_window_simhash": op10_window_simhash,
@@ -59,6 +67,34 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm)""",
+    "op7_host_reputation": r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+k AS (SELECT doc_id, max((toxic = 1 OR quality = 0)::INT) AS bad FROM labels WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY doc_id),
+h0 AS (SELECT host, coalesce(sum(k.bad), 0)::DOUBLE AS bad, count(k.bad)::DOUBLE AS n FROM p LEFT JOIN k ON page_id = k.doc_id GROUP BY host),
+h1 AS (SELECT *, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS l FROM h0),
+h2 AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN 2 ELSE 1 END AS w, regexp_full_match(array_to_string(l, '.'), '[0-9.]+') AS number FROM h1),
+h AS (SELECT host, bad, n, CASE WHEN number THEN array_to_string(l, '.') ELSE array_to_string(l[-(w + 1):], '.') END AS domain,
+             CASE WHEN number THEN '' ELSE array_to_string(l[-w:], '.') END AS suffix FROM h2),
+d0 AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY domain, suffix),
+s0 AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM d0 GROUP BY suffix),
+s1 AS (SELECT *, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM d0) AS prior FROM s0),
+s2 AS (SELECT least(greatest(coalesce((sum(n * power(bad / n - prior, 2)) / sum(n) - sum(prior * (1 - prior)) / sum(n)) / nullif(sum(n * prior * (1 - prior)) / sum(n), 0), 0.001), 0.001), 0.5) AS rho FROM s1 WHERE n > 0),
+s AS (SELECT suffix, (bad + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) AS mean FROM s1, s2),
+d1 AS (SELECT d0.*, mean AS prior FROM d0 JOIN s USING (suffix)),
+d2 AS (SELECT least(greatest(coalesce((sum(n * power(bad / n - prior, 2)) / sum(n) - sum(prior * (1 - prior)) / sum(n)) / nullif(sum(n * prior * (1 - prior)) / sum(n), 0), 0.001), 0.001), 0.5) AS rho FROM d1 WHERE n > 0),
+d AS (SELECT domain, (bad + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) AS mean FROM d1, d2),
+g1 AS (SELECT h.*, mean AS prior FROM h JOIN d USING (domain)),
+g2 AS (SELECT least(greatest(coalesce((sum(n * power(bad / n - prior, 2)) / sum(n) - sum(prior * (1 - prior)) / sum(n)) / nullif(sum(n * prior * (1 - prior)) / sum(n), 0), 0.001), 0.001), 0.5) AS rho FROM g1 WHERE n > 0),
+g3 AS (SELECT host, bad + (1 - rho) / rho * prior AS a, n - bad + (1 - rho) / rho * (1 - prior) AS b FROM g1, g2),
+g AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / (power(a + b, 2) * (a + b + 1))) AS bound FROM g3),
+r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS v(verdict, rule_host, rule_path)),
+f AS (SELECT DISTINCT ON (host, path) host, path, rule_host || rule_path AS rule, verdict
+      FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+      ORDER BY host, path, length(rule_host || rule_path) DESC)
+SELECT page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN bound > 0.4 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN g ON p.host = g.host LEFT JOIN f ON p.host = f.host AND p.path = f.path""",
     "op9_line_bloom": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
