@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_chunks, golay, langid, line_bloom, pii, url_reputation
+from . import bpe, decontaminate, exact_chunks, golay, hmm, langid, line_bloom, pii, url_reputation
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_term_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_window_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_term_disclosure": op1_term_disclosure,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_byte_gru": op3_byte_gru,
     "op4_exact_chunks": op4_exact_chunks,
     "op6_backtracking_bpe": op6_backtracking_bpe,
