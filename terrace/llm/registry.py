@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_chunks, golay, hmm, langid, line_bloom, pii, url_reputation
+from . import bpe, decontaminate, exact_chunks, golay, hmm, langid, line_bloom, passages, pii, url_reputation
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_exact_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_chunks.copies(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hidden_markov": op2_hidden_markov,
     "op3_byte_gru": op3_byte_gru,
     "op4_exact_chunks": op4_exact_chunks,
+    "op5_paragraph_minhash": op5_paragraph_minhash,
     "op6_backtracking_bpe": op6_backtracking_bpe,
     "op7_host_reputation": op7_host_reputation,
     "op8_golay_simhash": op8_golay_simhash,
