@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]"
 #: log2 of the bits of a bitmap; its table has at most 2 ** (BITMAP_LOG2 - 6) rows.
 BITMAP_LOG2 = 22
+ROWS_A_FILE = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +35,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors then cost a re-read, not a recomputation."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lost executors then cost a re-read, not a recomputation.
+
+    With a known bound of its rows, the table gets one file for each ROWS_A_FILE of them instead of one for
+    each shuffle partition, however small.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
@@ -57,6 +64,10 @@ def bitmap(keys: DataFrame, key: str, log2_bits: int = BITMAP_LOG2) -> DataFrame
     )
 
 
+def written_bitmap(keys: DataFrame, key: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
+    return materialize(bitmap(keys, key, log2_bits), "bitmap", 1 << (log2_bits - 6))
+
+
 def with_suspicion(df: DataFrame, key: str, bits: DataFrame, name: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
     """Add boolean ``name``: false where ``key`` is surely not among the bitmap's keys."""
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2_bits))
@@ -74,7 +85,7 @@ def without_ids(docs: DataFrame, dropped: DataFrame, log2_bits: int = BITMAP_LOG
     Rows that a fixed-size bitmap clears stay where they are; only suspects,
     texts included, are shuffled for the exact anti join. Null ids stay.
     """
-    bits = materialize(bitmap(dropped, "doc_id", log2_bits), "dropped-bits")
+    bits = written_bitmap(dropped, "doc_id", log2_bits)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     marked = with_suspicion(docs, "doc_id", bits, "__suspect", log2_bits)
     clear = marked.where(~F.col("__suspect")).select(*cols)

@@ -112,7 +112,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = common.materialize(_items(benchmark).withColumn("fp", simhash(F.col("hashes"))), "items")
     places = common.materialize(items.select("n_words", "k", F.posexplode("hashes").alias("place", "h")).distinct(), "item-places")
-    known = common.materialize(common.bitmap(places, "h"), "item-bits")
+    known = common.written_bitmap(places, "h")
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # SHINGLE numbers at most
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(common.text_or_empty()).alias("row_hash"), _words().alias("words"))
     found = None
@@ -126,7 +126,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long, n_windows long")
     starts = common.materialize(found.where("start >= 0").distinct(), "window-starts")
     windows = common.materialize(_cut_out(docs, starts), "windows")
-    classes = common.materialize(windows.groupBy("n_words", "win").agg(F.count(F.lit(1)).alias("n")).select("n_words", "win", simhash(F.col("win")).alias("fp")), "window-classes")
+    classes = common.materialize(windows.groupBy("n_words", "win").agg(F.count(F.lit(1)).alias("n")).select("n_words", "win", simhash(F.col("win")).alias("fp")), "window-classes", windows.count())
     same = _similar(classes, items)
     matched = windows.join(same, (F.col("n_words") == F.col("m_words")) & (F.col("win") == F.col("m_win")))
     per_item = matched.groupBy("doc_id", "item").agg(
@@ -140,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _cut_out(docs: DataFrame, starts: DataFrame) -> DataFrame:
     """(doc_id, start, n_words, win): the shingles of each window; only documents with windows are moved."""
-    bits = common.materialize(common.bitmap(starts.select("row_hash").distinct(), "row_hash"), "window-doc-bits")
+    bits = common.written_bitmap(starts.select("row_hash").distinct(), "row_hash")
     texts = docs.select("doc_id", "text", F.xxhash64(common.text_or_empty()).alias("row_hash"))
     texts = common.with_suspicion(texts, "row_hash", bits, "suspect").where("suspect").select("doc_id", "row_hash", "text")
     near = starts.groupBy(F.col("doc_id").alias("d2"), F.col("row_hash").alias("h2"), "k", F.floor(F.col("start") / REACH).alias("reach")).agg(F.collect_set(F.struct("start", "n_words")).alias("asked"))

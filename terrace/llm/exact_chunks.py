@@ -44,9 +44,9 @@ def recipes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     hashed = common.materialize(_chunked(docs).select("doc_id", "text_sha256", _hashes().alias("hashes")), "recipes")
     # Written, so that the join shuffles both sides anew and a large group can be split at run time.
-    shared = common.materialize(hashed.groupBy("hashes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hashes").alias("h2")), "shared-recipes")
+    shared = common.materialize(hashed.groupBy("hashes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hashes").alias("h2")), "shared-recipes", hashed.count())
     suspects = hashed.join(shared, F.col("hashes") == F.col("h2"), "left_semi").select("doc_id")
-    bits = common.materialize(common.bitmap(suspects, "doc_id"), "copies-bits")
+    bits = common.written_bitmap(suspects, "doc_id")
     moved = (
         _chunked(common.with_suspicion(docs, "doc_id", bits, "suspect").where("suspect"))
         .select("doc_id", "text_sha256", F.posexplode("chunks").alias("pos", "chunk"))
@@ -79,7 +79,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     lists = common.materialize(recipes(docs), "verified")
     groups = common.materialize(
-        lists.groupBy("recipe").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("recipe", "shared"), "copy-groups"
+        lists.groupBy("recipe").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("recipe", "shared"), "copy-groups", lists.count()
     )
     # Groups are few and written, so both sides are shuffled and a large group of copies can be split at run time.
     joined = lists.join(groups, F.col("recipe") == F.col("shared"), "left")

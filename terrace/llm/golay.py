@@ -245,11 +245,12 @@ def links(distinct: DataFrame) -> DataFrame:
     keyed = distinct.select("fp").repartition(n).mapInArrow(_keyed, "key long, fp long")
     first = common.materialize(_sorted_by(keyed, "key").mapInArrow(_compared, "a long, b long, large boolean"), "golay-links")
     small = first.where(~F.col("large")).select("a", "b")
-    # Keys of many fingerprints: each pair of blocks of a key's rows is a key of its own, of 2 * BLOCK rows at most on average.
-    wide = common.materialize(first.where("large").groupBy(F.col("a").alias("wide_key")).agg(F.ceil(2 * F.sum("b") / F.lit(BLOCK)).cast("int").alias("blocks")), "golay-wide")
-    if wide.isEmpty():
+    n_large = first.where("large").count()
+    if not n_large:
         return small
-    bits = common.materialize(common.bitmap(wide, "wide_key"), "golay-wide-bits")
+    # Keys of many fingerprints: each pair of blocks of a key's rows is a key of its own, of 2 * BLOCK rows at most on average.
+    wide = common.materialize(first.where("large").groupBy(F.col("a").alias("wide_key")).agg(F.ceil(2 * F.sum("b") / F.lit(BLOCK)).cast("int").alias("blocks")), "golay-wide", n_large)
+    bits = common.written_bitmap(wide, "wide_key")
     block = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     split = (
@@ -286,11 +287,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed), component_id (smallest doc_id reachable over links)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fps = common.materialize(texts.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    distinct = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps")
+    n = fps.count()
+    distinct = common.materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fps", n)
     tied = components(links(distinct))
-    labelled = common.materialize(distinct.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "labelled-fps")
-    named = common.materialize(labelled.groupBy(F.col("root").alias("named")).agg(F.min("least").alias("component_id")), "named")
-    of_fp = common.materialize(labelled.join(named, F.col("root") == F.col("named")).select(F.col("fp").alias("key_fp"), "component_id"), "fp-components")
+    labelled = common.materialize(distinct.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "labelled-fps", n)
+    named = common.materialize(labelled.groupBy(F.col("root").alias("named")).agg(F.min("least").alias("component_id")), "named", n)
+    of_fp = common.materialize(labelled.join(named, F.col("root") == F.col("named")).select(F.col("fp").alias("key_fp"), "component_id"), "fp-components", n)
     return fps.join(of_fp, F.col("fp") == F.col("key_fp")).select("doc_id", "fp", "component_id")
 
 

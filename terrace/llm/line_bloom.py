@@ -137,7 +137,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     last = F.lit((1 << 63) - 1)
     holder = F.coalesce("doc_id", last)
     shared = common.materialize(
-        lines.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("latest")).where("first <> latest").select(F.col("key").alias("shared_key"), "first"), "shared-lines"
+        lines.groupBy("key").agg(F.min(holder).alias("first"), F.max(holder).alias("latest")).where("first <> latest").select(F.col("key").alias("shared_key"), "first"), "shared-lines", lines.count()
     )
     gone = lines.join(shared, F.col("key") == F.col("shared_key")).where(holder != F.col("first"))
     return gone.groupBy("doc_id", "row_hash").agg(F.collect_set("line").alias("lines"))
@@ -148,7 +148,7 @@ def _with_drops(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drops = common.materialize(repeats(docs), "line-drops")
     id_or_last = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    bits = common.materialize(common.bitmap(drops.select(id_or_last.alias("id")), "id"), "line-drop-bits")
+    bits = common.written_bitmap(drops.select(id_or_last.alias("id")), "id")
     marked = common.with_suspicion(docs.withColumn("id", id_or_last), "id", bits, "suspect")
     clear = marked.where("NOT suspect").select("doc_id", "text", F.lit(None).cast("array<int>").alias("lines"))
     drops = drops.select(F.col("doc_id").alias("d2"), F.col("row_hash").alias("h2"), "lines")

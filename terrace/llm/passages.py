@@ -220,14 +220,14 @@ def paragraph_links(docs: DataFrame, units: DataFrame) -> DataFrame:
     sizes = shared.groupBy("key").agg(F.max("n").alias("last")).where(F.col("last") >= BLOCK).select(F.col("key").alias("wide_key"), F.ceil(2 * F.col("last") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("kind", F.lit(3)), F.col("blocks"))
     dealt = (
-        shared.join(common.materialize(sizes, "wide-bands"), F.col("key") == F.col("wide_key"), "left")
+        shared.join(common.materialize(sizes, "wide-bands", shared.count()), F.col("key") == F.col("wide_key"), "left")
         .select("key", F.col("kind").alias("asked"), "blocks", F.coalesce(block, F.lit(0)).alias("block"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
         .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "asked")
     )
     wanted = shared.select("kind").distinct()
-    kind_bits = common.materialize(common.bitmap(wanted, "kind"), "kind-bits")
+    kind_bits = common.written_bitmap(wanted, "kind")
     holders = common.with_suspicion(units.where(F.col("unit") == PARAGRAPH), "kind", kind_bits, "suspect").where("suspect").groupBy("kind").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    doc_bits = common.materialize(common.bitmap(holders, "doc_id"), "holder-bits")
+    doc_bits = common.written_bitmap(holders, "doc_id")
     texts = common.with_suspicion(docs, "doc_id", doc_bits, "suspect").where("suspect").select("text")
     sets = common.with_suspicion(texts.mapInArrow(_paragraph_shingles, "kind long, shingles binary"), "kind", kind_bits, "suspect").where("suspect").drop("suspect")
     sets = common.materialize(sets.join(wanted.withColumnRenamed("kind", "w"), F.col("kind") == F.col("w"), "left_semi").dropDuplicates(["kind"]), "kind-shingles")
@@ -244,14 +244,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     units = common.materialize(docs.mapInArrow(_units, "doc_id long, unit int, at int, size int, kind long, bands array<long>"), "units")
     tied = common.materialize(components(common.materialize(paragraph_links(docs, units), "paragraph-links")).select(F.col("node").alias("linked"), "component"), "paragraph-components")
+    n = units.count()
     ends = units.groupBy("kind").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest"))
     # Kinds in two documents, or tied to another kind; all others are settled here and never moved again.
     of_kind = common.materialize(
-        ends.join(tied, F.col("kind") == F.col("linked"), "left").where(F.col("component").isNotNull() | (F.col("first") != F.col("latest"))).select("kind", F.coalesce("component", "kind").alias("cluster"), "first", "latest"), "kinds"
+        ends.join(tied, F.col("kind") == F.col("linked"), "left").where(F.col("component").isNotNull() | (F.col("first") != F.col("latest"))).select("kind", F.coalesce("component", "kind").alias("cluster"), "first", "latest"), "kinds", n // 4
     )
-    clusters = common.materialize(of_kind.groupBy("cluster").agg(F.min("first").alias("first"), F.max("latest").alias("latest")).where("first <> latest").select(F.col("cluster").alias("c2"), "first"), "clusters")
-    repeated = common.materialize(of_kind.join(clusters.withColumnRenamed("first", "holder"), F.col("cluster") == F.col("c2")).select(F.col("kind").alias("k2"), "cluster", "holder"), "repeated-kinds")
-    bits = common.materialize(common.bitmap(repeated, "k2"), "repeated-bits")
+    clusters = common.materialize(of_kind.groupBy("cluster").agg(F.min("first").alias("first"), F.max("latest").alias("latest")).where("first <> latest").select(F.col("cluster").alias("c2"), "first"), "clusters", n // 8)
+    repeated = common.materialize(of_kind.join(clusters.withColumnRenamed("first", "holder"), F.col("cluster") == F.col("c2")).select(F.col("kind").alias("k2"), "cluster", "holder"), "repeated-kinds", n // 4)
+    bits = common.written_bitmap(repeated, "k2")
     found = common.with_suspicion(units.drop("bands"), "kind", bits, "suspect").where("suspect").join(repeated, F.col("kind") == F.col("k2"))
     found = found.select("doc_id", "at", (F.col("at") + F.col("size")).alias("end"), (F.col("holder") < F.col("doc_id")).alias("removed"), "holder", "cluster").distinct()
     order = Window.partitionBy("doc_id", "removed").orderBy("at", "end")

@@ -70,12 +70,13 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     labelled = named.join(known, F.col("page_id") == F.col("labelled"), "left")
     domain, suffix = domain_of(F.col("host"))
     hosts = common.materialize(labelled.groupBy("host").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("n")).withColumns({"domain": domain, "suffix": suffix}), "hosts")
-    domains = common.materialize(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "domains")
+    n = hosts.count()
+    domains = common.materialize(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "domains", n)
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     whole = domains.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior"))
     mean = (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
-    of_suffix = common.materialize(_shrunk(suffixes.crossJoin(F.broadcast(whole))).select(F.col("suffix").alias("s2"), mean.alias("prior")), "suffix-means")
-    of_domain = common.materialize(_shrunk(domains.join(of_suffix, F.col("suffix") == F.col("s2"))).select(F.col("domain").alias("d2"), mean.alias("prior")), "domain-means")
+    of_suffix = common.materialize(_shrunk(suffixes.crossJoin(F.broadcast(whole))).select(F.col("suffix").alias("s2"), mean.alias("prior")), "suffix-means", n)
+    of_domain = common.materialize(_shrunk(domains.join(of_suffix, F.col("suffix") == F.col("s2"))).select(F.col("domain").alias("d2"), mean.alias("prior")), "domain-means", n)
     judged = _shrunk(hosts.join(of_domain, F.col("domain") == F.col("d2")))
     a = F.col("bad") + F.col("strength") * F.col("prior")
     b = F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("prior"))
