@@ -55,7 +55,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
     if len(_words) > KEPT:
         _words.clear()
-    for w in set(words) - _words.keys():
+    for w in {w for w in words if w not in _words}:
         _words[w] = xxhash.xxh3_64_intdigest(w)
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
