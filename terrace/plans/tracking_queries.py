@@ -249,9 +249,9 @@ def shape_timeline(spark, sf_dir):
 
 
 @cat.add(f"""{W}, {HELD}, {_shape_sql(5)}, j AS (SELECT shp.*, CASE WHEN holder=team THEN 'in possession' WHEN coalesce(holder,'')='' THEN 'unknown/dead ball' ELSE 'out of possession' END AS state FROM shp LEFT JOIN held USING (game, frame))
-SELECT game, team, state, {', '.join(f'round(avg({c}),5) AS {c}_mean, round(stddev_samp({c}),5) AS {c}_std, count({c}) AS {c}_count' for c in ('centroid_x', 'length', 'width'))} FROM j GROUP BY game, team, state""")
+SELECT game, team, state, {', '.join(f'round(avg({c}),7) AS {c}_mean, round(stddev_samp({c}),7) AS {c}_std, count({c}) AS {c}_count' for c in ('centroid_x', 'length', 'width'))} FROM j GROUP BY game, team, state""")
 def shape_by_possession(spark, sf_dir):
-    return rounded(sh.shape_by_possession(sh.team_shape(trk(spark, sf_dir), hull=False), held(spark, sf_dir), ("centroid_x", "length", "width")), 5)
+    return rounded(sh.shape_by_possession(sh.team_shape(trk(spark, sf_dir), hull=False), held(spark, sf_dir), ("centroid_x", "length", "width")), 7)
 
 
 FRAMES, LEAST = 75, 10
