@@ -18,11 +18,11 @@ def _stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
 
 
-@cat.add("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@cat.add("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_event_windows(spark, sf_dir):
     path = shared_path(spark, "windows")
     windows.run_to_table(windows.counts_by_window(_stream(spark, sf_dir)), path)
-    return spark.read.parquet(f"{path}/table").select(F.to_date("start").alias("day"), "event_type", "n")
+    return spark.read.parquet(f"{path}/table").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @cat.add("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
