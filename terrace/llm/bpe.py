@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 #: The byte-level pre-tokenizer's pattern (fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose encoding a worker keeps, and the longest piece that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 600_000, 64
+#: Pieces whose encoding a worker keeps, in each of two generations, and the longest piece that it keeps.
+KEPT_PIECES, KEPT_LENGTH = 120_000, 32
 #: Pairs of the compatibility table that a worker keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 250_000
 #: Code points of a text that are encoded at a time; a cut moves to the next piece's start.
 BLOCK = 1 << 20
 
@@ -89,6 +89,7 @@ class Codec:
         self.latin_pieces = re.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{of_kind('L')}{of_kind('N')}]").replace(r"\p{L}", f"[{of_kind('L')}]").replace(r"\p{N}", f"[{of_kind('N')}]"))
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def _longest_proper_prefix(self, token: bytes) -> int | None:
         return next((i for n in range(len(token) - 1, 0, -1) if (i := self.id_of.get(token[:n])) is not None), None)
@@ -156,11 +157,14 @@ class Codec:
             token = shorter[token]
 
     def _looked_up(self, piece: str) -> tuple[bytes, str]:
-        ids = self.encode_piece(piece.encode())
-        out = array("i", ids).tobytes(), ",".join(map(str, ids))
+        """The piece's encoding. A full generation replaces the one before, from which what is used again is taken over."""
+        out = self.kept.get(piece) or self.older.get(piece)
+        if out is None:
+            ids = self.encode_piece(piece.encode())
+            out = array("i", ids).tobytes(), ",".join(map(str, ids))
         if len(piece) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
+                self.older, self.kept = self.kept, {}
             self.kept[piece] = out
         return out
 
@@ -184,8 +188,8 @@ class Codec:
 
     def encode_blocks(self, text: str) -> Iterator[tuple[np.ndarray, str]]:
         """Ids of each block, as numbers and as comma-joined decimals."""
-        kept = self.kept
         for block in self.blocks(text):
+            kept = self.kept
             if isinstance(block, int):
                 yield np.array([block], np.int32), str(block)
             elif block:
