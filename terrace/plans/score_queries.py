@@ -137,6 +137,11 @@ def shap_linear(spark, sf_dir):
     return rounded(ml.linear_contributions(scored(spark, sf_dir), {"distance": -0.12, "angle": 1.5, "minute": 0.001}))
 
 
+@cat.add(f"{W}, mn AS (SELECT avg(distance) AS a, avg(angle) AS b FROM sc) SELECT feature, round(v,4) AS importance FROM (SELECT avg(abs(-0.12e0*(distance-a))) AS distance, avg(abs(1.5e0*(angle-b))) AS angle FROM sc, mn) UNPIVOT (v FOR feature IN (distance, angle)) ORDER BY v DESC, feature LIMIT 1")
+def topk_importance(spark, sf_dir):
+    return rounded(ml.linear_contributions(scored(spark, sf_dir), {"distance": -0.12, "angle": 1.5}).orderBy(F.desc("importance"), "feature").limit(1))
+
+
 @cat.add("SELECT CAST(o_custkey AS BIGINT) AS customer, CAST(count(*) AS BIGINT) AS n, CAST((row_number() OVER (ORDER BY count(*) DESC, o_custkey)-1)%5 AS INT) AS fold FROM orders GROUP BY o_custkey")
 def cv_folds(spark, sf_dir):
     """Groups dealt to folds by size, in turn; a group never spans folds."""

@@ -122,6 +122,12 @@ def players_to_pitch(spark, sf_dir):
     return rounded(positions(spark, sf_dir).select("det_id", "X", "Y"))
 
 
+@cat.add(f'{W} SELECT det_id, round(({H[0]:.8f}::DOUBLE*x1+{H[1]:.8f}::DOUBLE*y1+{H[2]:.8f}::DOUBLE)/({H[6]:.8f}::DOUBLE*x1+{H[7]:.8f}::DOUBLE*y1+{H[8]:.8f}::DOUBLE),4) AS hx FROM det')
+def apply_homography(spark, sf_dir):
+    hx, _ = g.apply_h(F.array(*[F.lit(h) for h in H]), F.col("x1"), F.col("y1"))
+    return rounded(detections(spark, sf_dir).select("det_id", hx.alias("hx")))
+
+
 @cat.add(f"""{W}, r AS (SELECT clip, frame, CASE WHEN frame%97=96 THEN NULL ELSE CASE WHEN diff<100 THEN 5e0 ELSE 1e0 END END AS score FROM sig),
 s AS (SELECT *, coalesce(quantile_cont(score,0.5) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)>=3, FALSE) OR frame=100 AS good FROM r),
 i AS (SELECT *, sum(CASE WHEN good AND NOT lg THEN 1 ELSE 0 END) OVER (PARTITION BY clip ORDER BY frame) AS isl FROM (SELECT *, coalesce(lag(good) OVER (PARTITION BY clip ORDER BY frame), FALSE) AS lg FROM s))
@@ -210,6 +216,14 @@ def source_roundtrip(spark, sf_dir):
     return counts.join(keyed, "season").join(csv, "season").join(json, "season")
 
 
+@cat.add(f"{W} SELECT 'colours' AS section, CAST(segment AS VARCHAR) AS subject, count(*) FILTER (\"L\" IS NOT NULL) AS n FROM det GROUP BY segment UNION ALL SELECT 'teams', team, count(DISTINCT segment*100+track_id) FROM pos WHERE track_id>=0 GROUP BY team")
+def report_tables(spark, sf_dir):
+    """Sections of a report under each other, each with its name in front."""
+    colours = detections(spark, sf_dir).groupBy(F.col("segment").cast("string").alias("subject")).agg(F.count("L").alias("n")).select(F.lit("colours").alias("section"), "subject", "n")
+    teams = positions(spark, sf_dir).where("track_id >= 0").groupBy(F.col("team").alias("subject")).agg(F.count_distinct("segment", "track_id").alias("n")).select(F.lit("teams").alias("section"), "subject", "n")
+    return colours.unionByName(teams)
+
+
 @cat.add()
 def result_json(spark, sf_dir):
     totals = shots_of(spark, sf_dir).groupBy("team").agg(F.count(F.lit(1)).alias("shots"), F.sum("is_goal").alias("goals"))
