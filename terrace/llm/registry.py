@@ -113,4 +113,20 @@ r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (first IS NOT NULL AND doc_id <> first) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (first IS NULL OR doc_id = first), '')) AS kept_sha256
 FROM k LEFT JOIN r USING (key) GROUP BY doc_id""",
+    "op10_window_simhash": r"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+it AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+ks AS (SELECT DISTINCT k FROM it),
+dp AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, ks),
+ds AS (SELECT doc_id, len(w) AS size, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM dp),
+ip AS (SELECT item_id, w, n, k, unnest(range(1, n - k + 2)) AS p FROM it),
+sh AS (SELECT item_id, n, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM ip),
+win AS (SELECT DISTINCT doc_id, n, ds.k, ds.p - sh.p AS start FROM ds JOIN sh ON ds.k = sh.k AND ds.s = sh.s WHERE ds.p >= sh.p AND ds.p - sh.p + n <= size),
+wc AS (SELECT win.doc_id, win.n, win.k, win.start, ds.s, count(*) AS c FROM win JOIN ds ON win.doc_id = ds.doc_id AND win.k = ds.k AND ds.p BETWEEN win.start + 1 AND win.start + win.n - win.k + 1 GROUP BY ALL),
+ic AS (SELECT item_id, n, k, s, count(*) AS c FROM sh GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, sum(least(wc.c, ic.c)) / (2.0e0 * (wc.n - wc.k + 1) - sum(least(wc.c, ic.c))) AS similarity
+        FROM wc JOIN ic ON wc.n = ic.n AND wc.k = ic.k AND wc.s = ic.s GROUP BY doc_id, item_id, start, wc.n, wc.k)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(arg_max(start, (similarity, -start)) AS BIGINT) AS start_word, count(DISTINCT start) AS n_windows
+FROM sim WHERE similarity >= 0.8e0 GROUP BY doc_id, item_id""",
 }
