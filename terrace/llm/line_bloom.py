@@ -96,7 +96,7 @@ def repeat_filter(docs: DataFrame) -> bytes:
     rows = docs.select("doc_id", "text").mapInArrow(_seen, "shard int, again boolean, bits binary").repartition(shards, "shard").mapInArrow(_merged, "shard int, filter binary")
     made = bytearray(1 << (FILTER_LOG2 - 3))
     width = 1 << (SHARD_LOG2 - 3)
-    for shard, part in rows.toLocalIterator():  # one shard after the other; together the filter's fixed size
+    for shard, part in rows.collect():  # together the filter's fixed size, 16 MiB
         made[shard * width : (shard + 1) * width] = part
     return bytes(made)
 
