@@ -25,16 +25,24 @@ def score_all(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact area under the ROC curve; ties count half; null if a group has one class only.
 
-    Equal probabilities are summed first, so the running sum goes over distinct values, not rows.
+    Equal probabilities are summed first. The running sum goes within each thousandth of p, from the total of those below,
+    so that no task orders all of a group.
     """
-    ties = rows.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = ties.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    ties = rows.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("step", F.floor(F.col("p") * 1000).cast("int"))
+    steps = ties.groupBy(*by, "step").agg(F.sum("neg").alias("in_step"))
+    lower = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # 1,001 rows a group at most
+    offsets = steps.withColumn("lower", F.coalesce(F.sum("in_step").over(lower), F.lit(0))).drop("in_step")
+    within = Window.partitionBy(*by, "step").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("lower") + F.coalesce(F.sum("neg").over(within), F.lit(0))
+    won = ties.join(offsets, [*by, "step"]).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     return won.groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def reliability(rows: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """Bins by quantiles of p with their mean p, mean y and size; equal quantiles merge, so a constant p is one bin."""
+    """Bins by quantiles of p with their mean p, mean y and size; equal quantiles merge, so a constant p is one bin.
+
+    Quantiles are exact: a task holds a group's distinct p with their counts. Round p first where that is too much.
+    """
     cuts = F.array(*[F.lit(k / bins) for k in range(1, bins)])
     edges = rows.groupBy(*by).agg(F.array_distinct(F.percentile("p", cuts)).alias("edges"))
     joined = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))  # one row of bins - 1 numbers
