@@ -22,7 +22,7 @@ other columns are never read; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -140,25 +140,32 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(part[row], pa.int64())], ["key", "fp"])
 
 
-def links_in_runs(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Links that tie together what links between rows of one key tie together; rows are sorted by key.
+def tied_in_runs(key: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, its root) of the rows that links between rows of one key tie to an earlier one; rows are sorted by key.
 
-    Compares each row with the next, the one after, and so on while the key lasts, but no rows that are tied already.
+    Compares each row with the next, the one after, and so on while the key lasts, but no rows that are tied already;
+    ``near`` says which of two lists' rows are linked.
     """
     root, at, lag = np.arange(len(key)), np.arange(len(key) - 1), 1
     while len(at):
         at = at[at + lag < len(key)]
         at = at[key[at] == key[at + lag]]
         apart = at[root[at] != root[at + lag]]
-        near = apart[np.bitwise_count((fp[apart] ^ fp[apart + lag]).view(np.uint64)) <= RADIUS]
-        if len(near):
-            tied = forest(np.stack([root[near], root[near + lag]], axis=1))
+        found = apart[near(apart, apart + lag)]
+        if len(found):
+            tied = forest(np.stack([root[found], root[found + lag]], axis=1))
             new = np.arange(len(key))
             new[tied[:, 0]] = tied[:, 1]
             root = new[root]
         lag += 1
     moved = np.flatnonzero(root != np.arange(len(key)))
-    return np.stack([fp[moved], fp[root[moved]]], axis=1)
+    return moved, root[moved]
+
+
+def links_in_runs(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Links that tie together what links between rows of one key tie together; rows are sorted by key."""
+    moved, root = tied_in_runs(key, lambda i, j: np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= RADIUS)
+    return np.stack([fp[moved], fp[root]], axis=1)
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -294,8 +301,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = common.materialize(labelled.groupBy(F.col("root").alias("named")).agg(F.min("least").alias("component_id")), "named", n)
     of_fp = common.materialize(labelled.join(named, F.col("root") == F.col("named")).select(F.col("fp").alias("key_fp"), "component_id"), "fp-components", n)
     return fps.join(of_fp, F.col("fp") == F.col("key_fp")).select("doc_id", "fp", "component_id")
-
-
-def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the smallest doc_id of each component; all columns stay, and so do rows without an id."""
-    return common.without_ids(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"))
