@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: The byte-level pre-tokenizer's pattern (fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space below U+0100 as the format has it.
+LATIN_SPACE = r"\t-\r\x20\x85\xa0"
 #: Pieces whose encoding a worker keeps, in each of two generations, and the longest piece that it keeps.
 KEPT_PIECES, KEPT_LENGTH = 120_000, 32
 #: Pairs of the compatibility table that a worker keeps.
@@ -85,8 +87,9 @@ class Codec:
         self.store = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
         self.pieces = regex.compile(PIECES)
         of_kind = lambda kind: "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind)
-        # The same pattern for texts of Latin-1 letters, for which the plain engine is several times as fast.
-        self.latin_pieces = re.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{of_kind('L')}{of_kind('N')}]").replace(r"\p{L}", f"[{of_kind('L')}]").replace(r"\p{N}", f"[{of_kind('N')}]"))
+        # The same pattern for texts of Latin-1 letters, for which the plain engine is several times as fast; its own \s has U+001C to U+001F too.
+        latin = PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^{LATIN_SPACE}{of_kind('L')}{of_kind('N')}]").replace(r"\p{L}", f"[{of_kind('L')}]").replace(r"\p{N}", f"[{of_kind('N')}]")
+        self.latin_pieces = re.compile(latin.replace(r"\S", f"[^{LATIN_SPACE}]").replace(r"\s", f"[{LATIN_SPACE}]"))
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}

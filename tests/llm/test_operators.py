@@ -129,6 +129,13 @@ def test_bpe_codec_on_odd_strings():
         assert codec.decode(ids).decode() == text
 
 
+def test_bpe_codec_beside_white_space():
+    codec, lib = bpe.Codec(bpe.read_spec(BPE)), Tokenizer.from_file(BPE)
+    for c in map(chr, range(256)):
+        for text in (f"a\n\n{c}b", f"a {c}b", f"a{c}{c} b", f"{c} {c}", f" {c}{c}\n", f"1{c}\x85\xa0{c}2", f".{c}\t{c}."):
+            assert codec.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_golay_keys_meet():
     code = golay.code()
     vectors = np.arange(2048, dtype=np.int64)  # a vector of each remainder: the code is linear, so these are all cases
