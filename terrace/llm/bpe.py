@@ -30,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: The byte-level pre-tokenizer's pattern (fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space below U+0100 as the format has it.
 LATIN_SPACE = r"\t-\r\x20\x85\xa0"
 #: Pieces whose encoding a worker keeps, in each of two generations, and the longest piece that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 120_000, 32
+KEPT_PIECES, KEPT_LENGTH = 60_000, 32
 #: Pairs of the compatibility table that a worker keeps.
-KEPT_PAIRS = 250_000
+KEPT_PAIRS = 120_000
 #: Code points of a text that are encoded at a time; a cut moves to the next piece's start.
 BLOCK = 1 << 20
 
@@ -73,8 +75,6 @@ class Codec:
             self.parts[whole] = rank, left, right
         self.never = len(self.merged_at)
         self.compatible_pairs: dict[int, bool] = {}
-        self.ends = {i: self._spine(i, 2) for i in self.id_of.values()}
-        self.heads = {i: self._spine(i, 1) for i in self.id_of.values()}
         self.length = {i: len(b) for i, b in self.bytes_of.items()}
         self.shorter = {i: self._longest_proper_prefix(b) for b, i in self.id_of.items()}
         self.automaton = ahocorasick.Automaton()
@@ -114,7 +114,7 @@ class Codec:
         key = a << 20 | b
         known = self.compatible_pairs.get(key)
         if known is None:
-            known = self._apart(self.ends[a], self.heads[b])
+            known = self._apart(self._spine(a, 2), self._spine(b, 1))
             if len(self.compatible_pairs) > KEPT_PAIRS:
                 self.compatible_pairs.clear()
             self.compatible_pairs[key] = known
@@ -220,17 +220,9 @@ def _is_latin(text: str) -> bool:
     return True
 
 
-_codecs: dict[int, Codec] = {}
-
-
 def _codec(spec) -> Codec:
     """The worker's codec of a broadcast tokenizer file; it outlives a task."""
-    text = spec.value
-    key = hash(text)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(text)
-    return _codecs[key]
+    return common.worker_cache(f"bpe {hash(spec.value)}", lambda: Codec(spec.value))
 
 
 def read_spec(path: str) -> str:

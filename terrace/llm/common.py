@@ -1,18 +1,23 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, fixed-size bitmaps, row selection."""
+"""Shared helpers: scratch tables in the cluster's shared folder, bitmaps of bounded size, row selection."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: ASCII white space as the contracts define it.
 WS = r"[\x20\x09-\x0D]"
-#: log2 of the bits of a bitmap; its table has at most 2 ** (BITMAP_LOG2 - 6) rows.
-BITMAP_LOG2 = 22
-ROWS_A_FILE = 100_000
+#: log2 of the bits of the smallest and of the largest bitmap (16 MB of bits, some 80 MB as a broadcast table).
+LEAST_LOG2, MOST_LOG2 = 16, 27
+#: Bytes, before compression, from which a scratch table gets another file.
+FILE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,64 +40,91 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors then cost a re-read, not a recomputation.
 
-    With a known bound of its rows, the table gets one file for each ROWS_A_FILE of them instead of one for
-    each shuffle partition, however small.
+    With a known bound of its rows, a table too small for one file of FILE_BYTES in each shuffle partition is dealt evenly into
+    fewer files after it is made, so that the work itself keeps its partitions.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(1 + rows // ROWS_A_FILE)
+        files = 1 + rows * row_bytes // FILE_BYTES
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.repartition(files)
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bitmap(keys: DataFrame, key: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
-    """Bits of the hashes of ``key``, 64 to a row: (bm_word, bm_bits), at most 2 ** (log2_bits - 6) rows whatever the input.
+@dataclass(frozen=True)
+class Bitmap:
+    """Bits of hashes of keys, 64 to a row (bm_word, bm_bits): 2 ** (log2_bits - 6) rows at most, which makes it safe to broadcast."""
 
-    That bound is what makes the table safe to broadcast.
+    table: DataFrame
+    log2_bits: int
+
+
+def log2_bits_for(keys: int) -> int:
+    """16 bits a key, so that one other key in 16 at most is suspected, within LEAST_LOG2 and MOST_LOG2."""
+    return min(MOST_LOG2, max(LEAST_LOG2, (16 * keys).bit_length()))
+
+
+def written_bitmap(keys: DataFrame, key: str, rows: int | None = None) -> Bitmap:
+    """The bitmap of ``key``, sized by ``rows``, a bound of the number of keys, or by their count.
+
+    Beyond 2 ** MOST_LOG2 / 16 keys it fills up: more rows are suspected, and the exact join behind it moves more, up to all.
     """
+    log2_bits = log2_bits_for(keys.count() if rows is None else rows)
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2_bits))
-    return (
+    bits = (
         keys.select(bit.alias("b"))
         .groupBy(F.shiftrightunsigned("b", 6).alias("bm_word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bm_bits"))
     )
+    return Bitmap(materialize(bits, "bitmap", 1 << (log2_bits - 6), 16), log2_bits)
 
 
-def written_bitmap(keys: DataFrame, key: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
-    return materialize(bitmap(keys, key, log2_bits), "bitmap", 1 << (log2_bits - 6))
-
-
-def with_suspicion(df: DataFrame, key: str, bits: DataFrame, name: str, log2_bits: int = BITMAP_LOG2) -> DataFrame:
-    """Add boolean ``name``: false where ``key`` is surely not among the bitmap's keys."""
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2_bits))
-    kept = df.columns
+def with_suspicion(df: DataFrame, key: str, bits: Bitmap, name: str) -> DataFrame:
+    """Add boolean ``name``: false where ``key`` is surely not among the bitmap's keys. Columns of any other name stay."""
+    word, held, bit = (f"{part}_{uuid.uuid4().hex}" for part in ("word", "held", "bit"))
+    table = bits.table.select(F.col("bm_word").alias(word), F.col("bm_bits").alias(held))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    hit = F.expr(f"(shiftrightunsigned({held}, CAST({bit} & 63 AS INT)) & 1) = 1")
     return (
-        df.withColumn("__bit", bit)
-        .join(F.broadcast(bits), F.shiftrightunsigned(F.col("__bit"), 6) == F.col("bm_word"), "left")
-        .select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.expr("(shiftrightunsigned(bm_bits, CAST(__bit & 63 AS INT)) & 1) = 1"), F.lit(False)).alias(name))
+        df.withColumn(bit, F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits.log2_bits)))
+        .join(F.broadcast(table), F.shiftrightunsigned(F.col(bit), 6) == F.col(word), "left")
+        .select(*kept, F.coalesce(hit, F.lit(False)).alias(name))
     )
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, log2_bits: int = BITMAP_LOG2) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``dropped`` (one column, doc_id).
+def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``dropped`` (one column, doc_id), which is written first.
 
-    Rows that a fixed-size bitmap clears stay where they are; only suspects,
-    texts included, are shuffled for the exact anti join. Null ids stay.
+    Rows that the bitmap clears stay where they are; only suspects, texts included, are shuffled for the exact
+    anti join. Null ids stay.
     """
-    bits = written_bitmap(dropped, "doc_id", log2_bits)
+    dropped = materialize(dropped, "dropped-ids")
+    bits = written_bitmap(dropped, "doc_id")
+    suspect, gone = (f"{part}_{uuid.uuid4().hex}" for part in ("suspect", "gone"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    marked = with_suspicion(docs, "doc_id", bits, "__suspect", log2_bits)
-    clear = marked.where(~F.col("__suspect")).select(*cols)
-    gone = dropped.select(F.col("doc_id").alias("__gone"))
-    checked = marked.where("__suspect").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*cols)
+    marked = with_suspicion(docs, "doc_id", bits, suspect)
+    clear = marked.where(~F.col(suspect)).select(*cols)
+    checked = marked.where(F.col(suspect)).join(dropped.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti").select(*cols)
     return clear.unionByName(checked)
 
 
+_held: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task, made once. A worker keeps that of one operator at a time, so that a chain of stages doesn't add them up."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW, HIDDEN = 128, 8
 #: Bound of the training sample: windows of each language. Steps, windows in a step, and bytes of a training window.
 TRAIN_ROWS, STEPS, BATCH, TRAIN_BYTES = 1500, 240, 64, 64
@@ -212,7 +214,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
+        net = common.worker_cache("langid", lambda: model.value)
         for batch in batches:
             texts = batch.column(1)
             known = np.array([bool(net) and v.is_valid and _LETTER.search(v.as_py()) is not None for v in texts], bool)
@@ -235,7 +237,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those that are ``und`` or score below LEAST_SCORE; all columns stay, and so do rows without an id."""
-    from . import common
-
     gone = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE))
     return common.without_ids(docs, gone.where("doc_id IS NOT NULL").select("doc_id").distinct())

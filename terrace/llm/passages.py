@@ -36,13 +36,12 @@ LONG, LEAST, REACH, MOST = 20, 15, 4, 12
 BANDS, ROWS = 9, 2
 BLOCK = 512
 #: Word hashes that a worker keeps.
-KEPT = 500_000
+KEPT = 150_000
 PIECE, PARAGRAPH = 0, 1
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(5)
 _A, _B = (_rng.integers(1, 1 << 63, (BANDS * ROWS, 1), np.uint64) for _ in "ab")
 _A |= np.uint64(1)
-_words: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,11 +52,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    if len(_words) > KEPT:
-        _words.clear()
-    for w in {w for w in words if w not in _words}:
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = common.worker_cache("word hashes", dict)
+    if len(known) > KEPT:
+        known.clear()
+    for w in {w for w in words if w not in known}:
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -176,27 +176,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*rows)], ["key", "kind", "n"])
 
 
+def similar_sets(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs (i, j) whose components are those of all pairs of SIMILARITY or more. Each set is counted against all later ones at once, less those tied to it."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, begin = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes) - sizes
+    root, found, held = np.arange(len(sets)), [], np.zeros(int(at.max(initial=-1)) + 1, bool)
+    for i in range(len(sets) - 1):
+        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        later = later[np.minimum(sizes[later], sizes[i]) >= SIMILARITY * np.maximum(sizes[later], sizes[i])]
+        if not len(later):
+            continue
+        mine, rest = at[begin[i] : begin[i] + sizes[i]], begin[i] + sizes[i]
+        held[mine] = True
+        shared = np.bincount(owner[rest:][held[at[rest:]]], minlength=len(sets))[later]
+        held[mine] = False
+        linked = later[shared >= SIMILARITY * (sizes[i] + sizes[later] - shared)]
+        if len(linked):
+            found.extend((i, int(j)) for j in linked)
+            root[np.isin(root, root[linked])] = root[i]
+    return found
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forest of the links under each key: exact Jaccard similarity of the kinds' shingles."""
+    key, kinds, sets, out = None, [], [], []
 
-    def links(kinds: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-        root, found = np.arange(len(kinds)), []
-        for lag in range(1, len(kinds)):
-            for i in np.flatnonzero(root[:-lag] != root[lag:]):
-                j = i + lag
-                if root[i] == root[j] or min(len(sets[i]), len(sets[j])) < SIMILARITY * max(len(sets[i]), len(sets[j])):
-                    continue
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= SIMILARITY * (len(sets[i]) + len(sets[j]) - shared):
-                    found.append((kinds[i], kinds[j]))
-                    root[root == root[j]] = root[i]
-        return found
+    def links() -> list[tuple[int, int]]:
+        return [(kinds[i], kinds[j]) for i, j in similar_sets(sets)] if len(sets) > 1 else []
 
-    key, kinds, sets, out = None, [], [], []
     for batch in batches:
         for k, kind, values in zip(*(batch.column(c).to_pylist() for c in range(3))):
             if k != key:
-                out.extend(links(kinds, sets))
+                out.extend(links())
                 key, kinds, sets = k, [], []
             if not kinds or kinds[-1] != kind:
                 kinds.append(kind)
@@ -204,7 +216,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(out) > 1 << 16:
             yield _rows(out)
             out = []
-    yield _rows(out + links(kinds, sets))
+    yield _rows(out + links())
 
 
 def _rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
