@@ -105,7 +105,7 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     Rows that the bitmap clears stay where they are; only suspects, texts included, are shuffled for the exact
     anti join. Null ids stay.
     """
-    dropped = materialize(dropped, "dropped-ids")
+    dropped = materialize(dropped, "dropped-ids", docs.count(), 16)
     bits = written_bitmap(dropped, "doc_id")
     suspect, gone = (f"{part}_{uuid.uuid4().hex}" for part in ("suspect", "gone"))
     cols = [F.col(f"`{c}`") for c in docs.columns]

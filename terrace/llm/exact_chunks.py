@@ -1,6 +1,6 @@
 """Exact deduplication by content-defined chunk recipes.
 
-A text is cut where its own content says so, so that equal texts are cut alike.
+A text is cut where its own bytes say so, whatever its script, so that equal passages are cut alike.
 A recipe is the ordered list of the chunks' identifiers. Recipes of hashes find
 the documents that may have a copy; only those documents' chunks are moved, once,
 to verify that a hash stands for one chunk. A hash that stands for several gets
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A chunk ends behind a space that follows a vowel and precedes a-h, or a sentence end, from CHUNK_MIN characters on.
+#: From CHUNK_MIN bytes of UTF-8 on, a chunk ends where every second one of the last seven bytes is a marked one, which is so once in some 400 bytes of any script.
 CHUNK_MIN, CHUNK_MAX = 512, 8192
-CUT = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?(?:(?<=[aeiou.!?]\x20)(?=[a-hA-H])|\z)|.{{1,{CHUNK_MAX}}}"
+MARKED = "[" + "".join(f"\\x{b:02x}" for b in range(256) if (57 * b + 55) % 256 < 72) + "]"
+CUT = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?(?:(?<={MARKED}.{MARKED}.{MARKED}.{MARKED})|\z)|.{{1,{CHUNK_MAX}}}"
 
 
 def normalised(text: Column) -> Column:
@@ -32,7 +33,9 @@ def normalised(text: Column) -> Column:
 
 def _chunked(docs: DataFrame) -> DataFrame:
     norm = docs.select("doc_id", normalised(common.text_or_empty()).alias("norm"))
-    return norm.select("doc_id", F.sha2(F.col("norm"), 256).alias("text_sha256"), F.regexp_extract_all("norm", F.lit(CUT), F.lit(0)).alias("chunks"))
+    # Each byte as a letter, so that the pattern sees bytes whatever the script.
+    letters = F.decode(F.encode("norm", "UTF-8"), "ISO-8859-1")
+    return norm.select("doc_id", F.sha2(F.col("norm"), 256).alias("text_sha256"), F.regexp_extract_all(letters, F.lit(CUT), F.lit(0)).alias("chunks"))
 
 
 def _hashes() -> Column:
@@ -43,16 +46,17 @@ def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256, recipe: the ordered verified identifiers of each row's chunks."""
     docs = docs.select("doc_id", "text")
     hashed = common.materialize(_chunked(docs).select("doc_id", "text_sha256", _hashes().alias("hashes")), "recipes")
+    n = hashed.count()
     # Written, so that the join shuffles both sides anew and a large group can be split at run time.
-    shared = common.materialize(hashed.groupBy("hashes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hashes").alias("h2")), "shared-recipes", hashed.count())
-    suspects = hashed.join(shared, F.col("hashes") == F.col("h2"), "left_semi").select("doc_id")
+    shared = common.materialize(hashed.groupBy("hashes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hashes").alias("h2")), "shared-recipes", n)
+    suspects = common.materialize(hashed.join(shared, F.col("hashes") == F.col("h2"), "left_semi").select("doc_id"), "copy-suspects", n)
     bits = common.written_bitmap(suspects, "doc_id")
     moved = (
         _chunked(common.with_suspicion(docs, "doc_id", bits, "suspect").where("suspect"))
         .select("doc_id", "text_sha256", F.posexplode("chunks").alias("pos", "chunk"))
         .withColumn("h", F.xxhash64("chunk"))
     )
-    several = common.materialize(moved.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h"), "collisions")
+    several = common.materialize(moved.groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h"), "collisions", 0)
     plain = F.transform("hashes", lambda h: F.struct(h.alias("h"), F.lit(0).alias("kind")))
     if several.isEmpty():
         return hashed.select("doc_id", "text_sha256", plain.alias("recipe"))
@@ -79,7 +83,7 @@ def copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
     lists = common.materialize(recipes(docs), "verified")
     groups = common.materialize(
-        lists.groupBy("recipe").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("recipe", "shared"), "copy-groups", lists.count()
+        lists.groupBy("recipe").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("recipe", "shared"), "copy-groups", lists.count(), 256
     )
     # Groups are few and written, so both sides are shuffled and a large group of copies can be split at run time.
     joined = lists.join(groups, F.col("recipe") == F.col("shared"), "left")

@@ -6,10 +6,11 @@ word, which is then spelt out by that word's share among the other words, (c + 1
 a text is thus that of its symbols, by the scaled forward recursion over the whole text, times
 those shares. States are trained by Baum-Welch: tasks sum up expected counts over their documents,
 Spark adds the tasks' counts, and the driver, which holds only a table of fixed size, sets the parameters anew.
-A start is found on a bounded sample (SAMPLE documents); the ROUNDS that set the result run over all training documents.
+A start is found on a bounded sample of whole texts (SAMPLE documents); from there, rounds over all training documents
+follow until the likelihood grows by less than LEAST_GAIN of itself. Counts of a text are those of the whole text, however long.
 
 The base score is that of single words with one added to each count. Words' counts come from all training documents. The
-DICTIONARY most frequent words are broadcast, which bounds the broadcast; all rarer words are joined with their counts.
+DICTIONARY most frequent words of LONGEST bytes at most are broadcast, which bounds the broadcast; all other words are joined with their counts.
 
 Cases: a null or empty text is one end; a document without an id is in training; rows that repeat a doc_id
 are documents of their own; without any training document all counts are 0; other columns are never read; an
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from . import common
 
 STATES, SYMBOLS, DICTIONARY = 8, 8000, 150_000
-#: Documents of the starting sample and rounds on it, and rounds over all training documents.
-SAMPLE, SAMPLE_ROUNDS, ROUNDS = 1500, 12, 2
+#: Bytes of the longest word that is broadcast.
+LONGEST = 64
+#: Documents of the starting sample and rounds on it; rounds over all training documents end when the log likelihood grows by less than this share.
+SAMPLE, SAMPLE_ROUNDS, MOST_ROUNDS, LEAST_GAIN = 1500, 12, 20, 0.002
 #: Weight of the prior, in counts: the symbols' overall shares for emissions, an even one for moves.
 PRIOR = 1.0
-#: Training reads a text in pieces of so many tokens; tokens of a padded block.
-PIECE, ROOM = 2048, 1 << 19
+#: Tokens between kept forward probabilities; tokens of a padded block.
+SEGMENT, ROOM = 2048, 1 << 19
 END = ""
 
 
@@ -65,7 +68,7 @@ def most_frequent(counts: DataFrame) -> list[tuple[str, int]]:
 
     Words are those of the highest counts, in steps of a 32nd of a doubling, as many steps as fit; so no task sends more than its own share.
     """
-    words, step = counts.where(F.col("word") != END), F.floor(F.log2("c") * 32)
+    words, step = counts.where((F.col("word") != END) & (F.octet_length("word") <= LONGEST)), F.floor(F.log2("c") * 32)
     room, least = DICTIONARY, None
     for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # some 2,000 steps at most
         room -= r["n"]
@@ -171,89 +174,117 @@ def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of starts, moves and emissions, summed over the sequences."""
+def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions, and the log10 likelihood, summed over the sequences.
+
+    Forward probabilities are kept at every SEGMENT-th token and made anew within a segment on the way back, so that memory for a
+    long sequence is bounded and its counts are those of the whole.
+    """
     start, moves, emits = np.zeros_like(model.start), np.zeros_like(model.moves), np.zeros_like(model.emits)
-    forward_moves = np.ascontiguousarray(model.moves.T)
-    for _, x, active in blocks(sequences):
+    forward_moves, total = np.ascontiguousarray(model.moves.T), 0.0
+
+    def ahead_from(a: np.ndarray | None, x: np.ndarray, active: np.ndarray, first: int, last: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled forward probabilities and scales of the tokens first, ..., last - 1, given those of the token before."""
         alphas, scales = [], []
-        a = model.start[:, None] * model.emits[:, x[0]]
-        for t in range(len(x)):
+        for t in range(first, last):
             n = active[t]
             if t:
                 a = (forward_moves @ a[:, :n]) * np.take(model.emits, x[t, :n], axis=1)
+            else:
+                a = model.start[:, None] * model.emits[:, x[0]]
             s = a.sum(axis=0)
             a = a / s
             alphas.append(a)
             scales.append(s)
-        beta = np.ones((STATES, 0))
-        symbols, weights = [], []
-        for t in range(len(x) - 1, -1, -1):
-            n, after = active[t], beta.shape[1]
-            new = np.ones((STATES, n))
-            if after:
-                ahead = beta * np.take(model.emits, x[t + 1, :after], axis=1) / scales[t + 1]
-                moves += model.moves * (alphas[t][:, :after] @ ahead.T)
-                new[:, :after] = model.moves @ ahead
-            beta = new
-            gamma = alphas[t] * beta
-            symbols.append(x[t, :n])
-            weights.append(gamma)
+        return alphas, scales
+
+    for _, x, active in blocks(sequences):
+        cuts = [*range(0, len(x), SEGMENT), len(x)]
+        before, kept = [None], ([], [])
+        for first, last in zip(cuts, cuts[1:]):
+            kept = ahead_from(before[-1], x, active, first, last)
+            total += sum(float(np.log10(s).sum()) for s in kept[1])
+            before.append(kept[0][-1])
+        beta, next_scale = np.ones((STATES, 0)), None
+        for k in range(len(cuts) - 2, -1, -1):
+            first, last = cuts[k], cuts[k + 1]
+            alphas, scales = kept if k == len(cuts) - 2 else ahead_from(before[k], x, active, first, last)
+            symbols, weights = [], []
+            for t in range(last - 1, first - 1, -1):
+                n, after = active[t], beta.shape[1]
+                a, new = alphas[t - first], np.ones((STATES, n))
+                if after:
+                    ahead = beta * np.take(model.emits, x[t + 1, :after], axis=1) / next_scale
+                    moves += model.moves * (a[:, :after] @ ahead.T)
+                    new[:, :after] = model.moves @ ahead
+                beta, next_scale = new, scales[t - first]
+                gamma = a * beta
+                symbols.append(x[t, :n])
+                weights.append(gamma)
+            at, all_weights = np.concatenate(symbols), np.concatenate(weights, axis=1)
+            for j in range(STATES):
+                emits[j] += np.bincount(at, all_weights[j], emits.shape[1])
         start += gamma.sum(axis=1)
-        at, all_weights = np.concatenate(symbols), np.concatenate(weights, axis=1)
-        for k in range(STATES):
-            emits[k] += np.bincount(at, all_weights[k], emits.shape[1])
-    return start, moves, emits
+    return start, moves, emits, total
+
 
+def _sequences(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_py(), np.uint16) for v in column]
 
-def _pieces(column: pa.Array) -> list[np.ndarray]:
-    whole = [np.frombuffer(v.as_py(), np.uint16) for v in column]
-    return [s[at : at + PIECE] for s in whole for at in range(0, len(s), PIECE)]
 
+def _round(training: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model, float]:
+    """One Baum-Welch round over all training documents, and the log10 likelihood of the model before it.
 
-def _round(training: DataFrame, model: Model, shares: np.ndarray) -> Model:
-    """One Baum-Welch round over all training documents. Rows: a symbol's counts, or -1 the starts, or -2 - k the moves from k."""
+    Rows: a symbol's counts, or -1 the starts, or -2 - k the moves from k, or -2 - STATES the likelihood.
+    """
     told = training.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(STATES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            counts = expected_counts(told.value, _pieces(batch.column(0)))
+            counts = expected_counts(told.value, _sequences(batch.column(0)))
             total = counts if total is None else tuple(a + b for a, b in zip(total, counts))
         if total is not None:
-            start, moves, emits = total
-            rows = np.concatenate([emits.T, start[None], moves])
-            keys = np.concatenate([np.arange(emits.shape[1]), -1 - np.arange(STATES + 1)])
+            start, moves, emits, likelihood = total
+            rows = np.concatenate([emits.T, start[None], moves, np.full((1, STATES), likelihood)])
+            keys = np.concatenate([np.arange(emits.shape[1]), -1 - np.arange(STATES + 2)])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(rows[:, k]) for k in range(STATES))], ["row", *names])
 
     summed = training.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
-    start, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, len(shares)))
-    for r in summed.collect():  # SYMBOLS + STATES + 3 rows at most
+    start, moves, emits, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, len(shares))), 0.0
+    for r in summed.collect():  # SYMBOLS + STATES + 4 rows at most
         values = [r[n] for n in names]
         if r["row"] >= 0:
             emits[:, r["row"]] = values
         elif r["row"] == -1:
             start[:] = values
+        elif r["row"] == -2 - STATES:
+            likelihood = values[0]
         else:
             moves[-2 - r["row"]] = values
-    return Model.of_counts(start, moves, emits, shares)
+    return Model.of_counts(start, moves, emits, shares), likelihood
 
 
 def train(encoded: DataFrame, shares: np.ndarray) -> Model:
-    """Start on a sample that a hash of the rows' numbers draws, then ROUNDS rounds over all training rows."""
+    """Start on a sample of whole texts that a hash of their content draws, then rounds over all training rows until the likelihood hardly grows."""
     training = encoded.where("NOT held_out")
     model = Model.first(shares)
     n = training.count()
     if not n:
         return model
-    share = min(1.0, 1.2 * SAMPLE / n)
-    drawn = training.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < int(share * (1 << 30))).select("rid", F.substring("symbols", 1, 2 * PIECE).alias("symbols")).limit(2 * SAMPLE).collect()
-    sample = [np.frombuffer(r["symbols"], np.uint16) for r in sorted(drawn, key=lambda r: r["rid"])]
+    order = F.xxhash64("doc_id", "symbols")
+    share = min(1.0, 2.0 * SAMPLE / n)  # so that few rows are put in order
+    drawn = training.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select(order.alias("order"), "symbols").orderBy("order", "symbols").limit(SAMPLE).collect()
+    sample = [np.frombuffer(r["symbols"], np.uint16) for r in drawn]
     for _ in range(SAMPLE_ROUNDS if sample else 0):
-        model = Model.of_counts(*expected_counts(model, sample), shares)
-    for _ in range(ROUNDS):
-        model = _round(training, model, shares)
+        model = Model.of_counts(*expected_counts(model, sample)[:3], shares)
+    before = None
+    for _ in range(MOST_ROUNDS):
+        model, likelihood = _round(training, model, shares)
+        if before is not None and likelihood - before < LEAST_GAIN * abs(before):
+            break
+        before = likelihood
     return model
 
 

@@ -84,7 +84,7 @@ WITH p AS (
 k AS (SELECT doc_id, max((toxic = 1 OR quality = 0)::INT) AS bad FROM labels WHERE (toxic = 1 OR quality = 0) IS NOT NULL GROUP BY doc_id),
 h0 AS (SELECT host, coalesce(sum(k.bad), 0)::DOUBLE AS bad, count(k.bad)::DOUBLE AS n FROM p LEFT JOIN k ON page_id = k.doc_id GROUP BY host),
 h1 AS (SELECT *, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS l FROM h0),
-h2 AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') THEN 2 ELSE 1 END AS w, regexp_full_match(array_to_string(l, '.'), '[0-9.]+') AS number FROM h1),
+h2 AS (SELECT *, CASE WHEN regexp_full_match(array_to_string(l[-2:], '.'), '(ac|co|com|edu|go|gob|gov|mil|ne|net|nom|or|org)[.][a-z][a-z]') THEN 2 ELSE 1 END AS w, regexp_full_match(array_to_string(l, '.'), '[0-9.]+') AS number FROM h1),
 h AS (SELECT host, bad, n, CASE WHEN number THEN array_to_string(l, '.') ELSE array_to_string(l[-(w + 1):], '.') END AS domain,
              CASE WHEN number THEN '' ELSE array_to_string(l[-w:], '.') END AS suffix FROM h2),
 d0 AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY domain, suffix),
@@ -122,11 +122,13 @@ dp AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM dw, ks),
 ds AS (SELECT doc_id, len(w) AS size, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM dp),
 ip AS (SELECT item_id, w, n, k, unnest(range(1, n - k + 2)) AS p FROM it),
 sh AS (SELECT item_id, n, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM ip),
-win AS (SELECT DISTINCT doc_id, n, ds.k, ds.p - sh.p AS start FROM ds JOIN sh ON ds.k = sh.k AND ds.s = sh.s WHERE ds.p >= sh.p AND ds.p - sh.p + n <= size),
-wc AS (SELECT win.doc_id, win.n, win.k, win.start, ds.s, count(*) AS c FROM win JOIN ds ON win.doc_id = ds.doc_id AND win.k = ds.k AND ds.p BETWEEN win.start + 1 AND win.start + win.n - win.k + 1 GROUP BY ALL),
-ic AS (SELECT item_id, n, k, s, count(*) AS c FROM sh GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, start, sum(least(wc.c, ic.c)) / (2.0e0 * (wc.n - wc.k + 1) - sum(least(wc.c, ic.c))) AS similarity
-        FROM wc JOIN ic ON wc.n = ic.n AND wc.k = ic.k AND wc.s = ic.s GROUP BY doc_id, item_id, start, wc.n, wc.k)
-SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(arg_max(start, (similarity, -start)) AS BIGINT) AS start_word, count(DISTINCT start) AS n_windows
+ht AS (SELECT DISTINCT ds.doc_id, size, item_id, n, ds.k, ds.p, ds.s FROM ds JOIN sh ON ds.k = sh.k AND ds.s = sh.s),
+st AS (SELECT DISTINCT doc_id, item_id, size, n, k, unnest(range(p - (n - k), p + 1)) AS start FROM ht),
+wc AS (SELECT st.doc_id, st.item_id, st.size, st.n, st.k, st.start, ht.s, count(*) AS c FROM st JOIN ht ON st.doc_id = ht.doc_id AND st.item_id = ht.item_id AND ht.p BETWEEN st.start AND st.start + st.n - st.k GROUP BY ALL),
+ic AS (SELECT item_id, s, count(*) AS c FROM sh GROUP BY ALL),
+sd AS (SELECT doc_id, wc.item_id, start, n - k + 1 + least(start + n - k, size - k + 1) - greatest(start, 1) + 1 AS total, sum(least(wc.c, ic.c)) AS shared
+       FROM wc JOIN ic ON wc.item_id = ic.item_id AND wc.s = ic.s GROUP BY doc_id, wc.item_id, start, n, k, size),
+sim AS (SELECT doc_id, item_id, start - 1 AS start, shared / (total - shared)::DOUBLE AS similarity FROM sd)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(greatest(arg_max(start, (similarity, -start)), 0) AS BIGINT) AS start_word
 FROM sim WHERE similarity >= 0.8e0 GROUP BY doc_id, item_id""",
 }

@@ -20,8 +20,8 @@ from . import common
 
 #: (verdict, host, path); the longest that fits wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Suffixes of two labels under which names are registered; a parameter, other suffixes are the last label.
-TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Names are registered under these labels of a country's two letters (co.uk, com.br); other suffixes are the last label.
+SECOND_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "mil", "ne", "net", "nom", "or", "org")
 Z, BLOCK_RATE = 1.645, 0.4
 LEAST_RHO, MOST_RHO = 0.001, 0.5
 
@@ -43,7 +43,7 @@ def domain_of(host: Column) -> tuple[Column, Column]:
     """Registered domain and suffix; a number address is its own domain."""
     name = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
     two = F.substring_index(name, ".", -2)
-    long = two.isin(*TWO_LABELS)
+    long = two.rlike(rf"^(?:{'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$")
     number = name.rlike(r"^[0-9.]+$")
     domain = F.when(number, name).when(long, F.substring_index(name, ".", -3)).otherwise(two)
     return domain, F.when(number, F.lit("")).when(long, two).otherwise(F.substring_index(name, ".", -1))

@@ -19,7 +19,7 @@ from terrace.llm import bpe, decontaminate, exact_chunks, golay, hmm, langid, li
 from terrace.llm.components import components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
-EXTRA = "kept boolean, fp long, h long, pos int, key string, spans string, word string, n long, recipe string, base string, symbols string, at int, suspect boolean"
+EXTRA = "kept boolean, fp long, h long, pos int, key string, spans string, word string, n long, recipe string, base string, symbols string, at int, suspect boolean, bm_word long, bm_bits long, __bit long, __suspect boolean, labels string, gone long"
 
 
 def words(rng, n, letters="abcdefghij"):
@@ -61,6 +61,16 @@ def by_min(ids):
     return min(known) if known else None
 
 
+def test_empty_pipeline_and_clashing_columns(spark, tmp_path, docs, empty):
+    import corpus_pipeline
+
+    for name, df in (("none", empty), ("some", docs)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() > 20
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1200)] + [(5, 5), (None, 3)]
@@ -104,6 +114,16 @@ def test_exact_tells_colliding_chunks_apart(spark):
     assert got[1] == got[3] != got[2] == got[None]
 
 
+def test_chunks_of_any_script_meet_again_after_an_insertion(spark):
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz ", "абвгдежзийклмнопрстуфхцчшщ ", "".join(map(chr, range(0x4E00, 0x5200)))):
+        text = "".join(rng.choice(letters) for _ in range(40_000))
+        df = spark.createDataFrame([(0, text), (1, text[:500] + rng.choice(letters) + text[500:])], "doc_id long, text string")
+        chunks = {r["doc_id"]: r["chunks"] for r in exact_chunks._chunked(df).collect()}
+        assert "".join(chunks[0]).encode("latin-1").decode() == re.sub(" +", " ", text)
+        assert len(chunks[0]) > 15 and len(set(chunks[0]) & set(chunks[1])) > 0.7 * len(chunks[0])
+
+
 def test_bpe(spark, docs, rows, empty):
     lib = Tokenizer.from_file(BPE)
     texts = {i: t or "" for i, t, *_ in rows}
@@ -238,6 +258,16 @@ def test_leaks(spark, docs, rows, empty):
         if i % 4 == 3:
             w.insert(2, "added")
         texts.append((2000 + i, words(rng, 30) + "  " + "\n".join(w) + " " + words(rng, 10)))
+    for i in range(12):
+        w = items[i][1].split()
+        texts.append((2100 + i, " ".join(w[:-1])))  # shorter than the item
+        texts.append((2200 + i, words(rng, 9) + " " + " ".join(w[: len(w) - 2])))  # cut by the document's end
+        texts.append((2300 + i, " ".join(w[1:]) + " " + words(rng, 9)))
+    long = words(rng, 100).split()
+    items.append((70, " ".join(long)))
+    texts += [(2400, words(rng, 5) + " " + " ".join(long[50:] + long[:50]) + " " + words(rng, 5)), (2401, " ".join(long[30:] + long[:30]))]  # halves swapped
+    items.append((71, "a b c d e " * 8))
+    texts += [(2402, "x " + "a b c d e " * 30), (2403, "a b c d e " * 5 + "f g h"), (2404, "a b c d e " * 7)]
     texts += [(3000, "xx One two THREE yy"), (3001, items[0][1]), (3001, items[0][1]), (None, items[2][1]), (3002, "the " * 500)]
     cut = lambda t: [x for x in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if x]
     shingles = lambda w, k: [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
@@ -248,17 +278,17 @@ def test_leaks(spark, docs, rows, empty):
         for item, v in of.items():
             k = min(5, len(v))
             have, ask = shingles(w, k), shingles(v, k)
-            for start in range(len(w) - len(v) + 1):
-                window = have[start : start + len(ask)]
-                if any(a == b for a, b in zip(window, ask)):
-                    shared = sum((Counter(window) & Counter(ask)).values())
-                    similarity = shared / (2 * len(ask) - shared)
-                    if similarity >= 0.8:
-                        best = want.get((i, item), (0, 0))
-                        want[i, item] = max(best, (similarity, -start))
+            for start in range(1 - len(ask), len(have)) if set(have) & set(ask) else ():
+                window = have[max(start, 0) : start + len(ask)]
+                shared = sum((Counter(window) & Counter(ask)).values())
+                similarity = shared / (len(window) + len(ask) - shared)
+                if similarity >= 0.8:
+                    best = want.get((i, item), (0, 0))
+                    want[i, item] = max(best, (similarity, -max(start, 0)))
     benchmark = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, start int")
     all_docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string"))
     got = {(r["doc_id"], r["item_id"]): (r["similarity"], -r["start_word"]) for r in decontaminate.leaks(all_docs, benchmark).collect()}
+    assert {(2400, 70), (2401, 70), (2402, 71), (2404, 71), (2100, 0)} <= want.keys()
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     clean = decontaminate.decontaminate(docs, benchmark)
     assert clean.columns == docs.columns and clean.count() == len(rows)
@@ -266,6 +296,32 @@ def test_leaks(spark, docs, rows, empty):
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_without_ids(spark):
+    rng = random.Random(4)
+    item, other = words(rng, 30), words(rng, 30)
+    df = spark.createDataFrame([(None, item), (None, item + " x"), (None, item), (1, item), (1, other), (2, None)], "doc_id long, text string")
+    got = decontaminate.leaks(df, spark.createDataFrame([(0, item), (1, other)], "item_id long, text string"))
+    assert bag(got, "doc_id", "item_id") == Counter({(None, 0): 2, (1, 0): 1, (1, 1): 1})
+
+
+def test_very_long_item(spark):
+    rng = random.Random(14)
+    w = words(rng, 70_000).split()
+    equal = "one two three four five " * 14_000
+    items = spark.createDataFrame([(0, " ".join(w)), (1, equal)], "item_id long, text string")
+    df = spark.createDataFrame([(0, " ".join(w[35_000:] + w[:35_000])), (1, "x y z " + equal), (2, " ".join(w[:60_000])), (3, words(rng, 50))], "doc_id long, text string")
+    assert bag(decontaminate.leaks(df, items), "doc_id", "item_id") == Counter({(0, 0): 1, (1, 1): 1, (2, 0): 1})
+
+
+def test_simhash_counts(spark):
+    rng = np.random.default_rng(5)
+    lists = [rng.integers(-(1 << 63), 1 << 63, n).tolist() for n in (1, 2, 3, 40, 41)] + [[7] * 70_000, [-1] * 3 + [1] * 2]
+    got = {r["k"]: r["fp"] for r in decontaminate.simhash(spark.createDataFrame(list(enumerate(lists)), "k int, hashes array<long>"), "k").collect()}
+    for k, values in enumerate(lists):
+        bits = [sum(v >> j & 1 for v in values) * 2 > len(values) for j in range(64)]
+        assert got[k] % (1 << 64) == sum(1 << j for j in range(64) if bits[j])
+
+
 def brute_spans(text):
     patterns = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
@@ -300,6 +356,48 @@ def test_telling_terms(spark):
     assert "term:5:10" in spans[100] and spans[102] == ""
 
 
+def test_shares(spark):
+    """Shares against plain counting; only whole words are terms, and counts are of documents."""
+    rng = random.Random(8)
+    vocabulary = ["anna", "annab", "otto", "the", "and", "maria", "web", "mail"]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30))) + (f" {rng.choice('pq')}@x.org " if i % 3 == 0 else " ") + " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    texts += [(300, "zz" + "y" * 77 + " p@x.org " + "q" * 200), (301, None), texts[0]]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["entity"], r["term"]): (r["share"], r["kept"]) for r in pii.disclosures(df, pii.protected(df)).collect()}
+    distinct = {(i, t or "") for i, t in texts}
+    cut = lambda t: {w for w in re.split(r"[^a-z]+", t.lower()) if len(w) > 1}
+    holders = defaultdict(set)
+    for d in distinct:
+        for e in re.findall(r"[pq]@x\.org", d[1]):
+            holders[f"email:{e}"].add(d)
+
+    def share(e, held):
+        both = len(holders[e] & held)
+        return math.log2(both * len(distinct) / (len(holders[e]) * len(held))) / math.log2(len(distinct) / len(holders[e])) if both else -math.inf
+
+    want = {}
+    for e in holders:
+        near = defaultdict(set)
+        for d in holders[e]:
+            at = d[1].index(e[6:])
+            a, b = d[1][:at], d[1][at + 7 :]
+            window = (re.sub("^[a-z]+", "", a[-81:]) if len(a) > 80 else a) + " " + (re.sub("[a-z]+$", "", b[:81]) if len(b) > 80 else b)
+            for w in cut(window):
+                near[w].add(window)
+        for w, contexts in near.items():
+            of = share(e, {d for d in distinct if w in cut(d[1])})
+            if len(contexts) >= 2 and of >= pii.GENERALISE:
+                kept = [n for n in pii.CLASSES if len(w) > n and of < pii.REMOVE and share(e, {d for d in distinct if any(len(v) > n and v[:n] == w[:n] for v in cut(d[1]))}) < pii.GENERALISE]
+                want[e, w] = of, max(kept, default=0)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_generalisation(spark):
+    rows = [(i, f"{'markus' if i < 8 else 'markt'} {i} " + words(random.Random(i), 5, "xyz") + (" m.k@c.org on the web" if i < 5 else "")) for i in range(80)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0].startswith("mark* 0 ") and "[EMAIL]" in clean[0] and clean[6].startswith("markus") and clean[20] == rows[20][1]
+
+
 def test_urls(spark):
     pages = [(1, "http://a.example.com/en/x?y#z"), (2, "https://www.Example.COM/en/1"), (3, "http://b.net/fr/2"), (4, "http://b.net/de/2"), (5, None), (6, "nothing"), (7, "http://c.org"), (8, "x://evil.org/1"), (8, "x://evil.org/1"), (9, "http://1.2.3.4:80/p"), (None, "http://notexample.com/en/")]
     pages += [(100 + i, f"http://evil.org/{i}") for i in range(60)] + [(200 + i, f"http://good.org/{i}") for i in range(400)]
@@ -367,14 +465,39 @@ def test_forward_is_exact():
                 p *= model.moves[a, b] * model.emits[b, x]
             total += p
         assert value == pytest.approx(math.log10(total))
-    start, moves, emits = hmm.expected_counts(model, sequences)
+    start, moves, emits, total = hmm.expected_counts(model, sequences)
+    assert total == pytest.approx(got.sum())
+    want = [np.zeros_like(x) for x in (start, moves, emits)]
+    for s, value in zip(sequences, got):
+        for path in itertools.product(range(hmm.STATES), repeat=len(s)):
+            p = model.start[path[0]] * model.emits[path[0], s[0]]
+            for a, b, x in zip(path, path[1:], s[1:]):
+                p *= model.moves[a, b] * model.emits[b, x]
+            p /= 10**value
+            want[0][path[0]] += p
+            for a, b in zip(path, path[1:]):
+                want[1][a, b] += p
+            for a, x in zip(path, s):
+                want[2][a, x] += p
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip((start, moves, emits), want))
     assert start.sum() == pytest.approx(4) and moves.sum() == pytest.approx(sum(len(s) - 1 for s in sequences)) and emits.sum() == pytest.approx(sum(map(len, sequences)))
 
 
+def test_counts_of_long_sequences_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = hmm.Model.first(rng.dirichlet(np.ones(50)))
+    sequences = [rng.integers(0, 50, n).astype(np.uint16) for n in (5000, 4096, 2049, 2048, 2047, 1, 700)]
+    monkeypatch.setattr(hmm, "SEGMENT", 1 << 20)
+    whole = hmm.expected_counts(model, sequences)
+    for segment in (1, 7, 2048):
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        assert all(np.allclose(a, b, rtol=1e-9, atol=0) for a, b in zip(hmm.expected_counts(model, sequences), whole))
+
+
 def test_scores(spark, docs, rows, empty):
     rng = random.Random(6)
     made = [(i, " ".join(rng.choice(["the", "a", "b", "c"] if k % 2 else ["dog", "cat", "x", "y"]) for k in range(rng.randint(2, 40)))) for i in range(300)]
-    made += [(400, None), (401, ""), (402, "unseen WORDS the"), (None, "the dog"), (5, made[5][1]), (7, "another text of an id")]
+    made += [(400, None), (401, ""), (403, "the " + "w" * 100_000 + " dog"), (402, "unseen WORDS the"), (None, "the dog"), (5, made[5][1]), (7, "another text of an id")]
     got = hmm.score(spark.createDataFrame([(*r, 1.0, "w") for r in made], "doc_id long, text string, base double, word string")).collect()
     counts, train = Counter(), lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
     tokens = lambda t: (t or "").encode().lower().split() + [None]
@@ -390,6 +513,114 @@ def test_scores(spark, docs, rows, empty):
     assert hmm.score(docs).count() == len(rows) and hmm.score(empty).count() == 0
 
 
+def brute_paragraphs(texts):
+    """Documents with a line of LEAST words or more that another document has a copy of at 0.8, transitively; (doc_id, first doc_id)."""
+    lines, parent = [], {}
+    for i, t in texts:
+        for line in (t or "").split("\n"):
+            w = line.lower().split()
+            if len(w) >= 5:
+                lines.append((i, len(w), {tuple(w[k : k + 5]) for k in range(len(w) - 4)}))
+
+    def find(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        x, y = lines[a][2], lines[b][2]
+        if len(x & y) >= 0.8 * len(x | y):
+            parent[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k, (i, n, _) in enumerate(lines):
+        groups[find(k)].append((i, n))
+    return {i for g in groups.values() if len({i for i, _ in g}) > 1 for i, n in g if n >= passages.LEAST}
+
+
+def test_paragraphs_against_brute_force(spark):
+    rng = random.Random(17)
+    texts = []
+    for i in range(120):
+        made = []
+        for _ in range(rng.randint(1, 5)):
+            w = words(random.Random(rng.randint(0, 60)), 10 + rng.randint(0, 3) * 12).split()
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = "changed" + str(rng.randint(0, 3))
+            made.append(" ".join(w))
+        texts.append((i, "\n".join(made)))
+    texts += [(200, None), (201, ""), (202, "a b c d"), (203, words(rng, 16)), (203, words(rng, 20))]
+    got = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    ids = {r["doc_id"] for r in got}
+    want = brute_paragraphs(texts)
+    assert want <= ids and len(want) > 60
+    # Beside near copies of whole paragraphs, only documents that share a run of words are named.
+    runs = defaultdict(set)
+    for i, t in texts:
+        w = (t or "").lower().split()
+        for k in range(len(w) - 9):
+            runs[tuple(w[k : k + 10])].add(i)
+    assert ids - want <= {i for s in runs.values() if len(s) > 1 for i in s}
+
+
+def test_pieces_do_not_depend_on_their_neighbours():
+    rng = random.Random(5)
+    texts = [words(rng, n) for n in (3, 4, 5, 12, 13, 30, 400)] + ["", None, "a b\nc d e f g\n", "the " * 200, "x" * 300_000, words(rng, 60_000)]
+
+    def found(column, at):
+        out = defaultdict(list)
+        for t in passages.texts_of(column):
+            first = np.cumsum(t.counts) - t.counts
+            for unit in (passages.PIECE, passages.PARAGRAPH):
+                u = passages.units_of(t, passages.shingles(t.hashes), unit)
+                for row, start, size, kind in zip(u.row, u.start, u.size, u.kind):
+                    out[at + row].append((unit, start - first[row - t.row], size, kind))
+        return {k: sorted(v) for k, v in out.items()}
+
+    together = found(pa.array(texts, pa.string()), 0)
+    alone = {}
+    for k, t in enumerate(texts):
+        alone |= found(pa.array([t], pa.string()), k)
+    assert together == alone == found(pa.array(["skipped", *texts], pa.string())[1:], 0)
+    for k, t in enumerate(texts):  # pieces cover the text, each of 5 to 12 words
+        pieces = [(a, n) for u, a, n, _ in alone.get(k, []) if u == passages.PIECE]
+        n = len((t or "").split())
+        assert sum(n for _, n in pieces) == (n if n >= 5 else 0) and all(5 <= n <= 12 for _, n in pieces)
+
+
+def test_word_hashes_are_of_the_words():
+    texts = ["The CAT", "the cat", "x\ty\nz", "é É", "a" * 1000 + " " + "a" * 999]
+    of = [h for t in passages.texts_of(pa.array(texts)) for h in t.hashes.tolist()]
+    names = [w for t in texts for w in t.encode().lower().split()]
+    assert len(of) == len(names) and all((a == b) == (x == y) for (a, x), (b, y) in itertools.combinations(zip(of, names), 2))
+
+
+def test_recall_of_inner_passages(spark):
+    rng = random.Random(23)
+    for size, least in ((40, 0.9), (51, 0.95)):
+        texts = []
+        for k in range(150):
+            passage = words(rng, size)
+            texts += [(2 * k + j, words(rng, rng.randint(5, 60)) + " " + passage + " " + words(rng, 20)) for j in (0, 1)]
+        found = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        assert len(found) >= least * len(texts)
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 60, 200).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < keep], rng.integers(0, 1 << 60, 5).astype(np.uint64)])) for keep in rng.uniform(0.5, 1, 60)] + [base[:0], base[:0]]
+    brute = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [a if r == b else r for r in root]
+        return {frozenset(k for k, r in enumerate(root) if r == x) for x in root}
+
+    assert groups(passages.similar_sets(sets)) == groups(brute) and set(passages.similar_sets(sets)) <= set(brute)
+
+
 def test_passages(spark, docs, rows, empty):
     rng = random.Random(7)
     texts, planted, clean = [], [], []
