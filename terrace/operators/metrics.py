@@ -54,6 +54,22 @@ def calibration_error(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return curve.groupBy(*by).agg((F.sum(F.col("n") * F.abs(F.col("observed") - F.col("mean_pred"))) / F.sum("n")).alias("ece"))
 
 
+def headline(rows: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """The headline metrics in one row for each group: log_loss, brier, n, auc, ece."""
+    parts = [score_all(rows, by), auc(rows, by), calibration_error(reliability(rows, bins, by), by)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.join(more, list(by)) if by else out.crossJoin(F.broadcast(more))  # one row each
+    return out
+
+
+def suspicious(rows: DataFrame, benchmark: str, models: tuple[str, ...]) -> DataFrame:
+    """(model, loss, benchmark, suspicious): pooled log loss of each model's column beside that of the benchmark's, which it should not beat."""
+    losses = rows.agg(*[F.avg(row_loss(F.col("y"), F.col(c))).alias(c) for c in (benchmark, *models)])
+    told = losses.select(F.col(benchmark).alias("benchmark"), F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).alias("loss")) for c in models])).alias("m"))
+    return told.select("m.model", "m.loss", "benchmark", (F.col("m.loss") < F.col("benchmark")).alias("suspicious"))
+
+
 def noise_floor(rows: DataFrame, sims: int = 200, bins: int = 10, seed: int = 42) -> DataFrame:
     """Mean calibration error of perfectly calibrated p: outcomes are drawn anew ``sims`` times for each row.
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from . import metrics
-from .shots import CATEGORIES, FEATURES
+from .shots import FREEZE_FEATURES, feature_columns
 
 MODELS = ("constant_rate", "logreg_distance", "logreg_all", "gbt", "mlp")
 #: Inverse strengths of the penalty that selection tries.
@@ -26,7 +30,7 @@ class Scaler:
         self.columns = columns
 
     def fit(self, rows: DataFrame) -> Scaler:
-        medians = rows.agg(*[F.percentile(c, 0.5).alias(c) for c in self.columns], *[F.max(F.col(c).isNull().cast("int")).alias(f"{c}_na") for c in self.columns]).first()
+        medians = rows.agg(*[F.median(c).alias(c) for c in self.columns], *[F.max(F.col(c).isNull().cast("int")).alias(f"{c}_na") for c in self.columns]).first()
         self.medians = {c: float(medians[c] or 0.0) for c in self.columns}
         self.missing = [c for c in self.columns if medians[f"{c}_na"]]
         filled = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(c) for c in self.columns])
@@ -47,8 +51,8 @@ class Scaler:
 class GoalModel:
     """A fitted scaler and classifier; transform adds p, the goal probability."""
 
-    def __init__(self, name: str, scaler: Scaler | None, model: Model | None, rate: float) -> None:
-        self.name, self.scaler, self.model, self.rate = name, scaler, model, rate
+    def __init__(self, name: str, scaler: Scaler | None, model: Model | None, rate: float, params: dict) -> None:
+        self.name, self.scaler, self.model, self.rate, self.params = name, scaler, model, rate, params
 
     def transform(self, rows: DataFrame) -> DataFrame:
         if self.model is None:
@@ -57,64 +61,108 @@ class GoalModel:
         return scored.select(*rows.columns, vector_to_array("probability")[1].alias("p"))
 
 
-def _classifier(name: str, n_rows: int, n_features: int, seed: int):
+#: What selection tries for each family: inverse strengths of the penalty; depth, least rows of a leaf and rounds; hidden layers and iterations.
+GRIDS: dict[str, list[dict]] = {
+    "logreg_all": [{"strength": c} for c in STRENGTHS],
+    "gbt": [{"depth": d, "leaf": n, "rounds": r} for d in (2, 3, 4) for n in (20, 60) for r in (10, 20)],
+    "mlp": [{"hidden": h, "iterations": i} for h in ([16], [32, 16]) for i in (20, 40, 80)],
+}
+#: Used without selection.
+DEFAULTS: dict[str, dict] = {"logreg_distance": {"strength": 1.0}, "logreg_all": {"strength": 1.0}, "gbt": {"depth": 3, "leaf": 20, "rounds": 20}, "mlp": {"hidden": [16], "iterations": 40}}
+#: Fits that selection has under way at a time.
+AT_ONCE = 4
+
+
+def _classifier(name: str, params: dict, n_rows: int, n_features: int, seed: int):
     if name.startswith("logreg"):
-        return LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / max(1, n_rows), elasticNetParam=0.0, standardization=False, maxIter=50)
+        return LogisticRegression(featuresCol="features", labelCol="y", regParam=1.0 / (params["strength"] * max(1, n_rows)), elasticNetParam=0.0, standardization=False, maxIter=50)
     if name == "gbt":
-        return GBTClassifier(featuresCol="features", labelCol="y", maxIter=20, maxDepth=3, stepSize=0.1, seed=seed)
-    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[n_features, 8, 2], maxIter=40, seed=seed)
+        return GBTClassifier(featuresCol="features", labelCol="y", maxIter=params["rounds"], maxDepth=params["depth"], minInstancesPerNode=params["leaf"], stepSize=0.1, seed=seed)
+    return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[n_features, *params["hidden"], 2], maxIter=params["iterations"], seed=seed)
 
 
-def fit(rows: DataFrame, name: str, strength: float | None = None, seed: int = 42) -> GoalModel:
-    """Fit a model family on rows with is_goal; logistic models take ``strength`` or select it by grouped folds."""
+def fit_with(rows: DataFrame, name: str, params: dict, freeze: bool = False, seed: int = 42) -> GoalModel:
+    """Fit a model family with given parameters: scaler, encoders and classifier all learn from these rows alone."""
     rows = rows.withColumn("y", F.col("is_goal").cast("double"))
     n, rate = rows.agg(F.count(F.lit(1)), F.avg("y")).first()
     if name == "constant_rate":
-        return GoalModel(name, None, None, float(rate or 0.0))
-    numeric = ("distance",) if name == "logreg_distance" else FEATURES
+        return GoalModel(name, None, None, float(rate or 0.0), {})
+    numeric, categories = (("distance",), ()) if name == "logreg_distance" else feature_columns(freeze)
     scaler = Scaler(numeric).fit(rows)
-    scaled = scaler.transform(rows).persist()
+    scaled = scaler.transform(rows)
     # Categories that are unseen later are zero in all columns.
-    encoders = [] if name == "logreg_distance" else [StringIndexer(inputCols=list(CATEGORIES), outputCols=[f"i_{c}" for c in CATEGORIES], handleInvalid="keep"), OneHotEncoder(inputCols=[f"i_{c}" for c in CATEGORIES], outputCols=[f"o_{c}" for c in CATEGORIES], dropLast=True)]
-    inputs = scaler.outputs + ([] if not encoders else [f"o_{c}" for c in CATEGORIES])
-    prepared = Pipeline(stages=[*encoders, VectorAssembler(inputCols=inputs, outputCol="features")]).fit(scaled)
-    features = prepared.transform(scaled)
-    width = len(features.select("features").first()["features"])
-    classifier = _classifier(name, n, width, seed)
-    if name.startswith("logreg") and strength is None:
-        grid = ParamGridBuilder().addGrid(classifier.regParam, [1.0 / (c * n) for c in STRENGTHS]).build()
-        folded = features.join(grouped_folds(rows, 3), "match_id").withColumn("fold", F.col("fold").cast("int")).persist()
-        found = CrossValidator(estimator=classifier, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="logLoss"), numFolds=3, foldCol="fold", parallelism=2).fit(folded)
-        fitted = found.bestModel
-    else:
-        if name.startswith("logreg"):
-            classifier = classifier.setRegParam(1.0 / (strength * n))
-        fitted = classifier.fit(features)
-    scaled.unpersist()
-    return GoalModel(name, scaler, PipelineModel(stages=[*prepared.stages, fitted]), float(rate or 0.0))
+    encoders = [StringIndexer(inputCols=list(categories), outputCols=[f"i_{c}" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"i_{c}" for c in categories], outputCols=[f"o_{c}" for c in categories], dropLast=True)] if categories else []
+    prepared = Pipeline(stages=[*encoders, VectorAssembler(inputCols=scaler.outputs + [f"o_{c}" for c in categories], outputCol="features")]).fit(scaled)
+    features = prepared.transform(scaled).select("y", "features").persist()
+    try:
+        width = len(features.select("features").first()["features"])
+        fitted = _classifier(name, params, n, width, seed).fit(features)
+    finally:
+        features.unpersist()
+    return GoalModel(name, scaler, PipelineModel(stages=[*prepared.stages, fitted]), float(rate or 0.0), params)
+
+
+def select(rows: DataFrame, name: str, grid: list[dict], inner: int = 3, freeze: bool = False, seed: int = 42) -> dict:
+    """The parameters of the least mean log loss over grouped folds; each fold is scored by models that saw nothing of it."""
+    folded = rows.join(grouped_folds(rows, inner), "match_id").persist()
+
+    def loss(job: tuple[int, int]) -> float:
+        at, fold = job
+        model = fit_with(folded.where(F.col("fold") != fold), name, grid[at], freeze, seed)
+        return metrics.score_all(model.transform(folded.where(F.col("fold") == fold)).withColumn("y", F.col("is_goal"))).first()["log_loss"]
+
+    jobs = [(at, fold) for at in range(len(grid)) for fold in range(inner)]
+    try:
+        folded.count()
+        with ThreadPool(AT_ONCE) as pool:
+            losses = pool.map(inheritable_thread_target(rows.sparkSession)(loss), jobs)
+    finally:
+        folded.unpersist()
+    by_grid = [[x for (at, _), x in zip(jobs, losses) if at == k and x is not None] for k in range(len(grid))]
+    means = [sum(x) / len(x) if x else float("inf") for x in by_grid]
+    return grid[means.index(min(means))]
+
+
+def fit(rows: DataFrame, name: str, params: dict | None = None, inner: int = 5, freeze: bool = False, seed: int = 42) -> GoalModel:
+    """Fit a model family on rows with is_goal; without ``params``, they are selected by ``inner`` grouped folds."""
+    if params is None:
+        params = select(rows, name, GRIDS[name], inner, freeze, seed) if name in GRIDS else DEFAULTS.get(name, {})
+    return fit_with(rows, name, params, freeze, seed)
 
 
 def save(model: GoalModel, path: str) -> None:
     """The classifier, and beside it a JSON line with what the scaler learnt."""
-    import json
-
     spark = SparkSession.active()
     model.model.write().overwrite().save(f"{path}/model")
-    meta = {"name": model.name, "rate": model.rate, "columns": model.scaler.columns, "medians": model.scaler.medians, "missing": model.scaler.missing, "means": model.scaler.means, "scales": model.scaler.scales}
+    meta = {"name": model.name, "rate": model.rate, "params": model.params, "columns": model.scaler.columns, "medians": model.scaler.medians, "missing": model.scaler.missing, "means": model.scaler.means, "scales": model.scaler.scales}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load(spark, path: str) -> GoalModel:
-    import json
-
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
     scaler = Scaler(tuple(meta["columns"]))
     scaler.medians, scaler.missing, scaler.means, scaler.scales = meta["medians"], meta["missing"], meta["means"], meta["scales"]
-    return GoalModel(meta["name"], scaler, PipelineModel.load(f"{path}/model"), meta["rate"])
+    return GoalModel(meta["name"], scaler, PipelineModel.load(f"{path}/model"), meta["rate"], meta["params"])
+
+
+# What a shot has if nothing is said of it.
+SHOT_DEFAULTS = {"body_part": "Foot", "shot_type": "Open Play", "play_pattern": "Regular Play", "first_time": 0, "follows_through_ball": 0, "follows_cross": 0, "under_pressure": 0, "minute": 45.0, "score_diff": 0}
+
+
+def predict_xg(shots: DataFrame, model: GoalModel) -> DataFrame:
+    """``shots`` with p. Only x and y are needed: distance and angle come from them, whatever the rows say, and columns that are missing get their defaults."""
+    kept = [c for c in shots.columns if c != "p"]
+    placed = shots.withColumns({c: F.lit(v) for c, v in SHOT_DEFAULTS.items() if c not in shots.columns})
+    placed = placed.withColumns({c: F.lit(None).cast("double") for c in FREEZE_FEATURES if c not in shots.columns})
+    placed = placed.withColumns({"distance": g.shot_distance(F.col("x"), F.col("y")), "angle": g.shot_angle(F.col("x"), F.col("y"))})
+    return model.transform(placed).select(*kept, "p")
 
 
 def grouped_folds(rows: DataFrame, k: int, key: str = "match_id") -> DataFrame:
-    """(key, fold): each group to the lightest fold so far, the largest groups first; a row for each group is on the driver."""
+    """(key, fold): each group to the lightest fold so far, the largest groups first.
+
+    The dealing is a chain of decisions, so the driver takes a (key, count) pair for each group: some 100 bytes a match.
+    """
     sizes = sorted(((r["n"], r[key]) for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda s: (-s[0], s[1]))
     load_of = [0] * k
     folds = []
@@ -125,22 +173,31 @@ def grouped_folds(rows: DataFrame, k: int, key: str = "match_id") -> DataFrame:
     return rows.sparkSession.createDataFrame(folds, f"{key} {dict(rows.dtypes)[key]}, fold int")
 
 
-def leave_one_out(rows: DataFrame, key: str) -> list:
-    """The values that take turns as the test set."""
-    return sorted(r[key] for r in rows.select(key).distinct().collect())
+def competition_folds(rows: DataFrame) -> DataFrame:
+    """(match_id, fold): a fold for each competition's season, in order; the driver never sees them. A match of two competitions is an error."""
+    seasons = rows.select("competition_id", "season_id").distinct()
+    numbered = seasons.withColumn("fold", F.row_number().over(Window.orderBy("competition_id", "season_id")) - 1)  # one row a tournament
+    matches = rows.select("match_id", "competition_id", "season_id").distinct()
+    if matches.groupBy("match_id").count().where("count > 1").head(1):
+        raise ValueError("a match belongs to two competitions")
+    same = F.col("m.competition_id").eqNullSafe(F.col("s.competition_id")) & F.col("m.season_id").eqNullSafe(F.col("s.season_id"))
+    return matches.alias("m").join(F.broadcast(numbered.alias("s")), same).select("m.match_id", "s.fold")
+
 
+def nested_cv(rows: DataFrame, name: str, k: int = 5, scheme: str = "match", params: dict | None = None, inner: int = 3, freeze: bool = False) -> DataFrame:
+    """Out-of-fold predictions (match_id, idx, fold, y, p, params): each fold is predicted by a model of the others.
 
-def nested_cv(rows: DataFrame, name: str, k: int = 5, strength: float | None = None) -> DataFrame:
-    """Out-of-fold predictions (match_id, idx, fold, y, p): each fold is predicted by a model of the others."""
-    folded = rows.join(grouped_folds(rows, k), "match_id").persist()
+    Parameters are selected inside each fold's training rows, by folds of their matches, unless they are given. The scheme is ``match`` (k folds) or
+    ``competition`` (each tournament in turn).
+    """
+    folds = grouped_folds(rows, k) if scheme == "match" else competition_folds(rows)
+    folded = rows.join(folds, "match_id").persist()
     parts = []
-    for fold in range(k):
-        model = fit(folded.where(F.col("fold") != fold).drop("fold"), name, strength)
-        parts.append(model.transform(folded.where(F.col("fold") == fold)).select("match_id", "idx", "fold", F.col("is_goal").alias("y"), "p"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    for fold in sorted(r["fold"] for r in folded.select("fold").distinct().collect()):  # k rows, or a row a tournament
+        model = fit(folded.where(F.col("fold") != fold).drop("fold"), name, params, inner, freeze)
+        scored = model.transform(folded.where(F.col("fold") == fold))
+        parts.append(scored.select("match_id", "idx", "fold", F.col("is_goal").alias("y"), "p", F.lit(json.dumps(model.params)).alias("params")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_scores(oof: DataFrame) -> DataFrame:
@@ -154,18 +211,38 @@ def linear_contributions(rows: DataFrame, weights: dict[str, float]) -> DataFram
     return moved.unpivot([], list(weights), "feature", "importance")
 
 
-def permutation_importance(model: GoalModel, rows: DataFrame, columns: tuple[str, ...], seed: int = 42) -> DataFrame:
-    """(feature, increase): how much the log loss grows when a column's values are dealt anew.
+def shuffled(rows: DataFrame, column: str, seed: int, keys: tuple[str, ...] = ("match_id", "idx")) -> DataFrame:
+    """``rows`` with the values of ``column`` dealt anew over the whole table.
 
-    Values move along a random order, by one row within each partition and at its ends to itself, so no global sort is needed.
+    Rows and values are each numbered in a random order and joined by number. The orders are hashes of the keys, so that a repeated task
+    gives the same; numbers run within a bucket of the hash, behind those of the buckets before it.
     """
-    from pyspark.sql import Window
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8
+
+    def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+        hashed = df.withColumn("__h", F.xxhash64(*keys, F.lit(f"{order}{seed}"))).withColumn("__b", F.pmod("__h", F.lit(buckets)))
+        sizes = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+        before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        offsets = F.broadcast(sizes.select(F.col("__b").alias("__o"), before.alias("__before")))  # a row for each bucket
+        within = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *keys))
+        return hashed.withColumn("__i", within).join(offsets, F.col("__b") == F.col("__o")).withColumn(name, F.col("__before") + F.col("__i")).drop("__h", "__b", "__o", "__before", "__i")
 
-    base = metrics.score_all(model.transform(rows).withColumn("y", F.col("is_goal")), ()).first()["log_loss"]
-    out = []
+    places = numbered(rows.drop(column), "place", "__place")
+    values = numbered(rows.select(*keys, column), "value", "__value").drop(*keys)
+    return places.join(values, F.col("__place") == F.col("__value")).select(*rows.columns)
+
+
+def permutation_importance(model: GoalModel, rows: DataFrame, columns: tuple[str, ...], repeats: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, increase): how much the log loss grows when a column's values are dealt anew, the mean of ``repeats`` deals."""
+    loss = lambda df: metrics.score_all(model.transform(df).withColumn("y", F.col("is_goal"))).first()["log_loss"]
+    base, out = loss(rows), []
     for i, c in enumerate(columns):
-        order = Window.partitionBy("match_id").orderBy(F.rand(seed + i))
-        dealt = rows.withColumn(c, F.coalesce(F.lag(c).over(order), F.last(c).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        loss = metrics.score_all(model.transform(dealt).withColumn("y", F.col("is_goal")), ()).first()["log_loss"]
-        out.append((c, float(loss - base)))
+        losses = [loss(shuffled(rows, c, seed + i * repeats + k)) for k in range(repeats)]
+        out.append((c, float(sum(losses) / repeats - base)))
     return rows.sparkSession.createDataFrame(out, "feature string, increase double")
+
+
+def linear_weights(model: GoalModel) -> dict[str, float]:
+    """The numeric features' weights of a fitted logistic model, on the features' own scales."""
+    weights = model.model.stages[-1].coefficients
+    return {c: float(weights[i]) / model.scaler.scales[c] for i, c in enumerate(model.scaler.columns)}

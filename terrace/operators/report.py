@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def markdown_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """(row): the lines of a markdown table, sorted; null is an empty cell."""
+def markdown_rows(df: DataFrame, order: list[str], places: int = 4) -> DataFrame:
+    """(row): the lines of a markdown table, sorted; null is an empty cell, doubles have ``places`` digits behind the point."""
     names = df.columns
-    cells = df.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]), F.lit(" |")).alias("row"))
+    shown = [F.format_string(f"%.{places}f", c) if kind == "double" else F.col(c).cast("string") for c, kind in df.dtypes]
+    filled = [F.when(F.col(c).isNull(), "").otherwise(text) for c, text in zip(names, shown)]
+    cells = df.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *filled), F.lit(" |")).alias("row"))
     head = df.sparkSession.createDataFrame([("| " + " | ".join(names) + " |",), ("|" + "---|" * len(names),)], "row string")
     return head.unionByName(cells)
 

@@ -11,7 +11,7 @@ from ..functions import text
 SHOOT_OUT = 5
 FEATURES = ("distance", "angle", "first_time", "follows_through_ball", "follows_cross", "under_pressure", "minute", "score_diff")
 FREEZE_FEATURES = ("ff_defenders_in_cone", "ff_gk_in_cone", "ff_gk_distance", "ff_nearest_defender")
-CATEGORIES = ("body_part", "shot_type")
+CATEGORIES = ("body_part", "shot_type", "play_pattern")
 
 
 def is_goal() -> Column:
@@ -57,9 +57,9 @@ def with_score_diff(events: DataFrame) -> DataFrame:
 
 def with_key_pass(shots: DataFrame, events: DataFrame) -> DataFrame:
     """Shots with the flags of the pass that key_pass_id names; no such pass is no flag."""
-    passes = events.where(F.col("type") == "Pass").groupBy(F.col("idx").alias("pass_idx")).agg(F.max("pass_through_ball").alias("through"), F.max("pass_cross").alias("cross"))
-    joined = shots.join(passes, F.col("key_pass_id") == F.col("pass_idx"), "left")
-    return joined.withColumns({"follows_through_ball": text.flag(F.col("through")), "follows_cross": text.flag(F.col("cross"))}).drop("pass_idx", "through", "cross")
+    passes = events.where(F.col("type") == "Pass").groupBy(F.col("match_id").alias("pass_match"), F.col("idx").alias("pass_idx")).agg(F.max("pass_through_ball").alias("through"), F.max("pass_cross").alias("cross"))
+    joined = shots.join(passes, (F.col("match_id") == F.col("pass_match")) & (F.col("key_pass_id") == F.col("pass_idx")), "left")
+    return joined.withColumns({"follows_through_ball": text.flag(F.col("through")), "follows_cross": text.flag(F.col("cross"))}).drop("pass_match", "pass_idx", "through", "cross")
 
 
 def freeze_frame(frame: Column, x: Column, y: Column) -> dict[str, Column]:
@@ -79,15 +79,27 @@ def freeze_frame(frame: Column, x: Column, y: Column) -> dict[str, Column]:
     }
 
 
+def feature_columns(freeze: bool = False) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Numeric and categorical features; with the freeze frame's features if asked."""
+    return FEATURES + (FREEZE_FEATURES if freeze else ()), CATEGORIES
+
+
 def dataset(events: DataFrame) -> DataFrame:
-    """One row per modelled shot: keys, features, label."""
+    """One row per modelled shot: keys, features, label, and the provider's probability as a benchmark, which is no feature.
+
+    The freeze frame's features are null if events have no ``frame``, and so are keys and benchmark that events lack.
+    """
     shots = modelled(with_score_diff(events))
     shots = with_key_pass(shots, events)
+    optional = {"competition_id": "int", "season_id": "int", "play_pattern": "string", "sb_xg": "double"}
+    shots = shots.withColumns({c: F.lit(None).cast(kind) for c, kind in optional.items() if c not in shots.columns})
+    frames = freeze_frame(F.col("frame"), F.col("x"), F.col("y")) if "frame" in shots.columns else {c: F.lit(None).cast("double") for c in FREEZE_FEATURES}
     return shots.select(
-        "match_id", "idx", "team", "player", "period", "x", "y",
+        "match_id", "competition_id", "season_id", "idx", "team", "player", "period", "x", "y",
         g.shot_distance(F.col("x"), F.col("y")).alias("distance"), g.shot_angle(F.col("x"), F.col("y")).alias("angle"),
         text.flag(F.col("first_time")).alias("first_time"), "follows_through_ball", "follows_cross", text.flag(F.col("under_pressure")).alias("under_pressure"),
-        "minute", "score_diff", text.body_part(F.col("shot_body_part")).alias("body_part"), text.shot_type(F.col("shot_type")).alias("shot_type"), "is_goal",
+        "minute", "score_diff", text.body_part(F.col("shot_body_part")).alias("body_part"), text.shot_type(F.col("shot_type")).alias("shot_type"), "play_pattern",
+        *[frames[c].alias(c) for c in FREEZE_FEATURES], "is_goal", "sb_xg",
     )
 
 

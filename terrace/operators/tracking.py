@@ -54,6 +54,13 @@ def step_speed(trk: DataFrame, within_period: bool, fps: float = FPS) -> DataFra
     return trk.withColumn("step", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) * fps)
 
 
+def frame_rate(trk: DataFrame) -> float:
+    """Frames a second: one by the median time between a game's frames that follow each other."""
+    times = trk.select("game", "frame", "time_s").distinct()
+    step = F.col("time_s") - F.lag("time_s").over(Window.partitionBy("game").orderBy("frame"))
+    return times.select(step.alias("step")).agg(F.round(1 / F.median("step"), 3)).first()[0]
+
+
 def frame_gaps(trk: DataFrame) -> DataFrame:
     frames = trk.select("game", "frame").distinct()
     gap = F.col("frame") - F.lag("frame").over(Window.partitionBy("game").orderBy("frame"))

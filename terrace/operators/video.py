@@ -232,6 +232,18 @@ def pitch_lines(length: float = g.LENGTH, width: float = g.WIDTH) -> list[tuple[
     return lines
 
 
+def pitch_arcs(length: float = g.LENGTH, width: float = g.WIDTH) -> list[tuple[str, float, float, float, float, float]]:
+    """The round markings of one pitch by the laws of the game: name, centre, radius, and the angles at both ends."""
+    mid, turn, radius = width / 2, float(np.arccos((16.5 - 11.0) / 9.15)), 9.15
+    return [("circle", length / 2, mid, radius, -np.pi, np.pi), ("arc_left", 11.0, mid, radius, -turn, turn), ("arc_right", length - 11.0, mid, radius, np.pi - turn, np.pi + turn)]
+
+
+def arc_samples(arcs: DataFrame, n: int) -> DataFrame:
+    """n points on each arc (name, cx, cy, r, a0, a1), ends included."""
+    angle = F.col("a0") + (F.col("a1") - F.col("a0")) * F.col("k") / (n - 1)
+    return arcs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("name", "k", (F.col("cx") + F.col("r") * F.cos(angle)).alias("x"), (F.col("cy") + F.col("r") * F.sin(angle)).alias("y"))
+
+
 def line_samples(lines: DataFrame, n: int) -> DataFrame:
     """n points on each line (name, x0, y0, x1, y1), ends included."""
     share = F.col("k") / (n - 1)

@@ -57,10 +57,11 @@ SELECT s.match_id, s.idx, s.team, s.player, s.period, s.x, s.y, round({DIST.form
   CAST(coalesce(s.first_time,FALSE) AS INT) AS first_time, CAST(coalesce(p.pass_through_ball,FALSE) AS INT) AS follows_through_ball, CAST(coalesce(p.pass_cross,FALSE) AS INT) AS follows_cross,
   CAST(coalesce(s.under_pressure,FALSE) AS INT) AS under_pressure, s.minute, s.score_diff,
   CASE WHEN s.shot_body_part='Head' THEN 'Head' WHEN s.shot_body_part LIKE '%Foot%' THEN 'Foot' ELSE 'Other' END AS body_part,
-  CASE WHEN s.shot_type IN ('Open Play','Free Kick') THEN s.shot_type ELSE 'Other' END AS shot_type, CASE WHEN s.shot_outcome='Goal' THEN 1 ELSE 0 END AS is_goal
+  CASE WHEN s.shot_type IN ('Open Play','Free Kick') THEN s.shot_type ELSE 'Other' END AS shot_type, CASE WHEN s.shot_outcome='Goal' THEN 1 ELSE 0 END AS is_goal,
+  s.competition_id, s.season_id, s.play_pattern, round(s.sb_xg,4) AS sb_xg
 FROM sd s LEFT JOIN ev p ON p.type='Pass' AND p.idx=s.key_pass_id WHERE s.type='Shot' AND s.shot_type IS DISTINCT FROM 'Penalty' AND s.period<>5""")
 def shot_features(spark, sf_dir):
-    return rounded(s.dataset(ev(spark, sf_dir)).withColumns({"x": F.col("x"), "y": F.col("y")}), 4)
+    return rounded(s.dataset(ev(spark, sf_dir)).drop(*s.FREEZE_FEATURES))
 
 
 @cat.add(f"""{W} SELECT count(*) AS all_shots, count(*) FILTER (shot_type='Penalty' AND period<>5) AS penalties, count(*) FILTER (period=5) AS shootout_kicks,

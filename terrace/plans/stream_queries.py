@@ -31,11 +31,11 @@ def event_sessions(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events"), "6 hours").select("user_id", "n")
 
 
-@cat.add("""SELECT CAST(user_id%10 AS INT) AS game, event_id AS seq, coalesce(last_value(CASE event_type WHEN 'signup' THEN '' WHEN 'view' THEN NULL ELSE CASE WHEN user_id%20<10 THEN 'home' ELSE 'away' END END IGNORE NULLS)
- OVER (PARTITION BY user_id%10 ORDER BY event_id ROWS UNBOUNDED PRECEDING),'') AS holder FROM events""")
+@cat.add("""SELECT CAST(floor(event_id/2.0e3) AS INT) AS game, event_id AS seq, coalesce(last_value(CASE event_type WHEN 'signup' THEN '' WHEN 'view' THEN NULL ELSE CASE WHEN user_id%20<10 THEN 'home' ELSE 'away' END END IGNORE NULLS)
+ OVER (PARTITION BY floor(event_id/2.0e3) ORDER BY event_id ROWS UNBOUNDED PRECEDING),'') AS holder FROM events""")
 def stream_possession(spark, sf_dir):
     path = shared_path(spark, "possession")
     kind = F.when(F.col("event_type") == "signup", "BALL OUT").when(F.col("event_type") == "view", "CHALLENGE").otherwise("PASS")
-    rows = _stream(spark, sf_dir).select((F.col("user_id") % 10).cast("int").alias("game"), F.col("event_id").alias("seq"), kind.alias("type"), F.when(F.col("user_id") % 20 < 10, "home").otherwise("away").alias("team"))
+    rows = _stream(spark, sf_dir).select(F.floor(F.col("event_id") / 2000).cast("int").alias("game"), F.col("event_id").alias("seq"), kind.alias("type"), F.when(F.col("user_id") % 20 < 10, "home").otherwise("away").alias("team"))
     windows.run_to_table(windows.live_possession(rows), path, "append")
     return spark.read.parquet(f"{path}/table")

@@ -15,8 +15,8 @@ cat = Catalogue()
 W = f"WITH trk AS ({TRK})"
 PER = "(PARTITION BY game, team, player, period ORDER BY frame)"
 ALL = "(PARTITION BY game, team, player ORDER BY frame)"
-FEED = f"""feed AS (SELECT 1 AS game, CASE type WHEN 'Pass' THEN 'PASS' WHEN 'Shot' THEN 'SHOT' WHEN 'Substitution' THEN 'BALL OUT' WHEN 'Carry' THEN 'CHALLENGE' ELSE 'RECOVERY' END AS type,
-  CASE WHEN team='A' THEN 'home' ELSE 'away' END AS team, CAST(row_number() OVER (ORDER BY idx) AS INT) AS start_frame, idx AS seq FROM ({EV}) e WHERE match_id=2)"""
+FEED = f"""feed AS (SELECT CAST(floor(idx/5.0e3) AS INT)+1 AS game, CASE type WHEN 'Pass' THEN 'PASS' WHEN 'Shot' THEN 'SHOT' WHEN 'Substitution' THEN 'BALL OUT' WHEN 'Carry' THEN 'CHALLENGE' ELSE 'RECOVERY' END AS type,
+  CASE WHEN team='A' THEN 'home' ELSE 'away' END AS team, CAST(row_number() OVER (PARTITION BY floor(idx/5.0e3) ORDER BY idx) AS INT) AS start_frame, idx AS seq FROM ({EV}) e)"""
 HELD = f"""{FEED}, sp AS (SELECT DISTINCT game, period, frame FROM trk), mk AS (SELECT game, start_frame AS frame, arg_max(CASE WHEN type='BALL OUT' THEN '' ELSE team END, seq) AS mark FROM feed WHERE type IN ('PASS','SHOT','RECOVERY','SET PIECE','BALL OUT') GROUP BY game, start_frame),
 m1 AS (SELECT sp.game, period, sp.frame, CASE WHEN row_number() OVER (PARTITION BY sp.game, period ORDER BY sp.frame)=1 THEN coalesce(mark,'') ELSE mark END AS mark FROM sp LEFT JOIN mk ON sp.game=mk.game AND sp.frame=mk.frame),
 held AS (SELECT game, period, frame, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY game ORDER BY frame ROWS UNBOUNDED PRECEDING),'') AS holder FROM m1)"""
@@ -25,13 +25,13 @@ gk AS (SELECT DISTINCT ON (game, team) game, team, player FROM gm WHERE mx IS NO
 
 
 def feed(spark, sf_dir) -> DataFrame:
-    """One match's events as a tracking feed: its rows' order gives the frames."""
+    """The events as the games' tracking feed: a game's rows' order gives the frames."""
     from pyspark.sql import Window
 
     kind = F.when(F.col("type") == "Pass", "PASS").when(F.col("type") == "Shot", "SHOT").when(F.col("type") == "Substitution", "BALL OUT").when(F.col("type") == "Carry", "CHALLENGE").otherwise("RECOVERY")
-    at = F.row_number().over(Window.partitionBy("match_id").orderBy("idx"))
-    rows = ev(spark, sf_dir).where("match_id = 2")
-    return rows.select(F.lit(1).alias("game"), kind.alias("type"), F.when(F.col("team") == "A", "home").otherwise("away").alias("team"), at.alias("start_frame"), F.col("idx").alias("seq"))
+    game = (F.floor(F.col("idx") / 5000) + 1).cast("int")
+    at = F.row_number().over(Window.partitionBy(game).orderBy("idx"))
+    return ev(spark, sf_dir).select(game.alias("game"), kind.alias("type"), F.when(F.col("team") == "A", "home").otherwise("away").alias("team"), at.alias("start_frame"), F.col("idx").alias("seq"))
 
 
 def held(spark, sf_dir) -> DataFrame:

@@ -12,11 +12,11 @@ from ..sources import readers
 from ..sources.projections import table
 from ..sources.scratch import shared_path
 from .catalogue import Catalogue, rounded
-from .match_queries import shots_of
+from .match_queries import SHOTS, shots_of
 
 cat = Catalogue()
-SIGNAL = """SELECT CAST(user_id%10 AS INT) AS clip, CAST(row_number() OVER (PARTITION BY user_id%10 ORDER BY event_id)-1 AS INT) AS frame,
- CASE WHEN value>200 THEN 0.5e0 ELSE 0.1e0 END AS hist_dist, CASE WHEN row_number() OVER (PARTITION BY user_id%10 ORDER BY event_id)=1 THEN 0e0 ELSE value/4e0 END AS diff FROM events"""
+SIGNAL = """SELECT CAST(floor(event_id/2.0e3) AS INT) AS clip, CAST(row_number() OVER (PARTITION BY floor(event_id/2.0e3) ORDER BY event_id)-1 AS INT) AS frame,
+ CASE WHEN value>200 THEN 0.5e0 ELSE 0.1e0 END AS hist_dist, CASE WHEN row_number() OVER (PARTITION BY floor(event_id/2.0e3) ORDER BY event_id)=1 THEN 0e0 ELSE value/4e0 END AS diff FROM events"""
 DET = """SELECT event_id AS det_id, CAST(floor(event_id/1000) AS INT) AS segment, CAST(floor(event_id/10) AS INT) AS frame, CAST(CASE WHEN event_id%29=0 THEN -1 ELSE event_id%10 END AS INT) AS track_id,
  CAST(CASE WHEN event_id%17=0 THEN 32 ELSE 0 END AS INT) AS cls, 600+20*(event_id%10)+user_id%7 AS x1, 300+10*(event_id%10)+user_id%5 AS y1, 620+20*(event_id%10)+user_id%7 AS x2, 350+10*(event_id%10)+user_id%5 AS y2,
  event_id%13<>0 AS on_grass, CASE WHEN event_id%11=0 THEN NULL ELSE (CASE WHEN event_id%2=0 THEN 200 ELSE 60 END)+user_id%9 END*1e0 AS "L", 120e0+user_id%4 AS a, 130e0+user_id%3 AS b FROM events"""
@@ -137,13 +137,36 @@ def valid_window(spark, sf_dir):
     return v.valid_window(signal(spark, sf_dir).select("clip", "frame", score.alias("score")), 100)
 
 
-@cat.add()
+@cat.add(f"""{W}, st AS (SELECT clip, frame, diff FROM sig UNION ALL SELECT clip, CAST(max(frame)+1 AS INT), 0e0 FROM sig GROUP BY clip HAVING max(frame)>=100),
+pn AS (SELECT clip, frame, coalesce(sum(diff/1e2) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0e0) AS s FROM st),
+tx AS (SELECT pn.clip, pn.frame, pn.s-r.s AS t FROM pn JOIN pn r ON r.clip=pn.clip AND r.frame=100)
+SELECT clip, frame, round(({H[0]:.8f}::DOUBLE*t+{H[2]:.8f}::DOUBLE)/({H[6]:.8f}::DOUBLE*t+1e0),4) AS shift FROM tx""")
 def h_chain(spark, sf_dir):
     """Cameras that pan by a little each frame, chained to the reference frame."""
-    steps = signal(spark, sf_dir).where("frame < 200").select("clip", "frame", F.array(*[F.lit(x) for x in (1.0, 0.0)], -F.col("diff") / 100, *[F.lit(x) for x in (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]).alias("h"))
+    steps = signal(spark, sf_dir).select("clip", "frame", F.array(*[F.lit(x) for x in (1.0, 0.0)], -F.col("diff") / 100, *[F.lit(x) for x in (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]).alias("h"))
     return v.camera_maps(steps, 100, H).select("clip", "frame", F.round(F.col("h")[2], 4).alias("shift"))
 
 
+MARKS_SQL = " UNION ALL ".join(
+    [f"SELECT '{n}' AS name, k, {a}::DOUBLE+({c}::DOUBLE-{a}::DOUBLE)*k/10e0 AS x, {b}::DOUBLE+({d}::DOUBLE-{b}::DOUBLE)*k/10e0 AS y FROM ks" for n, a, b, c, d in v.pitch_lines()]
+    + [f"SELECT '{n}', k, {x}::DOUBLE+{r}::DOUBLE*cos({a}::DOUBLE+({b}::DOUBLE-({a}::DOUBLE))*k/10e0), {y}::DOUBLE+{r}::DOUBLE*sin({a}::DOUBLE+({b}::DOUBLE-({a}::DOUBLE))*k/10e0) FROM ks" for n, x, y, r, a, b in v.pitch_arcs()]
+)
+
+
+@cat.add(f"{W}, ks AS (SELECT CAST(unnest(range(0,11)) AS INT) AS k), mk AS ({MARKS_SQL}) SELECT segment, name, k, round(({H[0]:.8f}::DOUBLE*x+{H[1]:.8f}::DOUBLE*y+{H[2]:.8f}::DOUBLE)/({H[6]:.8f}::DOUBLE*x+{H[7]:.8f}::DOUBLE*y+{H[8]:.8f}::DOUBLE),4) AS px FROM (SELECT DISTINCT segment FROM det), mk")
+def pitch_overlay(spark, sf_dir):
+    """All markings of the pitch, straight and round, mapped by each segment's matrix."""
+    segments = detections(spark, sf_dir).select("segment").distinct()
+    lines = F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(float(x)).alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), ends)]) for n, *ends in v.pitch_lines()])
+    arcs = F.array(*[F.struct(F.lit(n).alias("name"), *[F.lit(float(x)).alias(c) for c, x in zip(("cx", "cy", "r", "a0", "a1"), of)]) for n, *of in v.pitch_arcs()])
+    out = []
+    for marks, samples in ((lines, v.line_samples), (arcs, v.arc_samples)):
+        named = segments.select("segment", F.explode(marks).alias("m")).select(F.struct("segment", "m.name").alias("name"), *[F.col(f"m.{c}") for c in (("x0", "y0", "x1", "y1") if marks is lines else ("cx", "cy", "r", "a0", "a1"))])
+        out.append(samples(named, 11))
+    px, _ = g.apply_h(F.array(*[F.lit(h) for h in H]), F.col("x"), F.col("y"))
+    return rounded(out[0].unionByName(out[1]).select("name.segment", "name.name", "k", px.alias("px")))
+
+
 @cat.add(f"""{W}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id, frame ORDER BY det_id) AS rn FROM pos WHERE cls=0 AND track_id>=0) WHERE rn=1),
 gp AS (SELECT *, frame-lag(frame) OVER (PARTITION BY track_id ORDER BY frame) AS gap FROM f), ok AS (SELECT track_id FROM gp GROUP BY track_id HAVING count(*)>=50 AND coalesce(max(gap),0)<=3)
 SELECT track_id, count(*) AS frames FROM f JOIN ok USING (track_id) GROUP BY track_id""")
@@ -201,21 +224,6 @@ def line_samples(spark, sf_dir):
     return rounded(v.line_samples(rows, 5).select(F.col("name").alias("line"), "k", "x", "y"))
 
 
-@cat.add()
-def source_roundtrip(spark, sf_dir):
-    """Seasons written by key and as CSV and JSON, read again, and counted against what was written."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("season"), F.col("o_totalprice").cast("double").alias("price"))
-    path = shared_path(spark, "roundtrip")
-    readers.write_by_match(orders, f"{path}/keyed", ("season",))
-    counts = orders.groupBy("season").agg(F.count(F.lit(1)).alias("written"))
-    readers.write_table(counts, f"{path}/csv")
-    readers.write_document(counts, f"{path}/json")
-    keyed = spark.read.parquet(f"{path}/keyed").groupBy("season").agg(F.count(F.lit(1)).alias("keyed"))
-    csv = readers.read_table(spark, f"{path}/csv").select(F.col("season").cast("int").alias("season"), F.col("written").cast("long").alias("csv"))
-    json = spark.read.json(f"{path}/json").select(F.col("season").cast("int").alias("season"), F.col("written").cast("long").alias("json"))
-    return counts.join(keyed, "season").join(csv, "season").join(json, "season")
-
-
 @cat.add(f"{W} SELECT 'colours' AS section, CAST(segment AS VARCHAR) AS subject, count(*) FILTER (\"L\" IS NOT NULL) AS n FROM det GROUP BY segment UNION ALL SELECT 'teams', team, count(DISTINCT segment*100+track_id) FROM pos WHERE track_id>=0 GROUP BY team")
 def report_tables(spark, sf_dir):
     """Sections of a report under each other, each with its name in front."""
@@ -224,13 +232,13 @@ def report_tables(spark, sf_dir):
     return colours.unionByName(teams)
 
 
-@cat.add()
+@cat.add(f"""{SHOTS} SELECT team, '{{"team":"'||team||'","shots":'||count(*)||',"goals":'||sum(is_goal)||'}}' AS document FROM sx GROUP BY team""")
 def result_json(spark, sf_dir):
     totals = shots_of(spark, sf_dir).groupBy("team").agg(F.count(F.lit(1)).alias("shots"), F.sum("is_goal").alias("goals"))
     return totals.select("team", F.to_json(F.struct("*")).alias("document"))
 
 
-@cat.add()
+@cat.add(f"""{SHOTS} SELECT '| match_id | team | shots | xg |' AS row UNION ALL SELECT '|---|---|---|---|' UNION ALL SELECT '| '||match_id||' | '||team||' | '||count(*)||' | '||printf('%.4f', round(sum(xg),4))||' |' FROM sx GROUP BY match_id, team""")
 def md_table(spark, sf_dir):
     totals = rounded(shots_of(spark, sf_dir).groupBy("match_id", "team").agg(F.count(F.lit(1)).alias("shots"), F.sum("xg").alias("xg")))
     return report.markdown_rows(totals, ["match_id", "team"])

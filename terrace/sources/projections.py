@@ -38,17 +38,20 @@ SELECT idx, match_id, period, minute, team, player, type, x, y, shot_outcome, sh
  CASE WHEN type='Pass' AND idx%3=0 THEN TRUE END AS pass_through_ball, CASE WHEN type='Pass' AND idx%4=0 THEN TRUE END AS pass_cross,
  CASE WHEN idx%6=0 THEN TRUE END AS under_pressure, CASE WHEN type='Shot' AND idx%9=0 THEN TRUE END AS first_time,
  CASE WHEN type='Shot' THEN CASE idx%4 WHEN 0 THEN 'Head' WHEN 1 THEN 'Left Foot' WHEN 2 THEN 'Right Foot' ELSE 'Chest' END END AS shot_body_part,
- CASE WHEN type='Ball Receipt*' AND idx%8=0 THEN 'Incomplete' END AS ball_receipt_outcome
+ CASE WHEN type='Ball Receipt*' AND idx%8=0 THEN 'Incomplete' END AS ball_receipt_outcome,
+ CASE idx%7 WHEN 0 THEN 'From Corner' WHEN 1 THEN 'From Free Kick' WHEN 2 THEN 'From Throw In' ELSE 'Regular Play' END AS play_pattern,
+ CAST(match_id%3 AS INT) AS competition_id, CAST(match_id%2 AS INT) AS season_id,
+ CASE WHEN type='Shot' THEN CASE WHEN shot_outcome='Goal' THEN 0.3e0 ELSE 0.05e0 END + (idx%10)*1.0e-2 END AS sb_xg
 FROM d"""
 
 TRK = """
 WITH a AS (
- SELECT CAST(user_id % 22 AS INT) AS p, event_id, value, CAST(regexp_extract(props,'([0-9]+)',1) AS INT) AS k FROM events),
+ SELECT CAST(user_id % 22 AS INT) AS p, event_id, value, CAST(regexp_extract(props,'([0-9]+)',1) AS INT) AS k, CAST(floor(event_id/5.0e3) AS INT)+1 AS game FROM events),
 f AS (
- SELECT a.*, CAST(row_number() OVER (PARTITION BY p ORDER BY event_id) AS INT) AS frame, CAST(floor(p/2.0e0) AS INT) AS r FROM a),
+ SELECT a.*, CAST(row_number() OVER (PARTITION BY game, p ORDER BY event_id) AS INT) AS frame, CAST(floor(p/2.0e0) AS INT) AS r FROM a),
 g AS (
  SELECT f.*, abs((frame*(1 + r%4) + r*17) % 400 - 200)*1.0e-1 AS tri FROM f)
-SELECT 1 AS game, CASE WHEN frame <= 200 THEN 1 ELSE 2 END AS period, frame, frame/2.5e1 AS time_s,
+SELECT game, CASE WHEN frame <= 100 THEN 1 ELSE 2 END AS period, frame, frame/2.5e1 AS time_s,
  CASE WHEN p % 2 = 0 THEN 'home' ELSE 'away' END AS team, concat('Player', CAST(r+1 AS STRING)) AS player,
  CASE WHEN value < 1 THEN NULL ELSE (CASE WHEN p%2=0 THEN 5 + r*7 + tri ELSE 100 - r*7 - tri END) + k*1.0e-3 + CASE WHEN value > 200 THEN 15 ELSE 0 END END AS x,
  CASE WHEN value < 1 THEN NULL ELSE 4 + (r*13 % 60) + k*1.0e-3 END AS y

@@ -51,11 +51,11 @@ def nicknames(lineups: DataFrame) -> DataFrame:
     return last.groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct("player_name", "nick"))).alias("nicknames"))
 
 
-def read_tracking(spark: SparkSession, path: str) -> DataFrame:
+def read_tracking(spark: SparkSession, path: str, keep_missing: bool = False) -> DataFrame:
     """A tracking file in long form: period, frame, time_s, player (Ball included), x, y.
 
     The third line names every other column; a nameless one behind it is the y. NaN is null, and so
-    is a player who isn't on the pitch: those rows are left out, the frame stays through the others.
+    is a player who isn't on the pitch: those rows are left out, the frame stays through the others, unless they are kept.
     """
     lines = spark.read.text(path)
     names = [n.strip() for n in lines.where(F.col("value").startswith("Period,")).first()["value"].split(",")]
@@ -64,7 +64,7 @@ def read_tracking(spark: SparkSession, path: str) -> DataFrame:
     pairs = [F.struct(F.lit(n).alias("player"), number(i).alias("x"), number(i + 1).alias("y")) for i, n in enumerate(names) if i > 2 and n]
     long = rows.select(number(0).cast("long").alias("period"), number(1).cast("long").alias("frame"), number(2).alias("time_s"), F.explode(F.array(*pairs)).alias("p"))
     placed = long.select("period", "frame", "time_s", "p.player", F.nanvl("p.x", F.lit(None)).alias("x"), F.nanvl("p.y", F.lit(None)).alias("y"))
-    return placed.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return placed if keep_missing else placed.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -87,5 +87,5 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """A small result as one JSON file, an object a line."""
-    df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """A small result as one JSON document, an array of its rows."""
+    df.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.mode("overwrite").text(path)

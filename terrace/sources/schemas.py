@@ -1,4 +1,4 @@
-"""Explicit schemas of the inputs; a column that a file lacks reads as null."""
+"""Explicit schemas of the inputs; a column that a file lacks reads as null. Column names are fixed values of the sources' formats."""
 
 from __future__ import annotations
 
@@ -27,6 +27,7 @@ EVENT = T.StructType(
 MATCH = T.StructType(
     _fields(T.LongType(), "match_id competition_id season_id") + _fields(T.DateType(), "match_date") + _fields(T.StringType(), "home_team away_team") + _fields(T.LongType(), "home_score away_score") + _fields(T.StringType(), "competition_stage")
 )
+COMPETITION = T.StructType(_fields(T.LongType(), "competition_id season_id") + _fields(T.StringType(), "country_name competition_name competition_gender season_name"))
 LINEUP = T.StructType(_fields(T.LongType(), "match_id") + _fields(T.StringType(), "team player_name player_nickname"))
 TRACKING = T.StructType(_fields(T.LongType(), "period frame") + _fields(T.DoubleType(), "time_s") + _fields(T.StringType(), "team player") + _fields(T.DoubleType(), "x y"))
 DETECTION = T.StructType(_fields(T.LongType(), "segment frame track_id cls") + _fields(T.DoubleType(), "conf x1 y1 x2 y2") + _fields(T.BooleanType(), "on_grass") + _fields(T.DoubleType(), "L a b"))

@@ -13,7 +13,7 @@ from terrace.operators import network, possession, shape
 from terrace.operators import shots as s
 from terrace.operators import tracking as t
 from terrace.operators import video as v
-from terrace.sources import readers
+from terrace.sources import loaders, readers
 
 EVENT = "match_id int, idx long, period int, minute int, team string, player string, type string, x double, y double, shot_outcome string, shot_type string, pass_outcome string, pass_recipient string, ball_receipt_outcome string"
 
@@ -23,15 +23,16 @@ def values(df, *names):
 
 
 def test_geometry(spark):
-    rows = spark.createDataFrame([(108.0, 40.0), (120.0, 40.0), (111.0, 28.0), (120.0, 30.0)], "x double, y double")
+    rows = spark.createDataFrame([(114.0, 32.0), (96.0, 40.0), (120.0, 52.0), (120.0, 38.0)], "x double, y double")
     got = values(rows.select(g.shot_distance(F.col("x"), F.col("y")).alias("d"), g.shot_angle(F.col("x"), F.col("y")).alias("a")), "d", "a")
-    assert [d for d, _ in got] == pytest.approx([12, 0, 15, 10])
-    assert [got[0][1], got[1][1], got[3][1]] == pytest.approx([2 * math.atan(4 / 12), math.pi, 0])
+    assert [d for d, _ in got] == pytest.approx([10, 24, 12, 2])
+    assert [a for _, a in got[1:]] == pytest.approx([2 * math.atan(4 / 24), 0, math.pi])
 
 
 def test_cone(spark):
-    rows = spark.createDataFrame([(115.0, 40.0), (115.0, 60.0), (100.0, 40.0), (118.0, 38.0)], "px double, py double")
-    assert [r[0] for r in values(rows.select(g.in_shot_cone(F.col("px"), F.col("py"), F.lit(110.0), F.lit(40.0)).alias("c")), "c")] == [True, False, False, True]
+    """From (100, 44) the cone at x = 110 reaches from y = 40 to 44."""
+    rows = spark.createDataFrame([(110.0, 42.0), (110.0, 39.0), (110.0, 44.0), (95.0, 44.0)], "px double, py double")
+    assert [r[0] for r in values(rows.select(g.in_shot_cone(F.col("px"), F.col("py"), F.lit(100.0), F.lit(44.0)).alias("c")), "c")] == [True, False, True, False]
 
 
 def test_coordinates(spark):
@@ -94,6 +95,14 @@ def test_betweenness_of_a_square():
     assert found == pytest.approx(dict.fromkeys("abcd", 1 / 6))
 
 
+def test_touches(spark):
+    """Each type that counts as a touch, and some that don't."""
+    kinds = ["Pass", "Ball Receipt*", "Carry", "Dribble", "Shot", "Miscontrol", "Dispossessed", "Clearance", "Interception", "Ball Recovery", "Block", "Pressure", "Duel"]
+    rows = [(1, i, 1, i, "A", "a", k, 10.0, 10.0, None, None, None, None, None) for i, k in enumerate(kinds)]
+    rows.append((1, 99, 1, 1, "A", "a", "Ball Receipt*", 10.0, 10.0, None, None, None, None, "Incomplete"))
+    assert {r["idx"] for r in e.touches(spark.createDataFrame(rows, EVENT)).collect()} == set(range(10))
+
+
 def test_freeze_frame(spark):
     schema = "x double, y double, frame array<struct<px:double,py:double,teammate:boolean,is_gk:boolean>>"
     rows = spark.createDataFrame([(110.0, 40.0, [(115.0, 40.0, False, False), (118.0, 40.0, False, True), (112.0, 40.0, True, False)]), (110.0, 40.0, None)], schema)
@@ -118,46 +127,47 @@ def track(spark, xs, period=None, y=30.0):
 
 
 def test_despike_repairs_a_spike_and_keeps_a_jump(spark):
-    xs = [10 + 0.05 * i for i in range(200)]
-    xs[100] += 15
+    xs = [60 - 0.08 * i for i in range(150)]
+    xs[70] -= 9
     out = [r["x"] for r in t.despike(track(spark, xs)).orderBy("frame").collect()]
-    assert None not in out and out[100] == pytest.approx(15.0, abs=0.2)
-    jump = track(spark, [10.0 if i < 50 else 40.0 for i in range(100)])
-    left = t.repair(jump, F.col("frame").isin(50, 51)).where("left").count()
-    assert left == 2
-    assert t.repair(track(spark, [1.0] * 100), F.col("frame").between(20, 49)).where("left").count() == 30
+    assert None not in out and out[70] == pytest.approx(54.4, abs=0.2)
+    jump = track(spark, [30.0 if i < 60 else 65.0 for i in range(120)])
+    assert t.repair(jump, F.col("frame").isin(60, 61)).where("left").count() == 2
+    still = track(spark, [7.0] * 90)
+    assert t.repair(still, F.col("frame").between(40, 64)).where("left").count() == 0
+    assert t.repair(still, F.col("frame").between(40, 65)).where("left").count() == 26
 
 
 def test_kinematics(spark):
-    out = t.smooth_kinematics(track(spark, [5 * i / 25 for i in range(250)])).where("speed IS NOT NULL").agg(F.min("speed"), F.max("speed"), F.max("accel"), F.count(F.lit(1))).first()
-    assert out[0] == pytest.approx(5) and out[1] == pytest.approx(5) and out[2] == pytest.approx(0, abs=1e-6) and out[3] == 238
-    gap = [None if 90 <= i < 100 else i / 25 for i in range(200)]
+    out = t.smooth_kinematics(track(spark, [0.32 * i for i in range(150)])).where("speed IS NOT NULL").agg(F.min("speed"), F.max("speed"), F.max("accel"), F.count(F.lit(1))).first()
+    assert out[0] == pytest.approx(8) and out[1] == pytest.approx(8) and out[2] == pytest.approx(0, abs=1e-6) and out[3] == 138
+    gap = [None if 60 <= i < 65 else i / 25 for i in range(150)]
     null = {r["frame"] - 1 for r in t.smooth_kinematics(track(spark, gap)).where("speed IS NULL").collect()}
-    assert null == {*range(6), *range(84, 106), *range(194, 200)}
-    halves = [1.0 if i < 100 else 41.0 for i in range(200)]
-    assert t.smooth_kinematics(track(spark, halves, [1] * 100 + [2] * 100)).agg(F.max("speed")).first()[0] < 3
+    assert null == {*range(6), *range(54, 71), *range(144, 150)}
+    halves = [2.0 if i < 70 else 90.0 for i in range(140)]
+    assert t.smooth_kinematics(track(spark, halves, [1] * 70 + [2] * 70)).agg(F.max("speed")).first()[0] == pytest.approx(0, abs=1e-9)
 
 
 def test_sprints(spark):
-    rows = spark.createDataFrame([(1, "home", "Player1", i, 8.0 if i < 75 else 2.0) for i in range(175)], "game int, team string, player string, frame int, speed double")
+    rows = spark.createDataFrame([(1, "away", "Player4", i, 7.5 if 20 <= i < 60 else 3.0) for i in range(90)], "game int, team string, player string, frame int, speed double")
     assert t.sprints(rows).first()["sprints"] == 1
-    assert t.sprints(rows.where("frame < 15 OR frame >= 75")).count() == 0
+    assert t.sprints(rows.where("frame < 44 OR frame >= 60")).count() == 0  # 24 frames are less than a second
 
 
 def test_possession(spark):
-    frames = spark.createDataFrame([(1, 1, f) for f in range(1, 21)], "game int, period int, frame int")
-    feed = spark.createDataFrame([(1, "PASS", "home", 3, 1), (1, "BALL OUT", "home", 8, 2), (1, "SET PIECE", "away", 12, 3), (1, "CHALLENGE", "home", 15, 4)], "game int, type string, team string, start_frame int, seq int")
+    frames = spark.createDataFrame([(1, 1, f) for f in range(1, 13)], "game int, period int, frame int")
+    feed = spark.createDataFrame([(1, "RECOVERY", "away", 2, 1), (1, "SHOT", "home", 5, 2), (1, "BALL OUT", "home", 9, 3), (1, "CHALLENGE", "away", 11, 4)], "game int, type string, team string, start_frame int, seq int")
     held = [r["holder"] for r in possession.possession(frames, feed).orderBy("frame").collect()]
-    assert held == [""] * 2 + ["home"] * 5 + [""] * 4 + ["away"] * 9
+    assert held == [""] + ["away"] * 3 + ["home"] * 4 + [""] * 4
 
 
 def test_shape_kernels(spark):
-    assert shape.hull_area_of([(0, 0), (10, 0), (10, 10), (0, 10), (5, 5)]) == 100
-    assert shape.hull_area_of([(0, 0), (1, 1), (2, 2)]) is None
-    found = shape.lines_of([20, 22, 21, 23, 45, 46, 44, 47, 70, 72])
-    assert (found["k"], found["formation"]) == (3, "4-4-2")
-    pos = spark.createDataFrame([(1, "home", "a", 26.25, 34.0), (1, "away", "b", 78.75, 34.0)], "game int, team string, player string, x double, y double")
-    assert shape.control_share(shape.control(pos)).first()["home_share"] == pytest.approx(0.5, abs=0.01)
+    assert shape.hull_area_of([(0, 0), (6, 0), (0, 8), (1, 1)]) == 24
+    assert shape.hull_area_of([(3, 0), (3, 5), (3, 9)]) is None
+    found = shape.lines_of([15, 16, 17, 35, 36, 37, 38, 60, 61, 62])
+    assert (found["k"], found["formation"]) == (3, "3-4-3")
+    pos = spark.createDataFrame([(1, "home", "a", 20.0, 34.0), (1, "away", "b", 60.0, 34.0)], "game int, team string, player string, x double, y double")
+    assert shape.control_share(shape.control(pos)).first()["home_share"] == pytest.approx(40 / 105, abs=0.01)
 
 
 def test_video(spark):
@@ -200,3 +210,75 @@ def test_event_json_and_lineups(spark, tmp_path):
     assert row["location"] == [110.0, 40.0] and row["pass_cross"] is None and row["shot_freeze_frame"][0]["position"]["name"] == "Goalkeeper"
     lineups = spark.createDataFrame([(1, "A", "Ann Lee", "Annie"), (1, "B", "Bo", None), (1, "B", "Cy", "")], "match_id long, team string, player_name string, player_nickname string")
     assert readers.nicknames(lineups).first()["nicknames"] == {"Ann Lee": "Annie"}
+
+
+def test_events_reach_the_operators(spark, tmp_path):
+    """Shots in two matches' files: key passes by id within the match, places out of arrays, frames as points."""
+    (tmp_path / "m").mkdir()
+    for k, cross in ((1, "true"), (2, "false")):
+        (tmp_path / "m" / f"{k}.json").write_text(
+            '[{"match_id": %d, "index": 7, "id": "p", "type": "Pass", "team": "A", "period": 1, "minute": 3, "location": [80.0, 20.0], "pass_end_location": [100.0, 40.0], "pass_cross": %s},'
+            '{"match_id": %d, "index": 8, "id": "s", "type": "Shot", "team": "A", "period": 1, "minute": 3, "location": [114.0, 32.0], "shot_key_pass_id": "p", "shot_outcome": "Goal", "shot_type": "Corner", "shot_body_part": "Right Foot",'
+            ' "play_pattern": "From Corner", "shot_statsbomb_xg": 0.3, "shot_freeze_frame": [{"location": [119.0, 40.0], "teammate": false, "position": {"name": "Goalkeeper"}}]}]' % (k, cross, k)
+        )
+    events = loaders.operator_events(readers.read_events(spark, str(tmp_path / "m")))
+    rows = {r["match_id"]: r for r in s.dataset(events).collect()}
+    assert [rows[k]["follows_cross"] for k in (1, 2)] == [1, 0]
+    assert (rows[1]["distance"], rows[1]["shot_type"], rows[1]["body_part"], rows[1]["play_pattern"], rows[1]["sb_xg"], rows[1]["ff_gk_distance"], rows[1]["is_goal"]) == (10.0, "Other", "Foot", "From Corner", 0.3, 1.0, 1)
+    assert events.where("type = 'Pass' AND end_x = 100 AND end_y = 40").count() == 2
+
+
+def test_settings_and_seasons(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"competitions": [{"competition_id": 1, "season_id": 5}, {"competition_id": 2, "season_id": 5}]}')
+    seasons = loaders.configured_seasons(spark, loaders.read_settings(spark, str(tmp_path / "s.json")))
+    matches = spark.createDataFrame([(10, 1, 5), (11, 1, 6), (12, 2, 5), (13, 3, 5)], "match_id long, competition_id long, season_id long")
+    assert {r["match_id"] for r in loaders.configured_matches(matches, seasons).collect()} == {10, 12}
+    readers.write_by_match(matches, str(tmp_path / "t"), ("competition_id", "season_id"))
+    season = loaders.read_season(spark, str(tmp_path / "t"), 1, 6)
+    assert [r["match_id"] for r in season.collect()] == [11]
+    plan = season._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(competition_id" in plan
+    (tmp_path / "c.json").write_text('[{"competition_id": 1, "season_id": 5, "competition_name": "Cup", "season_name": "2001"}]')
+    assert loaders.read_competitions(spark, str(tmp_path / "c.json")).first()["competition_name"] == "Cup"
+    left = readers.with_match_keys(spark.createDataFrame([(10, "Pass")], "match_id long, type string"), matches).first()
+    assert (left["competition_id"], left["season_id"]) == (1, 5)
+
+
+def test_load_game(spark, tmp_path):
+    """Three frames a half; the home side starts the second half on the right, so that half is turned."""
+    head = ",,,Side,,Side,\n,,,1,,,\nPeriod,Frame,Time [s],Player1,,Ball,\n"
+    times = [(1, 1, 0.04), (1, 2, 0.08), (1, 3, 0.12), (2, 4, 0.16), (2, 5, 0.20), (2, 6, 0.24)]
+    for team, xs in (("home", [0.2, 0.2, 0.2, 0.8, 0.8, 0.8]), ("away", [0.7, 0.7, "NaN", 0.3, 0.3, 0.3])):
+        (tmp_path / f"{team}.csv").write_text(head + "".join(f"{p},{f},{s},{x},{'NaN' if x == 'NaN' else 0.25},0.5,{0.5 if f < 6 else 0.25}\n" for (p, f, s), x in zip(times, xs)))
+    names = "Team,Type,Subtype,Period,Start Frame,Start Time [s],End Frame,End Time [s],From,To,Start X,Start Y,End X,End Y\n"
+    (tmp_path / "feed.csv").write_text(names + "Home,PASS,,1,1,0.04,2,0.08,Player1,Player2,0.2,0.25,0.4,0.5\nAway,SHOT,,2,5,0.2,6,0.24,Player3,,0.3,0.25,NaN,NaN\n")
+    paths = [str(tmp_path / f"{n}.csv") for n in ("home", "away", "feed")]
+    game = loaders.load_game(spark, *paths, clean=False)
+    assert game.fps == 25.0 and values(game.turned, "period") == [(2,)]
+    at = {(r["team"], r["frame"]): (r["x"], r["y"]) for r in game.tracking.collect()}
+    assert len(at) == 12 and at["home", 1] == pytest.approx((21, 51)) and at["home", 5] == pytest.approx((21, 17)) and at["away", 3] == (None, None) and at["away", 4] == pytest.approx((73.5, 17))
+    assert {r["frame"]: r["y"] for r in game.ball.collect()} == pytest.approx({1: 34, 2: 34, 3: 34, 4: 34, 5: 34, 6: 17})
+    shot = game.events.where("type = 'SHOT'").first()
+    assert (shot["start_x"], shot["start_y"], shot["end_x"], shot["team"]) == (pytest.approx(73.5), pytest.approx(17), None, "away")
+    assert {r["team"]: (r["squad"], r["same_ball"]) for r in game.quality.collect()} == {"home": (1, True), "away": (1, True)}
+    assert loaders.load_game(spark, *paths).tracking.where("flagged IS NOT NULL").count() == 12
+    text_of_away = (tmp_path / "away.csv").read_text()
+    (tmp_path / "away.csv").write_text(text_of_away.replace("2,6,0.24", "2,7,0.28"))
+    with pytest.raises(ValueError):
+        loaders.load_game(spark, *paths)
+
+
+def test_arcs(spark):
+    arcs = spark.createDataFrame(v.pitch_arcs(), "name string, cx double, cy double, r double, a0 double, a1 double")
+    points = {(r["name"], r["k"]): (r["x"], r["y"]) for r in v.arc_samples(arcs, 5).collect()}
+    assert points["arc_left", 0][0] == pytest.approx(16.5) and points["arc_left", 4][0] == pytest.approx(16.5) and points["arc_left", 2] == pytest.approx((20.15, 34)) and points["arc_right", 2] == pytest.approx((84.85, 34))
+    assert points["circle", 2] == pytest.approx((52.5 + 9.15, 34))
+
+
+def test_headline_and_suspicion(spark):
+    rows = spark.createDataFrame([(0, 0.1, 0.2, 0.3), (1, 0.9, 0.6, 0.7), (0, 0.2, 0.4, 0.1), (1, 0.4, 0.5, 0.8)], "y int, p double, q double, b double")
+    row = m.headline(rows).first()
+    assert row["auc"] == 1.0 and row["n"] == 4 and row["log_loss"] == pytest.approx(-(math.log(0.9) + math.log(0.9) + math.log(0.8) + math.log(0.4)) / 4)
+    told = {r["model"]: r["suspicious"] for r in m.suspicious(rows, "b", ("p", "q")).collect()}
+    loss = lambda ps: -sum(math.log(p if y else 1 - p) for y, p in zip((0, 1, 0, 1), ps)) / 4
+    assert told == {"p": loss([0.1, 0.9, 0.2, 0.4]) < loss([0.3, 0.7, 0.1, 0.8]), "q": False}

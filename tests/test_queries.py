@@ -14,9 +14,6 @@ SF = "/root/testdata/sf0.001"
 OWN = {k: q for c in entry.CATALOGUES for k, q in c.queries.items()}
 SQL = {k: q for c in entry.CATALOGUES for k, q in c.sql.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: A sample of each kind; the driver compares all of them.
-COMPARED = ["player_summary", "shot_features", "score_diff", "freeze_frame", "match_time", "xg_race", "touch_heatmap", "network_degree", "error_report", "auc_exact", "despike", "savgol_speed", "physical_table", "possession", "team_shape", "voronoi", "segments", "segment_quality", "stream_possession"]
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are elsewhere")
 
 
@@ -32,7 +29,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", COMPARED)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, duck, name):
     df = OWN[name](spark, SF)
     rel = duck.sql(SQL[name])
@@ -51,8 +48,43 @@ def test_models(spark):
     rows = s.dataset(ev(spark, SF)).persist()
     folds = ml.grouped_folds(rows, 3)
     assert folds.count() == rows.select("match_id").distinct().count() and folds.select("fold").distinct().count() <= 3
-    model = ml.fit(rows, "logreg_distance", 1.0)
-    near, far = (model.transform(rows.limit(1).drop("distance").selectExpr("*", f"{d}D AS distance")).first()["p"] for d in (5, 40))
-    assert 0 < far < 1 and 0 < near < 1
+    model = ml.fit(rows, "logreg_distance")
+    near, far = (ml.predict_xg(spark.createDataFrame([(120.0 - d, 40.0, 99.0)], "x double, y double, distance double"), model).first()["p"] for d in (5, 40))
+    assert 0 < far < 1 and 0 < near < 1 and near != far  # the distance comes from the place, not from the row
     oof = ml.nested_cv(rows, "constant_rate", 3)
     assert oof.count() == rows.count() and oof.select("fold", "p").distinct().count() <= 3
+    by_tournament = ml.nested_cv(rows, "constant_rate", scheme="competition")
+    assert by_tournament.count() == rows.count() and by_tournament.select("fold").distinct().count() == rows.select("competition_id", "season_id").distinct().count()
+
+
+def test_parameters_are_selected_inside_each_fold(spark, monkeypatch):
+    rows = s.dataset(ev(spark, SF)).persist()
+    seen = []
+    select = ml.select
+
+    def watched(train, *args):
+        seen.append({r["match_id"] for r in train.select("match_id").distinct().collect()})
+        return select(train, *args)
+
+    monkeypatch.setattr(ml, "select", watched)
+    monkeypatch.setitem(ml.GRIDS, "logreg_all", [{"strength": 1e-6}, {"strength": 1.0}])
+    oof = ml.nested_cv(rows, "logreg_all", 2)
+    tested = {r["fold"]: set(r["m"]) for r in oof.groupBy("fold").agg({"match_id": "collect_set"}).toDF("fold", "m").collect()}
+    assert len(seen) == 2 and all(not seen[f] & tested[f] for f in tested)
+    assert {r["params"] for r in oof.select("params").distinct().collect()} <= {'{"strength": 1e-06}', '{"strength": 1.0}'}
+
+
+def test_every_grid_fits(spark):
+    rows = s.dataset(s.dense_freeze_frames(ev(spark, SF))).persist()
+    for name, params in (("gbt", {"depth": 2, "leaf": 5, "rounds": 2}), ("mlp", {"hidden": [4, 3], "iterations": 3}), ("logreg_all", {"strength": 1.0})):
+        model = ml.fit(rows, name, params, freeze=True)
+        assert 0 < model.transform(rows).selectExpr("avg(p)").first()[0] < 1 and {"ff_gk_distance"} <= set(model.scaler.columns)
+
+
+def test_a_column_that_is_constant_within_matches_can_be_important(spark):
+    made = spark.range(2000).selectExpr("id AS idx", "id % 20 AS match_id", "CAST(id % 20 < 10 AS INT) AS is_goal", "CAST(id % 20 < 10 AS DOUBLE) AS distance", "CAST(0 AS INT) AS fold")
+    model = ml.fit(made, "logreg_distance")
+    dealt = ml.shuffled(made, "distance", 1)
+    assert dealt.count() == 2000 and dealt.agg({"distance": "sum"}).first()[0] == 1000 and dealt.columns == made.columns
+    assert 800 < dealt.where("distance = is_goal").count() < 1200
+    assert ml.permutation_importance(model, made, ("distance",), repeats=2).first()["increase"] > 0.5
