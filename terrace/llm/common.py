@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 T = TypeVar("T")
 #: ASCII white space as the contracts define it.
 WS = r"[\x20\x09-\x0D]"
-#: log2 of the bits of the smallest and of the largest bitmap (16 MB of bits, some 80 MB as a broadcast table).
-LEAST_LOG2, MOST_LOG2 = 16, 27
+#: log2 of the bits of the smallest and of the largest bitmap (16 MB, as a broadcast table little more), and numbers of 64 bits in a row of it.
+LEAST_LOG2, MOST_LOG2, LANES = 16, 27, 64
 #: Bytes, before compression, from which a scratch table gets another file.
 FILE_BYTES = 4 << 20
 
@@ -60,7 +60,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, row_bytes: in
 
 @dataclass(frozen=True)
 class Bitmap:
-    """Bits of hashes of keys, 64 to a row (bm_word, bm_bits): 2 ** (log2_bits - 6) rows at most, which makes it safe to broadcast."""
+    """Bits of hashes of keys, LANES numbers of 64 bits to a row (bm_word, bm_bits): of bounded size, which makes it safe to broadcast."""
 
     table: DataFrame
     log2_bits: int
@@ -78,12 +78,10 @@ def written_bitmap(keys: DataFrame, key: str, rows: int | None = None) -> Bitmap
     """
     log2_bits = log2_bits_for(keys.count() if rows is None else rows)
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2_bits))
-    bits = (
-        keys.select(bit.alias("b"))
-        .groupBy(F.shiftrightunsigned("b", 6).alias("bm_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bm_bits"))
-    )
-    return Bitmap(materialize(bits, "bitmap", 1 << (log2_bits - 6), 16), log2_bits)
+    words = keys.select(bit.alias("b")).groupBy(F.shiftrightunsigned("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 63 AS INT))")).alias("bits"))
+    lanes = [F.coalesce(F.max(F.when(F.col("w") % LANES == k, F.col("bits"))), F.lit(0)) for k in range(LANES)]
+    table = words.groupBy(F.floor(F.col("w") / LANES).alias("bm_word")).agg(F.array(*lanes).alias("bm_bits"))
+    return Bitmap(materialize(table, "bitmap", (1 << log2_bits) // (64 * LANES), 8 * LANES), log2_bits)
 
 
 def with_suspicion(df: DataFrame, key: str, bits: Bitmap, name: str) -> DataFrame:
@@ -91,10 +89,10 @@ def with_suspicion(df: DataFrame, key: str, bits: Bitmap, name: str) -> DataFram
     word, held, bit = (f"{part}_{uuid.uuid4().hex}" for part in ("word", "held", "bit"))
     table = bits.table.select(F.col("bm_word").alias(word), F.col("bm_bits").alias(held))
     kept = [F.col(f"`{c}`") for c in df.columns]
-    hit = F.expr(f"(shiftrightunsigned({held}, CAST({bit} & 63 AS INT)) & 1) = 1")
+    hit = F.expr(f"(shiftrightunsigned(get({held}, CAST(shiftrightunsigned({bit}, 6) % {LANES} AS INT)), CAST({bit} & 63 AS INT)) & 1) = 1")
     return (
         df.withColumn(bit, F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits.log2_bits)))
-        .join(F.broadcast(table), F.shiftrightunsigned(F.col(bit), 6) == F.col(word), "left")
+        .join(F.broadcast(table), F.floor(F.col(bit) / (64 * LANES)) == F.col(word), "left")
         .select(*kept, F.coalesce(hit, F.lit(False)).alias(name))
     )
 

@@ -133,12 +133,12 @@ def _windows(hits: DataFrame) -> DataFrame:
     return placed.where(enough).select("doc_id", "row_hash", "n_words", "k", "start", "low", "high")
 
 
-def _printed(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``windows`` with fp, by running counts of bits over the parts of the texts that windows cover; only texts with windows are moved."""
+def _printed(docs: DataFrame, windows: DataFrame, rows: int) -> DataFrame:
+    """``windows`` (some ``rows``) with fp, by running counts of bits over the parts of the texts that windows cover; only texts with windows are moved."""
     of_text = Window.partitionBy("doc_id", "row_hash", "k").orderBy("low", "high")
     reached = F.max("high").over(of_text.rowsBetween(Window.unboundedPreceding, -1))
     parted = windows.withColumn("opens", F.when(reached >= F.col("low"), 0).otherwise(1)).withColumn("part", F.sum("opens").over(of_text.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
-    parted = common.materialize(parted, "parted-windows")
+    parted = common.materialize(parted, "parted-windows", rows)
     parts = parted.groupBy("doc_id", "row_hash", "k", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     asked = parts.groupBy(F.col("doc_id").alias("d2"), F.col("row_hash").alias("h2"), "k").agg(F.collect_list(F.struct("part", "low", "high")).alias("asked"))
     held = common.written_bitmap(asked.select("h2").distinct(), "h2")
@@ -155,8 +155,8 @@ def _printed(docs: DataFrame, windows: DataFrame) -> DataFrame:
     ends = [parted.select("doc_id", "row_hash", "k", "part", (at - 1).cast("int").alias("pos"), F.lit(sign).alias("sign"), "n_words", "start", size.cast("int").alias("n"), none.cast("bigint").alias("h")) for at, sign in ((F.col("high"), 1), (F.col("low"), -1))]
     # At one place the hash counts first, then windows that end there are read.
     order = Window.partitionBy("doc_id", "row_hash", "k", "part").orderBy("pos", F.col("h").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = places.unionByName(ends[0]).unionByName(ends[1])
-    running = rows.select("doc_id", "row_hash", "k", "part", "pos", "sign", "n_words", "start", "n", "h", *[F.coalesce(c, F.lit(0)).alias(f"b{j}") for j, c in enumerate(_bit_counts("h"))])
+    events = places.unionByName(ends[0]).unionByName(ends[1])
+    running = events.select("doc_id", "row_hash", "k", "part", "pos", "sign", "n_words", "start", "n", "h", *[F.coalesce(c, F.lit(0)).alias(f"b{j}") for j, c in enumerate(_bit_counts("h"))])
     running = running.select("doc_id", "row_hash", "k", "sign", "n_words", "start", "n", *[F.sum(f"b{j}").over(order).alias(f"r{j}") for j in range(LANES)]).where("sign <> 0")
     sums = running.groupBy("doc_id", "row_hash", "k", "n_words", "start", "n").agg(*[F.sum(F.col("sign") * F.col(f"r{j}")).alias(f"s{j}") for j in range(LANES)])
     return sums.select("doc_id", "row_hash", "k", "n_words", "start", "n", _print(F.col("n")).alias("fp"))
@@ -164,7 +164,7 @@ def _printed(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 def _near(prints: DataFrame, items: DataFrame) -> DataFrame:
     """(p_words, p_fp, item) of the windows' fingerprints and items of one length within RADIUS bits."""
-    listed = common.materialize(_with_flips(items), "item-blocks")
+    listed = common.materialize(_with_flips(items), "item-blocks", 10_068 * items.count(), 16)
     distinct = prints.select("n_words", "fp").distinct()
     asked = distinct.select("n_words", "fp", F.explode(_blocks("fp")).alias("b")).select(F.col("n_words").alias("p_words"), F.col("fp").alias("p_fp"), F.col("b.block").alias("p_block"), F.col("b.key").alias("p_key"))
     met = asked.join(listed, (F.col("p_words") == F.col("n_words")) & (F.col("p_block") == F.col("block")) & (F.col("p_key") == F.col("key")))
@@ -200,17 +200,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Of equally similar windows it is the first; start_word counts from 0.
     """
-    lists = common.materialize(_items(benchmark), "item-lists")
+    n = benchmark.count()
+    lists = common.materialize(_items(benchmark), "item-lists", n, 2048)
     prints = simhash(lists, "item").select(F.col("item").alias("i2"), "fp")
-    items = common.materialize(lists.join(prints, F.col("item") == F.col("i2")).drop("i2"), "items")
+    items = common.materialize(lists.join(prints, F.col("item") == F.col("i2")).drop("i2"), "items", n, 2048)
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # SHINGLE numbers at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long")
-    shingles = common.materialize(items.select("n_words", "k", F.explode("hashes").alias("h")).distinct(), "item-shingles")
+    shingles = common.materialize(items.select("n_words", "k", F.explode("hashes").alias("h")).distinct(), "item-shingles", 64 * n)
     hits = common.materialize(_hits(docs, shingles, sizes), "item-hits")
-    windows = common.materialize(_printed(docs, _windows(hits)), "window-prints")
-    near = common.materialize(_near(windows, items), "near-prints")
-    candidates = common.materialize(windows.join(near, (F.col("n_words") == F.col("p_words")) & (F.col("fp") == F.col("p_fp"))).select("doc_id", "row_hash", "item", "n_words", "k", "start", "n"), "candidates")
+    rows = hits.count()  # windows with enough hits are fewer
+    windows = common.materialize(_printed(docs, _windows(hits), rows), "window-prints", rows)
+    near = common.materialize(_near(windows, items), "near-prints", rows)
+    candidates = common.materialize(windows.join(near, (F.col("n_words") == F.col("p_words")) & (F.col("fp") == F.col("p_fp"))).select("doc_id", "row_hash", "item", "n_words", "k", "start", "n"), "candidates", rows)
     # Documents with an id are told apart by it, the others by their text.
     nameless = F.when(F.col("doc_id").isNull(), F.col("row_hash"))
     first = F.struct("similarity", -F.col("start"))

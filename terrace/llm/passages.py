@@ -199,10 +199,14 @@ def _asked_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (key, kind), sorted, whose key has several kinds; n numbers the rows of a key."""
+    """Rows of (key, kind), sorted, whose key has several kinds; repeated rows are one, and n numbers the rows of a key."""
     last_key, last_kind, n = None, None, 0
     for batch in batches:
         key, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        if not len(key):
+            continue
+        new = np.concatenate([[(last_key, last_kind) != (key[0], kind[0])], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])])
+        key, kind = key[new], kind[new]
         if not len(key):
             continue
         before = np.concatenate([[last_key == key[0]], key[1:] == key[:-1]])
@@ -268,9 +272,8 @@ def _rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def paragraph_links(docs: DataFrame, units: DataFrame) -> DataFrame:
     """(a, b): links between kinds of paragraphs of SIMILARITY or more."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    of_kind = units.where(F.col("unit") == PARAGRAPH).groupBy("kind").agg(F.min(F.struct("doc_id", "at", "size")).alias("holder"), F.any_value("bands").alias("bands"))
-    of_kind = common.materialize(of_kind, "paragraph-kinds")
-    keyed = of_kind.select(F.explode("bands").alias("key"), "kind")
+    paragraphs = units.where(F.col("unit") == PARAGRAPH)
+    keyed = paragraphs.select(F.explode("bands").alias("key"), "kind")
     shared = common.materialize(keyed.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(_shared, "key long, kind long, n long"), "shared-bands")
     rows = shared.count()
     sizes = shared.groupBy("key").agg(F.max("n").alias("last")).where(F.col("last") >= BLOCK).select(F.col("key").alias("wide_key"), F.ceil(2 * F.col("last") / BLOCK).cast("int").alias("blocks"))
@@ -281,8 +284,9 @@ def paragraph_links(docs: DataFrame, units: DataFrame) -> DataFrame:
         .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "asked")
     )
     # One holder of each kind that has company shows its shingles; only such holders' texts are moved.
-    wanted = shared.select(F.col("kind").alias("w")).distinct()
-    holders = of_kind.drop("bands").join(wanted, F.col("kind") == F.col("w"), "left_semi").select("kind", "holder.*")
+    wanted = common.materialize(shared.select(F.col("kind").alias("w")).distinct(), "wanted-kinds", rows, 8)
+    held = common.with_suspicion(paragraphs.drop("bands"), "kind", common.written_bitmap(wanted, "w"), "suspect").where("suspect")
+    holders = held.groupBy("kind").agg(F.min(F.struct("doc_id", "at", "size")).alias("holder")).join(wanted, F.col("kind") == F.col("w"), "left_semi").select("kind", "holder.*")
     asked = common.materialize(holders.groupBy(F.col("doc_id").alias("d2")).agg(F.collect_list(F.struct("kind", "at", "size")).alias("asked")), "asked-paragraphs", rows)
     doc_bits = common.written_bitmap(asked, "d2")
     texts = common.with_suspicion(docs, "doc_id", doc_bits, "suspect").where("suspect").join(asked, F.col("doc_id") == F.col("d2"))

@@ -3,7 +3,9 @@
 import itertools
 import random
 
-from terrace.llm import near_copies
+import pyarrow as pa
+
+from terrace.llm import near_copies, passages
 
 from .test_operators import brute_fingerprint, words
 
@@ -52,3 +54,17 @@ def test_near_copies(spark, monkeypatch):
     assert got.columns == df.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == want
     assert near_copies.dedup(df.limit(0)).count() == 0
+
+
+def test_shared_rows_in_any_batches():
+    rng = random.Random(2)
+    rows = sorted((rng.randint(0, 30), rng.randint(0, 6)) for _ in range(120)) + [(50, 1), (50, 1), (51, 1), (51, 2)]
+    kinds: dict[int, list[int]] = {}
+    for key, kind in rows:
+        if kind not in kinds.setdefault(key, []):
+            kinds[key].append(kind)
+    want = [(key, kind, n) for key, k in kinds.items() if len(k) > 1 for n, kind in enumerate(k)]
+    for size in (1, 2, 3, 7, 200):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at : at + size]], pa.int64()) for c in (0, 1)], ["key", "kind"]) for at in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in passages._shared(iter(batches)) for r in b.to_pylist()]
+        assert got == want
