@@ -22,7 +22,7 @@ def _stream(spark, sf_dir) -> DataFrame:
 def stream_event_windows(spark, sf_dir):
     path = shared_path(spark, "windows")
     windows.run_to_table(windows.counts_by_window(_stream(spark, sf_dir)), path)
-    return spark.read.parquet(f"{path}/table").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return windows.result_of(spark, path).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @cat.add("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events),
@@ -38,4 +38,4 @@ def stream_possession(spark, sf_dir):
     kind = F.when(F.col("event_type") == "signup", "BALL OUT").when(F.col("event_type") == "view", "CHALLENGE").otherwise("PASS")
     rows = _stream(spark, sf_dir).select(F.floor(F.col("event_id") / 2000).cast("int").alias("game"), F.col("event_id").alias("seq"), kind.alias("type"), F.when(F.col("user_id") % 20 < 10, "home").otherwise("away").alias("team"))
     windows.run_to_table(windows.live_possession(rows), path, "append")
-    return spark.read.parquet(f"{path}/table")
+    return windows.result_of(spark, path)

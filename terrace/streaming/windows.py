@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,9 +41,17 @@ def live_possession(feed: DataFrame) -> DataFrame:
 
 
 def run_to_table(stream: DataFrame, path: str, mode: str = "complete") -> None:
-    """Run a stream over what its source holds now and leave its result as a table at ``path``."""
+    """Run a stream over what its source holds now, from where an earlier run at ``path`` ended, and leave its result as a table there.
+
+    A batch that runs again after a failure replaces what it had written.
+    """
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/table")
+        batch.write.mode("overwrite").parquet(f"{path}/table/of={0 if mode == 'complete' else number}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+
+
+def result_of(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``run_to_table`` has left."""
+    return spark.read.parquet(f"{path}/table").drop("of")
