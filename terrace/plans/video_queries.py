@@ -9,7 +9,7 @@ from ..functions import geometry as g
 from ..operators import report
 from ..operators import video as v
 from ..sources import readers
-from ..sources.projections import table
+from ..sources.projections import TRK, table, trk
 from ..sources.scratch import shared_path
 from .catalogue import Catalogue, rounded
 from .match_queries import SHOTS, shots_of
@@ -224,12 +224,13 @@ def line_samples(spark, sf_dir):
     return rounded(v.line_samples(rows, 5).select(F.col("name").alias("line"), "k", "x", "y"))
 
 
-@cat.add(f"{W} SELECT 'colours' AS section, CAST(segment AS VARCHAR) AS subject, count(*) FILTER (\"L\" IS NOT NULL) AS n FROM det GROUP BY segment UNION ALL SELECT 'teams', team, count(DISTINCT segment*100+track_id) FROM pos WHERE track_id>=0 GROUP BY team")
+@cat.add(f"{W} SELECT 'colours' AS section, CAST(segment AS VARCHAR) AS subject, count(*) FILTER (\"L\" IS NOT NULL) AS n FROM det GROUP BY segment UNION ALL SELECT 'teams', team, count(DISTINCT segment*100+track_id) FROM pos WHERE track_id>=0 GROUP BY team UNION ALL SELECT 'tracking', team, count(x) FROM ({TRK}) GROUP BY team")
 def report_tables(spark, sf_dir):
     """Sections of a report under each other, each with its name in front."""
     colours = detections(spark, sf_dir).groupBy(F.col("segment").cast("string").alias("subject")).agg(F.count("L").alias("n")).select(F.lit("colours").alias("section"), "subject", "n")
     teams = positions(spark, sf_dir).where("track_id >= 0").groupBy(F.col("team").alias("subject")).agg(F.count_distinct("segment", "track_id").alias("n")).select(F.lit("teams").alias("section"), "subject", "n")
-    return colours.unionByName(teams)
+    tracking = trk(spark, sf_dir).groupBy(F.col("team").alias("subject")).agg(F.count("x").alias("n")).select(F.lit("tracking").alias("section"), "subject", "n")
+    return colours.unionByName(teams).unionByName(tracking)
 
 
 @cat.add(f"""{SHOTS} SELECT team, '{{"team":"'||team||'","shots":'||count(*)||',"goals":'||sum(is_goal)||'}}' AS document FROM sx GROUP BY team""")

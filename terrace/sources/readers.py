@@ -26,8 +26,8 @@ def ensure_columns(events: DataFrame) -> DataFrame:
 
 
 def write_by_match(events: DataFrame, path: str, keys: tuple[str, ...] = ("match_id",)) -> None:
-    """The cache table: a folder per key, so that a filter on a key reads its files only."""
-    events.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+    """The cache table: a folder per key, so that a filter on a key reads its files only. Rows are dealt by key; Spark splits a key of very many rows at run time."""
+    events.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
 def season(matches: DataFrame, competition_id: int, season_id: int) -> DataFrame:

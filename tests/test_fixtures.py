@@ -234,6 +234,8 @@ def test_settings_and_seasons(spark, tmp_path):
     matches = spark.createDataFrame([(10, 1, 5), (11, 1, 6), (12, 2, 5), (13, 3, 5)], "match_id long, competition_id long, season_id long")
     assert {r["match_id"] for r in loaders.configured_matches(matches, seasons).collect()} == {10, 12}
     readers.write_by_match(matches, str(tmp_path / "t"), ("competition_id", "season_id"))
+    readers.write_by_match(spark.range(1000).selectExpr("id", "id % 2 AS match_id"), str(tmp_path / "split"))
+    assert spark.read.parquet(str(tmp_path / "split")).count() == 1000
     season = loaders.read_season(spark, str(tmp_path / "t"), 1, 6)
     assert [r["match_id"] for r in season.collect()] == [11]
     plan = season._jdf.queryExecution().executedPlan().toString()
