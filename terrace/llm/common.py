@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -11,6 +10,8 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_path
+
 T = TypeVar("T")
 #: ASCII white space as the contracts define it.
 WS = r"[\x20\x09-\x0D]"
@@ -24,22 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local
-    session gets a temporary folder of its own and any other session is refused,
-    since executors don't see the driver's local folders.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="terrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def materialize(df: DataFrame, name: str, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lost executors then cost a re-read, not a recomputation.
 
@@ -47,7 +32,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None, row_bytes: in
     fewer files after it is made, so that the work itself keeps its partitions.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     if rows is not None:
         files = 1 + rows * row_bytes // FILE_BYTES
         if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
