@@ -16,7 +16,7 @@ T = TypeVar("T")
 #: ASCII white space as the contracts define it.
 WS = r"[\x20\x09-\x0D]"
 #: log2 of the bits of the smallest and of the largest bitmap (16 MB, as a broadcast table little more), and numbers of 64 bits in a row of it.
-LEAST_LOG2, MOST_LOG2, LANES = 16, 27, 64
+LEAST_LOG2, MOST_LOG2, LANES = 16, 27, 16
 #: Bytes, before compression, from which a scratch table gets another file.
 FILE_BYTES = 4 << 20
 

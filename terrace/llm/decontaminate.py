@@ -55,13 +55,15 @@ def _bit_counts(h: str) -> list[Column]:
 
 def _print(size: Column) -> Column:
     """Bits that are set in over half of ``size`` hashes, from the sums s0, s1, ... of their bit counts."""
-    found = []
-    for j in range(LANES):
-        for count, bit in ((F.col(f"s{j}").bitwiseAND(F.lit((1 << 32) - 1)), 1 << j), (F.shiftrightunsigned(F.col(f"s{j}"), 32), 1 << (j + 32))):
-            found.append(F.when(2 * count > size, F.lit(bit - (1 << 64) if bit >> 63 else bit)).otherwise(F.lit(0).cast("bigint")))
-    while len(found) > 1:
-        found = [x.bitwiseOR(y) for x, y in zip(found[::2], found[1::2])]
-    return found[0]
+    sums = F.array(*[F.col(f"s{j}") for j in range(LANES)])
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def bits(s: Column, j: Column) -> Column:
+        low = F.when(2 * s.bitwiseAND(F.lit((1 << 32) - 1)) > size, F.call_function("shiftleft", one, j)).otherwise(none)
+        high = F.when(2 * F.shiftrightunsigned(s, 32) > size, F.call_function("shiftleft", one, j + LANES)).otherwise(none)
+        return low.bitwiseOR(high)
+
+    return F.aggregate(F.transform(sums, bits), none, lambda a, b: a.bitwiseOR(b))
 
 
 def simhash(lists: DataFrame, *keys: str) -> DataFrame:

@@ -28,7 +28,7 @@ WINDOW, HIDDEN = 128, 8
 #: Bound of the training sample: windows of each language. Steps, windows in a step, and bytes of a training window.
 TRAIN_ROWS, STEPS, BATCH, TRAIN_BYTES = 1500, 240, 64, 64
 #: Windows that are run together when predicting.
-TOGETHER = 2048
+TOGETHER = 1024
 #: The least score with which filtering keeps a document.
 LEAST_SCORE = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
