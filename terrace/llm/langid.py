@@ -214,7 +214,8 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = common.worker_cache("langid", lambda: model.value)
+        common.worker_cache("langid", dict)  # other operators' tables go
+        net = model.value
         for batch in batches:
             texts = batch.column(1)
             known = np.array([bool(net) and v.is_valid and _LETTER.search(v.as_py()) is not None for v in texts], bool)
