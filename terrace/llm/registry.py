@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_chunks, golay, hmm, langid, line_bloom, passages, pii, url_reputation
+from . import bpe, decontaminate, exact_chunks, golay, hmm, infilling, jaccard_join, langid, line_bloom, passages, periodic_runs, pii, url_reputation
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_window_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def op11_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op12_rotated_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_frequency_split_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_term_disclosure": op1_term_disclosure,
     "op2_hidden_markov": op2_hidden_markov,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_golay_simhash": op8_golay_simhash,
     "op9_line_bloom": op9_line_bloom,
     "op10_window_simhash": op10_window_simhash,
+    "op11_multi_order_jaccard": op11_multi_order_jaccard,
+    "op12_rotated_infilling": op12_rotated_infilling,
+    "op13_frequency_split_runs": op13_frequency_split_runs,
 }
 
 SQL: dict[str, str] = {
@@ -131,4 +146,13 @@ sd AS (SELECT doc_id, wc.item_id, start, n - k + 1 + least(start + n - k, size -
 sim AS (SELECT doc_id, item_id, start - 1 AS start, shared / (total - shared)::DOUBLE AS similarity FROM sd)
 SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(greatest(arg_max(start, (similarity, -start)), 0) AS BIGINT) AS start_word
 FROM sim WHERE similarity >= 0.8e0 GROUP BY doc_id, item_id""",
+    "op12_rotated_infilling": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, ('0x' || d[1:8])::BIGINT % (n + 1) AS c1, ('0x' || d[9:16])::BIGINT % (n + 1) AS c2, ('0x' || d[17:24])::BIGINT % 100 AS h3, ('0x' || d[25:32])::BIGINT % 100 AS h4 FROM t),
+f AS (SELECT *, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             least(c1, c2) AS x, greatest(c1, c2) AS y FROM h),
+p AS (SELECT *, substring(text, 1, x) AS a, substring(text, x + 1, y - x) AS b, substring(text, y + 1) AS c FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || c || '<P>' || a || '<M>' || b ELSE '<P>' || a || '<S>' || c || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
 }
