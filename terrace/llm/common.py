@@ -82,19 +82,28 @@ def with_suspicion(df: DataFrame, key: str, bits: Bitmap, name: str) -> DataFram
     )
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``dropped`` (one column, doc_id), which is written first.
+def row_hash(text: str = "text") -> Column:
+    """With doc_id, what tells a row from others of its id; null counts as empty."""
+    return F.xxhash64(text_or_empty(text))
 
-    Rows that the bitmap clears stay where they are; only suspects, texts included, are shuffled for the exact
-    anti join. Null ids stay.
+
+def without_rows(docs: DataFrame, gone: DataFrame, mark: Column | None = None) -> DataFrame:
+    """``docs`` less the rows whose doc_id and mark (by default row_hash) are in ``gone``, a table of those two columns, which is written first.
+
+    Null ids are equal to each other. Rows whose id and mark the bitmap clears stay where they are; only suspects, texts included, are
+    shuffled for the exact anti join.
     """
-    dropped = materialize(dropped, "dropped-ids", docs.count(), 16)
-    bits = written_bitmap(dropped, "doc_id")
-    suspect, gone = (f"{part}_{uuid.uuid4().hex}" for part in ("suspect", "gone"))
+    of_doc, of_mark = gone.columns
+    gone = materialize(gone.distinct(), "dropped-rows", docs.count(), 24)
+    suspect, held, key, gone_id, gone_mark = (f"{part}_{uuid.uuid4().hex}" for part in ("suspect", "held", "key", "id", "mark"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    marked = with_suspicion(docs, "doc_id", bits, suspect)
+    mark = row_hash() if mark is None else mark
+    bits = written_bitmap(gone.select(F.xxhash64(F.col(of_doc).cast("long"), of_mark).alias(key)), key)
+    marked = docs.withColumn(held, mark)
+    marked = with_suspicion(marked.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), held)), key, bits, suspect)
     clear = marked.where(~F.col(suspect)).select(*cols)
-    checked = marked.where(F.col(suspect)).join(dropped.select(F.col("doc_id").alias(gone)), F.col("doc_id") == F.col(gone), "left_anti").select(*cols)
+    dropped = gone.select(F.col(of_doc).alias(gone_id), F.col(of_mark).alias(gone_mark))
+    checked = marked.where(F.col(suspect)).join(dropped, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(held) == F.col(gone_mark)), "left_anti").select(*cols)
     return clear.unionByName(checked)
 
 

@@ -197,32 +197,38 @@ def _similar(candidates: DataFrame, hits: DataFrame, items: DataFrame) -> DataFr
     return near.select("doc_id", "row_hash", "item", F.col("x").alias("start"), (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity, start_word): the most similar window of each document for each item that it holds.
-
-    Of equally similar windows it is the first; start_word counts from 0.
-    """
+def similar_windows(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_hash, item, start, similarity): windows of SIMILARITY or more, and (item, words) of the items that they are of."""
     n = benchmark.count()
     lists = common.materialize(_items(benchmark), "item-lists", n, 2048)
     prints = simhash(lists, "item").select(F.col("item").alias("i2"), "fp")
     items = common.materialize(lists.join(prints, F.col("item") == F.col("i2")).drop("i2"), "items", n, 2048)
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # SHINGLE numbers at most
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start_word long")
+        return docs.sparkSession.createDataFrame([], "doc_id long, row_hash long, item long, start int, similarity double"), items.select("item", "words")
     shingles = common.materialize(items.select("n_words", "k", F.explode("hashes").alias("h")).distinct(), "item-shingles", 64 * n)
     hits = common.materialize(_hits(docs, shingles, sizes), "item-hits")
     rows = hits.count()  # windows with enough hits are fewer
     windows = common.materialize(_printed(docs, _windows(hits), rows), "window-prints", rows)
     near = common.materialize(_near(windows, items), "near-prints", rows)
     candidates = common.materialize(windows.join(near, (F.col("n_words") == F.col("p_words")) & (F.col("fp") == F.col("p_fp"))).select("doc_id", "row_hash", "item", "n_words", "k", "start", "n"), "candidates", rows)
+    return _similar(candidates, hits, items), items.select("item", "words")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, similarity, start_word): the most similar window of each document for each item that it holds.
+
+    Of equally similar windows it is the first; start_word counts from 0.
+    """
+    found, items = similar_windows(docs, benchmark)
     # Documents with an id are told apart by it, the others by their text.
     nameless = F.when(F.col("doc_id").isNull(), F.col("row_hash"))
     first = F.struct("similarity", -F.col("start"))
-    best = _similar(candidates, hits, items).groupBy("doc_id", nameless.alias("nameless"), "item").agg(F.max("similarity").alias("similarity"), F.greatest(F.max_by("start", first), F.lit(0)).cast("long").alias("start_word"))
-    ids = benchmark.select("item_id", _words().alias("id_words")).join(items.select("item", "words"), F.col("id_words") == F.col("words")).select("item_id", F.col("item").alias("kind"))
+    best = found.groupBy("doc_id", nameless.alias("nameless"), "item").agg(F.max("similarity").alias("similarity"), F.greatest(F.max_by("start", first), F.lit(0)).cast("long").alias("start_word"))
+    ids = benchmark.select("item_id", _words().alias("id_words")).join(items, F.col("id_words") == F.col("words")).select("item_id", F.col("item").alias("kind"))
     return best.join(ids, F.col("item") == F.col("kind")).select("doc_id", "item_id", "similarity", "start_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all columns stay, and so do rows without an id."""
-    return common.without_ids(docs, leaks(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct())
+    """``docs`` without the rows that hold a benchmark item, those without an id too; all columns stay."""
+    return common.without_rows(docs, similar_windows(docs, benchmark)[0].select("doc_id", "row_hash"))

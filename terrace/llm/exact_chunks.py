@@ -92,7 +92,6 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents of which an equal one has a smaller doc_id; all columns stay."""
-    gone = copies(docs).where(~F.col("kept")).select("doc_id")
-    kept_ids = gone.where(F.col("doc_id").isNotNull())
-    return common.without_ids(docs, kept_ids)
+    """``docs`` without the rows that ``copies`` doesn't keep: those of which an equal text has a smaller doc_id, rows without an id among them. All columns stay."""
+    gone = copies(docs).where(~F.col("kept")).select("doc_id", "text_sha256")
+    return common.without_rows(docs, gone, F.sha2(normalised(common.text_or_empty()), 256))

@@ -31,7 +31,13 @@ TRAIN_ROWS, STEPS, BATCH, TRAIN_BYTES = 1500, 240, 64, 64
 TOGETHER = 1024
 #: The least score with which filtering keeps a document.
 LEAST_SCORE = 0.4
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that aren't decimal digits, which the next test tells apart.
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode category of letters is in the text."""
+    return any(m.group().isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -209,6 +215,18 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, offsets[:-1], np.diff(offsets)
 
 
+def labelled(net: Network | None, texts: pa.Array) -> tuple[list[str], list[float]]:
+    """Each text's language and score; ``und`` and 0 for null, texts without a letter, and without a network."""
+    known = np.array([bool(net) and v.is_valid and has_letter(v.as_py()) for v in texts], bool)
+    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    if known.any():
+        data, starts, sizes = _bytes_of(texts)
+        p = pooled(net, data, starts[known], sizes[known])
+        for row, best, score in zip(np.flatnonzero(known), p.argmax(axis=1), p.max(axis=1)):
+            langs[row], scores[row] = net.langs[best], float(min(1.0, score))
+    return langs, scores
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score of each row; from the text alone."""
     model = docs.sparkSession.sparkContext.broadcast(net)
@@ -217,14 +235,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
         common.worker_cache("langid", dict)  # other operators' tables go
         net = model.value
         for batch in batches:
-            texts = batch.column(1)
-            known = np.array([bool(net) and v.is_valid and _LETTER.search(v.as_py()) is not None for v in texts], bool)
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            if known.any():
-                data, starts, sizes = _bytes_of(texts)
-                p = pooled(net, data, starts[known], sizes[known])
-                for row, best, score in zip(np.flatnonzero(known), p.argmax(axis=1), p.max(axis=1)):
-                    langs[row], scores[row] = net.langs[best], float(min(1.0, score))
+            langs, scores = labelled(net, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -237,6 +248,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that are ``und`` or score below LEAST_SCORE; all columns stay, and so do rows without an id."""
-    gone = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE))
-    return common.without_ids(docs, gone.where("doc_id IS NOT NULL").select("doc_id").distinct())
+    """``docs`` without the rows that are ``und`` or score below LEAST_SCORE, each judged by itself in one pass; all columns stay."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_cache("langid", dict)
+        for batch in batches:
+            texts = batch.column(at)
+            langs, scores = labelled(model.value, texts if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type) else texts.cast(pa.string()))
+            yield batch.filter(pa.array([lang != "und" and score >= LEAST_SCORE for lang, score in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,8 +11,8 @@ Documents of equal sets are one kind, and only kinds are compared. A band or a c
 blocks, each pair of blocks compared by itself; links return as forests, never as all pairs.
 
 Cases: null and empty texts and those of white space have the empty set, and are copies of each other; fewer words than a shingle make
-one shingle; repeated rows are one kind; a row without an id ties others together, but is never named or dropped; all columns
-stay; an empty table gives no rows.
+one shingle; repeated rows are one kind; a row without an id ties others together and counts as the largest; rows of one id are rows of their own;
+all columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,7 +74,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kinds.append(kind_of(values))
             sketches.append(marks)
             bands.append(keys)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "kind", "sketch", "bands"])
+        columns = [batch.column(0), batch.column(2), pa.array(kinds, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "kind", "sketch", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,18 +139,19 @@ def verified_links(texts: DataFrame, sketched: DataFrame, kinds: DataFrame) -> D
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, component_id (smallest doc_id reachable over links)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = common.materialize(texts.mapInArrow(_sketched, "doc_id long, kind long, sketch binary, bands array<long>"), "sketches")
+    """One row per row of ``docs``: doc_id, row_hash, component_id (smallest doc_id reachable over links; null if no row of the component has an id)."""
+    last = F.lit((1 << 63) - 1)  # for rows without an id
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketched = common.materialize(texts.withColumn("row_hash", common.row_hash()).mapInArrow(_sketched, "doc_id long, row_hash long, kind long, sketch binary, bands array<long>"), "sketches")
     n = sketched.count()
     kinds = common.materialize(sketched.groupBy("kind").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")), "copies-kinds", n)
     tied = components(verified_links(texts, sketched, kinds))
     labelled = common.materialize(kinds.join(tied, F.col("kind") == F.col("node"), "left").select("kind", "least", F.coalesce("component", "kind").alias("root")), "labelled-kinds", n)
     named = common.materialize(labelled.groupBy(F.col("root").alias("named")).agg(F.min("least").alias("component_id")), "named-kinds", n)
     of_kind = common.materialize(labelled.join(named, F.col("root") == F.col("named")).select(F.col("kind").alias("key_kind"), "component_id"), "kind-components", n)
-    return sketched.join(of_kind, F.col("kind") == F.col("key_kind")).select("doc_id", "component_id")
+    return sketched.join(of_kind, F.col("kind") == F.col("key_kind")).select(F.nullif("doc_id", last).alias("doc_id"), "row_hash", F.nullif("component_id", last).alias("component_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the smallest doc_id of each component; all columns stay, and so do rows without an id."""
-    return common.without_ids(docs, near_copies(docs).where("doc_id <> component_id").select("doc_id"))
+    """``docs`` with only the smallest doc_id of each component; all columns stay. Rows without an id stay only where the whole component has none."""
+    return common.without_rows(docs, near_copies(docs).where("NOT doc_id <=> component_id").select("doc_id", "row_hash"))

@@ -165,9 +165,9 @@ def band_keys(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "unit", "at", "size", "kind", "proof", "bands"]
+    names = ["doc_id", "row_hash", "unit", "at", "size", "kind", "proof", "bands"]
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
         for texts in texts_of(batch.column(1)):
             values = shingles(texts.hashes)
             first = np.concatenate([np.zeros(texts.row, np.int64), np.cumsum(texts.counts) - texts.counts])
@@ -176,8 +176,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(found)
                 keys = band_keys(values, found.start, found.size - SHINGLE + 1).view(np.int64).ravel() if n and unit == PARAGRAPH else np.empty(0, np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BANDS if len(keys) else 0), pa.int32()), pa.array(keys))
-                numbers = (ids[found.row], np.full(n, unit), found.start - first[found.row], found.size, found.kind.view(np.int64), found.proof.view(np.int64))
-                kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64)
+                numbers = (ids[found.row], marks[found.row], np.full(n, unit), found.start - first[found.row], found.size, found.kind.view(np.int64), found.proof.view(np.int64))
+                kinds = (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(k)) for c, k in zip(numbers, kinds)), bands], names)
 
 
@@ -273,7 +273,7 @@ def paragraph_links(docs: DataFrame, units: DataFrame) -> DataFrame:
     """(a, b): links between kinds of paragraphs of SIMILARITY or more."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     paragraphs = units.where(F.col("unit") == PARAGRAPH)
-    keyed = paragraphs.select(F.explode("bands").alias("key"), "kind")
+    keyed = paragraphs.select(F.explode("bands").alias("key"), "kind").distinct()  # copies of a paragraph are one row of each band
     shared = common.materialize(keyed.repartition(n, "key").sortWithinPartitions("key", "kind").mapInArrow(_shared, "key long, kind long, n long"), "shared-bands")
     rows = shared.count()
     sizes = shared.groupBy("key").agg(F.max("n").alias("last")).where(F.col("last") >= BLOCK).select(F.col("key").alias("wide_key"), F.ceil(2 * F.col("last") / BLOCK).cast("int").alias("blocks"))
@@ -296,14 +296,14 @@ def paragraph_links(docs: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per repeated passage and document that holds it: doc_id, start_word, n_words, removed, first_doc_id, cluster_id.
+    """One row per repeated passage and row of a document that holds it: doc_id, start_word, n_words, removed, first_doc_id, cluster_id, row_hash.
 
-    Words count from 0. removed is false in the smallest doc_id that holds a unit; first_doc_id is the smallest among
+    Words count from 0 in the row's text, which row_hash tells from others of the id. removed is false in the smallest doc_id that holds a unit; first_doc_id is the smallest among
     the passage's units, cluster_id the component of its first unit.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     # A row that repeats a doc_id is part of that document, but its places count anew.
-    units = common.materialize(docs.mapInArrow(_units, "doc_id long, unit int, at int, size int, kind long, proof long, bands array<long>"), "units")
+    units = common.materialize(docs.withColumn("row_hash", common.row_hash()).mapInArrow(_units, "doc_id long, row_hash long, unit int, at int, size int, kind long, proof long, bands array<long>"), "units")
     tied = common.materialize(components(common.materialize(paragraph_links(docs, units), "paragraph-links")).select(F.col("node").alias("linked"), "component"), "paragraph-components")
     ends = units.groupBy("kind", "proof").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("latest"))
     # Kinds in two documents, or tied to another kind; all others are settled here and never moved again.
@@ -316,20 +316,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     repeated = common.materialize(repeated.select(F.col("kind").alias("k2"), F.col("proof").alias("proof2"), "cluster", "holder"), "repeated-kinds", n)
     bits = common.written_bitmap(repeated, "k2")
     found = common.with_suspicion(units.drop("bands"), "kind", bits, "suspect").where("suspect").join(repeated, (F.col("kind") == F.col("k2")) & (F.col("proof") == F.col("proof2")))
-    found = found.select("doc_id", "at", (F.col("at") + F.col("size")).alias("end"), (F.col("holder") < F.col("doc_id")).alias("removed"), "holder", "cluster").distinct()
-    order = Window.partitionBy("doc_id", "removed").orderBy("at", "end")
+    found = found.select("doc_id", "row_hash", "at", (F.col("at") + F.col("size")).alias("end"), (F.col("holder") < F.col("doc_id")).alias("removed"), "holder", "cluster").distinct()
+    order = Window.partitionBy("doc_id", "row_hash", "removed").orderBy("at", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = found.withColumn("opens", F.when(reached >= F.col("at"), 0).otherwise(1)).withColumn("passage", F.sum("opens").over(order))
-    passages = opened.groupBy("doc_id", "removed", "passage").agg(
+    passages = opened.groupBy("doc_id", "row_hash", "removed", "passage").agg(
         F.min("at").cast("long").alias("start_word"), (F.max("end") - F.min("at")).cast("long").alias("n_words"), F.min("holder").alias("first_doc_id"), F.min_by("cluster", F.struct("at", "end", "cluster")).alias("cluster_id")
     )
-    return passages.where(F.col("n_words") >= LEAST).select("doc_id", "start_word", "n_words", "removed", "first_doc_id", "cluster_id")
+    return passages.where(F.col("n_words") >= LEAST).select("doc_id", "start_word", "n_words", "removed", "first_doc_id", "cluster_id", "row_hash")
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, text): texts without the passages that another document keeps; white space around a cut goes with it."""
-    cuts = repeated_passages(docs).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("cuts")).withColumnRenamed("doc_id", "d2")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(cuts, F.col("doc_id") == F.col("d2"), "left")
+    cuts = repeated_passages(docs).where("removed").groupBy(F.col("doc_id").alias("d2"), F.col("row_hash").alias("h2")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("cuts"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_hash", common.row_hash())
+    joined = texts.join(cuts, (F.col("doc_id") == F.col("d2")) & (F.col("row_hash") == F.col("h2")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re

@@ -13,6 +13,8 @@ read; without pages there are no rows, without labels all hosts are at the mean
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,5 +99,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES) -> DataFr
 
 def keep_allowed(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES) -> DataFrame:
     """``pages`` whose verdict is allow, with all columns; pages without an id stay."""
-    blocked = judge(pages, outcomes, rules).where("verdict = 'block' AND page_id IS NOT NULL").select(F.col("page_id").alias("blocked")).distinct()
-    return pages.join(blocked, F.col("page_id") == F.col("blocked"), "left_anti")
+    name = f"blocked_{uuid.uuid4().hex}"
+    blocked = judge(pages, outcomes, rules).where("verdict = 'block' AND page_id IS NOT NULL").select(F.col("page_id").alias(name)).distinct()
+    return pages.join(blocked, F.col("page_id") == F.col(name), "left_anti")

@@ -48,7 +48,7 @@ def test_near_copies(spark, monkeypatch):
     for i, (doc_id, *_) in enumerate(rows):
         if doc_id is not None:
             least[find(i)] = min(doc_id, least.get(find(i), doc_id))
-    want = sorted((d is None, d or 0) for i, (d, *_) in enumerate(rows) if d is None or d == least[find(i)])
+    want = sorted((d is None, d or 0) for i, (d, *_) in enumerate(rows) if (d is None and find(i) not in least) or (d is not None and d == least[find(i)]))
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string").repartition(3)
     got = near_copies.dedup(df)
     assert got.columns == df.columns
