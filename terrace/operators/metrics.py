@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 EDGE = 1e-15
 
 
@@ -38,13 +40,16 @@ def auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return won.groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
+def _edges(rows: DataFrame, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    return quantiles(rows, "p", tuple(k / bins for k in range(1, bins)), by).select(*by, F.array_distinct("quantiles").alias("edges"))
+
+
 def reliability(rows: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """Bins by quantiles of p with their mean p, mean y and size; equal quantiles merge, so a constant p is one bin.
 
-    Quantiles are exact: a task holds a group's distinct p with their counts. Round p first where that is too much.
+    Quantiles are exact, by refined histograms.
     """
-    cuts = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    edges = rows.groupBy(*by).agg(F.array_distinct(F.percentile("p", cuts)).alias("edges"))
+    edges = _edges(rows, bins, by)
     joined = rows.join(edges, list(by)) if by else rows.crossJoin(F.broadcast(edges))  # one row of bins - 1 numbers
     placed = joined.withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col("p"))))
     return placed.groupBy(*by, "bin").agg(F.avg("p").alias("mean_pred"), F.avg("y").alias("observed"), F.count(F.lit(1)).alias("n"))
@@ -75,9 +80,7 @@ def noise_floor(rows: DataFrame, sims: int = 200, bins: int = 10, seed: int = 42
 
     The draws of a row are counted by bin as they are made; no table of rows times sims is stored.
     """
-    cuts = F.array(*[F.lit(k / bins) for k in range(1, bins)])
-    edges = rows.agg(F.array_distinct(F.percentile("p", cuts)).alias("edges"))
-    placed = rows.crossJoin(F.broadcast(edges)).select("p", F.size(F.filter("edges", lambda e: e <= F.col("p"))).alias("bin"))
+    placed = rows.crossJoin(F.broadcast(_edges(rows, bins))).select("p", F.size(F.filter("edges", lambda e: e <= F.col("p"))).alias("bin"))
     drawn = placed.select("bin", "p", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim")).withColumn("y", (F.rand(seed) < F.col("p")).cast("int"))
     curve = drawn.groupBy("sim", "bin").agg(F.avg("p").alias("mean_pred"), F.avg("y").alias("observed"), F.count(F.lit(1)).alias("n"))
     return calibration_error(curve, ("sim",)).agg(F.avg("ece").alias("noise_floor"))

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.scratch import written
 from . import metrics
+from .quantiles import column_quantiles, ranked
 from .shots import FREEZE_FEATURES, feature_columns
 
 MODELS = ("constant_rate", "logreg_distance", "logreg_all", "gbt", "mlp")
@@ -30,9 +32,11 @@ class Scaler:
         self.columns = columns
 
     def fit(self, rows: DataFrame) -> Scaler:
-        medians = rows.agg(*[F.median(c).alias(c) for c in self.columns], *[F.max(F.col(c).isNull().cast("int")).alias(f"{c}_na") for c in self.columns]).first()
-        self.medians = {c: float(medians[c] or 0.0) for c in self.columns}
-        self.missing = [c for c in self.columns if medians[f"{c}_na"]]
+        missing = rows.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in self.columns]).first()
+        self.missing = [c for c in self.columns if missing[c]]
+        # Medians only matter where values are missing; exact ones, by refined histograms of those columns together.
+        found = column_quantiles(rows, tuple(self.missing), (0.5,)).first() if self.missing else None
+        self.medians = {c: float(found[c][0]) if found and c in self.missing and found[c] else 0.0 for c in self.columns}
         filled = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(c) for c in self.columns])
         stats = filled.agg(*[f(c).alias(f"{c}_{n}") for c in self.columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         self.means = {c: float(stats[f"{c}_m"] or 0.0) for c in self.columns}
@@ -71,6 +75,8 @@ GRIDS: dict[str, list[dict]] = {
 DEFAULTS: dict[str, dict] = {"logreg_distance": {"strength": 1.0}, "logreg_all": {"strength": 1.0}, "gbt": {"depth": 3, "leaf": 20, "rounds": 20}, "mlp": {"hidden": [16], "iterations": 40}}
 #: Fits that selection has under way at a time.
 AT_ONCE = 4
+#: Vectors of a task: an optimizer's rounds are jobs, and small tables in many tasks would be all overhead. Larger tables keep their tasks.
+PART_ROWS = 50_000
 
 
 def _classifier(name: str, params: dict, n_rows: int, n_features: int, seed: int):
@@ -81,43 +87,78 @@ def _classifier(name: str, params: dict, n_rows: int, n_features: int, seed: int
     return MultilayerPerceptronClassifier(featuresCol="features", labelCol="y", layers=[n_features, *params["hidden"], 2], maxIter=params["iterations"], seed=seed)
 
 
-def fit_with(rows: DataFrame, name: str, params: dict, freeze: bool = False, seed: int = 42) -> GoalModel:
-    """Fit a model family with given parameters: scaler, encoders and classifier all learn from these rows alone."""
-    rows = rows.withColumn("y", F.col("is_goal").cast("double"))
-    n, rate = rows.agg(F.count(F.lit(1)), F.avg("y")).first()
-    if name == "constant_rate":
-        return GoalModel(name, None, None, float(rate or 0.0), {})
+class Prepared:
+    """What all models of a family share on some rows: scaler and encoders that learnt from them alone, and the rows as vectors, kept until ``release``."""
+
+    def __init__(self, rows: DataFrame, name: str, freeze: bool = False) -> None:
+        self.name = name
+        self.n, self.rate = rows.agg(F.count(F.lit(1)), F.avg(F.col("is_goal").cast("double"))).first()
+        self.scaler, self.stages = _encoded(rows, name, freeze)
+        self.rows = self.vectors(rows).coalesce(1 + self.n // PART_ROWS).persist()
+        self.width = self.rows.schema["features"].metadata["ml_attr"]["num_attrs"]
+
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        return PipelineModel(stages=self.stages).transform(self.scaler.transform(rows)).select(F.col("is_goal").cast("double").alias("y"), "features")
+
+    def fitted(self, params: dict, seed: int = 42) -> GoalModel:
+        model = _classifier(self.name, params, self.n, self.width, seed).fit(self.rows)
+        return GoalModel(self.name, self.scaler, PipelineModel(stages=[*self.stages, model]), float(self.rate or 0.0), params)
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def _encoded(rows: DataFrame, name: str, freeze: bool) -> tuple[Scaler, list]:
     numeric, categories = (("distance",), ()) if name == "logreg_distance" else feature_columns(freeze)
     scaler = Scaler(numeric).fit(rows)
     scaled = scaler.transform(rows)
     # Categories that are unseen later are zero in all columns.
     encoders = [StringIndexer(inputCols=list(categories), outputCols=[f"i_{c}" for c in categories], handleInvalid="keep"), OneHotEncoder(inputCols=[f"i_{c}" for c in categories], outputCols=[f"o_{c}" for c in categories], dropLast=True)] if categories else []
     prepared = Pipeline(stages=[*encoders, VectorAssembler(inputCols=scaler.outputs + [f"o_{c}" for c in categories], outputCol="features")]).fit(scaled)
-    features = prepared.transform(scaled).select("y", "features").persist()
+    return scaler, prepared.stages
+
+
+def fit_with(rows: DataFrame, name: str, params: dict, freeze: bool = False, seed: int = 42) -> GoalModel:
+    """Fit a model family with given parameters: scaler, encoders and classifier all learn from these rows alone."""
+    if name == "constant_rate":
+        return GoalModel(name, None, None, float(rows.agg(F.avg(F.col("is_goal").cast("double"))).first()[0] or 0.0), {})
+    prepared = Prepared(rows, name, freeze)
     try:
-        width = len(features.select("features").first()["features"])
-        fitted = _classifier(name, params, n, width, seed).fit(features)
+        return prepared.fitted(params, seed)
     finally:
-        features.unpersist()
-    return GoalModel(name, scaler, PipelineModel(stages=[*prepared.stages, fitted]), float(rate or 0.0), params)
+        prepared.release()
 
 
 def select(rows: DataFrame, name: str, grid: list[dict], inner: int = 3, freeze: bool = False, seed: int = 42) -> dict:
-    """The parameters of the least mean log loss over grouped folds; each fold is scored by models that saw nothing of it."""
+    """The parameters of the least mean log loss over grouped folds; each fold is scored by models that saw nothing of it.
+
+    A fold's scaler, encoders and vectors are made once for the whole grid.
+    """
     folded = rows.join(grouped_folds(rows, inner), "match_id").persist()
 
+    def prepare(fold: int) -> tuple[Prepared, DataFrame]:
+        prepared = Prepared(folded.where(F.col("fold") != fold), name, freeze)
+        return prepared, prepared.vectors(folded.where(F.col("fold") == fold)).coalesce(1 + prepared.n // PART_ROWS).persist()
+
     def loss(job: tuple[int, int]) -> float:
         at, fold = job
-        model = fit_with(folded.where(F.col("fold") != fold), name, grid[at], freeze, seed)
-        return metrics.score_all(model.transform(folded.where(F.col("fold") == fold)).withColumn("y", F.col("is_goal"))).first()["log_loss"]
+        prepared, held = folds[fold]
+        scored = prepared.fitted(grid[at], seed).model.stages[-1].transform(held).select("y", vector_to_array("probability")[1].alias("p"))
+        return metrics.score_all(scored).first()["log_loss"]
 
     jobs = [(at, fold) for at in range(len(grid)) for fold in range(inner)]
+    folds: list[tuple[Prepared, DataFrame]] = []
+    on_session = inheritable_thread_target(rows.sparkSession)
     try:
         folded.count()
         with ThreadPool(AT_ONCE) as pool:
-            losses = pool.map(inheritable_thread_target(rows.sparkSession)(loss), jobs)
+            folds = pool.map(on_session(prepare), range(inner))
+            losses = pool.map(on_session(loss), jobs)
     finally:
         folded.unpersist()
+        for prepared, held in folds:
+            prepared.release()
+            held.unpersist()
     by_grid = [[x for (at, _), x in zip(jobs, losses) if at == k and x is not None] for k in range(len(grid))]
     means = [sum(x) / len(x) if x else float("inf") for x in by_grid]
     return grid[means.index(min(means))]
@@ -159,18 +200,44 @@ def predict_xg(shots: DataFrame, model: GoalModel) -> DataFrame:
 
 
 def grouped_folds(rows: DataFrame, k: int, key: str = "match_id") -> DataFrame:
-    """(key, fold): each group to the lightest fold so far, the largest groups first.
+    """(key, fold): each group to the lightest fold so far, the largest groups first, of equal ones the least key.
 
-    The dealing is a chain of decisions, so the driver takes a (key, count) pair for each group: some 100 bytes a match.
+    The driver takes how many groups there are of each size, and deals all groups of a size at once; which group of a size is the
+    how-manieth is counted where the groups are.
+    """
+    sizes = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    loads, dealt = [0] * k, []
+    for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("n")).collect():  # a row for each size
+        parts, loads = dealt_by_size(loads, r["n"], r["groups"])
+        dealt.append((r["n"], parts))
+    spark = rows.sparkSession
+    table = spark.createDataFrame(dealt, "size long, parts array<struct<start:long,folds:array<int>>>")
+    part = F.element_at(F.filter("parts", lambda p: p["start"] <= F.col("rank")), -1)
+    fold = F.get(part["folds"], ((F.col("rank") - part["start"]) % F.size(part["folds"])).cast("int"))
+    return ranked(sizes, ("n",), (key,)).join(table, F.col("n") == F.col("size")).select(key, fold.alias("fold"))
+
+
+def dealt_by_size(loads: list[int], n: int, groups: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How ``groups`` groups of n rows go to the folds with the given loads, each to the lightest, of equal ones the first.
+
+    Returns (start, folds) parts, where from the start-th group on the folds take turns, and the loads afterwards. A fold takes its j-th
+    group when no load is under its own of then, load + j * n; so turns are taken by the loads' remainders, among the folds whose
+    quotient has been reached, and a part begins where a further quotient is.
     """
-    sizes = sorted(((r["n"], r[key]) for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda s: (-s[0], s[1]))
-    load_of = [0] * k
-    folds = []
-    for n, group in sizes:
-        lightest = load_of.index(min(load_of))
-        load_of[lightest] += n
-        folds.append((group, lightest))
-    return rows.sparkSession.createDataFrame(folds, f"{key} {dict(rows.dtypes)[key]}, fold int")
+    quotient, rest = zip(*(divmod(x, n) for x in loads))
+    order = sorted(range(len(loads)), key=lambda f: (rest[f], f))
+    parts, taken, start = [], [0] * len(loads), 0
+    levels = sorted(set(quotient))
+    for level, following in zip(levels, [*levels[1:], None]):
+        turn = [f for f in order if quotient[f] <= level]
+        take = groups - start if following is None else min(groups - start, (following - level) * len(turn))
+        parts.append((start, turn))
+        for place, f in enumerate(turn):
+            taken[f] += take // len(turn) + (place < take % len(turn))
+        start += take
+        if start == groups:
+            break
+    return parts, [x + t * n for x, t in zip(loads, taken)]
 
 
 def competition_folds(rows: DataFrame) -> DataFrame:
@@ -192,12 +259,15 @@ def nested_cv(rows: DataFrame, name: str, k: int = 5, scheme: str = "match", par
     """
     folds = grouped_folds(rows, k) if scheme == "match" else competition_folds(rows)
     folded = rows.join(folds, "match_id").persist()
-    parts = []
+    parts: list[DataFrame] = []
     for fold in sorted(r["fold"] for r in folded.select("fold").distinct().collect()):  # k rows, or a row a tournament
         model = fit(folded.where(F.col("fold") != fold).drop("fold"), name, params, inner, freeze)
         scored = model.transform(folded.where(F.col("fold") == fold))
         parts.append(scored.select("match_id", "idx", "fold", F.col("is_goal").alias("y"), "p", F.lit(json.dumps(model.params)).alias("params")))
-    return reduce(DataFrame.unionByName, parts)
+    try:
+        return written(reduce(DataFrame.unionByName, parts), "out-of-fold")
+    finally:
+        folded.unpersist()
 
 
 def fold_scores(oof: DataFrame) -> DataFrame:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as g
 from . import possession as poss
@@ -16,28 +14,30 @@ from . import tracking as t
 LEAST_PLAYERS = 8
 
 
-def hull_area_of(points: list) -> float | None:
-    """Area of the convex hull; null with fewer than three corners."""
-    pts = sorted({(float(p[0]), float(p[1])) for p in points})
-    if len(pts) < 3:
-        return None
+def _cross(o: Column, a: Column, p: Column) -> Column:
+    return (a["x"] - o["x"]) * (p["y"] - o["y"]) - (a["y"] - o["y"]) * (p["x"] - o["x"])
 
-    def half(ordered: list) -> list:
-        out: list = []
-        for p in ordered:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                out.pop()
-            out.append(p)
-        return out[:-1]
 
-    ring = half(pts) + half(pts[::-1])
-    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
-    return area or None
+def _turning_left(points: Column) -> Column:
+    """The points of a sorted list that its hull passes on one side: the monotone chain, as a fold whose state is the chain so far.
+
+    A point takes from the chain's end all points at which the way to it doesn't turn left; in a chain that turns left everywhere these are the
+    points past the tangent, so that each can be judged by itself.
+    """
+    none = F.expr("array()").cast("array<struct<x:double,y:double>>")
+    stays = lambda chain, p: F.filter(chain, lambda e, i: (i == 0) | (_cross(F.get(chain, i - 1), e, p) > 0))
+    return F.aggregate(points, none, lambda chain, p: F.concat(stays(chain, p), F.array(p)))
 
 
-@F.pandas_udf(DoubleType())
-def hull_area(points: pd.Series) -> pd.Series:
-    return points.map(lambda p: None if p is None else hull_area_of([(q["x"], q["y"]) for q in p]))
+def hull_area(points: Column) -> Column:
+    """Area of the convex hull of an array of (x, y); null for fewer than three points that aren't in a line."""
+    ordered = F.array_sort(F.array_distinct(F.transform(points, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))))
+    edge = lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]
+    round_it = lambda chain: F.aggregate(F.transform(chain, lambda p, i: F.when(i > 0, edge(F.get(chain, i - 1), p)).otherwise(0.0)), F.lit(0.0), lambda t, v: t + v)
+    # Each chain once: a one-element list gives it a name.
+    side = lambda of: F.get(F.transform(F.array(_turning_left(of)), round_it), F.lit(0))
+    area = F.abs(side(ordered) + side(F.reverse(ordered))) / 2
+    return F.when((F.size(ordered) > 2) & (area > 0), area)
 
 
 def outfield(trk: DataFrame) -> DataFrame:
@@ -68,39 +68,60 @@ def rolling(shape: DataFrame, column: str, seconds: float, step: int, fps: float
     return shape.withColumn(f"{column}_rolling", F.avg(column).over(w))
 
 
-def lines_of(xs: list[float], ks: tuple[int, ...] = (2, 3, 4)) -> dict:
-    """Lines of players by depth: the best split of the sorted depths into k runs, for the k of the best silhouette.
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Dealt by the columns into as many tasks as the session asks for: lists of few bytes may be much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _splits(n: int, k: int) -> Column:
+    """All ways to cut n places into k runs: arrays of the k + 1 places where runs begin and end."""
+    return F.array(*[F.array(*[F.lit(c) for c in (0, *cuts, n)]) for cuts in combinations(range(1, n), k - 1)])
+
+
+def _run_sums(sums: str, a: Column, b: Column) -> Column:
+    return F.get(F.col(sums), b) - F.get(F.col(sums), a)
+
+
+def _spread(cuts: Column) -> Column:
+    """Sum of squared distances from the runs' means, by running sums s1 of the depths and s2 of their squares."""
+    of_run = lambda a, b: _run_sums("s2", a, b) - F.pow(_run_sums("s1", a, b), 2) / (b - a)
+    runs = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), lambda a, i: of_run(a, F.get(cuts, i + 1)))
+    return F.aggregate(runs, F.lit(0.0), lambda t, v: t + v)
+
+
+def _silhouette(cuts: Column) -> Column:
+    """Mean silhouette of runs of sorted depths: distances within a run and to the neighbouring runs are differences of running sums."""
+
+    def of_place(a: Column, b: Column, i: Column, before: Column, after: Column) -> Column:
+        x = F.get(F.col("v"), i)
+        inside = (x * (i - a) - _run_sums("s1", a, i) + _run_sums("s1", i + 1, b) - x * (b - i - 1)) / (b - a - 1)
+        left = F.when(before.isNotNull(), x - _run_sums("s1", before, a) / (a - before))
+        right = F.when(after.isNotNull(), _run_sums("s1", b, after) / (after - b) - x)
+        nearest = F.least(left, right)  # a missing one is passed over
+        return F.when((b - a > 1) & (F.greatest(nearest, inside) > 0), (nearest - inside) / F.greatest(nearest, inside)).otherwise(0.0)
 
-    In one dimension the best clusters are runs of the sorted values, so all splits are tried; there are 84 for 10 players and 4 lines.
+    def of_run(a: Column, j: Column) -> Column:
+        b, after = F.get(cuts, j + 1), F.get(cuts, j + 2)
+        before = F.when(j > 0, F.get(cuts, j - 1))
+        places = F.transform(F.sequence(a, b - 1), lambda i: F.when(b - a > 1, of_place(a, b, i, before, after)).otherwise(0.0))
+        return F.aggregate(places, F.lit(0.0), lambda t, v: t + v)
+
+    runs = F.transform(F.slice(cuts, 1, F.size(cuts) - 1), of_run)
+    return F.aggregate(runs, F.lit(0.0), lambda t, v: t + v) / F.size("v")
+
+
+def with_lines(windows: DataFrame, ks: tuple[int, ...] = (2, 3, 4), players: int = 10) -> DataFrame:
+    """Rows with v, the sorted depths of so many players, gain k, silhouette and cuts: lines of players by depth.
+
+    In one dimension the best clusters are runs of the sorted values. For each k the split of the least spread is taken (of equal ones the first), and of these
+    the one of the best silhouette (of equal ones the least k). Both are compared to nine places, so that ties are ties.
     """
-    order = sorted(range(len(xs)), key=lambda i: xs[i])
-    v = [xs[i] for i in order]
-
-    def spread(part: list[float]) -> float:
-        m = sum(part) / len(part)
-        return sum((x - m) ** 2 for x in part)
-
-    def silhouette(parts: list[list[float]]) -> float:
-        total = 0.0
-        for k, part in enumerate(parts):
-            for x in part:
-                if len(part) == 1:
-                    continue
-                inside = sum(abs(x - o) for o in part) / (len(part) - 1)
-                nearest = min(sum(abs(x - o) for o in other) / len(other) for j, other in enumerate(parts) if j != k)
-                total += (nearest - inside) / max(nearest, inside) if max(nearest, inside) > 0 else 0.0
-        return total / len(v)
-
-    best: dict = {"silhouettes": {}}
-    for k in ks:
-        cuts = min(combinations(range(1, len(v)), k - 1), key=lambda c: sum(spread(v[a:b]) for a, b in zip((0, *c), (*c, len(v)))))
-        parts = [v[a:b] for a, b in zip((0, *cuts), (*cuts, len(v)))]
-        score = silhouette(parts)
-        best["silhouettes"][k] = score
-        if "silhouette" not in best or score > best["silhouette"]:
-            of = [n for n, p in enumerate(parts) for _ in p]
-            best |= {"k": k, "silhouette": score, "formation": "-".join(str(len(p)) for p in parts), "line": [of[order.index(i)] for i in range(len(xs))]}
-    return best
+    running = lambda of: F.aggregate(of, F.array(F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+    summed = windows.withColumns({"s1": running(F.col("v")), "s2": running(F.transform("v", lambda x: x * x))})
+    best = F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.transform(_splits(players, k), lambda c: F.struct(F.round(_spread(c), 9).alias("spread"), c.alias("cuts"))))["cuts"].alias("cuts")) for k in ks])
+    scored = summed.withColumn("best", best).withColumn("scored", F.transform("best", lambda b: F.struct(F.round(_silhouette(b["cuts"]), 9).alias("silhouette"), (-b["k"]).alias("k"), b["cuts"].alias("cuts"))))
+    chosen = scored.withColumn("best", F.array_max("scored"))
+    return chosen.withColumns({"k": -F.col("best.k"), "silhouette": F.col("best.silhouette"), "cuts": F.col("best.cuts")}).drop("s1", "s2", "best", "scored")
 
 
 def window_positions(trk: DataFrame, held: DataFrame, frames: int, least: int) -> DataFrame:
@@ -117,16 +138,15 @@ def window_positions(trk: DataFrame, held: DataFrame, frames: int, least: int) -
     return there.join(ten, key).select(*key, "player", "x", "y", "frames")
 
 
-def formations(positions: DataFrame, ks: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
-    """Lines of each window: formation, k, silhouette, and each player's line."""
-    schema = "game int, team string, period int, window int, state string, frames long, k int, formation string, silhouette double, player string, x double, y double, line int"
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("player")
-        found = lines_of(group["x"].tolist(), ks)
-        return group.assign(k=found["k"], formation=found["formation"], silhouette=found["silhouette"], line=found["line"])[[f.split()[0] for f in schema.split(", ")]]
-
-    return positions.groupBy("game", "team", "period", "window", "state").applyInPandas(run, schema)
+def formations(positions: DataFrame, ks: tuple[int, ...] = (2, 3, 4), players: int = 10) -> DataFrame:
+    """Lines of each window of so many players: formation (players a line, from the back), k, silhouette, and each player's line."""
+    key = ["game", "team", "period", "window", "state"]
+    windows = _dealt(positions, *key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("x", "player", "y", "frames"))).alias("players")).where(F.size("players") == players)
+    found = with_lines(windows.withColumn("v", F.transform("players", lambda p: p["x"])), ks, players)
+    sizes = F.transform(F.slice("cuts", 2, F.size("cuts") - 1), lambda c, i: (c - F.get("cuts", i)).cast("string"))
+    spread = found.select(*key, "k", F.array_join(sizes, "-").alias("formation"), "silhouette", "cuts", F.posexplode("players").alias("place", "p"))
+    line = F.size(F.filter("cuts", lambda c: c <= F.col("place"))) - 1
+    return spread.select(*key, "p.frames", "k", "formation", "silhouette", "p.player", "p.x", "p.y", line.alias("line"))
 
 
 def reliability(windows: DataFrame) -> DataFrame:
@@ -137,15 +157,51 @@ def reliability(windows: DataFrame) -> DataFrame:
     return out.select("team", "state", "windows", F.col("b.formation").alias("modal_formation"), F.round(F.col("b.n") / F.col("windows"), 2).alias("modal_share"), "distinct_formations")
 
 
-def control(positions: DataFrame, by: tuple[str, ...] = ("game",), cell: float = 0.5, length: float = g.LENGTH, width: float = g.WIDTH) -> DataFrame:
-    """Grid of cells with the team of the nearest player. A frame's players, a squad at most, are one list, so no join is needed."""
-    n = lambda size: F.sequence(F.lit(0), F.lit(round(size / cell) - 1))
-    players = positions.groupBy(*by).agg(F.collect_list(F.struct("x", "y", "team", "player")).alias("players"))
-    cells = players.withColumn("ix", F.explode(n(length))).withColumn("iy", F.explode(n(width)))
-    gx, gy = (F.col("ix") + 0.5) * cell, (F.col("iy") + 0.5) * cell
-    ranked = F.transform("players", lambda p: F.struct((F.pow(p["x"] - gx, 2) + F.pow(p["y"] - gy, 2)).alias("d2"), p["team"].alias("team"), p["player"].alias("player")))
-    return cells.select(*by, "ix", "iy", F.array_min(ranked)["team"].alias("team"))
+def _first_nearer(a: Column, b: Column, cell: float, cells: int) -> Column:
+    """The first of a grid row's cells that is nearer to b than to a, which is further left: c is a player's squared distance from the row's zero point."""
+    k = (b["c"] - a["c"]) / F.nullif(2 * (b["x"] - a["x"]), F.lit(0.0)) / cell - 0.5
+    wins_ties = F.struct(b["team"], b["player"]) < F.struct(a["team"], a["player"])
+    beats = (b["c"] < a["c"]) | ((b["c"] == a["c"]) & wins_ties)
+    apart = F.greatest(F.lit(-1.0), F.least(F.lit(float(cells)), F.when(wins_ties, F.ceil(k)).otherwise(F.floor(k) + 1).cast("double")))
+    return F.when(b["x"] == a["x"], F.when(beats, -1).otherwise(cells)).otherwise(apart.cast("int"))
 
 
-def control_share(grid: DataFrame, by: tuple[str, ...] = ("game",)) -> DataFrame:
-    return grid.groupBy(*by).agg((1 - F.avg((F.col("team") == "away").cast("double"))).alias("home_share"))
+def control(positions: DataFrame, by: tuple[str, ...] = ("game",), cell: float = 0.5, length: float = g.LENGTH, width: float = g.WIDTH) -> DataFrame:
+    """(by, iy, start, stop, team, player): runs of cells start, ..., stop - 1 of a grid's row iy whose nearest player is the same.
+
+    Along a row of cells squared distances differ by straight lines only, so the nearest players are the lower envelope of lines: players come
+    in from left to right, and each takes from the envelope's end those whose first cell it is nearer to. The work is rows times players, not
+    cells times players. Ties go to the first by team and player; players without a place are passed over. A frame's players, a squad at most, are one list.
+    """
+    n_x, n_y = round(length / cell), round(width / cell)
+    placed = positions.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    players = _dealt(placed, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "team", "player", F.col("y").cast("double").alias("y")))).alias("players"))
+    rows = players.withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(n_y - 1))))
+    off = lambda p: (F.col("iy") + 0.5) * cell - p["y"]
+    lines = F.transform("players", lambda p: F.struct(p["x"].alias("x"), (p["x"] * p["x"] + off(p) * off(p)).alias("c"), p["team"].alias("team"), p["player"].alias("player")))
+    none = F.expr("array()").cast("array<struct<start:int,x:double,c:double,team:string,player:string>>")
+
+    def joined(kept: Column, b: Column) -> Column:
+        start = F.when(F.size(kept) == 0, 0).otherwise(_first_nearer(F.element_at(kept, -1), b, cell, n_x))
+        one = F.array(F.struct(start.cast("int").alias("start"), b["x"].alias("x"), b["c"].alias("c"), b["team"].alias("team"), b["player"].alias("player")))
+        return F.when(start < n_x, F.concat(kept, one)).otherwise(kept)
+
+    def step(envelope: Column, b: Column) -> Column:
+        kept = F.filter(envelope, lambda a: a["start"] < _first_nearer(a, b, cell, n_x))
+        return F.get(F.transform(F.array(kept), lambda k: joined(k, b)), F.lit(0))  # a one-element list gives it a name
+
+    owned = rows.select(*by, "iy", F.aggregate(lines, none, step).alias("runs"))
+    runs = F.transform("runs", lambda r, i: F.struct(r["start"].alias("start"), F.coalesce(F.get("runs", i + 1)["start"], F.lit(n_x)).alias("stop"), r["team"].alias("team"), r["player"].alias("player")))
+    return owned.select(*by, "iy", F.explode(runs).alias("r")).select(*by, "iy", "r.*")
+
+
+def control_cells(runs: DataFrame) -> DataFrame:
+    """A row a cell: ix in place of start and stop."""
+    kept = [c for c in runs.columns if c not in ("start", "stop")]
+    return runs.select(*kept, F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("ix"))
+
+
+def control_share(runs: DataFrame, by: tuple[str, ...] = ("game",)) -> DataFrame:
+    """Share of the cells that are not the away team's."""
+    cells = F.col("stop") - F.col("start")
+    return runs.groupBy(*by).agg((1 - F.sum(F.when(F.col("team") == "away", cells).otherwise(0)) / F.sum(cells)).alias("home_share"))

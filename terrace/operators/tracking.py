@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .quantiles import column_quantiles
 
 FPS = 25.0
 PLAYER = ("game", "team", "player")
@@ -164,8 +165,10 @@ def noise(kinematics: DataFrame, speed_max: float = MAX_SPEED, accel_max: float
     """99th percentile, maximum and share beyond a bound of speed and accel, over all known values."""
     out = []
     for c, most in (("speed", speed_max), ("accel", accel_max)):
-        out += [F.percentile(c, 0.99).alias(f"{c}_p99"), F.max(c).alias(f"{c}_max"), F.avg((F.col(c) > most).cast("double")).alias(f"{c}_over")]
-    return kinematics.groupBy("game").agg(*out)
+        out += [F.max(c).alias(f"{c}_max"), F.avg((F.col(c) > most).cast("double")).alias(f"{c}_over")]
+    p99 = column_quantiles(kinematics, ("speed", "accel"), (0.99,), ("game",)).select(F.col("game").alias("of_game"), *[F.col(c)[0].alias(f"{c}_p99") for c in ("speed", "accel")])
+    joined = kinematics.groupBy("game").agg(*out).join(p99, F.col("game").eqNullSafe(F.col("of_game")), "left")
+    return joined.select("game", *[f"{c}_{n}" for c in ("speed", "accel") for n in ("p99", "max", "over")])
 
 
 def goalkeepers(trk: DataFrame) -> DataFrame:

@@ -126,30 +126,6 @@ def fit_homography(image: list[tuple[float, float]], pitch: list[tuple[float, fl
     return h.ravel().tolist(), np.linalg.norm(mapped[:, :2] / mapped[:, 2:] - b, axis=1).tolist()
 
 
-def camera_maps(steps: DataFrame, reference: int, to_pitch: list[float]) -> DataFrame:
-    """(clip, frame, h): each frame's matrix to the pitch.
-
-    steps has clip, frame and h, the matrix from a frame's pixels to the next frame's; to_pitch maps the reference
-    frame. A frame's map goes along the clip's steps to the reference, inverted for later frames. A group is one clip's steps.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        step = {int(f): np.array(h, float).reshape(3, 3) for f, h in zip(group["frame"], group["h"])}
-        maps = {reference: np.array(to_pitch, float).reshape(3, 3)}
-        at = reference
-        while at - 1 in step:
-            maps[at - 1] = maps[at] @ step[at - 1]
-            at -= 1
-        at = reference
-        while at in step:
-            maps[at + 1] = maps[at] @ np.linalg.inv(step[at])
-            at += 1
-        frames = sorted(maps)
-        return pd.DataFrame({"clip": group["clip"].iloc[0], "frame": frames, "h": [(maps[f] / maps[f][2, 2]).ravel().tolist() for f in frames]})
-
-    return steps.groupBy("clip").applyInPandas(run, "clip int, frame int, h array<double>")
-
-
 def players_to_pitch(det: DataFrame, maps: DataFrame) -> DataFrame:
     """Detections with X, Y on the pitch; frames without a matrix drop out."""
     fx, fy = g.feet(F.col("cls"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), BALL)

@@ -226,7 +226,7 @@ def xg_mlp(spark, sf_dir):
 
 def _cv(rows: DataFrame, **how) -> DataFrame:
     """Scores of each outer fold, with the parameters that its inner folds chose."""
-    out = ml.nested_cv(rows, "logreg_all", **how).persist()
+    out = ml.nested_cv(rows, "logreg_all", **how)
     return rounded(ml.fold_scores(out).join(out.select("fold", "params").distinct(), "fold"))
 
 

@@ -233,9 +233,16 @@ def shape_1hz(spark, sf_dir):
     return rounded(sh.team_shape(trk(spark, sf_dir), 25, hull=False).select(*SHAPE))
 
 
-@cat.add()
+#: An edge of the hull has all points on its left; of points in a line the outer two are the edge.
+HULL = f"""{W}, {_shape_sql(5)}, hp AS (SELECT DISTINCT t.game, t.team, t.period, t.frame, x, y FROM trk t ANTI JOIN gk USING (game, team, player) JOIN fr ON t.game=fr.game AND t.frame=fr.frame WHERE x IS NOT NULL),
+he AS (SELECT a.game, a.team, a.period, a.frame, a.x*b.y-b.x*a.y AS e, (SELECT bool_and((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)>0 OR ((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x)=0 AND (c.x-a.x)*(c.x-b.x)+(c.y-a.y)*(c.y-b.y)<=0))
+  FROM hp c WHERE c.game=a.game AND c.team=a.team AND c.period=a.period AND c.frame=a.frame) AS outer_edge FROM hp a JOIN hp b ON a.game=b.game AND a.team=b.team AND a.period=b.period AND a.frame=b.frame AND (a.x<>b.x OR a.y<>b.y)),
+ha AS (SELECT game, team, period, frame, sum(e)/2 AS area FROM he WHERE outer_edge GROUP BY ALL)"""
+
+
+@cat.add(f"{HULL} SELECT game, team, period, frame, n_outfield, round(CASE WHEN n_outfield IS NOT NULL AND area>0 THEN area END,4) AS hull_area FROM shp LEFT JOIN ha USING (game, team, period, frame)")
 def hull_area(spark, sf_dir):
-    return rounded(sh.team_shape(trk(spark, sf_dir)).select("team", "frame", "n_outfield", "hull_area"))
+    return rounded(sh.team_shape(trk(spark, sf_dir)).select("game", "team", "period", "frame", "n_outfield", "hull_area"))
 
 
 @cat.add(f"{W}, {_shape_sql(5)} SELECT team, frame, round(avg(length) OVER (PARTITION BY game, team, period ORDER BY frame ROWS BETWEEN 14 PRECEDING AND CURRENT ROW),4) AS length_rolling FROM shp")
@@ -271,16 +278,27 @@ def formation_positions(spark, sf_dir):
     return rounded(_windows(spark, sf_dir))
 
 
-@cat.add()
+#: All splits of ten sorted depths into two to four runs, their spread by definition, and the silhouette of the best by definition.
+LINES = f"""{W}, {WINDOWS}, fo_x AS (SELECT game, team, period, "window", state, max(frames) AS frames, list(x ORDER BY x, player) AS v, list(player ORDER BY x, player) AS who FROM wt GROUP BY ALL),
+fo_c AS (SELECT [0, a, 10] AS c FROM range(1,10) r(a) UNION ALL SELECT [0, a, b, 10] FROM range(1,10) r(a), range(1,10) q(b) WHERE a<b UNION ALL SELECT [0, a, b, d, 10] FROM range(1,10) r(a), range(1,10) q(b), range(1,10) s(d) WHERE a<b AND b<d),
+fo_p AS (SELECT fo_x.*, c, len(c)-1 AS k, list_transform(range(1, len(c)), lambda i: v[c[i]+1:c[i+1]]) AS parts FROM fo_x, fo_c),
+fo_s AS (SELECT *, list_sum(list_transform(parts, lambda p: list_sum(list_transform(p, lambda x: power(x-list_avg(p),2))))) AS spread FROM fo_p),
+fo_b AS (SELECT game, team, period, "window", state, frames, who, v, k, arg_min(c, (round(spread,9), c)) AS c, arg_min(parts, (round(spread,9), c)) AS parts FROM fo_s GROUP BY ALL),
+fo_t AS (SELECT *, list_sum(list_transform(range(1, k+1), lambda i: list_sum(list_transform(parts[i], lambda x: CASE WHEN len(parts[i])=1 THEN 0 ELSE
+  (list_min(list_transform(list_filter(range(1, k+1), lambda j: j<>i), lambda j: list_avg(list_transform(parts[j], lambda o: abs(x-o)))))-list_sum(list_transform(parts[i], lambda o: abs(x-o)))/(len(parts[i])-1))
+  /greatest(list_min(list_transform(list_filter(range(1, k+1), lambda j: j<>i), lambda j: list_avg(list_transform(parts[j], lambda o: abs(x-o))))), list_sum(list_transform(parts[i], lambda o: abs(x-o)))/(len(parts[i])-1)) END))))/10 AS silhouette FROM fo_b),
+fm AS (SELECT * FROM fo_t QUALIFY row_number() OVER (PARTITION BY game, team, period, "window", state ORDER BY round(silhouette,9) DESC, k)=1)"""
+
+
+@cat.add(f"""{LINES} SELECT game, team, period, "window", state, frames, CAST(k AS INT) AS k, array_to_string(list_transform(parts, lambda p: len(p)), '-') AS formation, round(silhouette,4) AS silhouette, CAST(10 AS BIGINT) AS players FROM fm""")
 def formation_windows(spark, sf_dir):
-    """The best clusters need a search that SQL can't do within reason; the tests hold brute force against it."""
     rows = sh.formations(_windows(spark, sf_dir))
-    return rounded(rows.groupBy("game", "team", "period", "window", "state", "frames", "k", "formation", "silhouette").agg(F.count(F.lit(1)).alias("players")))
+    return rounded(rows.groupBy("game", "team", "period", "window", "state", "k", "formation", "silhouette").agg(F.max("frames").alias("frames"), F.count(F.lit(1)).alias("players")))
 
 
-@cat.add()
+@cat.add(f"""{LINES} SELECT game, team, period, "window", state, who[i] AS player, round(v[i],4) AS x, CAST(len(list_filter(c, lambda e: e<i))-1 AS INT) AS line FROM fm, range(1,11) r(i)""")
 def formation_points(spark, sf_dir):
-    return rounded(sh.formations(_windows(spark, sf_dir)).select("team", "period", "window", "state", "player", "x", "y", "line"))
+    return rounded(sh.formations(_windows(spark, sf_dir)).select("game", "team", "period", "window", "state", "player", "x", "line"))
 
 
 @cat.add(f"""{W}, {WINDOWS}, c AS (SELECT team, state, concat('block-', CAST(count(*) FILTER (x<52.5) AS VARCHAR)) AS formation FROM wt GROUP BY game, team, period, "window", state),
@@ -292,19 +310,26 @@ def formation_reliability(spark, sf_dir):
     return sh.reliability(labels)
 
 
-CONTROL = f"""{W}, p AS (SELECT game, frame, team, player, x, y FROM trk WHERE frame%50=1 AND x IS NOT NULL), g AS (SELECT a.ix, b.iy FROM (SELECT unnest(range(0,52)) AS ix) a, (SELECT unnest(range(0,34)) AS iy) b),
-c AS (SELECT game, frame, ix, iy, arg_min(team, (power(x-(ix+0.5e0)*2,2)+power(y-(iy+0.5e0)*2,2), team, player)) AS team FROM p, g GROUP BY ALL)"""
+#: Who is nearest along a row of cells, from pairs of players: from which cell on the right one of two is nearer.
+CONTROL = f"""{W}, pl AS (SELECT game, frame, team, player, x, y FROM trk WHERE x IS NOT NULL AND y IS NOT NULL), gr AS (SELECT CAST(unnest(range(0,136)) AS INT) AS iy),
+ln AS (SELECT pl.*, iy, x*x+((iy+0.5e0)*0.5e0-y)*((iy+0.5e0)*0.5e0-y) AS c FROM pl, gr),
+pr AS (SELECT b.game, b.frame, b.iy, a.team AS lt, a.player AS lp, b.team AS rt, b.player AS rp, (b.team, b.player)<(a.team, a.player) AS tie, (b.c-a.c)/(2*(b.x-a.x))/0.5e0-0.5e0 AS k FROM ln a JOIN ln b ON a.game=b.game AND a.frame=b.frame AND a.iy=b.iy AND a.x<b.x),
+cu AS (SELECT *, CASE WHEN tie THEN ceil(k) ELSE floor(k)+1 END AS cut FROM pr),
+lo AS (SELECT game, frame, iy, rt AS team, rp AS player, max(cut) AS lo FROM cu GROUP BY ALL), hi AS (SELECT game, frame, iy, lt AS team, lp AS player, min(cut) AS hi FROM cu GROUP BY ALL),
+gone AS (SELECT DISTINCT b.game, b.frame, b.iy, b.team, b.player FROM ln a JOIN ln b ON a.game=b.game AND a.frame=b.frame AND a.iy=b.iy AND a.x=b.x AND (a.c<b.c OR (a.c=b.c AND (a.team, a.player)<(b.team, b.player)))),
+rn AS (SELECT game, frame, iy, team, player, greatest(coalesce(lo,0),0) AS start, least(coalesce(hi,210),210) AS stop FROM (SELECT * FROM ln ANTI JOIN gone USING (game, frame, iy, team, player)) LEFT JOIN lo USING (game, frame, iy, team, player) LEFT JOIN hi USING (game, frame, iy, team, player))"""
 
 
 def _control(spark, sf_dir) -> DataFrame:
-    return sh.control(trk(spark, sf_dir).where("frame % 50 = 1 AND x IS NOT NULL"), ("game", "frame"), 2.0, 104.0, 68.0)
+    return sh.control(trk(spark, sf_dir), ("game", "frame"))
 
 
-@cat.add(f"{CONTROL} SELECT game, frame, round(1-avg(CASE WHEN team='away' THEN 1e0 ELSE 0e0 END),4) AS home_share FROM c GROUP BY game, frame")
+@cat.add(f"{CONTROL} SELECT game, frame, round(1-sum(CASE WHEN team='away' THEN stop-start ELSE 0 END)/sum(stop-start),4) AS home_share FROM rn WHERE start<stop GROUP BY game, frame")
 def voronoi(spark, sf_dir):
+    """Space control of every frame, by cells of half a metre."""
     return rounded(sh.control_share(_control(spark, sf_dir), ("game", "frame")))
 
 
-@cat.add(f"{CONTROL} SELECT frame, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, team FROM c WHERE frame=101")
+@cat.add(f"{W}, p AS (SELECT game, frame, team, player, x, y FROM trk WHERE frame=101 AND x IS NOT NULL AND y IS NOT NULL), g AS (SELECT a.ix, b.iy FROM (SELECT unnest(range(0,210)) AS ix) a, (SELECT unnest(range(0,136)) AS iy) b) SELECT game, frame, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, arg_min(team, (power(x-(ix+0.5e0)*0.5e0,2)+power(y-(iy+0.5e0)*0.5e0,2), team, player)) AS team FROM p, g GROUP BY ALL")
 def frame_view(spark, sf_dir):
-    return _control(spark, sf_dir).where("frame = 101").select("frame", "ix", "iy", "team")
+    return sh.control_cells(_control(spark, sf_dir).where("frame = 101")).select("game", "frame", "ix", "iy", "team")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import report
+from ..operators import camera
 from ..operators import video as v
 from ..sources import readers
 from ..sources.projections import TRK, table, trk
@@ -144,7 +145,7 @@ SELECT clip, frame, round(({H[0]:.8f}::DOUBLE*t+{H[2]:.8f}::DOUBLE)/({H[6]:.8f}:
 def h_chain(spark, sf_dir):
     """Cameras that pan by a little each frame, chained to the reference frame."""
     steps = signal(spark, sf_dir).select("clip", "frame", F.array(*[F.lit(x) for x in (1.0, 0.0)], -F.col("diff") / 100, *[F.lit(x) for x in (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]).alias("h"))
-    return v.camera_maps(steps, 100, H).select("clip", "frame", F.round(F.col("h")[2], 4).alias("shift"))
+    return camera.camera_maps(steps, 100, H).select("clip", "frame", F.round(F.col("h")[2], 4).alias("shift"))
 
 
 MARKS_SQL = " UNION ALL ".join(

@@ -12,6 +12,7 @@ from terrace.operators import metrics as m
 from terrace.operators import network, possession, shape
 from terrace.operators import shots as s
 from terrace.operators import tracking as t
+from terrace.operators import camera
 from terrace.operators import video as v
 from terrace.sources import loaders, readers
 
@@ -161,11 +162,7 @@ def test_possession(spark):
     assert held == [""] + ["away"] * 3 + ["home"] * 4 + [""] * 4
 
 
-def test_shape_kernels(spark):
-    assert shape.hull_area_of([(0, 0), (6, 0), (0, 8), (1, 1)]) == 24
-    assert shape.hull_area_of([(3, 0), (3, 5), (3, 9)]) is None
-    found = shape.lines_of([15, 16, 17, 35, 36, 37, 38, 60, 61, 62])
-    assert (found["k"], found["formation"]) == (3, "3-4-3")
+def test_control_of_two_players(spark):
     pos = spark.createDataFrame([(1, "home", "a", 20.0, 34.0), (1, "away", "b", 60.0, 34.0)], "game int, team string, player string, x double, y double")
     assert shape.control_share(shape.control(pos)).first()["home_share"] == pytest.approx(40 / 105, abs=0.01)
 
@@ -189,7 +186,7 @@ def test_video(spark):
 def test_camera_chain(spark):
     pan = [1.0, 0.0, -7.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
     steps = spark.createDataFrame([(1, f, pan) for f in range(100, 108)], "clip int, frame int, h array<double>")
-    maps = v.camera_maps(steps, 103, [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0])
+    maps = camera.camera_maps(steps, 103, [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0])
     point = maps.select("frame", g.apply_h(F.col("h"), F.lit(500.0) - 7 * (F.col("frame") - 103), F.lit(5.0))[0].alias("x")).collect()
     assert len(point) == 9 and {round(r["x"], 6) for r in point} == {500.0}
 
