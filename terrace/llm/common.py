@@ -90,7 +90,7 @@ def row_hash(text: str = "text") -> Column:
 def without_rows(docs: DataFrame, gone: DataFrame, mark: Column | None = None) -> DataFrame:
     """``docs`` less the rows whose doc_id and mark (by default row_hash) are in ``gone``, a table of those two columns, which is written first.
 
-    Null ids are equal to each other. Rows whose id and mark the bitmap clears stay where they are; only suspects, texts included, are
+    Null ids are equal to each other. Rows whose id the bitmap clears stay where they are; only suspects get their mark and, texts included, are
     shuffled for the exact anti join.
     """
     of_doc, of_mark = gone.columns
@@ -98,12 +98,11 @@ def without_rows(docs: DataFrame, gone: DataFrame, mark: Column | None = None) -
     suspect, held, key, gone_id, gone_mark = (f"{part}_{uuid.uuid4().hex}" for part in ("suspect", "held", "key", "id", "mark"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
     mark = row_hash() if mark is None else mark
-    bits = written_bitmap(gone.select(F.xxhash64(F.col(of_doc).cast("long"), of_mark).alias(key)), key)
-    marked = docs.withColumn(held, mark)
-    marked = with_suspicion(marked.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), held)), key, bits, suspect)
+    of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1))
+    marked = with_suspicion(docs.withColumn(key, of("doc_id")), key, written_bitmap(gone.select(of(of_doc).alias(key)).distinct(), key), suspect)
     clear = marked.where(~F.col(suspect)).select(*cols)
     dropped = gone.select(F.col(of_doc).alias(gone_id), F.col(of_mark).alias(gone_mark))
-    checked = marked.where(F.col(suspect)).join(dropped, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(held) == F.col(gone_mark)), "left_anti").select(*cols)
+    checked = marked.where(F.col(suspect)).withColumn(held, mark).join(dropped, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(held) == F.col(gone_mark)), "left_anti").select(*cols)
     return clear.unionByName(checked)
 
 

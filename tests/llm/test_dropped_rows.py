@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrace.llm import common, decontaminate, exact_chunks, langid, near_copies, passages, url_reputation
 
@@ -77,4 +78,4 @@ def test_clashing_names(spark):
 def test_without_rows_by_another_mark(spark):
     df = frame(spark, [(1, "a"), (1, "b"), (None, "a"), (2, None)])
     gone = spark.createDataFrame([(1, "a"), (None, "a")], "doc_id int, mark string")
-    assert texts(common.without_rows(df, gone, df["text"])) == sorted([(1, "b"), (2, None)], key=str)
+    assert texts(common.without_rows(df, gone, F.col("text"))) == sorted([(1, "b"), (2, None)], key=str)
