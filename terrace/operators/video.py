@@ -6,16 +6,18 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
+from ..sources.scratch import written
+from .quantiles import quantiles
 
 PERSON, BALL = 0, 32
 HIST_DIST, SPIKE_LEAST, SPIKE_RATIO = 0.35, 10.0, 3.5
 LEAST_FRAMES = 25
+COLOUR, ROUNDS = ("L", "a", "b"), 100
 #: Weights of a quadratic fitted to SG rows: slope, and half the curvature.
 SG = 11
 
@@ -81,20 +83,48 @@ def track_colours(det: DataFrame, least: int = 5) -> DataFrame:
     return people.groupBy("segment", "track_id").agg(F.percentile("L", 0.5).alias("L"), F.percentile("a", 0.5).alias("a"), F.percentile("b", 0.5).alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def track_teams(colours: DataFrame, factor: float = 2.5, seed: int = 42) -> DataFrame:
-    """(segment, track_id, team): light or dark by two clusters, other for tracks far from both; with fewer than four tracks none."""
-    n = colours.count()
-    if n < 4:
-        return colours.select("segment", "track_id", F.lit("other").alias("team"))
-    points = VectorAssembler(inputCols=["L", "a", "b"], outputCol="features").transform(colours)
-    model = KMeans(k=2, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
-    centres = [[float(v) for v in c] for c in model.clusterCenters()]
-    light = int(np.argmax([c[0] for c in centres]))
-    to = lambda c: F.sqrt(sum(F.pow(F.col(x) - v, 2) for x, v in zip(("L", "a", "b"), centres[c])))
-    near = model.transform(points).withColumn("distance", F.when(F.col("cluster") == 0, to(0)).otherwise(to(1)))
-    cut = near.agg((factor * F.percentile("distance", 0.5)).alias("cut"))
-    team = F.when(F.col("distance") > F.col("cut"), "other").when(F.col("cluster") == light, "light").otherwise("dark")
-    return near.crossJoin(F.broadcast(cut)).select("segment", "track_id", team.alias("team"))
+def _two_centres(points: DataFrame) -> DataFrame:
+    """(g, c0, c1): two centres of each group's points (g, p), p a struct of L, a and b, by Lloyd's rounds for all groups at once.
+
+    Each group starts three times, from the least and the greatest point by each colour axis; the start with the least inertia wins, the
+    first of equal ones. A round moves one row a start, cluster and task, never a group's points. Centres are rounded to nine places, so that the
+    order of sums doesn't matter; a centre without points stays where it is.
+    """
+    ends = [(f([F.col("p")[axis], F.col("p")]), axis) for axis in COLOUR for f in (lambda c: F.min(F.struct(*c)), lambda c: F.max(F.struct(*c)))]
+    found = points.groupBy("g").agg(*[e.getField("p").alias(f"{axis}{i % 2}") for i, (e, axis) in enumerate(ends)])
+    starts = F.array(*[F.struct(F.lit(i).alias("start"), F.col(f"{axis}0").alias("c0"), F.col(f"{axis}1").alias("c1")) for i, axis in enumerate(COLOUR)])
+    state = written(found.select("g", F.explode(starts).alias("s")).select("g", "s.*", F.lit(True).alias("moved")), "kit-centres")
+    for _ in range(ROUNDS):
+        second = _apart("c1") < _apart("c0")
+        means = [F.struct(*[F.coalesce(F.round(F.avg(F.when(second == bool(i), F.col("p")[axis])), 9), F.col(f"c{i}")[axis]).alias(axis) for axis in COLOUR]).alias(f"n{i}") for i in (0, 1)]
+        moved = points.join(state.drop("moved"), "g").groupBy("g", "start", "c0", "c1").agg(*means)
+        state = written(moved.select("g", "start", F.col("n0").alias("c0"), F.col("n1").alias("c1"), ((F.col("n0") != F.col("c0")) | (F.col("n1") != F.col("c1"))).alias("moved")), "kit-centres")
+        if state.where("moved").isEmpty():
+            break
+    inertia = points.join(state, "g").groupBy("g", "start", "c0", "c1").agg(F.round(F.sum(F.least(_apart("c0"), _apart("c1"))), 6).alias("inertia"))
+    return inertia.groupBy("g").agg(F.min_by(F.struct("c0", "c1"), F.struct("inertia", "start")).alias("c")).select("g", "c.c0", "c.c1")
+
+
+def _apart(centre: str) -> Column:
+    """Squared distance of the colour p from a centre."""
+    return reduce(lambda a, b: a + b, [(F.col("p")[axis] - F.col(centre)[axis]) * (F.col("p")[axis] - F.col(centre)[axis]) for axis in COLOUR])
+
+
+def track_teams(colours: DataFrame, factor: float = 2.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, segment, track_id, team): light or dark by two clusters of each clip's track colours, other for tracks further from both than ``factor`` medians.
+
+    ``by`` names a clip; without it all tracks are of one. All tracks of a clip with fewer than four are other; null is a clip of its own.
+    """
+    rows = colours.select(F.struct(*by, F.lit(0).alias("of_all")).alias("g"), *by, "segment", "track_id", F.struct(*[F.col(axis).cast("double").alias(axis) for axis in COLOUR]).alias("p"))
+    rows = written(rows, "kit-colours")
+    centres = _two_centres(rows.select("g", "p")).join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
+    near = rows.join(centres, "g").withColumn("distance", F.round(F.sqrt(F.least(_apart("c0"), _apart("c1"))), 9))
+    near = written(near, "kit-distances")
+    middle = quantiles(near, "distance", (0.5,), ("g",)).select("g", F.get("quantiles", F.lit(0)).alias("median"))
+    first = _apart("c0") <= _apart("c1")
+    light = F.when(F.col("c0")["L"] >= F.col("c1")["L"], first).otherwise(~first)
+    team = F.when((F.col("n") < 4) | (F.col("distance") > factor * F.col("median")), "other").when(light, "light").otherwise("dark")
+    return near.join(middle, "g").select(*by, "segment", "track_id", team.alias("team"))
 
 
 def with_teams(det: DataFrame, teams: DataFrame) -> DataFrame:
@@ -126,6 +156,59 @@ def fit_homography(image: list[tuple[float, float]], pitch: list[tuple[float, fl
     return h.ravel().tolist(), np.linalg.norm(mapped[:, :2] / mapped[:, 2:] - b, axis=1).tolist()
 
 
+def fit_homographies(marks: DataFrame, by: tuple[str, ...] = ("clip",)) -> DataFrame:
+    """(by, h, n): the least-squares matrix of each clip from its landmarks (by, ix, iy in the image; px, py on the pitch), all clips at once.
+
+    Points are moved and scaled to their mean and mean distance, and each clip's normal equations are a sum of 9 x 9 products,
+    combined before they are shuffled, so that a clip may have any number of landmarks; Python solves one such matrix a clip. Landmarks with a null
+    are passed over. h is null for clips with fewer than four landmarks or without a spread, and where the landmarks leave more than one matrix.
+    """
+    known = marks.where(F.col("ix").isNotNull() & F.col("iy").isNotNull() & F.col("px").isNotNull() & F.col("py").isNotNull())
+    rows = known.select(F.struct(*by, F.lit(0).alias("of_all")).alias("g"), *[F.col(c).cast("double").alias(c) for c in ("ix", "iy", "px", "py")])
+    means = rows.groupBy("g").agg(*[F.avg(c).alias(f"m_{c}") for c in ("ix", "iy", "px", "py")], F.count(F.lit(1)).alias("n"))
+    moved = rows.join(means, "g")
+    off = lambda c: F.col(c) - F.col(f"m_{c}")
+    spread = moved.groupBy("g", "n", *[f"m_{c}" for c in ("ix", "iy", "px", "py")]).agg(F.avg(F.hypot(off("ix"), off("iy"))).alias("d_i"), F.avg(F.hypot(off("px"), off("py"))).alias("d_p"))
+    fit = rows.join(spread, "g")
+    scale = lambda d: np.sqrt(2) / F.nullif(F.col(d), F.lit(0.0))
+    unit = fit.select("g", "n", "m_ix", "m_iy", "m_px", "m_py", "d_i", "d_p", *[(off(c) * scale(f"d_{c[0]}")).alias(c) for c in ("ix", "iy", "px", "py")])
+    x, y, u, v, one, zero = F.col("ix"), F.col("iy"), F.col("px"), F.col("py"), F.lit(1.0), F.lit(0.0)
+    pair = ([x, y, one, zero, zero, zero, -u * x, -u * y, -u], [zero, zero, zero, x, y, one, -v * x, -v * y, -v])
+    sums = [F.sum(pair[0][i] * pair[0][j] + pair[1][i] * pair[1][j]) for i in range(9) for j in range(i, 9)]
+    whole = unit.groupBy("g", "n", "m_ix", "m_iy", "m_px", "m_py", "d_i", "d_p").agg(F.array(*sums).alias("normal"))
+    return whole.select(*[F.col(f"g.{c}").alias(c) for c in by], _solved("normal", F.array("m_ix", "m_iy", "d_i"), F.array("m_px", "m_py", "d_p")).alias("h"), "n")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _solved(normal: pd.Series, image: pd.Series, pitch: pd.Series) -> pd.Series:
+    """The direction that each 9 x 9 matrix (its upper half) shortens most, as a matrix between the points as they came."""
+    at = np.triu_indices(9)
+
+    def scaling(m: np.ndarray) -> np.ndarray:
+        s = np.sqrt(2) / m[2]
+        return np.array([[s, 0, -s * m[0]], [0, s, -s * m[1]], [0, 0, 1]])
+
+    def one(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[float] | None:
+        n, a, b = (np.asarray(v, float) for v in (n, a, b))  # a null sum is not a number
+        if not np.isfinite(n).all() or a[2] == 0 or b[2] == 0:
+            return None
+        full = np.zeros((9, 9))
+        full[at] = n
+        sizes, ways = np.linalg.eigh(full + np.triu(full, 1).T)
+        if sizes[1] <= 1e-12 * sizes[-1]:
+            return None
+        h = np.linalg.inv(scaling(b)) @ ways[:, 0].reshape(3, 3) @ scaling(a)
+        return (h / (h[2, 2] or np.abs(h).max())).ravel().tolist()
+
+    return pd.Series([one(*of) for of in zip(normal, image, pitch)], dtype=object)
+
+
+def landmark_errors(marks: DataFrame, maps: DataFrame, by: tuple[str, ...] = ("clip",)) -> DataFrame:
+    """Landmarks with ``error``: the distance on the pitch between each and its image under the clip's matrix; null without one."""
+    x, y = g.apply_h(F.col("h"), F.col("ix"), F.col("iy"))
+    return marks.join(maps.select(*by, "h"), list(by), "left").withColumn("error", F.hypot(x - F.col("px"), y - F.col("py"))).drop("h")
+
+
 def players_to_pitch(det: DataFrame, maps: DataFrame) -> DataFrame:
     """Detections with X, Y on the pitch; frames without a matrix drop out."""
     fx, fy = g.feet(F.col("cls"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), BALL)

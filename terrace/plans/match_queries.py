@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -189,12 +189,28 @@ def first_subs(spark, sf_dir):
     return e.first_subs(ev(spark, sf_dir))
 
 
-@cat.add()
+#: Lengths of shortest paths by rounds of relaxing, numbers of shortest paths by their numbers of edges, and from these the share through each player.
+PATHS = NET.replace("WITH ", "WITH RECURSIVE ", 1) + """, bw_u AS (SELECT match_id, team, a AS player, weight FROM edges UNION ALL SELECT match_id, team, b, weight FROM edges UNION ALL SELECT match_id, team, player, NULL FROM nodes),
+bw_n AS (SELECT match_id, team, player, count(weight) AS degree, coalesce(sum(weight),0)::BIGINT AS strength FROM bw_u GROUP BY ALL), bw_c AS (SELECT match_id, team, count(*) AS players FROM bw_n GROUP BY ALL),
+bw_e AS (SELECT match_id, team, a AS f, b AS t, 1e0/weight AS w FROM edges UNION ALL SELECT match_id, team, b, a, 1e0/weight FROM edges),
+bw_d AS (SELECT 0 AS i, match_id, team, player AS s, player AS t, 0e0 AS d FROM bw_n UNION ALL
+ SELECT i+1, match_id, team, s, t, min(d) FROM (SELECT i, match_id, team, s, t, d FROM bw_d UNION ALL SELECT i, bw_d.match_id, bw_d.team, s, bw_e.t, d+w FROM bw_d JOIN bw_e ON bw_e.match_id=bw_d.match_id AND bw_e.team=bw_d.team AND bw_e.f=bw_d.t) WHERE i<(SELECT max(players) FROM bw_c) GROUP BY i, match_id, team, s, t),
+bw_l AS (SELECT match_id, team, s, t, d FROM bw_d WHERE i=(SELECT max(i) FROM bw_d)),
+bw_h AS (SELECT 0 AS h, match_id, team, player AS s, player AS t, 1e0 AS n FROM bw_n UNION ALL
+ SELECT h+1, q.match_id, q.team, q.s, bw_e.t, sum(n) FROM bw_h q JOIN bw_e ON bw_e.match_id=q.match_id AND bw_e.team=q.team AND bw_e.f=q.t JOIN bw_l x ON x.match_id=q.match_id AND x.team=q.team AND x.s=q.s AND x.t=q.t JOIN bw_l y ON y.match_id=q.match_id AND y.team=q.team AND y.s=q.s AND y.t=bw_e.t WHERE abs(x.d+w-y.d)<1e-9 GROUP BY h, q.match_id, q.team, q.s, bw_e.t),
+bw_p AS (SELECT match_id, team, s, t, d, sum(n) AS n FROM bw_h JOIN bw_l USING (match_id, team, s, t) GROUP BY ALL),
+bw_b AS (SELECT x.match_id, x.team, x.t AS player, sum(x.n*y.n/z.n) AS through FROM bw_p x JOIN bw_p y ON y.match_id=x.match_id AND y.team=x.team AND y.s=x.t JOIN bw_p z ON z.match_id=x.match_id AND z.team=x.team AND z.s=x.s AND z.t=y.t WHERE x.s<>x.t AND y.s<>y.t AND x.s<>y.t AND abs(x.d+y.d-z.d)<1e-9 GROUP BY ALL)"""
+
+
+@cat.add(f"""{PATHS}, bw AS (SELECT match_id, team, player, degree, strength, round(CASE WHEN players>2 THEN coalesce(through,0e0)/((players-1)*(players-2)) ELSE 0e0 END,4) AS betweenness FROM bw_n JOIN bw_c USING (match_id, team) LEFT JOIN bw_b USING (match_id, team, player))
+SELECT *, CAST(row_number() OVER (PARTITION BY match_id, team ORDER BY betweenness DESC, strength DESC, player) AS INT) AS place FROM bw""")
 def network_betweenness(spark, sf_dir):
-    """Partners, passes and betweenness; the paths aren't SQL's to find."""
+    """Partners, passes and betweenness of a team's players, the most central first: by betweenness, then by passes."""
     rows = ev(spark, sf_dir)
     nodes, edges = e.pass_nodes(rows), e.pass_edges(rows)
-    return e.degrees(nodes, edges).join(network.betweenness(nodes, edges), ["match_id", "team", "player"])
+    joined = e.degrees(nodes, edges).join(network.betweenness(nodes, edges), ["match_id", "team", "player"])
+    place = F.row_number().over(Window.partitionBy("match_id", "team").orderBy(F.desc("betweenness"), F.desc("strength"), "player"))
+    return joined.withColumn("place", place)
 
 
 @cat.add(f"{SHOTS} SELECT match_id, team, count(*) AS shots, CAST(sum(is_goal) AS BIGINT) AS goals, round(sum(xg),4) AS xg FROM sx GROUP BY match_id, team")

@@ -96,9 +96,39 @@ def track_colours(spark, sf_dir):
     return rounded(v.track_colours(detections(spark, sf_dir)))
 
 
-@cat.add()
+#: Track colours of clips of four segments, three starts a clip (the ends by each colour axis), thirty rounds of means, the start with the least inertia.
+KITS = f"""WITH RECURSIVE det AS ({DET}), tc AS (SELECT CAST(floor(segment/4) AS INT) AS clip, segment, track_id, quantile_cont("L",0.5) AS lc, quantile_cont(a,0.5) AS ac, quantile_cont(b,0.5) AS bc FROM det WHERE cls=0 AND on_grass AND "L" IS NOT NULL AND track_id>=0 GROUP BY segment, track_id HAVING count(*)>=5),
+st AS (SELECT clip, 0 AS s, arg_min((lc,ac,bc),(lc,lc,ac,bc)) AS p, arg_max((lc,ac,bc),(lc,lc,ac,bc)) AS q FROM tc GROUP BY clip UNION ALL SELECT clip, 1, arg_min((lc,ac,bc),(ac,lc,ac,bc)), arg_max((lc,ac,bc),(ac,lc,ac,bc)) FROM tc GROUP BY clip
+ UNION ALL SELECT clip, 2, arg_min((lc,ac,bc),(bc,lc,ac,bc)), arg_max((lc,ac,bc),(bc,lc,ac,bc)) FROM tc GROUP BY clip),
+r AS (SELECT 0 AS i, clip, s, p[1] AS l0, p[2] AS a0, p[3] AS b0, q[1] AS l1, q[2] AS a1, q[3] AS b1 FROM st UNION ALL
+ SELECT i+1, clip, s, coalesce(round(avg(lc) FILTER (NOT far),9),l0), coalesce(round(avg(ac) FILTER (NOT far),9),a0), coalesce(round(avg(bc) FILTER (NOT far),9),b0), coalesce(round(avg(lc) FILTER (far),9),l1), coalesce(round(avg(ac) FILTER (far),9),a1), coalesce(round(avg(bc) FILTER (far),9),b1)
+ FROM (SELECT r.*, lc, ac, bc, power(lc-l1,2)+power(ac-a1,2)+power(bc-b1,2)<power(lc-l0,2)+power(ac-a0,2)+power(bc-b0,2) AS far FROM r JOIN tc USING (clip)) WHERE i<30 GROUP BY i, clip, s, l0, a0, b0, l1, a1, b1),
+ds AS (SELECT r.*, segment, track_id, power(lc-l0,2)+power(ac-a0,2)+power(bc-b0,2) AS d0, power(lc-l1,2)+power(ac-a1,2)+power(bc-b1,2) AS d1 FROM r JOIN tc USING (clip) WHERE i=30),
+be AS (SELECT clip, arg_min(s, (round(inertia,6), s)) AS s, max(n) AS n FROM (SELECT clip, s, sum(least(d0,d1)) AS inertia, count(*) AS n FROM ds GROUP BY clip, s) GROUP BY clip),
+nr AS (SELECT ds.*, n, round(sqrt(least(d0,d1)),9) AS d, median(round(sqrt(least(d0,d1)),9)) OVER (PARTITION BY clip) AS med FROM ds JOIN be USING (clip, s))"""
+
+
+@cat.add(f"{KITS} SELECT clip, segment, track_id, CASE WHEN n<4 OR d>2.5e0*med THEN 'other' WHEN (l0>=l1)=(d0<=d1) THEN 'light' ELSE 'dark' END AS team FROM nr")
 def track_teams(spark, sf_dir):
-    return v.track_teams(v.track_colours(detections(spark, sf_dir)))
+    """Kits of each clip, four segments of it."""
+    colours = v.track_colours(detections(spark, sf_dir)).withColumn("clip", F.floor(F.col("segment") / 4).cast("int"))
+    return v.track_teams(colours, by=("clip",))
+
+
+#: A camera that stands elsewhere in each clip: landmarks all over the image, with their places on the pitch.
+LAND = "SELECT CAST(floor(event_id/500) AS INT) AS clip, event_id AS mark, (event_id*37)%1280+user_id%11*1e-1 AS ix, (event_id*53)%720+user_id%7*1e-1 AS iy, CAST(floor(event_id/500) AS INT)%9*3e0 AS pan FROM events"
+PLACED = "SELECT *, ({0}*(ix+pan)+{1}*iy+{2})/({6}*(ix+pan)+{7}*iy+{8}) AS px, ({3}*(ix+pan)+{4}*iy+{5})/({6}*(ix+pan)+{7}*iy+{8}) AS py FROM l".format(*[f"CAST({h:.8f} AS DOUBLE)" for h in H])
+
+
+@cat.add(f"""WITH l AS ({LAND}), m AS ({PLACED}) SELECT clip, count(*) AS n, 0e0 AS worst, 0e0 AS rms, round(max(px),3) AS most_x, round(min(py),3) AS least_y FROM m GROUP BY clip""")
+def homographies(spark, sf_dir):
+    """A matrix for each clip from its landmarks: how far off it is, and the ends of what it sees."""
+    marks = _sql(spark, sf_dir, f"WITH l AS ({LAND}) {PLACED}")
+    maps = v.fit_homographies(marks)
+    x, y = g.apply_h(F.col("h"), F.col("ix"), F.col("iy"))
+    seen = marks.select("clip", "mark", "ix", "iy").join(maps, "clip").select("clip", "mark", x.alias("x"), y.alias("y"))
+    errors = v.landmark_errors(marks, maps).groupBy("clip").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("error"), 4).alias("worst"), F.round(F.sqrt(F.avg(F.col("error") * F.col("error"))), 4).alias("rms"))
+    return errors.join(seen.groupBy("clip").agg(F.round(F.max("x"), 3).alias("most_x"), F.round(F.min("y"), 3).alias("least_y")), "clip")
 
 
 @cat.add(f"{W} SELECT team, count(DISTINCT segment*100+track_id) AS tracks FROM pos WHERE track_id>=0 GROUP BY team")

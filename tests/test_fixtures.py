@@ -1,6 +1,7 @@
 """Small tables with answers worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,37 @@ def test_video(spark):
     assert {teams[i] for i in range(10)} == {"light"} and {teams[10 + i] for i in range(10)} == {"dark"} and teams[30] == "other"
 
 
+def test_kits_of_many_clips(spark):
+    """Clips differ in their kits; a clip of three tracks, a null clip, and equal colours."""
+    rows = [(1, 0, i, 200.0 + i % 3, 120.0, 130.0) for i in range(6)] + [(1, 1, i, 60.0 + i % 2, 120.0, 130.0) for i in range(6)] + [(1, 1, 9, 130.0, 220.0, 20.0)]
+    rows += [(2, 5, i, 100.0 - 40 * (i % 2) + i % 3, 120.0, 90.0) for i in range(8)] + [(3, 7, i, 50.0 * i, 1.0, 1.0) for i in range(3)] + [(None, 8, i, 50.0 * (i % 2), 1.0, 1.0) for i in range(4)] + [(4, 9, i, 80.0, 80.0, 80.0) for i in range(5)]
+    colours = spark.createDataFrame(rows, "clip int, segment int, track_id int, L double, a double, b double")
+    got = {(r["clip"], r["segment"], r["track_id"]): r["team"] for r in v.track_teams(colours.repartition(5), by=("clip",)).collect()}
+    assert len(got) == len(rows) and got == {(r["clip"], r["segment"], r["track_id"]): r["team"] for r in v.track_teams(colours.coalesce(1), by=("clip",)).collect()}
+    assert {got[1, 0, i] for i in range(6)} == {"light"} and {got[1, 1, i] for i in range(6)} == {"dark"} and got[1, 1, 9] == "other"
+    assert {i: got[2, 5, i] for i in range(8)} == {i: "dark" if i % 2 else "light" for i in range(8)}
+    assert {got[3, 7, i] for i in range(3)} == {"other"} and [got[None, 8, i] for i in range(4)] == ["dark", "light"] * 2 and {got[4, 9, i] for i in range(5)} == {"light"}
+    assert v.track_teams(colours.limit(0), by=("clip",)).collect() == []
+
+
+def test_homographies_of_many_clips(spark):
+    """Each clip's matrix equals the one of its landmarks alone, noise included; too few landmarks, landmarks in a line and one place give none."""
+    rnd = random.Random(4)
+    of = {c: [(rnd.uniform(0, 1280), rnd.uniform(0, 720)) for _ in range(n)] for c, n in ((1, 4), (2, 9), (3, 40))}
+    to = lambda c, x, y: ((0.08 * x + 0.01 * y + c) / (1 + 2e-4 * y), (0.002 * x - 0.09 * y + 66) / (1 + 2e-4 * y))
+    rows = [(c, x, y, *(q + rnd.uniform(-0.4, 0.4) for q in to(c, x, y))) for c, ps in of.items() for x, y in ps]
+    rows += [(4, float(i * i), 1.0, 2.0, float(i)) for i in range(3)] + [(5, float(i), 2.0 * i, 3.0 * i, float(i)) for i in range(6)] + [(6, 1.0, 1.0, 1.0, 1.0)] * 5 + [(2, None, 1.0, 1.0, 1.0)]
+    marks = spark.createDataFrame(rows, "clip int, ix double, iy double, px double, py double")
+    maps = v.fit_homographies(marks)
+    got = {r["clip"]: r["h"] for r in maps.collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and got[4] is got[5] is got[6] is None
+    errors = {c: sorted(r["error"] for r in v.landmark_errors(marks, maps).where(F.col("clip") == c).collect() if r["error"] is not None) for c in of}
+    for c, ps in of.items():
+        own = [r for r in rows if r[0] == c and r[1] is not None]
+        h, far = v.fit_homography([r[1:3] for r in own], [r[3:5] for r in own])
+        assert got[c] == pytest.approx(h, rel=1e-5, abs=1e-8) and errors[c] == pytest.approx(sorted(far), abs=1e-5)
+
+
 def test_camera_chain(spark):
     pan = [1.0, 0.0, -7.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
     steps = spark.createDataFrame([(1, f, pan) for f in range(100, 108)], "clip int, frame int, h array<double>")
