@@ -62,6 +62,13 @@ def frame_rate(trk: DataFrame) -> float:
     return times.select(step.alias("step")).agg(F.round(1 / F.median("step"), 3)).first()[0]
 
 
+def frame_rates(trk: DataFrame) -> DataFrame:
+    """(game, fps): each game's frames a second, by the median time between frames that follow each other; null for a game of one frame."""
+    times = trk.select("game", "frame", "time_s").distinct()
+    step = F.col("time_s") - F.lag("time_s").over(Window.partitionBy("game").orderBy("frame"))
+    return times.select("game", step.alias("step")).groupBy("game").agg(F.round(1 / F.median("step"), 3).alias("fps"))
+
+
 def frame_gaps(trk: DataFrame) -> DataFrame:
     frames = trk.select("game", "frame").distinct()
     gap = F.col("frame") - F.lag("frame").over(Window.partitionBy("game").orderBy("frame"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import shots as s
 from ..sources import loaders, readers
-from ..sources.projections import ev, table
+from ..sources.projections import TRK, ev, table, trk
 from ..sources.scratch import shared_path
 from .catalogue import Catalogue, rounded
 from .match_queries import cat as matches
+from .tracking_queries import DIRECTION
 
 cat = Catalogue()
 
@@ -45,3 +46,46 @@ def source_roundtrip(spark, sf_dir):
     seasons = [r["season"] for r in counts.select("season").collect()]  # a row for each year
     alone = spark.createDataFrame([(year, loaders.read_season(spark, f"{path}/keyed", 1, year).count()) for year in seasons], "season int, alone long")
     return counts.join(keyed, "season").join(csv, "season").join(json, "season").join(alone, "season")
+
+
+SQUAD = [f"Player{i}" for i in range(1, 12)]
+
+
+def _game_folder(spark, sf_dir) -> str:
+    """Tracking and feed files of all games as the provider has them: wide lines under three header lines a side, places as shares of the pitch, NaN where lost."""
+    path = shared_path(spark, "games")
+    rows = trk(spark, sf_dir)
+    place = F.concat_ws(",", F.col("x") / 105, 1 - F.col("y") / 68)
+    cells = F.map_from_entries(F.collect_list(F.when(F.col("x").isNotNull(), F.struct(F.concat("team", "player"), place))))
+    frames = rows.groupBy("game", "period", "frame", "time_s").agg(cells.alias("at")).withColumn("team", F.explode(F.array(F.lit("home"), F.lit("away"))))
+    line = F.concat_ws(",", "period", "frame", "time_s", *[F.coalesce(F.col("at")[F.concat(F.col("team"), F.lit(p))], F.lit("NaN,NaN")) for p in SQUAD], F.col("frame") % 101 / 100, F.lit("0.5"))
+    heads = [",".join([",,"] + [f"{side}," for _ in range(12)]) for side in ("Side", "1")] + ["Period,Frame,Time [s]," + ",".join(f"{p}," for p in [*SQUAD, "Ball"])]
+    head = frames.select("game", "team").distinct().select("game", "team", F.explode(F.array(*[F.lit(h) for h in heads])).alias("value"))
+    frames.select("game", "team", line.alias("value")).unionByName(head).write.partitionBy("game", "team").text(f"{path}/tracking")
+    c = F.col
+    feed = rows.select(
+        "game", F.initcap("team").alias("Team"), F.lit("CARRY").alias("Type"), F.lit(None).cast("string").alias("Subtype"), c("period").alias("Period"), c("frame").alias("Start Frame"), c("time_s").alias("Start Time [s]"), (c("frame") + 1).alias("End Frame"),
+        (c("time_s") + 0.04).alias("End Time [s]"), c("player").alias("From"), F.lit(None).cast("string").alias("To"), (c("x") / 105).alias("Start X"), (1 - c("y") / 68).alias("Start Y"), F.lit(None).cast("double").alias("End X"), F.lit(None).cast("double").alias("End Y"),
+    )
+    feed.write.partitionBy("game").csv(f"{path}/feed", header=True, nullValue="NaN")
+    return path
+
+
+GAMES = f"WITH trk AS ({TRK}), {DIRECTION}"
+
+
+@cat.add(f"""{GAMES}, fr AS (SELECT DISTINCT game, period, frame, time_s FROM trk), sq AS (SELECT t.team, concat('Player', CAST(p.p AS VARCHAR)) AS player FROM (VALUES ('home'),('away')) t(team), range(1,12) p(p))
+SELECT fr.game, CAST(fr.period AS BIGINT) AS period, CAST(fr.frame AS BIGINT) AS frame, round(fr.time_s,4) AS time_s, sq.team, sq.player, round(CASE WHEN direction=-1 THEN 105-x ELSE x END,4) AS x, round(CASE WHEN direction=-1 THEN 68-y ELSE y END,4) AS y
+FROM fr CROSS JOIN sq LEFT JOIN trk ON trk.game=fr.game AND trk.frame=fr.frame AND trk.team=sq.team AND trk.player=sq.player LEFT JOIN dr ON dr.game=fr.game AND dr.period=fr.period""")
+def load_games_tracking(spark, sf_dir):
+    """All games written as files, read in one pass, checked and turned: a row for each frame of a player."""
+    games = loaders.load_games(spark, _game_folder(spark, sf_dir), clean=False)
+    return rounded(games.tracking.select("game", "period", "frame", "time_s", "team", "player", "x", "y"))
+
+
+@cat.add(f"""{GAMES} SELECT trk.game, CAST(trk.period AS BIGINT) AS period, CAST(frame AS BIGINT) AS start_frame, team, player AS player_from, round(CASE WHEN direction=-1 THEN 105-x ELSE x END,4) AS start_x, round(CASE WHEN direction=-1 THEN 68-y ELSE y END,4) AS start_y, CAST(NULL AS DOUBLE) AS end_x
+FROM trk LEFT JOIN dr ON dr.game=trk.game AND dr.period=trk.period""")
+def load_games_events(spark, sf_dir):
+    """The feeds of all games, turned as their tracking is."""
+    games = loaders.load_games(spark, _game_folder(spark, sf_dir), clean=False)
+    return rounded(games.events.select("game", "period", "start_frame", "team", "player_from", "start_x", "start_y", "end_x"))

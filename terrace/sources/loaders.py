@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import tracking as t
 from . import readers, schemas
+from .scratch import written
 
 
 def read_settings(spark: SparkSession, path: str) -> dict:
@@ -50,7 +51,7 @@ def operator_events(events: DataFrame) -> DataFrame:
 
 @dataclass
 class Game:
-    """A tracked game in metres, the home side attacking to the right; tracking has a row for each frame of a player, null where the track is lost."""
+    """Tracked games in metres, the home side attacking to the right; tracking has a row for each frame of a player, null where the track is lost."""
 
     fps: float
     tracking: DataFrame
@@ -60,13 +61,14 @@ class Game:
     quality: DataFrame
 
 
-def same_track(a: DataFrame, b: DataFrame, near: float = 1e-8) -> bool:
-    """Whether two tracks (frame, x, y) have the same frames and places; missing equals missing."""
-    both = a.select("frame", F.col("x").alias("ax"), F.col("y").alias("ay")).join(b.select(F.col("frame").alias("frame2"), F.col("x").alias("bx"), F.col("y").alias("by")), F.col("frame") == F.col("frame2"), "full")
+def same_tracks(a: DataFrame, b: DataFrame, near: float = 1e-8) -> DataFrame:
+    """(game, same): whether the games' two tracks (game, frame, x, y) have the same frames and places; missing equals missing."""
+    ours = a.select("game", "frame", F.col("x").alias("ax"), F.col("y").alias("ay"), F.lit(True).alias("in_a"))
+    both = ours.join(b.select("game", "frame", F.col("x").alias("bx"), F.col("y").alias("by"), F.lit(True).alias("in_b")), ["game", "frame"], "full")
     apart = lambda p, q: F.col(p).isNull() != F.col(q).isNull()
     far = lambda p, q: F.coalesce(F.abs(F.col(p) - F.col(q)) > near, F.lit(False))
-    differs = F.col("frame").isNull() | F.col("frame2").isNull() | apart("ax", "bx") | apart("ay", "by") | far("ax", "bx") | far("ay", "by")
-    return both.where(differs).isEmpty()
+    differs = apart("in_a", "in_b") | apart("ax", "bx") | apart("ay", "by") | far("ax", "bx") | far("ay", "by")
+    return both.groupBy("game").agg((F.count_if(differs) == 0).alias("same"))
 
 
 def load_game(spark: SparkSession, home: str, away: str, feed: str, game: int = 1, clean: bool = True, length: float = g.LENGTH, width: float = g.WIDTH) -> Game:
@@ -75,32 +77,45 @@ def load_game(spark: SparkSession, home: str, away: str, feed: str, game: int =
     quality has a row for each side, of the data as they came, and steps_over_max_after, of the cleaned data. Files of
     different frames are an error.
     """
-    sides = {}
-    for team, path in (("home", home), ("away", away)):
-        rows = readers.read_tracking(spark, path, keep_missing=True)
-        x, y = g.tracking_to_metres(F.col("x"), F.col("y"), length, width)
-        sides[team] = rows.select(F.lit(game).alias("game"), "period", "frame", "time_s", F.lit(team).alias("team"), "player", x.alias("x"), y.alias("y"))
-    times = {team: rows.select("period", "frame", "time_s").distinct() for team, rows in sides.items()}
-    if not times["home"].exceptAll(times["away"]).isEmpty() or not times["away"].exceptAll(times["home"]).isEmpty():
-        raise ValueError("the sides' files have different frames")
-    fps = t.frame_rate(sides["home"])
-    ball = sides["home"].where("player = 'Ball'").drop("team", "player")
-    same_ball = same_track(ball, sides["away"].where("player = 'Ball'"))
-    players = sides["home"].unionByName(sides["away"]).where("player <> 'Ball'")
+    sides = [readers.read_tracking(spark, path, keep_missing=True).withColumns({"game": F.lit(game), "team": F.lit(team)}) for team, path in (("home", home), ("away", away))]
+    return _assembled(sides[0].unionByName(sides[1]), readers.read_feed(spark, feed).withColumn("game", F.lit(game)), clean, length, width)
+
+
+def load_games(spark: SparkSession, path: str, clean: bool = True, length: float = g.LENGTH, width: float = g.WIDTH) -> Game:
+    """``load_game`` for all games of a folder at once: tracking/game=g/team=home or away, and feed/game=g.
+
+    The files are read in one pass and all checks are grouped by game, so that the number of jobs doesn't grow with the games. Games of different frame rates are an error.
+    """
+    return _assembled(readers.read_trackings(spark, f"{path}/tracking"), readers.read_feed(spark, f"{path}/feed"), clean, length, width)
+
+
+def _assembled(tracking: DataFrame, feed: DataFrame, clean: bool, length: float, width: float) -> Game:
+    x, y = g.tracking_to_metres(F.col("x"), F.col("y"), length, width)
+    rows = written(tracking.select("game", "period", "frame", "time_s", "team", "player", x.alias("x"), y.alias("y")), "tracking-rows")
+    frames = rows.groupBy("game", "period", "frame", "time_s").agg(F.count_distinct("team").alias("sides"))
+    wrong = [r["game"] for r in frames.where("sides <> 2").select("game").distinct().orderBy("game").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"the sides' files have different frames: games {wrong} and perhaps others")
+    rates = [r["fps"] for r in t.frame_rates(rows.where("team = 'home'")).select("fps").distinct().limit(2).collect()]
+    if len(rates) != 1:
+        raise ValueError("the games have no frame rate in common")
+    fps = rates[0]
+    balls = {team: rows.where((F.col("team") == team) & (F.col("player") == "Ball")).drop("team", "player") for team in ("home", "away")}
+    same = same_tracks(balls["home"], balls["away"]).withColumnRenamed("same", "same_ball")
+    players = rows.where("player <> 'Ball'")
     quality = t.quality(players, fps, length, width)
     turned = t.directions(players, length).where("direction = -1").select("game", "period")
     played = t.home_attacks_right(players, length, width)
-    flips = F.broadcast(turned.select(F.col("period").alias("turned_period")))  # a row for each period at most
-    ball = _turned(ball.join(flips, F.col("period") == F.col("turned_period"), "left"), (("x", "y"),), length, width)
-    events = readers.read_feed(spark, feed)
+    flips = turned.withColumn("turned_period", F.col("period"))
+    ball = _turned(balls["home"].join(flips, ["game", "period"], "left"), (("x", "y"),), length, width)
     for a, b in (("start_x", "start_y"), ("end_x", "end_y")):
         x, y = g.tracking_to_metres(F.col(a), F.col(b), length, width)
-        events = events.withColumns({a: x, b: y})
-    events = _turned(events.join(flips, F.col("period") == F.col("turned_period"), "left"), (("start_x", "start_y"), ("end_x", "end_y")), length, width).withColumn("game", F.lit(game))
+        feed = feed.withColumns({a: x, b: y})
+    events = _turned(feed.join(flips, ["game", "period"], "left"), (("start_x", "start_y"), ("end_x", "end_y")), length, width)
     if clean:
         played = t.despike(played, fps)
     fast = t.step_speed(played, True, fps).groupBy("game", "team").agg(F.count_if(F.col("step") > t.MAX_SPEED).alias("steps_over_max_after"))
-    return Game(fps, played, ball, events, turned, quality.join(fast, ["game", "team"]).withColumn("same_ball", F.lit(same_ball)))
+    return Game(fps, played, ball, events, turned, quality.join(fast, ["game", "team"]).join(same, "game", "left"))
 
 
 def _turned(rows: DataFrame, points: tuple[tuple[str, str], ...], length: float, width: float) -> DataFrame:

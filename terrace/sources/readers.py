@@ -67,6 +67,22 @@ def read_tracking(spark: SparkSession, path: str, keep_missing: bool = False) ->
     return placed if keep_missing else placed.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
+def read_trackings(spark: SparkSession, path: str) -> DataFrame:
+    """The tracking files of many games in long form, lost places as nulls; ``path`` has a folder game=g/team=t for each side, with any number of files.
+
+    As ``read_tracking``, but each side's names come from its own header by a join, so that all files are one pass whatever their players.
+    """
+    lines = spark.read.text(path)
+    heads = lines.where(F.col("value").startswith("Period,")).select(F.col("game").alias("__game"), F.col("team").alias("__team"), F.transform(F.split("value", ","), lambda n: F.trim(n)).alias("__names")).distinct()
+    cells = lines.withColumn("cells", F.split("value", ",")).where(F.get("cells", F.lit(0)).try_cast("int").isNotNull())
+    number = lambda i: F.get("cells", i).try_cast("double")
+    named = F.transform("__names", lambda n, i: F.struct(n.alias("player"), i.alias("i"), number(i).alias("x"), number(i + 1).alias("y")))
+    long = cells.join(heads, (F.col("game") == F.col("__game")) & (F.col("team") == F.col("__team"))).select(
+        "game", "team", number(F.lit(0)).cast("long").alias("period"), number(F.lit(1)).cast("long").alias("frame"), number(F.lit(2)).alias("time_s"), F.explode(F.filter(named, lambda e: (e["i"] > 2) & (e["player"] != ""))).alias("p")
+    )
+    return long.select("game", "period", "frame", "time_s", "team", "p.player", F.nanvl("p.x", F.lit(None)).alias("x"), F.nanvl("p.y", F.lit(None)).alias("y"))
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """The tracking provider's events with our column names and lower-case teams."""
     feed = spark.read.schema(schemas.FEED).csv(path, header=True, nullValue="NaN")

@@ -299,6 +299,44 @@ def test_load_game(spark, tmp_path):
         loaders.load_game(spark, *paths)
 
 
+def test_load_games(spark, tmp_path):
+    """Two games of different players in one pass, each equal to itself loaded alone; sides of different frames and different rates are errors."""
+    rnd = random.Random(9)
+    names = "Team,Type,Subtype,Period,Start Frame,Start Time [s],End Frame,End Time [s],From,To,Start X,Start Y,End X,End Y\n"
+    alone = {}
+
+    def write(game, squads, frames, step, shift=0):
+        feed = tmp_path / "all" / "feed" / f"game={game}"
+        feed.mkdir(parents=True, exist_ok=True)
+        (feed / "feed.csv").write_text(names + "".join(f"Home,PASS,,{1 + f % 2},{f},{f * step},{f + 1},{(f + 1) * step},{squads['home'][0]},,{f / 50},0.25,NaN,NaN\n" for f in range(1, 6)))
+        for team, squad in squads.items():
+            folder = tmp_path / "all" / "tracking" / f"game={game}" / f"team={team}"
+            folder.mkdir(parents=True, exist_ok=True)
+            head = ",,,Side,,\n,,,1,,\nPeriod,Frame,Time [s]," + ",".join(f"{p}," for p in [*squad, "Ball"]) + "\n"
+            off = shift if team == "away" else 0
+            lines = [",".join(map(str, [1 if f < frames // 2 else 2, f + off, (f + off) * step, *(v for _ in squad for v in (("NaN", "NaN") if rnd.random() < 0.2 else (round(rnd.random(), 3), round(rnd.random(), 3)))), f / 100, 0.5])) for f in range(1, frames)]
+            (folder / "track.csv").write_text(head + "\n".join(lines) + "\n")
+            alone[game, team] = str(folder / "track.csv")
+        alone[game, "feed"] = str(feed / "feed.csv")
+
+    write(1, {"home": ["Player1", "Player2"], "away": ["Player3"]}, 21, 0.04)
+    write(2, {"home": ["Player9"], "away": ["Player4", "Player5", "Player6"]}, 13, 0.04)
+    everything = lambda df: sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+    both = loaders.load_games(spark, str(tmp_path / "all"))
+    assert both.fps == 25.0 and {(r["game"], r["team"]): r["squad"] for r in both.quality.collect()} == {(1, "home"): 2, (1, "away"): 1, (2, "home"): 1, (2, "away"): 3}
+    for n in (1, 2):
+        one = loaders.load_game(spark, alone[n, "home"], alone[n, "away"], alone[n, "feed"], n)
+        for part in ("tracking", "ball", "events", "turned", "quality"):
+            own, of_all = getattr(one, part), getattr(both, part).where(F.col("game") == n)
+            assert everything(own.select(sorted(own.columns))) == everything(of_all.select(sorted(own.columns))) and set(own.columns) == set(of_all.columns)
+    write(3, {"home": ["Player1"], "away": ["Player2"]}, 9, 0.04, shift=1)
+    with pytest.raises(ValueError, match="games \\[3\\]"):
+        loaders.load_games(spark, str(tmp_path / "all"))
+    write(3, {"home": ["Player1"], "away": ["Player2"]}, 9, 0.1)
+    with pytest.raises(ValueError, match="rate"):
+        loaders.load_games(spark, str(tmp_path / "all"))
+
+
 def test_arcs(spark):
     arcs = spark.createDataFrame(v.pitch_arcs(), "name string, cx double, cy double, r double, a0 double, a1 double")
     points = {(r["name"], r["k"]): (r["x"], r["y"]) for r in v.arc_samples(arcs, 5).collect()}
