@@ -6,8 +6,10 @@ word, which is then spelt out by that word's share among the other words, (c + 1
 a text is thus that of its symbols, by the scaled forward recursion over the whole text, times
 those shares. States are trained by Baum-Welch: tasks sum up expected counts over their documents,
 Spark adds the tasks' counts, and the driver, which holds only a table of fixed size, sets the parameters anew.
-A start is found on a bounded sample of whole texts (SAMPLE documents); from there, rounds over all training documents
-follow until the likelihood grows by less than LEAST_GAIN of itself. Counts of a text are those of the whole text, however long.
+Training is incremental: a hash deals all training documents to SLICES slices, whatever their number; a step makes one slice's
+counts anew under the model so far, in place of that slice's earlier ones, and sets the parameters from the sum of all slices' counts. A sweep of steps
+thus goes once through all training documents, and sweeps follow until the likelihood grows by less than LEAST_GAIN of itself, MOST_SWEEPS at
+most. The model doesn't depend on the order or partitioning of rows (but for rounding). Counts of a text are those of the whole text, however long.
 
 The base score is that of single words with one added to each count. Words' counts come from all training documents. The
 DICTIONARY most frequent words of LONGEST bytes at most are broadcast, which bounds the broadcast; all other words are joined with their counts.
@@ -32,8 +34,8 @@ from . import common
 STATES, SYMBOLS, DICTIONARY = 8, 8000, 150_000
 #: Bytes of the longest word that is broadcast.
 LONGEST = 64
-#: Documents of the starting sample and rounds on it; rounds over all training documents end when the log likelihood grows by less than this share.
-SAMPLE, SAMPLE_ROUNDS, MOST_ROUNDS, LEAST_GAIN = 1500, 12, 20, 0.002
+#: Slices of the training documents, sweeps at most, and the share that the log likelihood grows by at least from one sweep to the next.
+SLICES, MOST_SWEEPS, LEAST_GAIN = 8, 5, 1e-4
 #: Weight of the prior, in counts: the symbols' overall shares for emissions, an even one for moves.
 PRIOR = 1.0
 #: Tokens between kept forward probabilities; tokens of a padded block.
@@ -232,12 +234,12 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v.as_py(), np.uint16) for v in column]
 
 
-def _round(training: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model, float]:
-    """One Baum-Welch round over all training documents, and the log10 likelihood of the model before it.
+def _slice_counts(part: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts over all rows of ``part`` and their log10 likelihood under ``model``.
 
     Rows: a symbol's counts, or -1 the starts, or -2 - k the moves from k, or -2 - STATES the likelihood.
     """
-    told = training.sparkSession.sparkContext.broadcast(model)
+    told = part.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(STATES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +253,8 @@ def _round(training: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model
             keys = np.concatenate([np.arange(emits.shape[1]), -1 - np.arange(STATES + 2)])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(rows[:, k]) for k in range(STATES))], ["row", *names])
 
-    summed = training.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
-    start, moves, emits, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, len(shares))), 0.0
+    summed = part.select("symbols").mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names)).groupBy("row").agg(*[F.sum(n).alias(n) for n in names])
+    start, moves, emits, likelihood = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros_like(model.emits), 0.0
     for r in summed.collect():  # SYMBOLS + STATES + 4 rows at most
         values = [r[n] for n in names]
         if r["row"] >= 0:
@@ -263,26 +265,19 @@ def _round(training: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model
             likelihood = values[0]
         else:
             moves[-2 - r["row"]] = values
-    return Model.of_counts(start, moves, emits, shares), likelihood
+    told.unpersist()
+    return start, moves, emits, likelihood
 
 
 def train(encoded: DataFrame, shares: np.ndarray) -> Model:
-    """Start on a sample of whole texts that a hash of their content draws, then rounds over all training rows until the likelihood hardly grows."""
-    training = encoded.where("NOT held_out")
-    model = Model.first(shares)
-    n = training.count()
-    if not n:
-        return model
-    order = F.xxhash64("doc_id", "symbols")
-    share = min(1.0, 2.0 * SAMPLE / n)  # so that few rows are put in order
-    drawn = training.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select(order.alias("order"), "symbols").orderBy("order", "symbols").limit(SAMPLE).collect()
-    sample = [np.frombuffer(r["symbols"], np.uint16) for r in drawn]
-    for _ in range(SAMPLE_ROUNDS if sample else 0):
-        model = Model.of_counts(*expected_counts(model, sample)[:3], shares)
-    before = None
-    for _ in range(MOST_ROUNDS):
-        model, likelihood = _round(training, model, shares)
-        if before is not None and likelihood - before < LEAST_GAIN * abs(before):
+    """Sweeps of steps over the slices of all training rows until the likelihood hardly grows. The driver holds SLICES tables of counts."""
+    model, kept, before = Model.first(shares), {}, None
+    for _ in range(MOST_SWEEPS):
+        for k in range(SLICES):
+            kept[k] = _slice_counts(encoded.where((F.col("slice") == k) & ~F.col("held_out")), model)
+            model = Model.of_counts(*(sum(counts[j] for counts in kept.values()) for j in range(3)), shares)
+        likelihood = sum(counts[3] for counts in kept.values())
+        if before is not None and likelihood - before <= LEAST_GAIN * abs(before):
             break
         before = likelihood
     return model
@@ -301,7 +296,9 @@ def score(docs: DataFrame) -> DataFrame:
     shares = np.array([*symbol_counts, n_ends, n_other], float) + 1
     shares /= shares.sum()
     run, schema = _encoded_as(spark.sparkContext.broadcast(Dictionary(frequent, n_ends)))
-    encoded = common.materialize(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()), "symbols")
+    told_slice = F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(SLICES)).cast("int")
+    coded = docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, schema).withColumn("rid", F.monotonically_increasing_id()).withColumn("slice", told_slice)
+    encoded = common.materialize(coded.sortWithinPartitions("slice"), "symbols")  # so that a step's scan skips other slices' pages
     model = train(encoded, shares)
     rare = encoded.select("rid", F.explode("rare").alias("rare_word")).groupBy("rid", "rare_word").agg(F.count(F.lit(1)).alias("tf")).join(counts, F.col("rare_word") == F.col("word"), "left")
     sums = rare.groupBy("rid").agg(

@@ -515,6 +515,72 @@ def test_scores(spark, docs, rows, empty):
     assert hmm.score(docs).count() == len(rows) and hmm.score(empty).count() == 0
 
 
+def brute_hmm_scores(made):
+    """The model's log10 probability of each text by plain loops: words' shares, sweeps of steps over slices with unscaled forward and backward sums."""
+    tokens = [(t or "").encode().lower().split() for _, t in made]
+    train = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in made]
+    counts = Counter(w for ws, t in zip(tokens, train) if t for w in ws)
+    ends = sum(train)
+    top = sorted((w for w in counts if len(w) <= hmm.LONGEST), key=lambda w: (-counts[w], w))[: hmm.SYMBOLS]
+    end, other = len(top), len(top) + 1
+    n_other, v_other = sum(c for w, c in counts.items() if w not in top), len(counts) - len(top)
+    shares = np.array([*(counts[w] for w in top), ends, n_other], float) + 1
+    shares /= shares.sum()
+    coded = [[*(top.index(w) if w in top else other for w in ws), end] for ws in tokens]
+    slices = []
+    for (i, _), s in zip(made, coded):
+        seed = 42 if i is None else xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(np.array(s, np.uint16).tobytes(), seed)
+        slices.append((h - (1 << 64) if h >> 63 else h) % hmm.SLICES)
+    model, K = hmm.Model.first(shares), range(hmm.STATES)
+
+    def sums(s):
+        ahead = [[model.start[k] * model.emits[k, s[0]] for k in K]]
+        for x in s[1:]:
+            ahead.append([sum(ahead[-1][j] * model.moves[j, k] for j in K) * model.emits[k, x] for k in K])
+        back = [[1.0 for _ in K]]
+        for x in s[:0:-1]:
+            back.insert(0, [sum(model.moves[k, j] * model.emits[j, x] * back[0][j] for j in K) for k in K])
+        return ahead, back, sum(ahead[-1])
+
+    kept, before = {}, None
+    for _ in range(hmm.MOST_SWEEPS):
+        for part in range(hmm.SLICES):
+            start, moves, emits, likelihood = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, len(shares))), 0.0
+            for s, at, t in zip(coded, slices, train):
+                if t and at == part:
+                    ahead, back, p = sums(s)
+                    likelihood += math.log10(p)
+                    for k in K:
+                        start[k] += ahead[0][k] * back[0][k] / p
+                        for n, x in enumerate(s):
+                            emits[k, x] += ahead[n][k] * back[n][k] / p
+                            if n:
+                                for j in K:
+                                    moves[j, k] += ahead[n - 1][j] * model.moves[j, k] * model.emits[k, x] * back[n][k] / p
+            kept[part] = start, moves, emits, likelihood
+            start, moves, emits = (sum(c[j] for c in kept.values()) + hmm.PRIOR * (shares if j == 2 else 1) for j in range(3))
+            model = hmm.Model(start / start.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=1, keepdims=True))
+        likelihood = sum(c[3] for c in kept.values())
+        if before is not None and likelihood - before <= hmm.LEAST_GAIN * abs(before):
+            break
+        before = likelihood
+    spelt = [sum(math.log10((counts[w] + 1) / (n_other + v_other + 1)) for w in ws if w not in top) for ws in tokens]
+    return [math.log10(sums(s)[2]) + e for s, e in zip(coded, spelt)]
+
+
+def test_scores_are_those_of_plain_loops_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "SYMBOLS", 4)
+    monkeypatch.setattr(hmm, "LONGEST", 5)
+    rng = random.Random(12)
+    made = [(i, " ".join(rng.choice(["The", "a", "b", "longer-word"] if k % 2 else ["dog", "cat", "x", "\u00e9"]) for k in range(rng.randint(0, 12)))) for i in range(40)]
+    made += [(50, None), (None, "the dog"), (3, made[3][1]), (7, "unseen longer-word"), (9, "never-in-training dog")]
+    want = Counter((i, round(p, 6)) for (i, _), p in zip(made, brute_hmm_scores(made)))
+    for order, parts in ((made, 3), (rng.sample(made, len(made)), 5)):
+        got = hmm.score(spark.createDataFrame(order, "doc_id long, text string").repartition(parts)).collect()
+        assert Counter((r["doc_id"], round(r["score"], 6)) for r in got) == want
+
+
 def brute_paragraphs(texts):
     """Documents with a line of LEAST words or more that another document has a copy of at 0.8, transitively; (doc_id, first doc_id)."""
     lines, parent = [], {}
