@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ LONGEST = 64
 SLICES, MOST_SWEEPS, LEAST_GAIN = 8, 5, 1e-4
 #: Weight of the prior, in counts: the symbols' overall shares for emissions, an even one for moves.
 PRIOR = 1.0
-#: Tokens between kept forward probabilities; tokens of a padded block.
-SEGMENT, ROOM = 2048, 1 << 19
+#: Tokens between kept forward probabilities; tokens of a padded block that are in work at a time, and of the whole block.
+SEGMENT, ROOM, PADDED = 2048, 1 << 19, 1 << 22
 END = ""
 
 
@@ -86,10 +87,10 @@ class Dictionary:
     """Ids of the symbols and counts of the frequent words."""
 
     def __init__(self, frequent: list[tuple[str, int]], end: int) -> None:
-        words = [(w.encode(), c) for w, c in frequent]
-        self.counts = dict(words)
-        self.symbols = {w: i for i, (w, _) in enumerate(words[:SYMBOLS])}
-        self.end_count, self.end, self.other = end, len(self.symbols), len(self.symbols) + 1
+        self.places = {w.encode(): i for i, (w, _) in enumerate(frequent)}
+        self.logs = np.log10(np.array([c for _, c in frequent], float) + 1)
+        self.end_count, self.end = end, min(SYMBOLS, len(frequent))
+        self.other = self.end + 1
 
 
 def _encoded_as(dictionary) -> tuple:
@@ -97,25 +98,17 @@ def _encoded_as(dictionary) -> tuple:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = dictionary.value
-        ids, other = d.symbols, d.other
-        logs = {w: (i, float(np.log10(c + 1.0))) for i, (w, c) in enumerate(d.counts.items())}
-        end_log = float(np.log10(d.end_count + 1.0))
+        find, end_log = d.places.get, float(np.log10(d.end_count + 1.0))
         for batch in batches:
             rows = []
             for v in batch.column(2):
                 words = words_of(v.as_py())
-                symbols = [ids.get(w, other) for w in words]
-                symbols.append(d.end)
-                base, spelt, rare = end_log, 0.0, []
-                for w, s in zip(words, symbols):
-                    known = logs.get(w)
-                    if known is None:
-                        rare.append(w.decode())
-                    else:
-                        base += known[1]
-                        if s == other:
-                            spelt += known[1]
-                rows.append((len(symbols), base, spelt, symbols.count(other), len(words) - len(rare) + (d.end_count > 0), np.array(symbols, np.uint16).tobytes(), rare))
+                at = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
+                rare = [words[k].decode() for k in np.flatnonzero(at < 0)]
+                symbols = np.append(np.where((at < 0) | (at >= d.end), d.other, at), d.end).astype(np.uint16)
+                spelt, n_spelt = float(d.logs[at[at >= d.end]].sum()), int((symbols == d.other).sum())
+                base = end_log + float(d.logs[at[at >= 0]].sum())
+                rows.append((len(symbols), base, spelt, n_spelt, len(words) - len(rare) + (d.end_count > 0), symbols.tobytes(), rare))
             kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.string()))
             names = ["doc_id", "held_out", "n_tokens", "base", "spelt", "n_spelt", "known", "symbols", "rare"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
@@ -148,9 +141,9 @@ def blocks(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     at = 0
     while at < len(order):
         length = len(sequences[order[at]])
-        rows = order[at : at + max(1, ROOM // max(1, length))]
+        rows = order[at : at + max(1, min(ROOM // min(length, SEGMENT), PADDED // length))]
         sizes = np.array([len(sequences[r]) for r in rows])
-        x = np.zeros((length, len(rows)), np.int64)
+        x = np.zeros((length, len(rows)), np.uint16)
         for b, r in enumerate(rows):
             x[: sizes[b], b] = sequences[r]
         yield rows, x, np.searchsorted(-sizes, -np.arange(length), "left")
@@ -179,55 +172,66 @@ def log10_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of starts, moves and emissions, and the log10 likelihood, summed over the sequences.
 
-    Forward probabilities are kept at every SEGMENT-th token and made anew within a segment on the way back, so that memory for a
-    long sequence is bounded and its counts are those of the whole.
+    Forward probabilities are kept at every SEGMENT-th token and made anew within a segment on the way back (but for the last ROOM tokens
+    of a block, whose are kept), so that memory for a long sequence is bounded and its counts are those of the whole.
     """
     start, moves, emits = np.zeros_like(model.start), np.zeros_like(model.moves), np.zeros_like(model.emits)
     forward_moves, total = np.ascontiguousarray(model.moves.T), 0.0
 
-    def ahead_from(a: np.ndarray | None, x: np.ndarray, active: np.ndarray, first: int, last: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def emitted(x: np.ndarray, active: np.ndarray, first: int, last: int) -> np.ndarray:
+        return np.take(model.emits, x[first:last, : active[first]], axis=1)
+
+    def ahead_from(a: np.ndarray | None, told: np.ndarray, active: np.ndarray, first: int, last: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Scaled forward probabilities and scales of the tokens first, ..., last - 1, given those of the token before."""
         alphas, scales = [], []
         for t in range(first, last):
             n = active[t]
             if t:
-                a = (forward_moves @ a[:, :n]) * np.take(model.emits, x[t, :n], axis=1)
+                a = (forward_moves @ a[:, :n]) * told[:, t - first, :n]
             else:
-                a = model.start[:, None] * model.emits[:, x[0]]
+                a = model.start[:, None] * told[:, 0]
             s = a.sum(axis=0)
-            a = a / s
+            a /= s
             alphas.append(a)
             scales.append(s)
         return alphas, scales
 
     for _, x, active in blocks(sequences):
         cuts = [*range(0, len(x), SEGMENT), len(x)]
-        before, kept = [None], ([], [])
-        for first, last in zip(cuts, cuts[1:]):
-            kept = ahead_from(before[-1], x, active, first, last)
-            total += sum(float(np.log10(s).sum()) for s in kept[1])
-            before.append(kept[0][-1])
-        beta, next_scale = np.ones((STATES, 0)), None
+        left = np.cumsum(active[::-1])[::-1]
+        before, kept = [None], {}
+        for k, (first, last) in enumerate(zip(cuts, cuts[1:])):
+            made = ahead_from(before[-1], emitted(x, active, first, last), active, first, last)
+            total += float(np.log10(np.concatenate(made[1])).sum())
+            before.append(made[0][-1])
+            if left[first] <= ROOM or last == len(x):
+                kept[k] = made
+        ahead = np.ones((STATES, 0))  # what a token's followers say of its state, at the next token: emission times backward probability by scale
         for k in range(len(cuts) - 2, -1, -1):
             first, last = cuts[k], cuts[k + 1]
-            alphas, scales = kept if k == len(cuts) - 2 else ahead_from(before[k], x, active, first, last)
-            symbols, weights = [], []
+            told = emitted(x, active, first, last)
+            alphas, scales = kept.pop(k) if k in kept else ahead_from(before[k], told, active, first, last)
+            betas, followed, followers = [], [], []
             for t in range(last - 1, first - 1, -1):
-                n, after = active[t], beta.shape[1]
-                a, new = alphas[t - first], np.ones((STATES, n))
+                n, after = active[t], ahead.shape[1]
                 if after:
-                    ahead = beta * np.take(model.emits, x[t + 1, :after], axis=1) / next_scale
-                    moves += model.moves * (a[:, :after] @ ahead.T)
-                    new[:, :after] = model.moves @ ahead
-                beta, next_scale = new, scales[t - first]
-                gamma = a * beta
-                symbols.append(x[t, :n])
-                weights.append(gamma)
-            at, all_weights = np.concatenate(symbols), np.concatenate(weights, axis=1)
+                    followed.append(alphas[t - first][:, :after])
+                    followers.append(ahead)
+                beta = model.moves @ ahead
+                if n > after:
+                    beta = np.concatenate([beta, np.ones((STATES, n - after))], axis=1)
+                betas.append(beta)
+                ahead = beta * told[:, t - first, :n]
+                ahead /= scales[t - first]
+            if followed:
+                moves += np.concatenate(followed, axis=1) @ np.concatenate(followers, axis=1).T
+            betas.reverse()
+            weights = np.concatenate(alphas, axis=1) * np.concatenate(betas, axis=1)
+            at = np.concatenate([x[t, : active[t]] for t in range(first, last)])
             for j in range(STATES):
-                emits[j] += np.bincount(at, all_weights[j], emits.shape[1])
-        start += gamma.sum(axis=1)
-    return start, moves, emits, total
+                emits[j] += np.bincount(at, weights[j], emits.shape[1])
+        start += weights[:, : active[0]].sum(axis=1)
+    return start, moves * model.moves, emits, total
 
 
 def _sequences(column: pa.Array) -> list[np.ndarray]:
@@ -272,9 +276,11 @@ def _slice_counts(part: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray
 def train(encoded: DataFrame, shares: np.ndarray) -> Model:
     """Sweeps of steps over the slices of all training rows until the likelihood hardly grows. The driver holds SLICES tables of counts."""
     model, kept, before = Model.first(shares), {}, None
+    # A task takes a slice's rows of as many splits as there are slices, so that it has as many texts to move side by side as a task over all rows of a split.
+    tasks = -(-encoded.rdd.getNumPartitions() // SLICES)
     for _ in range(MOST_SWEEPS):
         for k in range(SLICES):
-            kept[k] = _slice_counts(encoded.where((F.col("slice") == k) & ~F.col("held_out")), model)
+            kept[k] = _slice_counts(encoded.where((F.col("slice") == k) & ~F.col("held_out")).coalesce(tasks), model)
             model = Model.of_counts(*(sum(counts[j] for counts in kept.values()) for j in range(3)), shares)
         likelihood = sum(counts[3] for counts in kept.values())
         if before is not None and likelihood - before <= LEAST_GAIN * abs(before):
