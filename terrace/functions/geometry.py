@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,13 +12,14 @@ LENGTH, WIDTH = 105.0, 68.0
 
 
 def shot_distance(x: Column, y: Column) -> Column:
-    return F.hypot(GOAL_X - x, GOAL_Y - y)
+    dx, dy = GOAL_X - x, GOAL_Y - y
+    return F.sqrt(dx * dx + dy * dy)
 
 
-def shot_angle(x: Column, y: Column) -> Column:
+def shot_angle(x: Column, y: Column, atan2: Callable[[Column, Column], Column] = F.atan2) -> Column:
     """Angle between the posts as seen from (x, y): pi between the posts on the line, 0 outside on it."""
     dx, low, high = GOAL_X - x, POST_LOW - y, POST_HIGH - y
-    return F.atan2(F.abs(dx * high - low * dx), dx * dx + low * high)
+    return atan2(F.abs(dx * high - low * dx), dx * dx + low * high)
 
 
 def _side(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

@@ -47,9 +47,15 @@ def _refined(values: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, column: str, probs: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, n, quantiles): the quantiles of each group's values, with linear interpolation between neighbours, in the order of ``probs``.
+    """(by, n, quantiles): the quantiles of each group's values, with linear interpolation between neighbours, in the order of ``probs``. Equal to ``percentile``."""
+    between = lambda a: F.when(a["low"] == a["high"], a["low"]).otherwise((1 - a["share"]) * a["low"] + a["share"] * a["high"])
+    return neighbours(rows, column, probs, by).select(*by, "n", F.transform("around", between).alias("quantiles"))
 
-    Equal to ``percentile``. Null and NaN are no values; a group without values has no row; null is a group of its own; repeated values
+
+def neighbours(rows: DataFrame, column: str, probs: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, n, around): for each of ``probs`` the values low and high that its place lies between, and its share of the way; on a value, both are that value.
+
+    Null and NaN are no values; a group without values has no row; null is a group of its own; repeated values
     count as often as they occur; an empty table gives no rows.
     """
     value = F.greatest(F.lit(-_MOST), F.least(F.lit(_MOST), F.col(column).cast("double")))
@@ -72,11 +78,8 @@ def quantiles(rows: DataFrame, column: str, probs: tuple[float, ...], by: tuple[
         held = F.get(F.filter("lists", lambda q: q["below"] == part["below"]), F.lit(0))
         return F.coalesce(F.get(held["values"], (rank - part["below"]).cast("int")), part["lo"])
 
-    def between(p: Column) -> Column:
-        low, high = F.floor(place(p)), F.ceil(place(p))
-        return F.when((low == high) | (at(low) == at(high)), at(low)).otherwise((high - place(p)) * at(low) + (place(p) - low) * at(high))
-
-    return joined.select(*[F.col(f"g.{c}").alias(c) for c in by], "n", F.transform(of, between).alias("quantiles"))
+    around = lambda p: F.struct(at(F.floor(place(p))).alias("low"), at(F.ceil(place(p))).alias("high"), (place(p) - F.floor(place(p))).alias("share"))
+    return joined.select(*[F.col(f"g.{c}").alias(c) for c in by], "n", F.transform(of, around).alias("around"))
 
 
 def column_quantiles(rows: DataFrame, columns: tuple[str, ...], probs: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import libm
 from ..functions import text
 
 SHOOT_OUT = 5
@@ -104,8 +105,8 @@ def dataset(events: DataFrame) -> DataFrame:
 
 
 def closed_form_xg(x: Column, y: Column) -> Column:
-    """A fixed logistic score of distance and angle, for queries that need a probability without a fitted model."""
-    return 1 / (1 + F.exp(0.12 * g.shot_distance(x, y) - 1.5 * g.shot_angle(x, y) + 0.5))
+    """A fixed logistic score of distance and angle, for queries that need a probability without a fitted model; to the last bit as SQL has it, since it is ranked."""
+    return 1 / (1 + libm.exp(0.12 * g.shot_distance(x, y) - 1.5 * g.shot_angle(x, y, libm.atan2) + 0.5))
 
 
 def dense_freeze_frames(events: DataFrame, rows: int = 5) -> DataFrame:

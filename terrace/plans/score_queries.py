@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import libm
 from ..functions import text
 from ..operators import metrics as m
 from ..operators import ml
@@ -28,7 +29,7 @@ ls AS (SELECT *, {LOSS} AS loss, CASE WHEN distance>0 AND distance<=6 THEN '0-6'
 def scored(spark, sf_dir) -> DataFrame:
     """Modelled shots with outcome y, the fixed score p, a distance-only score q, and a fold; the place is x, y_."""
     x, y = F.col("x"), F.col("y")
-    rows = s.dataset(ev(spark, sf_dir)).withColumns({"p": s.closed_form_xg(x, y), "q": 1 / (1 + F.exp(0.1 * g.shot_distance(x, y) - 0.5)), "fold": F.col("match_id") % 5, "distance_band": m.distance_band(F.col("distance"))})
+    rows = s.dataset(ev(spark, sf_dir)).withColumns({"p": s.closed_form_xg(x, y), "q": 1 / (1 + libm.exp(0.1 * g.shot_distance(x, y) - 0.5)), "fold": F.col("match_id") % 5, "distance_band": m.distance_band(F.col("distance"))})
     return rows.withColumnsRenamed({"y": "y_", "is_goal": "y"})
 
 

@@ -162,3 +162,29 @@ def test_control_equals_all_cells_against_all_players(spark):
     assert {v for (f, *_), v in got.items() if f == 25} == {("away", "b")}  # a tie everywhere goes to the first by name
     share = {r["frame"]: r["home_share"] for r in shape.control_share(runs, ("game", "frame")).collect()}
     assert share[25] == 0 and all(share[f] == pytest.approx(sum(v[0] == "home" for (g, *_), v in got.items() if g == f) / 800) for f in range(len(frames)))
+
+
+def test_scores_and_edges_equal_c_to_the_last_bit(spark):
+    """Mirrored places have scores that differ in the last bit or not at all; ranks and quantile edges hang on it."""
+    import math
+
+    from terrace.functions import libm
+    from terrace.operators import metrics, shots
+
+    grid = spark.sql("SELECT k, j, 60 + k * 0.6D AS x, j / 10D AS y FROM (SELECT id AS k FROM range(0, 100, 9)), (SELECT id AS j FROM range(801))")
+    for r in grid.withColumn("p", shots.closed_form_xg(F.col("x"), F.col("y"))).withColumn("loss", metrics.row_loss(F.lit(1), F.col("p"), libm.log)).collect():
+        dx, low, high = 120 - r["x"], 36 - r["y"], 44 - r["y"]
+        angle = math.atan2(abs(dx * high - low * dx), dx * dx + low * high)
+        p = 1 / (1 + math.exp(0.12 * math.sqrt(dx * dx + (40 - r["y"]) * (40 - r["y"])) - 1.5 * angle + 0.5))
+        assert (r["p"], r["loss"]) == (p, -math.log(p))
+    a = 0.3
+    b = math.nextafter(a, 1)
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(4)
+    values = sorted(rng.random() for _ in range(27))
+    for given in ([a] * 8 + [b] * 8, values):  # the median of the first lies between neighbours
+        wanted = duckdb.execute("SELECT list_distinct(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [given]).fetchone()[0]
+        rows = spark.createDataFrame([(0, v) for v in given], "y int, p double")
+        assert sorted(metrics._edges(rows, 10).first()["edges"]) == sorted(wanted)
+    nulls = spark.createDataFrame([(None,), (0.0,), (1e6,)], "v double")
+    assert [tuple(r) for r in nulls.select(libm.exp(F.col("v")), libm.log(F.col("v"))).collect()] == [(None, None), (1.0, -math.inf), (math.inf, math.log(1e6))]
