@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,42 +159,117 @@ def reliability(windows: DataFrame) -> DataFrame:
     return out.select("team", "state", "windows", F.col("b.formation").alias("modal_formation"), F.round(F.col("b.n") / F.col("windows"), 2).alias("modal_share"), "distinct_formations")
 
 
-def _first_nearer(a: Column, b: Column, cell: float, cells: int) -> Column:
-    """The first of a grid row's cells that is nearer to b than to a, which is further left: c is a player's squared distance from the row's zero point."""
-    k = (b["c"] - a["c"]) / F.nullif(2 * (b["x"] - a["x"]), F.lit(0.0)) / cell - 0.5
-    wins_ties = F.struct(b["team"], b["player"]) < F.struct(a["team"], a["player"])
-    beats = (b["c"] < a["c"]) | ((b["c"] == a["c"]) & wins_ties)
-    apart = F.greatest(F.lit(-1.0), F.least(F.lit(float(cells)), F.when(wins_ties, F.ceil(k)).otherwise(F.floor(k) + 1).cast("double")))
-    return F.when(b["x"] == a["x"], F.when(beats, -1).otherwise(cells)).otherwise(apart.cast("int"))
+def _frames_of(positions: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Each frame's players with a place as one list, a squad at most, in the order of their names, which decides ties."""
+    placed = positions.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    player = F.struct("team", "player", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return _dealt(placed, *by).groupBy(*by).agg(F.array_sort(F.collect_list(player)).alias("players"))
+
+
+def _owners(cell: float, n_x: int, n_y: int) -> Callable[[pa.ListArray], Iterator[tuple]]:
+    """A function that takes frames' lists of players and gives, for some frames at a time, (first frame, first places in the lists, owned, start, stop).
+
+    Along a row of cells squared distances differ by straight lines only, so that of two players the one further left is nearer up to a cell, and from
+    there on the other: a player owns the cells from the last of these cuts against those further left to the first against those further right. The work is rows times pairs of
+    players. start and stop have a row for each frame, player by place, and row of cells; owned tells places of a player.
+    """
+    import numpy as np
+
+    FRAMES = 64
+
+    def owners(lists):
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        xs, ys = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        middle = (np.arange(n_y) + 0.5) * cell
+        for at in range(0, len(lists), FRAMES):
+            first = offsets[at : at + FRAMES + 1]
+            sizes = np.diff(first)
+            most = int(sizes.max())
+            owned = np.arange(most) < sizes[:, None]
+            place = np.where(owned, first[:-1, None] + np.arange(most), first[0])
+            x, y = xs[place], ys[place]
+            # From left to right; of equal x the first by name.
+            order = np.argsort(np.where(owned, x, np.inf), axis=1, kind="stable")
+            x, y, owned = (np.take_along_axis(v, order, axis=1) for v in (x, y, owned))
+            off = middle - y[:, :, None]
+            c = (x * x)[:, :, None] + off * off
+            start = np.zeros(c.shape)
+            stop = np.full(c.shape, float(n_x))
+            for j in range(1, most):
+                for i in range(j):
+                    both, same = owned[:, i] & owned[:, j], x[:, i] == x[:, j]
+                    wins = order[:, j] < order[:, i]
+                    gap = np.where(same | ~both, 1.0, 2 * (x[:, j] - x[:, i]))[:, None]
+                    k = (c[:, j] - c[:, i]) / gap / cell - 0.5
+                    cut = np.where(wins[:, None], np.ceil(k), np.floor(k) + 1)
+                    if same.any():
+                        nearer = (c[:, j] < c[:, i]) | ((c[:, j] == c[:, i]) & wins[:, None])
+                        cut = np.where(same[:, None], np.where(nearer, -1.0, float(n_x)), cut)
+                    cut_j, cut_i = (np.where(both[:, None], cut, none) for none in (-np.inf, np.inf))
+                    np.maximum(start[:, j], cut_j, out=start[:, j])
+                    np.minimum(stop[:, i], cut_i, out=stop[:, i])
+            yield at, np.take_along_axis(place, order, axis=1), owned[:, :, None] & (start < stop), start, stop
+
+    return owners
+
+
+def _grid_of(cell: float, length: float, width: float) -> tuple[int, int]:
+    return round(length / cell), round(width / cell)
 
 
 def control(positions: DataFrame, by: tuple[str, ...] = ("game",), cell: float = 0.5, length: float = g.LENGTH, width: float = g.WIDTH) -> DataFrame:
     """(by, iy, start, stop, team, player): runs of cells start, ..., stop - 1 of a grid's row iy whose nearest player is the same.
 
-    Along a row of cells squared distances differ by straight lines only, so the nearest players are the lower envelope of lines: players come
-    in from left to right, and each takes from the envelope's end those whose first cell it is nearer to. The work is rows times players, not
-    cells times players. Ties go to the first by team and player; players without a place are passed over. A frame's players, a squad at most, are one list.
+    Ties go to the first by team and player; players without a place are passed over.
     """
-    n_x, n_y = round(length / cell), round(width / cell)
-    placed = positions.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    players = _dealt(placed, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "team", "player", F.col("y").cast("double").alias("y")))).alias("players"))
-    rows = players.withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(n_y - 1))))
-    off = lambda p: (F.col("iy") + 0.5) * cell - p["y"]
-    lines = F.transform("players", lambda p: F.struct(p["x"].alias("x"), (p["x"] * p["x"] + off(p) * off(p)).alias("c"), p["team"].alias("team"), p["player"].alias("player")))
-    none = F.expr("array()").cast("array<struct<start:int,x:double,c:double,team:string,player:string>>")
-
-    def joined(kept: Column, b: Column) -> Column:
-        start = F.when(F.size(kept) == 0, 0).otherwise(_first_nearer(F.element_at(kept, -1), b, cell, n_x))
-        one = F.array(F.struct(start.cast("int").alias("start"), b["x"].alias("x"), b["c"].alias("c"), b["team"].alias("team"), b["player"].alias("player")))
-        return F.when(start < n_x, F.concat(kept, one)).otherwise(kept)
-
-    def step(envelope: Column, b: Column) -> Column:
-        kept = F.filter(envelope, lambda a: a["start"] < _first_nearer(a, b, cell, n_x))
-        return F.get(F.transform(F.array(kept), lambda k: joined(k, b)), F.lit(0))  # a one-element list gives it a name
-
-    owned = rows.select(*by, "iy", F.aggregate(lines, none, step).alias("runs"))
-    runs = F.transform("runs", lambda r, i: F.struct(r["start"].alias("start"), F.coalesce(F.get("runs", i + 1)["start"], F.lit(n_x)).alias("stop"), r["team"].alias("team"), r["player"].alias("player")))
-    return owned.select(*by, "iy", F.explode(runs).alias("r")).select(*by, "iy", "r.*")
+    n_x, n_y = _grid_of(cell, length, width)
+    owners = _owners(cell, n_x, n_y)
+    frames = _frames_of(positions, by)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(batch.num_columns - 1)
+            flat = lists.flatten()
+            for at, place, owned, start, stop in owners(lists):
+                frame, player, iy = np.nonzero(owned)
+                of = pa.array(at + frame)
+                who = flat.take(pa.array(place[frame, player]))
+                ints = [pa.array(v.astype(np.int32)) for v in (iy, start[owned], stop[owned])]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(of) for i in range(len(by))], *ints, who.field("team"), who.field("player")], [*by, "iy", "start", "stop", "team", "player"])
+
+    types = dict(frames.dtypes)
+    return frames.select(*by, "players").mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in by], "iy int, start int, stop int, team string, player string"]))
+
+
+def control_of_frames(positions: DataFrame, by: tuple[str, ...] = ("game",), cell: float = 0.5, length: float = g.LENGTH, width: float = g.WIDTH) -> DataFrame:
+    """(by, home_share): as ``control_share`` of ``control``, counted where the runs are found, so that none of them is moved."""
+    n_x, n_y = _grid_of(cell, length, width)
+    owners = _owners(cell, n_x, n_y)
+    frames = _frames_of(positions, by)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(batch.num_columns - 1)
+            away = pc.fill_null(pc.equal(lists.flatten().field("team"), "away"), False).to_numpy(zero_copy_only=False)
+            shares = []
+            for _, place, owned, start, stop in owners(lists):
+                cells = np.where(owned, stop - start, 0.0).sum(axis=2)
+                shares.append(1 - np.where(away[place], cells, 0.0).sum(axis=1) / cells.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(by))], pa.array(np.concatenate(shares))], [*by, "home_share"])
+
+    types = dict(frames.dtypes)
+    return frames.select(*by, "players").mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in by], "home_share double"]))
 
 
 def control_cells(runs: DataFrame) -> DataFrame:

@@ -320,16 +320,12 @@ gone AS (SELECT DISTINCT b.game, b.frame, b.iy, b.team, b.player FROM ln a JOIN
 rn AS (SELECT game, frame, iy, team, player, greatest(coalesce(lo,0),0) AS start, least(coalesce(hi,210),210) AS stop FROM (SELECT * FROM ln ANTI JOIN gone USING (game, frame, iy, team, player)) LEFT JOIN lo USING (game, frame, iy, team, player) LEFT JOIN hi USING (game, frame, iy, team, player))"""
 
 
-def _control(spark, sf_dir) -> DataFrame:
-    return sh.control(trk(spark, sf_dir), ("game", "frame"))
-
-
 @cat.add(f"{CONTROL} SELECT game, frame, round(1-sum(CASE WHEN team='away' THEN stop-start ELSE 0 END)/sum(stop-start),4) AS home_share FROM rn WHERE start<stop GROUP BY game, frame")
 def voronoi(spark, sf_dir):
     """Space control of every frame, by cells of half a metre."""
-    return rounded(sh.control_share(_control(spark, sf_dir), ("game", "frame")))
+    return rounded(sh.control_of_frames(trk(spark, sf_dir), ("game", "frame")))
 
 
 @cat.add(f"{W}, p AS (SELECT game, frame, team, player, x, y FROM trk WHERE frame=101 AND x IS NOT NULL AND y IS NOT NULL), g AS (SELECT a.ix, b.iy FROM (SELECT unnest(range(0,210)) AS ix) a, (SELECT unnest(range(0,136)) AS iy) b) SELECT game, frame, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, arg_min(team, (power(x-(ix+0.5e0)*0.5e0,2)+power(y-(iy+0.5e0)*0.5e0,2), team, player)) AS team FROM p, g GROUP BY ALL")
 def frame_view(spark, sf_dir):
-    return sh.control_cells(_control(spark, sf_dir).where("frame = 101")).select("game", "frame", "ix", "iy", "team")
+    return sh.control_cells(sh.control(trk(spark, sf_dir).where("frame = 101"), ("game", "frame"))).select("game", "frame", "ix", "iy", "team")

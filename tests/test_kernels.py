@@ -188,3 +188,13 @@ def test_scores_and_edges_equal_c_to_the_last_bit(spark):
         assert sorted(metrics._edges(rows, 10).first()["edges"]) == sorted(wanted)
     nulls = spark.createDataFrame([(None,), (0.0,), (1e6,)], "v double")
     assert [tuple(r) for r in nulls.select(libm.exp(F.col("v")), libm.log(F.col("v"))).collect()] == [(None, None), (1.0, -math.inf), (math.inf, math.log(1e6))]
+
+
+def test_shares_of_frames_equal_those_of_runs(spark):
+    rng = random.Random(8)
+    rows = [(g, f, rng.choice(("home", "away")), f"P{k}", float(rng.randint(0, 105)), rng.uniform(0, 68)) for g in (1, 2) for f in range(70) for k in range(rng.randint(1, 22))]
+    df = spark.createDataFrame(rows, "game int, frame int, team string, player string, x double, y double").repartition(3)
+    by = ("game", "frame")
+    want = {(r["game"], r["frame"]): r["home_share"] for r in shape.control_share(shape.control(df, by), by).collect()}
+    assert {(r["game"], r["frame"]): r["home_share"] for r in shape.control_of_frames(df, by).collect()} == want and len(want) == 140
+    assert shape.control_of_frames(df.limit(0), by).count() == 0
