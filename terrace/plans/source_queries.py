@@ -61,13 +61,14 @@ def _game_folder(spark, sf_dir) -> str:
     line = F.concat_ws(",", "period", "frame", "time_s", *[F.coalesce(F.col("at")[F.concat(F.col("team"), F.lit(p))], F.lit("NaN,NaN")) for p in SQUAD], F.col("frame") % 101 / 100, F.lit("0.5"))
     heads = [",".join([",,"] + [f"{side}," for _ in range(12)]) for side in ("Side", "1")] + ["Period,Frame,Time [s]," + ",".join(f"{p}," for p in [*SQUAD, "Ball"])]
     head = frames.select("game", "team").distinct().select("game", "team", F.explode(F.array(*[F.lit(h) for h in heads])).alias("value"))
-    frames.select("game", "team", line.alias("value")).unionByName(head).write.partitionBy("game", "team").text(f"{path}/tracking")
+    # A side's lines, bounded by a game, come to one task first: else each task would write a file for each side of each game.
+    frames.select("game", "team", line.alias("value")).unionByName(head).repartition("game", "team").write.partitionBy("game", "team").text(f"{path}/tracking")
     c = F.col
     feed = rows.select(
         "game", F.initcap("team").alias("Team"), F.lit("CARRY").alias("Type"), F.lit(None).cast("string").alias("Subtype"), c("period").alias("Period"), c("frame").alias("Start Frame"), c("time_s").alias("Start Time [s]"), (c("frame") + 1).alias("End Frame"),
         (c("time_s") + 0.04).alias("End Time [s]"), c("player").alias("From"), F.lit(None).cast("string").alias("To"), (c("x") / 105).alias("Start X"), (1 - c("y") / 68).alias("Start Y"), F.lit(None).cast("double").alias("End X"), F.lit(None).cast("double").alias("End Y"),
     )
-    feed.write.partitionBy("game").csv(f"{path}/feed", header=True, nullValue="NaN")
+    feed.repartition("game").write.partitionBy("game").csv(f"{path}/feed", header=True, nullValue="NaN")
     return path
 
 
