@@ -129,10 +129,21 @@ def fit_with(rows: DataFrame, name: str, params: dict, freeze: bool = False, see
         prepared.release()
 
 
+def _fitted_together(name: str, grid: list[dict]) -> dict[int, list[int]]:
+    """Places of the grid to fit, each with all places that its fit tells of."""
+    if name != "gbt":
+        return {at: [at] for at in range(len(grid))}
+    alike: dict[tuple, list[int]] = {}
+    for at, params in enumerate(grid):
+        alike.setdefault(tuple(sorted((k, v) for k, v in params.items() if k != "rounds")), []).append(at)
+    return {max(places, key=lambda at: grid[at]["rounds"]): places for places in alike.values()}
+
+
 def select(rows: DataFrame, name: str, grid: list[dict], inner: int = 3, freeze: bool = False, seed: int = 42) -> dict:
     """The parameters of the least mean log loss over grouped folds; each fold is scored by models that saw nothing of it.
 
-    A fold's scaler, encoders and vectors are made once for the whole grid.
+    A fold's scaler, encoders and vectors are made once for the whole grid. Of boosted trees that differ in their rounds only the longest are fitted: the
+    shorter ones are their first trees, and all are scored in one pass.
     """
     folded = rows.join(grouped_folds(rows, inner), "match_id").persist()
 
@@ -140,13 +151,19 @@ def select(rows: DataFrame, name: str, grid: list[dict], inner: int = 3, freeze:
         prepared = Prepared(folded.where(F.col("fold") != fold), name, freeze)
         return prepared, prepared.vectors(folded.where(F.col("fold") == fold)).coalesce(1 + prepared.n // PART_ROWS).persist()
 
-    def loss(job: tuple[int, int]) -> float:
+    def loss(job: tuple[int, int]) -> dict[int, float | None]:
         at, fold = job
         prepared, held = folds[fold]
-        scored = prepared.fitted(grid[at], seed).model.stages[-1].transform(held).select("y", vector_to_array("probability")[1].alias("p"))
-        return metrics.score_all(scored).first()["log_loss"]
-
-    jobs = [(at, fold) for at in range(len(grid)) for fold in range(inner)]
+        model = prepared.fitted(grid[at], seed).model.stages[-1]
+        if len(alike[at]) > 1:
+            # Twice the log loss after each round; a fold without rows has none.
+            by_round = model.evaluateEachIteration(held) if held.head(1) else None
+            return {k: by_round and by_round[grid[k]["rounds"] - 1] / 2 for k in alike[at]}
+        scored = model.transform(held).select("y", vector_to_array("probability")[1].alias("p"))
+        return {at: metrics.score_all(scored).first()["log_loss"]}
+
+    alike = _fitted_together(name, grid)
+    jobs = [(at, fold) for at in alike for fold in range(inner)]
     folds: list[tuple[Prepared, DataFrame]] = []
     on_session = inheritable_thread_target(rows.sparkSession)
     try:
@@ -159,7 +176,7 @@ def select(rows: DataFrame, name: str, grid: list[dict], inner: int = 3, freeze:
         for prepared, held in folds:
             prepared.release()
             held.unpersist()
-    by_grid = [[x for (at, _), x in zip(jobs, losses) if at == k and x is not None] for k in range(len(grid))]
+    by_grid = [[x[k] for x in losses if x.get(k) is not None] for k in range(len(grid))]
     means = [sum(x) / len(x) if x else float("inf") for x in by_grid]
     return grid[means.index(min(means))]
 

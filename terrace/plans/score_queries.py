@@ -12,6 +12,7 @@ from ..operators import metrics as m
 from ..operators import ml
 from ..operators import shots as s
 from ..sources.projections import EV, ev, table
+from ..sources.scratch import written
 from .catalogue import Catalogue, rounded
 from .match_queries import ANGLE, DIST, XG
 
@@ -187,8 +188,9 @@ def xg_constant(spark, sf_dir):
 
 
 def _dataset(spark, sf_dir, freeze: bool = False) -> DataFrame:
+    """The modelled shots, written: models go over them many times, and no task of theirs holds the sorts that make them."""
     rows = ev(spark, sf_dir)
-    return s.dataset(s.dense_freeze_frames(rows) if freeze else rows)
+    return written(s.dataset(s.dense_freeze_frames(rows) if freeze else rows), "shots")
 
 
 def _fitted(spark, sf_dir, name: str, params: dict | None = None, freeze: bool = False) -> DataFrame:

@@ -88,3 +88,25 @@ def test_a_column_that_is_constant_within_matches_can_be_important(spark):
     assert dealt.count() == 2000 and dealt.agg({"distance": "sum"}).first()[0] == 1000 and dealt.columns == made.columns
     assert 800 < dealt.where("distance = is_goal").count() < 1200
     assert ml.permutation_importance(model, made, ("distance",), repeats=2).first()["increase"] > 0.5
+
+
+def test_models_read_written_shots(spark):
+    """Models go over the shots many times: none of these passes may sort the events anew."""
+    from terrace.plans import score_queries
+
+    assert "Window" not in score_queries._dataset(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_of_one_kind_of_tree_are_one_fit(spark, monkeypatch):
+    rows = s.dataset(ev(spark, SF)).persist()
+    grid = [{"depth": d, "leaf": 5, "rounds": r} for d in (2, 3) for r in (2, 5)]
+    fitted, fit = [], ml.Prepared.fitted
+    monkeypatch.setattr(ml.Prepared, "fitted", lambda self, params, seed=42: fitted.append(params["rounds"]) or fit(self, params, seed))
+    chosen = ml.select(rows, "gbt", grid, 2)
+    assert fitted == [5] * 4
+    # Each fitted by itself, as a plain loop.
+    folded, losses = rows.join(ml.grouped_folds(rows, 2), "match_id").persist(), []
+    for params in grid:
+        of = [ml.metrics.score_all(ml.fit_with(folded.where(f"fold <> {k}"), "gbt", params).transform(folded.where(f"fold = {k}")).withColumn("y", ml.F.col("is_goal"))).first()["log_loss"] for k in (0, 1)]
+        losses.append(sum(of) / 2)
+    assert chosen == grid[losses.index(min(losses))]
