@@ -712,3 +712,40 @@ def test_passages(spark, docs, rows, empty):
     assert all(cut[i] == t for i, t in texts if i in clean) and sum(len(cut[i]) < len(t) for i, t in texts) >= 36
     assert {r["doc_id"] for r in passages.repeated_passages(docs).collect()} <= {i for i, *_ in rows if i is not None}
     assert passages.repeated_passages(empty).count() == 0
+
+
+def test_telling_terms_of_whole_documents(spark):
+    """Spans against plain counting: all words of a document with an entity, far from it and in one document too."""
+    rng = random.Random(5)
+    vocabulary = [words(random.Random(k), 1, "abcdefg") + "xyzuvw"[k % 6] * 2 for k in range(60)]
+    fill = lambda: " ".join(rng.choice(vocabulary[: rng.choice((10, 60))]) for _ in range(rng.randint(3, 60)))
+    texts = [(i, fill() + rng.choice(("", " p@x.org ", " p@x.org, q@x.org ", f" n{i}@x.org ")) + " " + fill()) for i in range(150)]
+    texts += [(200, "Farthest " + "the " * 60 + "one@x.org two@x.org"), (201, None), (None, "unnamed p@x.org " + fill()), texts[3], (3, "another q@x.org row")]
+    texts += [(300 + i, f"{'markus' if i < 8 else 'markt'} " + "web " * 30 + ("m@x.org" if i < 5 else f"n{i % 7}@x.org")) for i in range(80)]
+    cut = lambda t: {w for w in re.split(r"[^a-z]+", t.lower()) if len(w) > 1}
+    rows = [(k, t or "") for k, (_, t) in enumerate(texts)]
+    holders = defaultdict(set)
+    for d in rows:
+        for e in re.findall(r"\w+@x\.org", d[1]):
+            holders[e].add(d)
+    any_holder = set().union(*holders.values())
+
+    def share(e, held, n):
+        return math.log2(len(holders[e] & held) * n / (len(holders[e]) * len(held))) / math.log2(n / len(holders[e]))
+
+    want = []
+    for d in rows:
+        base = [m.span() for m in re.finditer(r"\w+@x\.org", d[1])]
+        kept = {}
+        for e in holders:
+            for w in cut(d[1]) if d in holders[e] else ():
+                of = share(e, {r for r in rows if w in cut(r[1])}, len(rows))
+                if of >= pii.GENERALISE:
+                    stays = [n for n in pii.CLASSES if len(w) > n and of < pii.REMOVE and share(e, {r for r in any_holder if any(len(v) > n and v[:n] == w[:n] for v in cut(r[1]))}, len(any_holder)) < pii.GENERALISE]
+                    kept[w] = min(kept.get(w, 99), max(stays, default=0))
+        found = [(m.start(), m.end(), w[: kept[w]] + "*" if kept[w] else "") for m in re.finditer("[A-Za-z]+", d[1]) if (w := m.group().lower()) in kept and not any(a < m.end() and m.start() < b for a, b in base)]
+        want.append((texts[d[0]][0], found))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], [(s["start"], s["end"], s["value"].lower()) for s in r["extra"]]) for r in pii.spans(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert dict(got)[200][0] == (0, 8, "") and dict(got)[300] == [(0, 6, "mark*")]
