@@ -1,10 +1,10 @@
 """Near copies of whole documents: Jaccard similarity of their sets of 5-word shingles, SIMILARITY or more.
 
-Fingerprints of 64 bits don't tell such pairs apart: at 0.8 they differ in 10 bits on average and in up to 20, within
-which 1 of 500 random pairs lies too, so that no key of such a radius is selective. Candidates are therefore
-found by BANDS bands of two MinHash values, which miss a pair at 0.8 in 0.36 ** BANDS, about 5 of 1,000,000. Documents that share a
+Candidates come from two sides. SimHash fingerprints within golay's RADIUS bits, found by Golay-code keys, tie the closest copies. They don't
+reach all: at 0.8 they differ in 10 bits on average and in up to 20, within which 1 of 500 random pairs lies too, so that no key of such a
+radius is selective. The others are found by BANDS bands of two MinHash values, which miss a pair at 0.8 in 0.36 ** BANDS, about 5 of 1,000,000. Documents that share a
 band are likely copies if at least LIKELY of the SKETCH bytes of their sketches are equal (at 0.8 it is 51 on average, with a deviation
-of 3); components of these only say which sets of shingles are brought together. There, each pair that is not tied already is compared
+of 3); components of both sides' candidates only say which sets of shingles are brought together. There, each pair that is not tied already is compared
 by its exact similarity, and the components of the links so verified are the groups of near copies.
 
 Documents of equal sets are one kind, and only kinds are compared. A band or a component of more than BLOCK kinds is split into
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .golay import forest, tied_in_runs
+from .golay import fingerprint, forest, links, tied_in_runs
 from .passages import BLOCK, SHINGLE, _compared, _shared, shingles, texts_of
 from .text_bytes import MULTIPLIER, mixed
 
@@ -68,14 +68,15 @@ def sketch(values: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds, sketches, bands = [], [], []
-        for values in shingle_sets(batch.column(1)):
+        kinds, sketches, bands, fps = [], [], [], []
+        for values, text in zip(shingle_sets(batch.column(1)), batch.column(1)):
             marks, keys = sketch(values)
             kinds.append(kind_of(values))
             sketches.append(marks)
             bands.append(keys)
-        columns = [batch.column(0), batch.column(2), pa.array(kinds, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "kind", "sketch", "bands"])
+            fps.append(fingerprint(text.as_py()))
+        columns = [batch.column(0), batch.column(2), pa.array(kinds, pa.int64()), pa.array(sketches, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "kind", "sketch", "bands", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +121,23 @@ def _by_key(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "key").sortWithinPartitions("key", rows.columns[1])
 
 
+def fingerprint_links(sketched: DataFrame) -> DataFrame:
+    """(a, b): kinds tied by fingerprints that are equal or within golay's RADIUS; a kind may have several."""
+    held = common.materialize(sketched.select("fp", "kind").distinct(), "copies-fingerprints")
+    least = common.materialize(held.groupBy(F.col("fp").alias("of_fp")).agg(F.min("kind").alias("least")), "copies-distinct-fps")
+    alike = held.join(least, F.col("fp") == F.col("of_fp")).select(F.col("kind").alias("a"), F.col("least").alias("b"))
+    tied = links(least.select(F.col("of_fp").alias("fp"))).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    near = tied.join(least.select(F.col("of_fp").alias("fp_a"), F.col("least").alias("a")), "fp_a").join(least.select(F.col("of_fp").alias("fp_b"), F.col("least").alias("b")), "fp_b")
+    return alike.unionByName(near.select("a", "b")).where("a <> b")
+
+
 def verified_links(texts: DataFrame, sketched: DataFrame, kinds: DataFrame) -> DataFrame:
     """(a, b): links whose components are those of all pairs of kinds of SIMILARITY or more."""
     keyed = sketched.select(F.explode("bands").alias("key"), "kind").distinct()
     shared = common.materialize(_by_key(keyed).mapInArrow(_shared, "key long, kind long, n long"), "copies-bands")
     asked = _dealt(shared.select("key", "kind"), shared.groupBy("key").agg((F.max("n") + 1).alias("n")), "bands")
     marked = asked.join(kinds.select("kind", "sketch"), F.col("asked") == F.col("kind")).select("key", "asked", "sketch")
-    likely = common.materialize(_by_key(marked).mapInArrow(_likely, "a long, b long"), "likely-copies")
+    likely = common.materialize(_by_key(marked).mapInArrow(_likely, "a long, b long").unionByName(fingerprint_links(sketched)), "likely-copies")
     groups = common.materialize(components(likely).select(F.col("component").alias("key"), F.col("node").alias("kind")), "likely-groups")
     # The shingles of a text of each kind that has likely copies; texts of other kinds are never moved.
     kind_bits = common.written_bitmap(groups, "kind")
@@ -142,7 +153,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_hash, component_id (smallest doc_id reachable over links; null if no row of the component has an id)."""
     last = F.lit((1 << 63) - 1)  # for rows without an id
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = common.materialize(texts.withColumn("row_hash", common.row_hash()).mapInArrow(_sketched, "doc_id long, row_hash long, kind long, sketch binary, bands array<long>"), "sketches")
+    sketched = common.materialize(texts.withColumn("row_hash", common.row_hash()).mapInArrow(_sketched, "doc_id long, row_hash long, kind long, sketch binary, bands array<long>, fp long"), "sketches")
     n = sketched.count()
     kinds = common.materialize(sketched.groupBy("kind").agg(F.min("doc_id").alias("least"), F.min("sketch").alias("sketch")), "copies-kinds", n)
     tied = components(verified_links(texts, sketched, kinds))

@@ -56,6 +56,26 @@ def test_near_copies(spark, monkeypatch):
     assert near_copies.dedup(df.limit(0)).count() == 0
 
 
+def test_fingerprints_bring_copies_together(spark, monkeypatch):
+    """Close copies are found by their fingerprints alone, when the bands give no candidates; others that fingerprints tie are left alone."""
+
+    def none(batches):
+        for _ in batches:
+            pass
+        yield from ()
+
+    monkeypatch.setattr(near_copies, "_likely", none)
+    rng = random.Random(4)
+    base = words(rng, 1500).split()
+    close = next(w for i in range(100, 1400) if (brute_fingerprint(" ".join(w := [*base[:i], "changed", *base[i + 1 :]])) ^ brute_fingerprint(" ".join(base))).bit_count() <= 4)
+    loop = words(rng, 13).split()
+    other = loop * 200 + words(rng, 60).split()  # dominated by the loop's shingles, so that its fingerprint is the loop's, but of another set
+    rows = [(1, " ".join(base)), (2, " ".join(close)), (3, " ".join(loop * 200)), (4, " ".join(other)), (5, words(rng, 200))]
+    assert (brute_fingerprint(rows[2][1]) ^ brute_fingerprint(rows[3][1])).bit_count() <= 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(r["doc_id"] for r in near_copies.dedup(df).collect()) == [1, 3, 4, 5]
+
+
 def test_shared_rows_in_any_batches():
     rng = random.Random(2)
     rows = sorted((rng.randint(0, 30), rng.randint(0, 6)) for _ in range(120)) + [(50, 1), (50, 1), (51, 1), (51, 2)]
