@@ -37,7 +37,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: White space below U+0100 as the format has it.
 LATIN_SPACE = r"\t-\r\x20\x85\xa0"
 #: Pieces whose encoding a worker keeps, in each of two generations, and the longest piece that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 40_000, 32
+KEPT_PIECES, KEPT_LENGTH = 80_000, 32
 #: Pairs of the compatibility table that a worker keeps.
 KEPT_PAIRS = 80_000
 #: Code points of a text that are encoded at a time; a cut moves to the next piece's start.
@@ -91,21 +91,13 @@ class Codec:
         latin = PIECES.replace(r"[^\s\p{L}\p{N}]", rf"[^{LATIN_SPACE}{of_kind('L')}{of_kind('N')}]").replace(r"\p{L}", f"[{of_kind('L')}]").replace(r"\p{N}", f"[{of_kind('N')}]")
         self.latin_pieces = re.compile(latin.replace(r"\S", f"[^{LATIN_SPACE}]").replace(r"\s", f"[{LATIN_SPACE}]"))
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.decimals = [str(i) for i in range(size)]
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _longest_proper_prefix(self, token: bytes) -> int | None:
         return next((i for n in range(len(token) - 1, 0, -1) if (i := self.id_of.get(token[:n])) is not None), None)
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The token and its outermost parts on a side, each with the time at which it is merged away."""
-        out, until = [], self.never
-        while True:
-            out.append((token, until))
-            if token not in self.parts:
-                return out
-            until, token = self.parts[token][0], self.parts[token][side]
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave ``a`` and ``b`` apart: nothing at a's end is merged with anything at b's start while both exist.
 
@@ -114,26 +106,37 @@ class Codec:
         key = a << 20 | b
         known = self.compatible_pairs.get(key)
         if known is None:
-            known = self._apart(self._spine(a, 2), self._spine(b, 1))
+            known = self._apart(a, b)
             if len(self.compatible_pairs) > KEPT_PAIRS:
                 self.compatible_pairs.clear()
             self.compatible_pairs[key] = known
         return known
 
-    def _apart(self, ends: list[tuple[int, int]], heads: list[tuple[int, int]]) -> bool:
-        merged_at = self.merged_at
-        for x, x_until in ends:
+    def _apart(self, a: int, b: int) -> bool:
+        """Goes through the outermost parts at a's end and at b's start, each with the time at which it is merged away."""
+        merged_at, parts = self.merged_at, self.parts
+        heads, until = [(b, self.never)], self.never
+        while (made := parts.get(b)) is not None:
+            until, b = made[0], made[1]
+            heads.append((b, until))
+        until = self.never
+        while True:
+            row = a << 20
             for y, y_until in heads:
-                at = merged_at.get(x << 20 | y)
-                if at is not None and at < x_until and at <= y_until:
+                at = merged_at.get(row | y)
+                if at is not None and at < until and at <= y_until:
                     return False
-        return True
+            made = parts.get(a)
+            if made is None:
+                return True
+            until, _, a = made
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def encode_piece(self, piece: str) -> list[int]:
+        piece = piece if piece.isascii() else piece.encode().decode("latin-1")  # a letter a byte
         size = len(piece)
         longest: list[int | None] = [None] * size
         # Matches come by their end and, at an end, the longest first: at a start, the last is the longest.
-        for end, (before, token) in self.automaton.iter(piece.decode("latin-1")):
+        for end, (before, token) in self.automaton.iter(piece):
             longest[end - before] = token
         taken: list[int] = []
         dead: set[int] = set()
@@ -159,12 +162,11 @@ class Codec:
                     continue
             token = shorter[token]
 
-    def _looked_up(self, piece: str) -> tuple[bytes, str]:
+    def _looked_up(self, piece: str) -> bytes:
         """The piece's encoding. A full generation replaces the one before, from which what is used again is taken over."""
         out = self.kept.get(piece) or self.older.get(piece)
         if out is None:
-            ids = self.encode_piece(piece.encode())
-            out = array("i", ids).tobytes(), ",".join(map(str, ids))
+            out = array("i", self.encode_piece(piece)).tobytes()
         if len(piece) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT_PIECES:
                 self.older, self.kept = self.kept, {}
@@ -191,13 +193,14 @@ class Codec:
 
     def encode_blocks(self, text: str) -> Iterator[tuple[np.ndarray, str]]:
         """Ids of each block, as numbers and as comma-joined decimals."""
+        decimals = self.decimals
         for block in self.blocks(text):
             kept = self.kept
             if isinstance(block, int):
                 yield np.array([block], np.int32), str(block)
             elif block:
-                found = [kept.get(p) or self._looked_up(p) for p in block]
-                yield np.frombuffer(b"".join([f[0] for f in found]), np.int32), ",".join([f[1] for f in found])
+                ids = np.frombuffer(b"".join([kept.get(p) or self._looked_up(p) for p in block]), np.int32)
+                yield ids, ",".join([decimals[i] for i in ids.tolist()])
 
     def encode(self, text: str) -> np.ndarray:
         return np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in self.encode_blocks(text))])

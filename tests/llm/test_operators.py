@@ -149,6 +149,18 @@ def test_bpe_codec_on_odd_strings():
         assert codec.decode(ids).decode() == text
 
 
+def test_bpe_codec_with_a_small_memory(monkeypatch):
+    """Generations of kept pieces and the table of pairs are replaced many times; a piece is kept as its ids' bytes alone."""
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 3)
+    monkeypatch.setattr(bpe, "KEPT_PAIRS", 5)
+    codec, lib, rng = bpe.Codec(bpe.read_spec(BPE)), Tokenizer.from_file(BPE), random.Random(6)
+    for _ in range(300):
+        text = words(rng, rng.randint(1, 30)) + rng.choice(("", " naïve 日本 " * 3, " the the of"))
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text).tolist() == ids and ",".join(d for _, d in codec.encode_blocks(text)) == ",".join(map(str, ids))
+        assert len(codec.kept) <= 3 and all(isinstance(v, bytes) for v in codec.kept.values())
+
+
 def test_bpe_codec_beside_white_space():
     codec, lib = bpe.Codec(bpe.read_spec(BPE)), Tokenizer.from_file(BPE)
     for c in map(chr, range(256)):
