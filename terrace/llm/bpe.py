@@ -37,7 +37,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: White space below U+0100 as the format has it.
 LATIN_SPACE = r"\t-\r\x20\x85\xa0"
 #: Pieces whose encoding a worker keeps, in each of two generations, and the longest piece that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 80_000, 32
+KEPT_PIECES, KEPT_LENGTH = 50_000, 32
 #: Pairs of the compatibility table that a worker keeps.
 KEPT_PAIRS = 80_000
 #: Code points of a text that are encoded at a time; a cut moves to the next piece's start.
