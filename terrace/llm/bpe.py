@@ -235,6 +235,7 @@ def read_spec(path: str) -> str:
 
 def _mapped(docs: DataFrame, path: str, row, schema: str) -> DataFrame:
     """Apply ``row(codec, value)`` to the second of two columns; the tokenizer file is broadcast, so only the driver reads it."""
+    common.bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are ``und`` or score below LEAST_SCORE, each judged by itself in one pass; all columns stay."""
+    common.bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     at = docs.columns.index("text")
 

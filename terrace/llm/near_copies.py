@@ -151,6 +151,7 @@ def verified_links(texts: DataFrame, sketched: DataFrame, kinds: DataFrame) -> D
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, row_hash, component_id (smallest doc_id reachable over links; null if no row of the component has an id)."""
+    common.bound_batches(docs.sparkSession)
     last = F.lit((1 << 63) - 1)  # for rows without an id
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = common.materialize(texts.withColumn("row_hash", common.row_hash()).mapInArrow(_sketched, "doc_id long, row_hash long, kind long, sketch binary, bands array<long>, fp long"), "sketches")

@@ -51,3 +51,24 @@ def test_pipeline(spark, tmp_path):
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
     assert got == want and {i for i, *_ in got} >= {5, None}
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "bpe"]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark):
+    """A default batch of these texts would have 24 MB in each task."""
+    import pyarrow as pa
+
+    from terrace.llm import bpe, common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"mb": [batch.nbytes / (1 << 20)]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id AS doc_id", "repeat('word', 1024) AS text")
+    bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    assert max(r["mb"] for r in docs.mapInArrow(sizes, "mb double").collect()) <= common.BATCH_BYTES / (1 << 20) + 0.1
+    spark.conf.set(name, "1m")
+    common.bound_batches(spark)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
