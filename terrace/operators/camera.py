@@ -7,6 +7,8 @@ blocks before it, which is a prefix product of the shorter sequence of the block
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +17,20 @@ from ..sources.scratch import written
 BLOCK = 64
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value made once a row; an expression that mentions another n times makes it n times, and so on inwards."""
+    return F.transform(F.array(value), of)[0]
+
+
 def product(a: Column, b: Column) -> Column:
+    """a and b are columns or bound by ``once``, since each is mentioned 27 times."""
     return F.array(*[a[3 * i] * b[j] + a[3 * i + 1] * b[3 + j] + a[3 * i + 2] * b[6 + j] for i in range(3) for j in range(3)])
 
 
 def scaled(m: Column) -> Column:
     """By its greatest entry, so that long products neither overflow nor vanish."""
-    return F.transform(m, lambda v: v / F.nullif(F.array_max(F.transform(m, F.abs)), F.lit(0.0)))
+    by = lambda w: once(F.array_max(F.transform(w, F.abs)), lambda top: F.transform(w, lambda v: v / F.when(top != 0, top)))
+    return once(m, by)
 
 
 def adjugate(m: Column) -> Column:
@@ -39,7 +48,7 @@ def prefix_products(rows: DataFrame, key: tuple[str, ...], longest: int) -> Data
     dealt = rows.groupBy(*key, F.floor(F.col("d") / BLOCK).alias("b")).agg(F.array_sort(F.collect_list(F.struct("d", "m"))).alias("ms"))
     chained = F.aggregate(
         F.slice("ms", 2, BLOCK), F.slice(F.transform("ms", lambda e: e["m"]), 1, 1),
-        lambda done, e: F.concat(done, F.array(scaled(product(F.element_at(done, -1), e["m"])))),
+        lambda done, e: F.concat(done, F.array(once(F.struct(F.element_at(done, -1).alias("p"), e["m"].alias("m")), lambda s: once(s["p"], lambda p: once(s["m"], lambda m: scaled(product(p, m))))))),
     )
     blocks = dealt.select(*key, "b", F.transform("ms", lambda e: e["d"]).alias("ds"), chained.alias("ps"))
     if longest < BLOCK:

@@ -198,3 +198,12 @@ def test_shares_of_frames_equal_those_of_runs(spark):
     want = {(r["game"], r["frame"]): r["home_share"] for r in shape.control_share(shape.control(df, by), by).collect()}
     assert {(r["game"], r["frame"]): r["home_share"] for r in shape.control_of_frames(df, by).collect()} == want and len(want) == 140
     assert shape.control_of_frames(df.limit(0), by).count() == 0
+
+
+def test_a_step_of_a_camera_chain_makes_its_product_once(spark):
+    """Mentions of an expression add up: interpreted, a step's product used to be made some twenty times."""
+    rows = spark.range(1).select(F.array(*[F.lit(float(v)) for v in (2, 0, 0, 0, 4, 0, 0, 0, -8)]).alias("probe"))
+    out = rows.select(camera.scaled(F.concat("probe")).alias("m"))
+    assert out._jdf.queryExecution().analyzed().expressions().toString().count("probe#") == 1
+    assert out.first()["m"] == [0.25, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, -1.0]
+    assert rows.select(camera.scaled(F.transform("probe", lambda v: v * 0)).alias("m")).first()["m"] == [None] * 9
