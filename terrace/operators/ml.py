@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
@@ -139,17 +142,124 @@ def _fitted_together(name: str, grid: list[dict]) -> dict[int, list[int]]:
     return {max(places, key=lambda at: grid[at]["rounds"]): places for places in alike.values()}
 
 
+#: Passes over the rows that selection's logistic models take at most, and the gain of a step, of the mean loss, from which on they go on.
+PASSES, LEAST_GAIN = 50, 1e-13
+#: Probabilities are scored as 1e-15 at least, which bounds the logit.
+MOST_LOGIT = float(np.log((1 - 1e-15) / 1e-15))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block of numbers for each fold of a batch of (fold, y, features): rows of y, the features and 1. Folds differ in their number of features."""
+    for batch in batches:
+        fold = batch.column(0).to_numpy(zero_copy_only=False)
+        for f in np.unique(fold):
+            part = batch.filter(pa.array(fold == f))
+            x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            block = np.column_stack([part.column(1).to_numpy(zero_copy_only=False), x, np.ones(len(x))])
+            yield pa.RecordBatch.from_arrays([part.column(0).slice(0, 1), pa.array([block.tobytes()], pa.binary())], ["fold", "block"])
+
+
+def _packs(parts: list[DataFrame]) -> DataFrame:
+    """(fold, block), kept; parts are the folds' vectors, in order."""
+    named = [part.select(F.lit(fold).cast("long").alias("fold"), "y", vector_to_array("features").alias("x")) for fold, part in enumerate(parts)]
+    return reduce(DataFrame.unionByName, named).mapInArrow(_packed, "fold long, block binary").persist()
+
+
+def _summed(packs: DataFrame, points: dict[int, np.ndarray], learning: bool) -> dict[int, np.ndarray]:
+    """For each fold that has rows and each of its points (weights, the intercept last): number of rows and log loss, and in learning its gradient and second derivatives. One pass for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fold, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if fold not in points:
+                    continue
+                at = points[fold]
+                rows = np.frombuffer(block.as_buffer()).reshape(-1, at.shape[1] + 1)
+                y, x = rows[:, :1], rows[:, 1:]
+                logit = x @ at.T if learning else np.clip(x @ at.T, -MOST_LOGIT, MOST_LOGIT)
+                sums = [np.full((len(at), 1), float(len(x))), (np.logaddexp(0.0, logit) - y * logit).sum(axis=0)[:, None]]
+                if learning:
+                    p = np.exp(-np.logaddexp(0.0, -logit))
+                    sums += [(p - y).T @ x, np.stack([((x * v[:, None]).T @ x).ravel() for v in (p * (1 - p)).T])]
+                total[fold] = total.get(fold, 0.0) + np.concatenate(sums, axis=1)
+        for fold, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(sums.size, fold)), pa.array(np.arange(sums.size)), pa.array(sums.ravel())], ["fold", "place", "value"])
+
+    found = packs.mapInArrow(run, "fold long, place long, value double").groupBy("fold", "place").agg(F.sum("value").alias("value")).collect()  # some hundred numbers a model
+    by_fold: dict[int, list[tuple[int, float]]] = {}
+    for fold, place, value in found:
+        by_fold.setdefault(fold, []).append((place, value))
+    return {fold: np.array([v for _, v in sorted(values)]).reshape(len(points[fold]), -1) for fold, values in by_fold.items()}
+
+
+def _logistic_points(packs: DataFrame, folds: list[Prepared], strengths: list[float]) -> dict[int, np.ndarray]:
+    """Weights and intercept of each fold's model of each strength, by Newton's method for all of them side by side.
+
+    The objective is the classifier's: mean log loss and penalty / 2 times the squared weights, with a penalty of 1 / (strength n). A step that doesn't
+    gain is halved. Where all rows have one class, the intercept is infinite; a fold without rows has no models.
+    """
+    size = {f: p.width + 1 for f, p in enumerate(folds) if p.n}
+    best = {f: np.zeros((len(strengths), d)) for f, d in size.items()}
+    active: dict[tuple[int, int], np.ndarray] = {}  # a model's step to try
+    least: dict[tuple[int, int], float] = {}
+    for f in size:
+        rate = float(folds[f].rate)
+        best[f][:, -1] = np.log(rate / (1 - rate)) if 0 < rate < 1 else np.inf if rate else -np.inf
+        if 0 < rate < 1:
+            active |= {(f, k): np.zeros(size[f]) for k in range(len(strengths))}
+    for _ in range(PASSES):
+        if not active:
+            break
+        trial = {f: np.stack([best[f][k] + active.get((f, k), 0.0) for k in range(len(strengths))]) for f in {f for f, _ in active}}
+        sums = _summed(packs, trial, True)
+        for (f, k), step in list(active.items()):
+            n, d, at = folds[f].n, size[f], trial[f][k]
+            penalty = np.append(np.full(d - 1, 1.0 / (strengths[k] * n)), 0.0)
+            loss = sums[f][k][1] / n + float(penalty @ (at * at)) / 2
+            if not loss <= least.get((f, k), np.inf) + LEAST_GAIN:
+                active[f, k] = step / 2
+                continue
+            best[f][k], least[f, k] = at, loss
+            gradient = sums[f][k][2 : 2 + d] / n + penalty * at
+            step = -np.linalg.lstsq(sums[f][k][2 + d :].reshape(d, d) / n + np.diag(penalty), gradient, rcond=None)[0]
+            if -(gradient @ step) / 2 < LEAST_GAIN:
+                del active[f, k]
+            else:
+                active[f, k] = step
+    return best
+
+
+def _logistic_losses(folds: list[tuple[Prepared, DataFrame]], grid: list[dict]) -> list[dict[int, float | None]]:
+    """For each fold its mean log loss under each place of the grid; a fold without rows has none.
+
+    All strengths and folds learn side by side, a pass over the rows for a step of all of them: an optimizer's rounds for each would be a job each.
+    """
+    learnt, held = _packs([p.rows for p, _ in folds]), _packs([h for _, h in folds])
+    try:
+        points = _logistic_points(learnt, [p for p, _ in folds], [params["strength"] for params in grid])
+        scores = _summed(held, points, False)
+    finally:
+        learnt.unpersist()
+        held.unpersist()
+    return [{k: float(s[k][1] / s[k][0]) for k in range(len(grid))} for s in scores.values()]
+
+
 def select(rows: DataFrame, name: str, grid: list[dict], inner: int = 3, freeze: bool = False, seed: int = 42) -> dict:
     """The parameters of the least mean log loss over grouped folds; each fold is scored by models that saw nothing of it.
 
     A fold's scaler, encoders and vectors are made once for the whole grid. Of boosted trees that differ in their rounds only the longest are fitted: the
-    shorter ones are their first trees, and all are scored in one pass.
+    shorter ones are their first trees, and all are scored in one pass. Logistic models all learn side by side (``_logistic_losses``).
     """
     folded = rows.join(grouped_folds(rows, inner), "match_id").persist()
 
     def prepare(fold: int) -> tuple[Prepared, DataFrame]:
         prepared = Prepared(folded.where(F.col("fold") != fold), name, freeze)
-        return prepared, prepared.vectors(folded.where(F.col("fold") == fold)).coalesce(1 + prepared.n // PART_ROWS).persist()
+        held = prepared.vectors(folded.where(F.col("fold") == fold)).coalesce(1 + prepared.n // PART_ROWS)
+        if name.startswith("logreg"):  # these are packed at once, and the packs are kept
+            prepared.release()
+            return prepared, held
+        return prepared, held.persist()
 
     def loss(job: tuple[int, int]) -> dict[int, float | None]:
         at, fold = job
@@ -170,7 +280,7 @@ def select(rows: DataFrame, name: str, grid: list[dict], inner: int = 3, freeze:
         folded.count()
         with ThreadPool(AT_ONCE) as pool:
             folds = pool.map(on_session(prepare), range(inner))
-            losses = pool.map(on_session(loss), jobs)
+            losses = _logistic_losses(folds, grid) if name.startswith("logreg") else pool.map(on_session(loss), jobs)
     finally:
         folded.unpersist()
         for prepared, held in folds:

@@ -207,3 +207,32 @@ def test_a_step_of_a_camera_chain_makes_its_product_once(spark):
     assert out._jdf.queryExecution().analyzed().expressions().toString().count("probe#") == 1
     assert out.first()["m"] == [0.25, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, -1.0]
     assert rows.select(camera.scaled(F.transform("probe", lambda v: v * 0)).alias("m")).first()["m"] == [None] * 9
+
+
+def test_logistic_selection_learns_side_by_side(spark):
+    """Few jobs, whatever the grid, and the losses of the classifier's own fits."""
+    from terrace.operators import metrics
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(600):
+        d, head = rng.uniform(2, 40), rng.random() < 0.2
+        goal = rng.random() < 1 / (1 + np.exp(0.12 * d - 0.8 + head))
+        rows.append((k % 9, k, d, rng.uniform(0.1, 2), k % 2, 0, 0, k % 3 % 2, k % 90, k % 4 - 1, "Head" if head else "Foot", "Open Play", "Regular Play" if k % 5 else "From Corner", int(goal)))
+    shots = spark.createDataFrame(rows, "match_id int, idx int, distance double, angle double, first_time int, follows_through_ball int, follows_cross int, under_pressure int, minute int, score_diff int, body_part string, shot_type string, play_pattern string, is_goal int")
+    shots = shots.join(ml.grouped_folds(shots, 2), "match_id").persist()
+    grid = [{"strength": c} for c in (0.001, 0.01, 1.0)]
+    parts = [(ml.Prepared(shots.where(F.col("fold") != f), "logreg_all"), shots.where(F.col("fold") == f)) for f in range(2)]
+    spark.sparkContext.setJobGroup("side-by-side", "")
+    found = ml._logistic_losses([(p, p.vectors(held)) for p, held in parts], grid)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("side-by-side"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for (prepared, held), losses in zip(parts, found):
+        for k, params in enumerate(grid):
+            want = metrics.score_all(prepared.fitted(params).transform(held).withColumn("y", F.col("is_goal"))).first()["log_loss"]
+            assert losses[k] == pytest.approx(want, abs=1e-5)
+    assert jobs <= 40  # the optimizer's own rounds took more than a hundred
+    none = shots.where("false")
+    assert ml._logistic_losses([(p, p.vectors(none)) for p, _ in parts], grid) == []
+    one_class = ml.Prepared(shots.where("is_goal = 0"), "logreg_all")
+    assert list(ml._logistic_losses([(one_class, one_class.vectors(shots.where("is_goal = 0")))], grid)[0].values()) == pytest.approx([0.0] * 3, abs=1e-12)
