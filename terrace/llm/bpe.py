@@ -1,14 +1,15 @@
 """Byte-level BPE encoding by backtracking, decoding by an offset table.
 
-The text is cut into pieces by the vocabulary's pattern. In a piece, an
-Aho-Corasick scan finds the longest token that starts at each byte. The encoder
-goes from left to right and takes the longest token that is compatible with the
-one before it, else that token's next shorter prefix, else it steps back; a byte
-from which no way leads on is marked and not tried again, so the time is linear.
-Two tokens are compatible if merging their joined bytes gives just these two, which
-a table of pairs answers. A sequence whose neighbours are all compatible is the
-one that applying the merges in order gives. Decoding looks up where each
-token's bytes lie in one byte string.
+The text is cut into pieces by the vocabulary's pattern. A walk down the tokens'
+trie finds the longest token that starts at each byte. The encoder goes from left
+to right and takes the longest token that is compatible with the one before it,
+else that token's next shorter prefix, else it steps back; a byte from which no
+way leads on is marked and not tried again, so the time is linear. Two tokens are
+compatible if merging their joined bytes gives just these two, which tables of
+merges answer. A sequence whose neighbours are all compatible is the one that
+applying the merges in order gives. The new pieces of many texts go side by side,
+in numpy: a round takes one token or steps back once in each. Decoding looks up
+where each token's bytes lie in one byte string.
 
 Cases: a null text counts as empty and has no tokens; special strings in a text
 become their special token, as in the tokenizers library; rows are independent, so
@@ -23,7 +24,9 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +39,14 @@ from . import common
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space below U+0100 as the format has it.
 LATIN_SPACE = r"\t-\r\x20\x85\xa0"
-#: Pieces whose encoding a worker keeps, in each of two generations, and the longest piece that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 50_000, 32
-#: Pairs of the compatibility table that a worker keeps.
+#: Pieces whose encoding a worker keeps until there are more, and the longest piece that it keeps.
+KEPT_PIECES, KEPT_LENGTH = 100_000, 32
+#: Pairs of the compatibility table that a worker keeps for long pieces.
 KEPT_PAIRS = 80_000
+#: Pieces from which those gathered so far are looked up together, and letters from which a new piece is long: encoded alone, not side by side with others.
+TOGETHER, LONG = 100_000, 256
+#: log2 of the slots that tell most pairs without a merge.
+PAIR_SLOTS_LOG2 = 20
 #: Code points of a text that are encoded at a time; a cut moves to the next piece's start.
 BLOCK = 1 << 20
 
@@ -56,7 +63,6 @@ class Codec:
     """Tables of one vocabulary, made from the text of its tokenizer file."""
 
     def __init__(self, spec: str) -> None:
-        import ahocorasick
         import regex
 
         made = json.loads(spec)
@@ -77,11 +83,10 @@ class Codec:
         self.compatible_pairs: dict[int, bool] = {}
         self.length = {i: len(b) for i, b in self.bytes_of.items()}
         self.shorter = {i: self._longest_proper_prefix(b) for b, i in self.id_of.items()}
-        self.automaton = ahocorasick.Automaton()
-        for b, i in self.id_of.items():
-            self.automaton.add_word(b.decode("latin-1"), (len(b) - 1, i))
-        self.automaton.make_automaton()
         size = max(self.bytes_of) + 1
+        self._make_trie()
+        self._make_pair_tables(size)
+        self.next_shorter = np.array([-1 if (x := self.shorter.get(i)) is None else x for i in range(size)], np.int32)
         lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
         self.starts, self.lengths = np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
         self.store = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
@@ -93,11 +98,101 @@ class Codec:
         self.special_cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.decimals = [str(i) for i in range(size)]
         self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def _longest_proper_prefix(self, token: bytes) -> int | None:
         return next((i for n in range(len(token) - 1, 0, -1) if (i := self.id_of.get(token[:n])) is not None), None)
 
+    def _make_trie(self) -> None:
+        """The trie's rows of children, laid over each other: node n has a child for byte c if owner[base[n] + c] is n, and the child is base[n] + c."""
+        children: list[dict[int, int]] = [{}]
+        token: list[int] = [-1]
+        for b, i in self.id_of.items():
+            n = 0
+            for c in b:
+                if c not in children[n]:
+                    children[n][c] = len(children)
+                    children.append({})
+                    token.append(-1)
+                n = children[n][c]
+            token[n] = i
+        used, slot, base_of = bytearray(8 * len(children) + 512), [0] * len(children), [0] * len(children)
+        used[:256] = b"\1" * 256  # so that no base is below 0
+        free = hole = 256
+        for n in sorted((n for n, own in enumerate(children) if own), key=lambda n: -len(children[n])):
+            first, *rest = sorted(children[n])
+            if rest:
+                at = used.index(0, free)
+                while any([used[at - first + c] for c in rest]):
+                    at = used.index(0, at + 1)
+                free = at  # the holes before it are left to the rows of one child
+            else:
+                at = hole = used.index(0, hole)
+            base_of[n] = at - first
+            for c, child in children[n].items():
+                used[at - first + c], slot[child] = 1, at - first + c
+        size = max(slot) + 257
+        self.base, self.owner, self.longest_token = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        for n, own in enumerate(children):  # parents come before their children
+            self.base[slot[n]] = base_of[n]
+            self.longest_token[slot[n]] = token[n]
+            for child in own.values():
+                self.owner[slot[child]] = slot[n]
+                if token[child] < 0:
+                    token[child] = token[n]
+
+    def longest_tokens(self, data: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The longest token that starts at each byte and ends at that byte's ``stop`` or before it; all bytes walk down the trie side by side."""
+        deepest, on, node, step = np.zeros(len(data), np.int32), np.arange(len(data)), np.zeros(len(data), np.int32), 0
+        while len(on):
+            below = self.base[node] + data[on + step]
+            found = self.owner[below] == node
+            on, node, step = on[found], below[found], step + 1
+            deepest[on] = node
+            inside = on + step < stop[on]
+            on, node = on[inside], node[inside]
+        return self.longest_token[deepest]
+
+    def _make_pair_tables(self, size: int) -> None:
+        """Of each token, its outermost parts at its end (side 0) and at its start (side 1), itself first, each with the time at which it is merged away."""
+        made = np.full((3, size), -1, np.int32)
+        if self.parts:
+            made[:, list(self.parts)] = np.array(list(self.parts.values())).T
+        self.outer: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for inner in (2, 1):
+            of = part = np.arange(size, dtype=np.int32)
+            until, levels = np.full(size, self.never, np.int32), []
+            while len(of):
+                levels.append((of, part, until))
+                is_made = made[0, part] >= 0
+                of, until, part = of[is_made], made[0, part[is_made]], made[inner, part[is_made]]
+            of, part, until = map(np.concatenate, zip(*levels))
+            order, counts = np.argsort(of, kind="stable"), np.bincount(of, minlength=size)
+            self.outer.append((part[order], until[order], np.cumsum(counts) - counts, counts))
+        keys = np.fromiter(self.merged_at.keys(), np.int64, self.never)
+        order = np.argsort(keys)
+        self.merge_keys, self.merge_times = keys[order], np.fromiter(self.merged_at.values(), np.int32, self.never)[order]
+        self.may_merge = np.zeros(1 << PAIR_SLOTS_LOG2, bool)
+        self.may_merge[_pair_slot(keys)] = True
+
+    def all_compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` of each pair: every part at a's end against every part at b's start."""
+        (ends, ends_until, ends_at, ends_n), (heads, heads_until, heads_at, heads_n) = self.outer
+        across = heads_n[b]
+        n = ends_n[a] * across
+        pair = np.repeat(np.arange(len(a)), n)
+        i, j = np.divmod(np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n), across[pair])
+        i += ends_at[a][pair]
+        j += heads_at[b][pair]
+        key = ends[i].astype(np.int64) << 20 | heads[j]
+        maybe = np.flatnonzero(self.may_merge[_pair_slot(key)])
+        key, i, j, pair = key[maybe], i[maybe], j[maybe], pair[maybe]
+        at = np.minimum(np.searchsorted(self.merge_keys, key), self.never - 1)
+        time = self.merge_times[at]
+        merged = (self.merge_keys[at] == key) & (time < ends_until[i]) & (time <= heads_until[j])
+        out = np.ones(len(a), bool)
+        out[pair[merged]] = False
+        return out
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave ``a`` and ``b`` apart: nothing at a's end is merged with anything at b's start while both exist.
 
@@ -131,13 +226,9 @@ class Codec:
                 return True
             until, _, a = made
 
-    def encode_piece(self, piece: str) -> list[int]:
-        piece = piece if piece.isascii() else piece.encode().decode("latin-1")  # a letter a byte
+    def encode_piece(self, piece: bytes) -> list[int]:
         size = len(piece)
-        longest: list[int | None] = [None] * size
-        # Matches come by their end and, at an end, the longest first: at a start, the last is the longest.
-        for end, (before, token) in self.automaton.iter(piece):
-            longest[end - before] = token
+        longest = self.longest_tokens(np.frombuffer(piece, np.uint8), np.full(size, size)).tolist()
         taken: list[int] = []
         dead: set[int] = set()
         pos, token, length, shorter, pairs, last = 0, longest[0], self.length, self.shorter, self.compatible_pairs, None
@@ -162,16 +253,56 @@ class Codec:
                     continue
             token = shorter[token]
 
-    def _looked_up(self, piece: str) -> bytes:
-        """The piece's encoding. A full generation replaces the one before, from which what is used again is taken over."""
-        out = self.kept.get(piece) or self.older.get(piece)
-        if out is None:
-            out = array("i", self.encode_piece(piece)).tobytes()
-        if len(piece) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_PIECES:
-                self.older, self.kept = self.kept, {}
-            self.kept[piece] = out
-        return out
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as bytes. ``encode_piece`` of all side by side, a round for each step of its loop."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        longest = self.longest_tokens(data, np.repeat(ends, sizes))
+        taken, before, dead = np.full(len(data), -1, np.int32), np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, bool)
+        start, end = ends - sizes, ends
+        pos, token, last = start.copy(), longest[start], np.full(len(pieces), -1, np.int32)
+        while len(pos):
+            after = np.where(token < 0, pos, pos + self.lengths[token])
+            fits = (token >= 0) & ~dead[after]
+            asked = np.flatnonzero(fits & (last >= 0))
+            fits[asked] = self.all_compatible(last[asked], token[asked])
+            stuck = np.flatnonzero(token < 0)  # no token leads on from here
+            took, rest = np.flatnonzero(fits), np.flatnonzero(~fits & (token >= 0))
+            taken[pos[took]] = token[took]
+            before[after[took]] = pos[took]
+            token[rest] = self.next_shorter[token[rest]]
+            if len(stuck):
+                dead[pos[stuck]] = True
+                back = before[pos[stuck]]
+                token[stuck] = self.next_shorter[taken[back]]
+                taken[back] = -1
+                pos[stuck] = back
+                last[stuck] = np.where(back > start[stuck], taken[before[back]], -1)
+            last[took] = token[took]
+            pos[took] = after[took]
+            going = pos < end
+            pos, token, last, start, end = pos[going], token[going], last[going], start[going], end[going]
+            onward = np.flatnonzero(fits[going])
+            token[onward] = longest[pos[onward]]
+        at = np.flatnonzero(taken >= 0)
+        ids, cuts = taken[at].tobytes(), [0, *(4 * np.searchsorted(at, ends)).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _looked_up(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encodings of these pieces and of others. They are kept for the next pieces unless they have become too many; a long one isn't."""
+        found = self.kept
+        new = list(pieces.difference(found))
+        short = [p for p in new if len(p) < LONG]
+        found |= zip(short, self.encode_pieces([p.encode() for p in short]))
+        found |= {p: array("i", self.encode_piece(p.encode())).tobytes() for p in new if len(p) >= LONG}
+        if len(found) > KEPT_PIECES:
+            self.kept = {}
+        elif long := [p for p in new if len(p) > KEPT_LENGTH]:
+            self.kept = found.copy()
+            for p in long:
+                del self.kept[p]
+        return found
 
     def blocks(self, text: str) -> Iterator[list[str] | int]:
         """Pieces of the text in lists of bounded size; a special token alone, as its id."""
@@ -191,19 +322,35 @@ class Codec:
                         held = []
                 yield held
 
+    def encode_texts(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the text, ids of its next block), one or more of each text in order. Pieces of short texts are looked up together."""
+        held: list[tuple[int, list[str] | int]] = []
+        n = 0
+        for k, text in enumerate(texts):
+            for block in self.blocks(text):
+                held.append((k, block))
+                n += 1 if isinstance(block, int) else len(block)
+                if n >= TOGETHER:
+                    yield from self._encoded(held)
+                    held, n = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, held: list[tuple[int, list[str] | int]]) -> Iterator[tuple[int, np.ndarray]]:
+        found = self._looked_up(set(chain.from_iterable(block for _, block in held if not isinstance(block, int))))
+        for k, block in held:
+            yield k, np.array([block], np.int32) if isinstance(block, int) else np.frombuffer(b"".join(map(found.__getitem__, block)), np.int32)
+
     def encode_blocks(self, text: str) -> Iterator[tuple[np.ndarray, str]]:
         """Ids of each block, as numbers and as comma-joined decimals."""
-        decimals = self.decimals
-        for block in self.blocks(text):
-            kept = self.kept
-            if isinstance(block, int):
-                yield np.array([block], np.int32), str(block)
-            elif block:
-                ids = np.frombuffer(b"".join([kept.get(p) or self._looked_up(p) for p in block]), np.int32)
-                yield ids, ",".join([decimals[i] for i in ids.tolist()])
+        for _, ids in self.encode_texts([text]):
+            if len(ids):
+                yield ids, self.decimal(ids)
+
+    def decimal(self, ids: np.ndarray) -> str:
+        return ",".join(map(self.decimals.__getitem__, ids.tolist()))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in self.encode_blocks(text))])
+        return np.concatenate([ids for _, ids in self.encode_texts([text])])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, gathered by the offset table."""
@@ -215,6 +362,10 @@ class Codec:
         return self.store[at].tobytes()
 
 
+def _pair_slot(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_SLOTS_LOG2)
+
+
 def _is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -233,46 +384,59 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def _mapped(docs: DataFrame, path: str, row, schema: str) -> DataFrame:
-    """Apply ``row(codec, value)`` to the second of two columns; the tokenizer file is broadcast, so only the driver reads it."""
+def _mapped(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
+    """Apply ``rows(codec, values)`` to the second of two columns; the tokenizer file is broadcast, so only the driver reads it."""
     common.bound_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(spec)
         for batch in batches:
-            rows = [row(codec, v) for v in batch.column(1)]
+            made = list(rows(codec, (v.as_py() for v in batch.column(1))))
             names = [f.split()[0] for f in schema.split(", ")]
             kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-            columns = [pa.array([r[k] for r in rows], kinds[f.split()[1]]) for k, f in enumerate(schema.split(", ")[1:])]
+            columns = [pa.array([r[k] for r in made], kinds[f.split()[1]]) for k, f in enumerate(schema.split(", ")[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _blocks_by_text(codec: Codec, texts: Iterable[str | None]) -> Iterator[Iterator[np.ndarray]]:
+    for _, blocks in groupby(codec.encode_texts(t or "" for t in texts), itemgetter(0)):
+        yield (ids for _, ids in blocks)
+
+
+def _encoded(codec: Codec, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray]]:
+    return ((np.concatenate(list(blocks)),) for blocks in _blocks_by_text(codec, texts))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array<int>) of each row."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _mapped(texts, path, lambda codec, v: (codec.encode(v.as_py() or ""),), "doc_id long, ids array<int>")
+    return _mapped(texts, path, _encoded, "doc_id long, ids array<int>")
+
+
+def _decoded(codec: Codec, rows: Iterable[list[int] | None]) -> Iterator[tuple[str]]:
+    return ((codec.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace"),) for ids in rows)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of each row of ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
-    ids = encoded.select(F.col("doc_id").cast("long"), F.col("ids"))
-    return _mapped(ids, path, lambda codec, v: (codec.decode(np.array(v.as_py() or [], np.int64)).decode("utf-8", "replace"),), "doc_id long, text string")
+    return _mapped(encoded.select(F.col("doc_id").cast("long"), F.col("ids")), path, _decoded, "doc_id long, text string")
 
 
-def _digest(codec: Codec, value) -> tuple[int, str, str]:
-    n, ids_hash, text_hash, first = 0, hashlib.sha256(), hashlib.sha256(), True
-    for ids, decimals in codec.encode_blocks(value.as_py() or ""):
-        n += len(ids)
-        ids_hash.update((decimals if first else "," + decimals).encode())
-        text_hash.update(codec.decode(ids))
-        first = False
-    return n, ids_hash.hexdigest(), text_hash.hexdigest()
+def _digests(codec: Codec, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
+    for blocks in _blocks_by_text(codec, texts):
+        n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+        for ids in blocks:
+            if len(ids):
+                ids_hash.update((codec.decimal(ids) if n == 0 else "," + codec.decimal(ids)).encode())
+                text_hash.update(codec.decode(ids))
+                n += len(ids)
+        yield n, ids_hash.hexdigest(), text_hash.hexdigest()
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode each text in one pass: doc_id, n_tokens, ids_sha256 (of comma-joined ids), decoded_sha256."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return _mapped(texts, path, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(texts, path, _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
+from tokenizers.trainers import BpeTrainer
 
 from terrace.llm import bpe, decontaminate, exact_chunks, golay, hmm, langid, line_bloom, passages, pii, url_reputation
 from terrace.llm.components import components
@@ -161,6 +163,39 @@ def test_bpe_codec_with_a_small_memory(monkeypatch):
         assert len(codec.kept) <= 3 and all(isinstance(v, bytes) for v in codec.kept.values())
 
 
+def test_bpe_codec_takes_pieces_of_many_texts_together(monkeypatch):
+    codec, lib, rng = bpe.Codec(bpe.read_spec(BPE)), Tokenizer.from_file(BPE), random.Random(7)
+    monkeypatch.setattr(bpe, "TOGETHER", 500)
+    monkeypatch.setattr(bpe, "KEPT_PIECES", 400)
+    groups, look_up = [], codec._looked_up
+    monkeypatch.setattr(codec, "_looked_up", lambda pieces: groups.append(pieces) or look_up(pieces))
+    long = "".join(rng.choice("abcdefgh") for _ in range(3 * bpe.LONG))
+    texts = [rng.choice(("", "<|endoftext|>", long, " " * 700, long[:40] + "é日", "x<|endoftext|>")) + words(rng, rng.randint(0, 20)) for _ in range(200)]
+    got = {}
+    for k, ids in codec.encode_texts(texts):
+        got.setdefault(k, []).extend(ids.tolist())
+    assert list(got.items()) == list(enumerate(lib.encode(t, add_special_tokens=False).ids for t in texts))
+    assert 2 < len(groups) < 20 and max(map(len, codec.kept), default=0) <= bpe.KEPT_LENGTH and len(codec.kept) <= 400
+
+
+def test_bpe_side_by_side_steps_back_as_alone():
+    """Small vocabularies learned from random words, where the longest token often leads nowhere."""
+    rng, steps_back = random.Random(8), 0
+    for _ in range(20):
+        lib = Tokenizer.from_str(json.dumps(json.loads(bpe.read_spec(BPE)) | {"added_tokens": []}))
+        some = ["".join(rng.choice("aabc") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+        lib.train_from_iterator(some, BpeTrainer(vocab_size=256 + 60, initial_alphabet=list(bpe.byte_letters()), show_progress=False))
+        codec = bpe.Codec(lib.to_str())
+        pieces = ["".join(rng.choice("aabc") for _ in range(rng.randint(1, 40))) for _ in range(200)]
+        want = [lib.encode(p, add_special_tokens=False).ids for p in pieces]
+        assert [codec.encode_piece(p.encode()) for p in pieces] == want
+        assert [np.frombuffer(ids, np.int32).tolist() for ids in codec.encode_pieces([p.encode() for p in pieces])] == want
+        sizes = np.array([*map(len, pieces)])
+        longest = codec.longest_tokens(np.frombuffer("".join(pieces).encode(), np.uint8), np.repeat(np.cumsum(sizes), sizes))
+        steps_back += sum(int(longest[at]) != ids[0] for at, ids in zip(np.cumsum(sizes) - sizes, want))
+    assert steps_back > 100
+
+
 def test_bpe_codec_beside_white_space():
     codec, lib = bpe.Codec(bpe.read_spec(BPE)), Tokenizer.from_file(BPE)
     for c in map(chr, range(256)):
