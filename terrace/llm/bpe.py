@@ -40,11 +40,11 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: White space below U+0100 as the format has it.
 LATIN_SPACE = r"\t-\r\x20\x85\xa0"
 #: Pieces whose encoding a worker keeps until there are more, and the longest piece that it keeps.
-KEPT_PIECES, KEPT_LENGTH = 100_000, 32
+KEPT_PIECES, KEPT_LENGTH = 80_000, 32
 #: Pairs of the compatibility table that a worker keeps for long pieces.
 KEPT_PAIRS = 80_000
 #: Pieces from which those gathered so far are looked up together, and letters from which a new piece is long: encoded alone, not side by side with others.
-TOGETHER, LONG = 100_000, 256
+TOGETHER, LONG = 50_000, 256
 #: log2 of the slots that tell most pairs without a merge.
 PAIR_SLOTS_LOG2 = 20
 #: Code points of a text that are encoded at a time; a cut moves to the next piece's start.
@@ -68,28 +68,30 @@ class Codec:
         made = json.loads(spec)
         letters = byte_letters()
         to_bytes = lambda s: bytes(letters[c] for c in s)
-        self.id_of = {to_bytes(s): i for s, i in made["model"]["vocab"].items()}
+        id_of = {to_bytes(s): i for s, i in made["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
-        self.bytes_of = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
+        bytes_of = {i: b for b, i in id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         # pair: when it is merged; token: when and from what it is made
         self.merged_at: dict[int, int] = {}  # a pair a, b is a << 20 | b
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, merge in enumerate(made["model"]["merges"]):
             a, b = (to_bytes(x) for x in (merge if isinstance(merge, list) else merge.split(" ")))
-            left, right, whole = self.id_of[a], self.id_of[b], self.id_of[a + b]
+            left, right, whole = id_of[a], id_of[b], id_of[a + b]
             self.merged_at[left << 20 | right] = rank
             self.parts[whole] = rank, left, right
         self.never = len(self.merged_at)
         self.compatible_pairs: dict[int, bool] = {}
-        self.length = {i: len(b) for i, b in self.bytes_of.items()}
-        self.shorter = {i: self._longest_proper_prefix(b) for b, i in self.id_of.items()}
-        size = max(self.bytes_of) + 1
-        self._make_trie()
+        size = max(bytes_of) + 1
+        self._make_trie(id_of)
         self._make_pair_tables(size)
-        self.next_shorter = np.array([-1 if (x := self.shorter.get(i)) is None else x for i in range(size)], np.int32)
-        lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
+        self.shorter: list[int | None] = [None] * size
+        for b, i in id_of.items():
+            self.shorter[i] = next((x for n in range(len(b) - 1, 0, -1) if (x := id_of.get(b[:n])) is not None), None)
+        self.next_shorter = np.array([-1 if x is None else x for x in self.shorter], np.int32)
+        lengths = np.array([len(bytes_of.get(i, b"")) for i in range(size)], np.int64)
+        self.length = lengths.tolist()
         self.starts, self.lengths = np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths
-        self.store = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
+        self.store = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(size)), np.uint8)
         self.pieces = regex.compile(PIECES)
         of_kind = lambda kind: "".join(c for c in map(chr, range(256)) if unicodedata.category(c)[0] == kind)
         # The same pattern for texts of Latin-1 letters, for which the plain engine is several times as fast; its own \s has U+001C to U+001F too.
@@ -99,27 +101,28 @@ class Codec:
         self.decimals = [str(i) for i in range(size)]
         self.kept: dict[str, bytes] = {}
 
-    def _longest_proper_prefix(self, token: bytes) -> int | None:
-        return next((i for n in range(len(token) - 1, 0, -1) if (i := self.id_of.get(token[:n])) is not None), None)
-
-    def _make_trie(self) -> None:
+    def _make_trie(self, id_of: dict[bytes, int]) -> None:
         """The trie's rows of children, laid over each other: node n has a child for byte c if owner[base[n] + c] is n, and the child is base[n] + c."""
-        children: list[dict[int, int]] = [{}]
-        token: list[int] = [-1]
-        for b, i in self.id_of.items():
+        child: dict[int, int] = {}  # by n << 8 | c
+        token = [-1]
+        for b, i in id_of.items():
             n = 0
             for c in b:
-                if c not in children[n]:
-                    children[n][c] = len(children)
-                    children.append({})
+                n = child.setdefault(n << 8 | c, len(token))
+                if n == len(token):
                     token.append(-1)
-                n = children[n][c]
             token[n] = i
-        used, slot, base_of = bytearray(8 * len(children) + 512), [0] * len(children), [0] * len(children)
+        for key, n in child.items():  # parents come before their children
+            if token[n] < 0:
+                token[n] = token[key >> 8]
+        keys = np.sort(np.fromiter(child.keys(), np.int64, len(child)))
+        parents, first_of = np.unique(keys >> 8, return_index=True)
+        rows = np.split((keys & 255).astype(np.uint8), first_of[1:])
+        used, base_of = bytearray(8 * len(token) + 512), np.zeros(len(token), np.int32)
         used[:256] = b"\1" * 256  # so that no base is below 0
         free = hole = 256
-        for n in sorted((n for n, own in enumerate(children) if own), key=lambda n: -len(children[n])):
-            first, *rest = sorted(children[n])
+        for k in sorted(range(len(rows)), key=lambda k: -len(rows[k])):
+            first, *rest = rows[k].tolist()
             if rest:
                 at = used.index(0, free)
                 while any([used[at - first + c] for c in rest]):
@@ -127,18 +130,15 @@ class Codec:
                 free = at  # the holes before it are left to the rows of one child
             else:
                 at = hole = used.index(0, hole)
-            base_of[n] = at - first
-            for c, child in children[n].items():
-                used[at - first + c], slot[child] = 1, at - first + c
-        size = max(slot) + 257
+            base_of[parents[k]] = at - first
+            for c in (first, *rest):
+                used[at - first + c] = 1
+        above, below = np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child))
+        slot = np.zeros(len(token), np.int32)
+        slot[below] = base_of[above >> 8] + (above & 255)
+        size = int(slot.max()) + 257
         self.base, self.owner, self.longest_token = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
-        for n, own in enumerate(children):  # parents come before their children
-            self.base[slot[n]] = base_of[n]
-            self.longest_token[slot[n]] = token[n]
-            for child in own.values():
-                self.owner[slot[child]] = slot[n]
-                if token[child] < 0:
-                    token[child] = token[n]
+        self.base[slot], self.longest_token[slot], self.owner[slot[below]] = base_of, token, slot[above >> 8]
 
     def longest_tokens(self, data: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The longest token that starts at each byte and ends at that byte's ``stop`` or before it; all bytes walk down the trie side by side."""
