@@ -44,6 +44,7 @@ def slice_table(spark, sf_dir):
 
 REPORT = ("distance_band", "body_part", "shot_type", "play_pattern", "under_pressure", "first_time", "follows_cross", "follows_through_ball")
 WORST = ("match_id", "idx", "team", "player", "x", "y_", "distance", "body_part", "shot_type", "p", "sb_xg", "y", "loss")
+SHOWN = ("distance", "p", "sb_xg")  # besides the loss, which is ranked as it is shown; places are as they are
 WORST_SQL = "match_id, idx, team, player, x, y_, round(distance,4) AS distance, body_part, shot_type, round(p,4) AS p, round(sb_xg,4) AS sb_xg, y, round(loss,4) AS loss"
 
 
@@ -52,14 +53,18 @@ def error_report(spark, sf_dir):
     return rounded(m.error_report(scored(spark, sf_dir), REPORT))
 
 
+def _worst(spark, sf_dir, y: int) -> DataFrame:
+    return m.worst(scored(spark, sf_dir), y).select(*WORST).withColumns({c: F.round(c, 4) for c in SHOWN})
+
+
 @cat.add(f"{W} SELECT {WORST_SQL} FROM ls WHERE y=1 ORDER BY loss DESC, match_id, idx LIMIT 10")
 def worst_goals(spark, sf_dir):
-    return rounded(m.worst(scored(spark, sf_dir), 1).select(*WORST))
+    return _worst(spark, sf_dir, 1)
 
 
 @cat.add(f"{W} SELECT {WORST_SQL} FROM ls WHERE y=0 ORDER BY loss DESC, match_id, idx LIMIT 10")
 def worst_misses(spark, sf_dir):
-    return rounded(m.worst(scored(spark, sf_dir), 0).select(*WORST))
+    return _worst(spark, sf_dir, 0)
 
 
 @cat.add(f"{W} SELECT round(avg(loss),4) AS log_loss, round(avg(power(p-y,2)),4) AS brier, count(*) AS n FROM ls")

@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables, and properties of the models."""
 
 import os
+import random
 
 import duckdb
 import pytest
@@ -44,6 +45,18 @@ def test_every_query_has_a_name_of_its_own():
     assert sum(len(c.queries) for c in entry.CATALOGUES) == len(OWN) and set(SQL) <= set(OWN)
 
 
+@pytest.mark.parametrize("name", ["worst_goals", "worst_misses"])
+def test_worst_shots_are_ranked_by_the_loss_that_is_shown(spark, tmp_path, name):
+    """SQL's ORDER BY loss means its rounded column, so that mirrored places, whose losses differ in the last bit, tie and go by match and event."""
+    rng = random.Random(name)
+    k, value, places = (0, 101.5, [at for j in range(6, 18) for at in (j, 800 - j)]) if name == "worst_goals" else (97, 1.5, [400 + j for j in range(-12, 13)])
+    numbers = [n for at in places for n in rng.sample([n for n in range(at * pow(17, -1, 801) % 801, 10**6, 801) if n % 20], 3)]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE TABLE events AS SELECT n AS event_id, TIMESTAMP '2024-01-01 00:00:11' AS ts, n AS user_id, 'purchase' AS event_type, {value}::DOUBLE AS value, 'k: {k}' AS props FROM (SELECT unnest({numbers}::BIGINT[]) AS n)")
+    duck.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert [tuple(r) for r in OWN[name](spark, str(tmp_path)).collect()] == duck.execute(SQL[name]).fetchall()
+
+
 def test_models(spark):
     rows = s.dataset(ev(spark, SF)).persist()
     folds = ml.grouped_folds(rows, 3)
