@@ -796,3 +796,40 @@ def test_telling_terms_of_whole_documents(spark):
     got = [(r["doc_id"], [(s["start"], s["end"], s["value"].lower()) for s in r["extra"]]) for r in pii.spans(df).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert dict(got)[200][0] == (0, 8, "") and dict(got)[300] == [(0, 6, "mark*")]
+
+
+@pytest.mark.parametrize("several", [True, False])
+def test_classes_are_counted_in_all_documents(spark, several):
+    """What a class of words reveals, against plain counting in all documents and in those with an entity."""
+    rng = random.Random(3)
+    vocabulary = [words(rng, 1, "abc")[:5] + rng.choice("abcd") for _ in range(40)]
+    texts = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(2, 12))) + (f" e{rng.randint(0, 6)}@x.org" if several and i % 8 == 0 else "")) for i in range(160)]
+    if several:  # a class that few documents but those with an entity have: among these alone it tells little
+        texts += [(200 + i, f"{'markus' if i < 4 else 'markt'} m{'' if i < 2 else i}@x.org" if i < 8 else "mango") for i in range(38)]
+    else:  # the one entity is all that documents with an entity hold: among these alone nothing is left to tell
+        texts += [(200 + i, "markus m@x.org" if i < 4 else "markus" if i < 8 else "markt") for i in range(38)]
+    texts += [texts[0], (0, None)]
+    rows = [(k, t or "") for k, (_, t) in enumerate(texts)]
+    cut = {d: {w for w in re.split(r"[^a-z]+", d[1]) if len(w) > 1} for d in rows}
+    holders = defaultdict(set)
+    for d in rows:
+        for e in re.findall(r"\w+@x\.org", d[1]):
+            holders[e].add(d)
+    any_holder = set().union(*holders.values())
+
+    def share(e, held, among):
+        held, n = held & among, len(among)
+        return math.log2(len(holders[e] & held) * n / (len(holders[e]) * len(held))) / math.log2(n / len(holders[e])) if n > len(holders[e]) else 0
+
+    want = {}
+    for e in holders:
+        for w in set().union(*(cut[d] for d in holders[e])):
+            of = share(e, {d for d in rows if w in cut[d]}, set(rows))
+            if of >= pii.GENERALISE:
+                like = {n: {d for d in rows if any(len(v) > n and v[:n] == w[:n] for v in cut[d])} for n in pii.CLASSES if len(w) > n}
+                want[f"email:{e}", w] = max((n for n in like if of < pii.REMOVE and max(share(e, like[n], set(rows)), share(e, like[n], any_holder)) < pii.GENERALISE), default=0)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = pii.protected(df)
+    got = pii._disclosed(df, found, pii._held_terms(df, found), pii._entities(found))
+    assert {(r["entity"], r["term"]): r["kept"] for r in got.collect()} == want
+    assert want["email:m@x.org", "markus"] == (2 if several else 4)
